@@ -85,78 +85,24 @@ class Neighborhood:
     notices: list[str] = field(default_factory=list)
 
 
-def _breadth_first(edges: DataFrame, start: Any, depth: int, budget: int | None):
-    """Expand ``depth`` layers around ``start`` in both directions.
+def _ends(edges: DataFrame, from_col: str, to_col: str, near: DataFrame) -> DataFrame:
+    keys = near.select(F.col("id").alias("_near"))
+    return edges.join(keys, F.col(from_col) == F.col("_near"), "left_semi").select(F.col(to_col).alias("id"))
 
-    Returns (nodes, expanded, truncated). With a budget the id lists are bounded
-    by it and stay on the driver, so each hop is a filtered scan; without one
-    they stay DataFrames.
-    """
-    if budget is not None:
-        seen, frontier, expanded, truncated = [start], [start], [], False
-        for _ in range(depth):
-            if not frontier or truncated:
-                break
-            expanded.extend(frontier)
-            around = edges.where(F.col("source_id").isin(frontier)).select(F.col("target_id").alias("id")).unionByName(
-                edges.where(F.col("target_id").isin(frontier)).select(F.col("source_id").alias("id"))
-            )
-            room = max(budget - len(seen), 0)
-            fresh = [
-                r[0]
-                for r in around.where(~F.col("id").isin(seen)).distinct().orderBy("id").limit(room + 1).collect()
-            ]
-            truncated = len(fresh) > room
-            frontier = fresh[:room]
-            seen.extend(frontier)
-        spark = edges.sparkSession
-        kind = edges.schema["source_id"].dataType.simpleString()
-        frame = lambda ids: spark.createDataFrame([(i,) for i in ids], f"id {kind}")
-        return frame(seen), frame(expanded), truncated
 
-    spark = edges.sparkSession
-    kind = edges.schema["source_id"].dataType.simpleString()
-    seen = spark.createDataFrame([(start,)], f"id {kind}")
-    frontier, layers = seen, []
-    for _ in range(depth):
-        layers.append(frontier)
-        near = F.col("id").alias("_near")
-        around = (
-            edges.join(frontier.select(near), F.col("source_id") == F.col("_near"), "left_semi")
-            .select(F.col("target_id").alias("id"))
-            .unionByName(
-                edges.join(frontier.select(near), F.col("target_id") == F.col("_near"), "left_semi")
-                .select(F.col("source_id").alias("id"))
-            )
-        )
-        frontier = stable(around.distinct().join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen, union_all(layers), False
-
-
-def _touching(edges: DataFrame, expanded: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges met while expanding whose both ends are returned nodes."""
-    ids = expanded.select(F.col("id").alias("_id"))
-    met = edges.join(ids, F.col("source_id") == F.col("_id"), "left_semi").unionByName(
-        edges.join(ids, F.col("target_id") == F.col("_id"), "left_semi")
-    ).distinct()
-    ends = nodes.select(F.col("id").alias("_end"))
-    return met.join(ends, F.col("source_id") == F.col("_end"), "left_semi").join(
-        ends, F.col("target_id") == F.col("_end"), "left_semi"
+def all_edges(catalog: Catalog) -> DataFrame:
+    """Live link edges and foreign-key edges, not yet distinct."""
+    links = catalog.live_edges().select(
+        "source_id", "target_id", "relationship_type", F.lit("LINK_TABLE").alias("edge_source")
     )
+    if not any(catalog.schema.references(name) for name in catalog.tables):
+        return links
+    return links.unionByName(column_edges(catalog))
 
 
-def all_edges(catalog: Catalog) -> DataFrame:
-    """Live link edges and foreign-key edges, distinct by (source, target, type)."""
-    links = catalog.live_edges()
-    if any(catalog.schema.references(name) for name in catalog.tables):
-        return union_edge_stores(links, column_edges(catalog))
-    return (
-        links.select("source_id", "target_id", "relationship_type")
-        .distinct()
-        .withColumn("edge_source", F.lit("LINK_TABLE"))
+def _distinct_edges(edges: DataFrame) -> DataFrame:
+    return union_edge_stores(
+        edges.where(F.col("edge_source") == "LINK_TABLE"), edges.where(F.col("edge_source") == "COLUMN")
     )
 
 
@@ -165,8 +111,10 @@ def neighbors(
 ) -> Neighborhood:
     """Undirected neighbourhood over link and foreign-key edges.
 
-    Ids must be unique across the catalog's classes. The budget keeps the lowest
-    ids of the layer that overflows it and says so in ``notices``.
+    Ids must be unique across the catalog's classes. The node budget bounds every
+    id list, so the lists stay on the driver and each hop is one filtered scan
+    without a join. The layer that overflows the budget keeps its lowest ids and
+    ``notices`` says so. Edges are those met while expanding, both ends live.
     """
     depth = max(1, min(depth, MAX_NEIGHBOR_DEPTH))
     live_ids = union_all(
@@ -175,32 +123,72 @@ def neighbors(
     if live_ids.where(F.col("id") == F.lit(entity_id)).isEmpty():
         raise QueryError(f"{entity_id!r} not found")
     edges = all_edges(catalog)
-    found, expanded, truncated = _breadth_first(edges, entity_id, depth, node_budget)
-    nodes = live_ids.join(found, "id", "left_semi")
-    notices = []
-    if truncated:
-        notices.append(f"truncated at the budget of {node_budget} nodes")
-    return Neighborhood(nodes, _touching(edges, expanded, nodes), ["LINK_TABLE", "COLUMN"], notices)
+    seen, frontier, expanded, truncated = [entity_id], [entity_id], [], False
+    for _ in range(depth):
+        if not frontier or truncated:
+            break
+        expanded.extend(frontier)
+        leaving, arriving = F.col("source_id").isin(frontier), F.col("target_id").isin(frontier)
+        around = edges.where(leaving | arriving).select(
+            F.explode(
+                F.array_compact(
+                    F.array(F.when(leaving, F.col("target_id")), F.when(arriving, F.col("source_id")))
+                )
+            ).alias("id")
+        )
+        room = max(node_budget - len(seen), 0)
+        fresh = [
+            r[0]
+            for r in around.where(~F.col("id").isin(seen)).distinct().orderBy("id").limit(room + 1).collect()
+        ]
+        truncated = len(fresh) > room
+        frontier = fresh[:room]
+        seen.extend(frontier)
+    nodes = live_ids.where(F.col("id").isin(seen))
+    alive = [r[0] for r in nodes.select("id").collect()]  # at most node_budget ids
+    met = edges.where(
+        (F.col("source_id").isin(expanded) | F.col("target_id").isin(expanded))
+        & F.col("source_id").isin(alive)
+        & F.col("target_id").isin(alive)
+    )
+    notices = [f"truncated at the budget of {node_budget} nodes"] if truncated else []
+    return Neighborhood(nodes, _distinct_edges(met), ["LINK_TABLE", "COLUMN"], notices)
 
 
 def neighbors_as_of(log: DataFrame, entity_id: Any, as_of: Any, depth: int = 1) -> Neighborhood:
-    """Neighbourhood over link edges live at ``as_of``; nodes are states then."""
+    """Neighbourhood over link edges live at ``as_of``; nodes are states then.
+
+    There is no node budget here, so layers stay DataFrames and grow by joins.
+    """
     depth = max(1, min(depth, MAX_NEIGHBOR_DEPTH))
-    edges = stable(
-        live_edges_at(log, as_of)
-        .select("source_id", "target_id", "relationship_type")
+    edges = stable(live_edges_at(log, as_of).select("source_id", "target_id", "relationship_type"))
+    kind = edges.schema["source_id"].dataType
+    spark = edges.sparkSession
+    seen = spark.createDataFrame([(entity_id,)], f"id {kind.simpleString()}")
+    frontier, layers = seen, []
+    for _ in range(depth):
+        layers.append(frontier)
+        around = _ends(edges, "source_id", "target_id", frontier).unionByName(
+            _ends(edges, "target_id", "source_id", frontier)
+        )
+        frontier = stable(around.distinct().join(seen, "id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    wanted = seen.select(F.col("id").cast(log.schema["entity_id"].dataType).alias("entity_id"))
+    states = state_at(log.join(wanted, "entity_id", "left_semi"), as_of)
+    nodes = states.select(F.col("entity_id").cast(kind).alias("id"), "state")
+    opened = union_all(layers).select(F.col("id").alias("_id"))
+    ends = nodes.select(F.col("id").alias("_end"))
+    met = (
+        edges.join(opened, F.col("source_id") == F.col("_id"), "left_semi")
+        .unionByName(edges.join(opened, F.col("target_id") == F.col("_id"), "left_semi"))
         .distinct()
+        .join(ends, F.col("source_id") == F.col("_end"), "left_semi")
+        .join(ends, F.col("target_id") == F.col("_end"), "left_semi")
         .withColumn("edge_source", F.lit("LINK_TABLE"))
     )
-    found, expanded, _ = _breadth_first(edges, entity_id, depth, None)
-    key = log.schema["entity_id"].dataType
-    wanted = found.select(F.col("id").cast(key).alias("entity_id"))
-    states = state_at(log.join(wanted, "entity_id", "left_semi"), as_of)
-    nodes = states.select(
-        F.col("entity_id").cast(edges.schema["source_id"].dataType).alias("id"), "state"
-    )
-    notices = ["as-of neighbourhoods cover link-table edges only"]
-    return Neighborhood(nodes, _touching(edges, expanded, nodes), ["LINK_TABLE"], notices)
+    return Neighborhood(nodes, met, ["LINK_TABLE"], ["as-of neighbourhoods cover link-table edges only"])
 
 
 def supersession_chain(entities: DataFrame, starts: DataFrame | None = None) -> DataFrame:

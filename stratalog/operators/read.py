@@ -89,9 +89,9 @@ def page_with_total(
     limit: int | None = None,
     offset: int | None = None,
 ) -> DataFrame:
-    """A page whose rows carry the size of the whole match set."""
-    total = matched.agg(F.count("*").alias("total")).scalar()
-    return page(matched.orderBy(*order), limit, offset).withColumn("total", total)
+    """A page whose rows carry ``total_count``, the size of the whole match set."""
+    total = matched.agg(F.count("*")).scalar()
+    return page(matched.orderBy(*order), limit, offset).withColumn("total_count", total)
 
 
 def join_temporal(

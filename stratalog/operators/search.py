@@ -138,12 +138,12 @@ def search_entities(
     matched = find(catalog, entity_type, filters, filter_mode, where).join(
         best.withColumnRenamed("entity_id", "id"), "id"
     )
-    total = matched.agg(F.count("*").alias("total")).scalar()
+    total = matched.agg(F.count("*")).scalar()
     if order_by is not None:
         ordered = matched.orderBy(*ordering(matched, order_by, order_dir))
     else:
         ordered = matched.orderBy(F.col("score").desc(), "seen")
-    return page(ordered, limit, offset).withColumn("total", total).drop("seen")
+    return page(ordered, limit, offset).withColumn("total_count", total).drop("seen")
 
 
 def search_all_classes(catalog: Catalog, query: str, limit: int | None = 100) -> DataFrame:

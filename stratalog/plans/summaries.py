@@ -20,7 +20,7 @@ AT = "2024-01-20 00:00:00"
 
 @query(
     "flagship",
-    """SELECT id, customer, status, total, count(*) OVER () AS total_rows FROM order_e o
+    """SELECT id, customer, status, total, count(*) OVER () AS total_count FROM order_e o
     WHERE is_available AND status = 'F' AND EXISTS (
       SELECT 1 FROM customer_e c WHERE c.id = o.customer AND c.is_available AND c.segment = 'BUILDING')
     ORDER BY total DESC, id LIMIT 20""",
@@ -29,9 +29,7 @@ def flagship(t: Tables):
     tree = {"and": [is_("status", "eq", "F"), {"edge": "customer", "where": is_("segment", "eq", "BUILDING")}]}
     matched = rd.find(t.catalog, "Order", where=tree)
     rows = rd.page_with_total(matched, rd.ordering(matched, "total", "desc"), 20)
-    return rows.select("id", "customer", "status", "total", F.col("total").alias("t")).drop("t").withColumn(
-        "total_rows", matched.agg(F.count("*")).scalar()
-    )
+    return rows.select("id", "customer", "status", "total", "total_count")
 
 
 @query("count_matching", "SELECT count(*) AS n FROM order_e WHERE is_available AND status = 'O' AND NOT coalesce(priority = '5-LOW', FALSE)")
@@ -202,7 +200,7 @@ def page(t: Tables):
 
 @query(
     "page_with_total",
-    """SELECT id, customer, (SELECT count(*) FROM order_e WHERE is_available AND status = 'O') AS total FROM order_e
+    """SELECT id, customer, (SELECT count(*) FROM order_e WHERE is_available AND status = 'O') AS total_count FROM order_e
     WHERE is_available AND status = 'O' ORDER BY customer, id LIMIT 10 OFFSET 20""",
 )
 def page_with_total(t: Tables):
@@ -212,18 +210,14 @@ def page_with_total(t: Tables):
 
 @query(
     "query_list",
-    f"""SELECT p.id, p.total_price, p.total, x.created_at, x.updated_at FROM (
-      SELECT id, total AS total_price, (SELECT count(*) FROM order_e WHERE is_available AND status = 'F') AS total
+    f"""SELECT p.id, p.total, p.total_count, x.created_at, x.updated_at FROM (
+      SELECT id, total, (SELECT count(*) FROM order_e WHERE is_available AND status = 'F') AS total_count
       FROM order_e WHERE is_available AND status = 'F' ORDER BY total DESC, id LIMIT 40) p
     LEFT JOIN ({_order_temporal()}) x ON x.entity_id = p.id""",
 )
 def query_list(t: Tables):
-    renamed = t.role("order_e").withColumnRenamed("total", "total_price")
-    rows = rd.query(
-        t.catalog.with_table("Order", renamed), "Order", [{"status": "F"}],
-        order_by="total_price", order_dir="desc", limit=40,
-    )
-    return rows.select("id", "total_price", "total", "created_at", "updated_at")
+    rows = rd.query(t.catalog, "Order", [{"status": "F"}], order_by="total", order_dir="desc", limit=40)
+    return rows.select("id", "total", "total_count", "created_at", "updated_at")
 
 
 @query(

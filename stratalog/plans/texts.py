@@ -13,7 +13,7 @@ from .registry import query
 from .scans import is_
 from .tables import SCHEMA, Tables
 
-TOKS = r"list_filter(regexp_split_to_array(strip_accents(lower({col})), '[^\p{{L}}\p{{N}}]+'), x -> x <> '')"
+TOKS = r"list_filter(regexp_split_to_array(strip_accents(lower({col})), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 DOC_TOKS = f"SELECT id, lang, source, is_available, text, {TOKS.format(col='text')} AS toks FROM document_e"
 PART_TOKS = f"SELECT id, name, brand, type, size, is_available, {TOKS.format(col='name')} AS toks, {TOKS.format(col='brand')} AS btoks FROM part_e"
 
@@ -22,19 +22,16 @@ def freq(toks: str, words: list[str]) -> str:
     """Occurrences of consecutive tokens."""
     n = len(words)
     tests = " AND ".join(f"{toks}[i + {j}] = '{w}'" for j, w in enumerate(words))
-    return f"len(list_filter(range(1, len({toks}) - {n} + 2), i -> {tests}))"
+    return f"len(list_filter(range(1, len({toks}) - {n} + 2), lambda i: {tests}))"
 
 
-def bm25(source: str, toks: str, words: list[str], live: str = "is_available") -> str:
+def bm25(source: str, toks: str, words: list[str], rows: int) -> str:
     return f"""SELECT id, raw / max(raw) OVER () AS score FROM (
       SELECT id, greatest(ln((rows - hits + 0.5) / (hits + 0.5)), 1e-6)
         * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / average)) AS raw FROM (
         SELECT *, count(*) OVER () AS rows, count(*) FILTER (WHERE f > 0) OVER () AS hits, avg(len) OVER () AS average
-        FROM (SELECT id, {freq(toks, words)} AS f, len({toks}) AS len FROM ({source}) s WHERE {live}) a) b
-      WHERE f > 0 ORDER BY raw DESC, id LIMIT {{double}}) c"""
-
-
-DOC_PHRASE = bm25(DOC_TOKS, "toks", ["the", "and"])
+        FROM (SELECT id, {freq(toks, words)} AS f, len({toks}) AS len FROM ({source}) s WHERE is_available) a) b
+      WHERE f > 0 ORDER BY raw DESC, id LIMIT {rows}) c"""
 
 
 @query(
@@ -58,7 +55,7 @@ def fts_content(t: Tables):
 
 @query(
     "search_phrase_bm25",
-    f"SELECT id AS entity_id, round(score, 8) AS score FROM ({bm25(DOC_TOKS, 'toks', ['de', 'la']).format(double=200)}) x ORDER BY score DESC, id LIMIT 100",
+    f"SELECT id AS entity_id, round(score, 8) AS score FROM ({bm25(DOC_TOKS, 'toks', ['de', 'la'], 200)}) x ORDER BY score DESC, id LIMIT 100",
 )
 def search_phrase_bm25(t: Tables):
     hits = se.search_phrase_bm25(t.role("document_e"), "text", "De LA", limit=100)
@@ -67,20 +64,20 @@ def search_phrase_bm25(t: Tables):
 
 @query(
     "search_term_bm25",
-    f"SELECT id AS entity_id, round(score, 8) AS score FROM ({bm25(DOC_TOKS, 'toks', ['the']).format(double=100)}) x WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 50",
+    f"SELECT id AS entity_id, round(score, 8) AS score FROM ({bm25(DOC_TOKS, 'toks', ['the'], 100)}) x WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 50",
 )
 def search_term_bm25(t: Tables):
     hits = se.search_phrase_bm25(t.role("document_e"), "text", "the", min_score=0.5, limit=50)
     return hits.select("entity_id", F.round("score", 8).alias("score"))
 
 
-NAME_HITS = bm25(PART_TOKS, "toks", ["ring"]).format(double=2000)
-BRAND_HITS = bm25(PART_TOKS, "btoks", ["ring"]).format(double=2000)
+NAME_HITS = bm25(PART_TOKS, "toks", ["ring"], 2000)
+BRAND_HITS = bm25(PART_TOKS, "btoks", ["ring"], 2000)
 
 
 @query(
     "search_entities",
-    f"""SELECT p.id, p.name, round(h.score, 8) AS score, count(*) OVER () AS total FROM (
+    f"""SELECT p.id, p.name, round(h.score, 8) AS score, count(*) OVER () AS total_count FROM (
       SELECT id, score FROM ({NAME_HITS}) a ORDER BY score DESC, id LIMIT 1000) h
     JOIN part_e p ON p.id = h.id WHERE p.is_available AND p.size > 20 AND NOT coalesce(p.type = 'STANDARD', FALSE)
     ORDER BY h.score DESC, p.id LIMIT 30 OFFSET 5""",
@@ -89,14 +86,14 @@ def search_entities(t: Tables):
     rows = se.search_entities(
         t.catalog, "Part", "ring", 30, 5, [is_("size", "gt", 20)], where={"not": is_("type", "eq", "STANDARD")}
     )
-    return rows.select("id", "name", F.round("score", 8).alias("score"), "total")
+    return rows.select("id", "name", F.round("score", 8).alias("score"), "total_count")
 
 
 @query(
     "search_all_classes",
     f"""SELECT entity_type, entity_id, round(score, 8) AS score FROM (
-      SELECT 'Part' AS entity_type, id AS entity_id, score FROM (SELECT * FROM ({bm25(PART_TOKS, 'toks', ['blue']).format(double=2000)}) a ORDER BY score DESC, id LIMIT 1000) p
-      UNION ALL SELECT 'Document', id, score FROM (SELECT * FROM ({bm25(DOC_TOKS, 'toks', ['blue']).format(double=2000)}) b ORDER BY score DESC, id LIMIT 1000) d) x
+      SELECT 'Part' AS entity_type, id AS entity_id, score FROM (SELECT * FROM ({bm25(PART_TOKS, 'toks', ['blue'], 2000)}) a ORDER BY score DESC, id LIMIT 1000) p
+      UNION ALL SELECT 'Document', id, score FROM (SELECT * FROM ({bm25(DOC_TOKS, 'toks', ['blue'], 2000)}) b ORDER BY score DESC, id LIMIT 1000) d) x
     ORDER BY score DESC, entity_type, entity_id LIMIT 200""",
 )
 def search_all_classes(t: Tables):
@@ -133,8 +130,8 @@ def search_plain_and(t: Tables):
     return hits.select("entity_id", F.round("score", 8).alias("score"))
 
 
-GRAMS = """list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({col}), '[^\\p{{L}}\\p{{N}}]+'), w -> w <> ''),
-  w -> list_transform(range(1, len(w) + 2), i -> substr('  ' || w || ' ', i, 3)))))"""
+GRAMS = """list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({col}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''),
+  lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
 
 
 @query(
@@ -158,7 +155,7 @@ def search_raw_content(t: Tables):
     "search_boolean",
     f"""SELECT id AS entity_id, 'NOT' AS mode FROM ({DOC_TOKS}) d WHERE is_available AND list_contains(toks, 'the') AND NOT list_contains(toks, 'and')
     UNION ALL SELECT id, 'OR' FROM ({DOC_TOKS}) d WHERE is_available AND (list_contains(toks, 'que') OR list_contains(toks, 'und'))
-    UNION ALL SELECT id, 'PREFIX' FROM ({DOC_TOKS}) d WHERE is_available AND len(list_filter(toks, x -> starts_with(x, 'eau'))) > 0""",
+    UNION ALL SELECT id, 'PREFIX' FROM ({DOC_TOKS}) d WHERE is_available AND len(list_filter(toks, lambda x: starts_with(x, 'eau'))) > 0""",
 )
 def search_boolean(t: Tables):
     docs = t.role("document_e")
@@ -316,8 +313,8 @@ def rule_string_fns(t: Tables):
 
 @query(
     "rule_list_fns",
-    """SELECT vec_id, list_contains(embedding, embedding[3]) AS has, len(list_filter(embedding, x -> x >= 2)) = 0 AS all_small,
-      len(list_filter(embedding, x -> x > 0.3)) > 0 AS any_big, len(list_filter(embedding, x -> x > 0)) AS positives,
+    """SELECT vec_id, list_contains(embedding, embedding[3]) AS has, len(list_filter(embedding, lambda x: x >= 2)) = 0 AS all_small,
+      len(list_filter(embedding, lambda x: x > 0.3)) > 0 AS any_big, len(list_filter(embedding, lambda x: x > 0)) AS positives,
       len(embedding) AS size FROM embeddings""",
 )
 def rule_list_fns(t: Tables):
