@@ -34,9 +34,10 @@ ACCENTED, PLAIN = _diacritic_table()
 
 
 def fold(col: Column) -> Column:
-    """Case-folded text without diacritics."""
-    bare = F.regexp_replace(F.translate(F.lower(col), ACCENTED, PLAIN), r"\p{M}+", "")
-    return bare
+    """Case-folded text without diacritics; plain ASCII text skips the table."""
+    low = F.lower(col)
+    bare = F.regexp_replace(F.translate(low, ACCENTED, PLAIN), r"\p{M}+", "")
+    return F.when(F.length(low) == F.octet_length(low), low).otherwise(bare)
 
 
 def folded_tokens_text(col: Column) -> Column:

@@ -16,7 +16,8 @@ XREF = "array<struct<system:string,value:string>>"
 def mapping_times(external_ids: DataFrame, log: DataFrame) -> DataFrame:
     """Mappings with the creation time of the mapping row itself."""
     created = creation_time(log).withColumnRenamed("entity_id", "id")
-    return external_ids.join(created, "id", "left")
+    asked = created.join(external_ids.select("id"), "id", "left_semi")
+    return external_ids.join(asked, "id", "left")
 
 
 def newest_mapping(mappings: DataFrame) -> DataFrame:
@@ -46,8 +47,7 @@ def get_by_external_id(
     readable = parents if include_archived else parents.where("is_available")
     asked = external_ids.where("is_active").join(values.select("value").distinct(), "value", "left_semi")
     owned = asked.join(readable.select(F.col("id").alias("entity")), "entity", "left_semi")
-    events = log.join(owned.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
-    return newest_mapping(mapping_times(owned, events))
+    return newest_mapping(mapping_times(owned, log))
 
 
 def list_external_ids(

@@ -48,7 +48,8 @@ def traverse(
             break
         levels.append(hop)
         ends = hop.groupBy(F.col("target_id").alias("source_id")).agg(F.sum("walks").alias("walks"))
-        hop = steps.join(ends, "source_id").select(
+        # Written out, the ends are a plain join side: a hot source can be split.
+        hop = steps.join(stable(ends), "source_id").select(
             *WALK_COLUMNS, "walks", F.lit(depth + 1).alias("depth")
         )
     if not levels:
@@ -176,7 +177,7 @@ def neighbors_as_of(log: DataFrame, entity_id: Any, as_of: Any, depth: int = 1)
             break
         seen = seen.unionByName(frontier)
     wanted = seen.select(F.col("id").cast(log.schema["entity_id"].dataType).alias("entity_id"))
-    states = state_at(log.join(wanted, "entity_id", "left_semi"), as_of)
+    states = state_at(log, as_of).join(wanted, "entity_id", "left_semi")
     nodes = states.select(F.col("entity_id").cast(kind).alias("id"), "state")
     opened = union_all(layers).select(F.col("id").alias("_id"))
     ends = nodes.select(F.col("id").alias("_end"))

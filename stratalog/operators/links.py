@@ -11,7 +11,7 @@ from ..functions.predicates import Scope, TreeBuilder, check_tree
 from ..model import Catalog, QueryError, union_all
 from .ranking import position_in_group
 from .read import find
-from .temporal import temporal_summary
+from .temporal import temporal_summary_of
 
 
 def semi_to_one(catalog: Catalog, entity_type: str, edge: str, where: dict) -> DataFrame:
@@ -96,11 +96,11 @@ def _expand(catalog: Catalog, entity_type: str, steps: list[str], rows: DataFram
         .where(F.col("relationship_type") == slot.name)
         .select(F.col("source_id").alias("_source"), F.col("target_id").alias("_target"),
                 F.col("created_at").alias("_at"), F.col("id").alias("_edge"))
-        .join(child, "_target")
     )
+    # Parts are cut on the narrow edge rows; the targets join afterwards.
     placed = position_in_group(edges, ["_source"], ["_at", "_edge"], list_size)
     lists = (
-        placed.groupBy("_source", F.col("part").alias(f"{slot.name}_part"))
+        placed.join(child, "_target").groupBy("_source", F.col("part").alias(f"{slot.name}_part"))
         .agg(F.collect_list(F.struct("_at", "_edge", "_child")).alias("_items"))
         .select(
             "_source", f"{slot.name}_part",
@@ -140,11 +140,8 @@ def related_to(catalog: Catalog, source_type: str, target_id: Any, relationship_
         F.col("source_id").alias("id"), "relationship_type", F.col("id").alias("edge_id")
     )
     sources = catalog.live(source_type).join(incoming, "id")
-    touched = catalog.log.join(
-        incoming.select(F.col("id").alias("entity_id")), "entity_id", "left_semi"
-    )
-    summary = temporal_summary(touched).withColumnRenamed("entity_id", "id")
-    return sources.join(summary, "id", "left")
+    summary = temporal_summary_of(catalog.log, incoming.select(F.col("id").alias("entity_id")))
+    return sources.join(summary.withColumnRenamed("entity_id", "id"), "id", "left")
 
 
 def column_edges(catalog: Catalog) -> DataFrame:

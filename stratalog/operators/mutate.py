@@ -279,7 +279,7 @@ def relate(edges: DataFrame, rows: DataFrame, live_ids: DataFrame, stamp: Stamp)
 def unrelate(edges: DataFrame, rows: DataFrame, stamp: Stamp) -> WriteSet:
     """Soft-delete live edges named by (source_id, target_id, relationship_type)."""
     keys = ["source_id", "target_id", "relationship_type"]
-    asked = rows.select(*keys).distinct()
+    asked = stable(rows.select(*keys).distinct())
     live = edges.where("is_available")
     if asked.join(live, keys, "left_anti").head(1):
         raise QueryError("no live edge to remove")
@@ -296,14 +296,15 @@ def reconcile_multi_refs(
 ) -> WriteSet:
     """Replace the live edges of each multivalued slot by the lists in the batch.
 
-    A scalar counts as a one-item list and NULL items are dropped. Slots absent
-    from the batch keep their edges unless ``all_slots``.
+    The batch holds one row per id. A scalar counts as a one-item list and NULL
+    items are dropped. Slots absent from the batch keep their edges unless
+    ``all_slots``.
     """
     edges = catalog.edges
     slots = [s.name for s in catalog.schema.edge_slots(entity_type)]
     present = [s for s in slots if s in batch.columns]
     touched = slots if all_slots else present
-    owner = batch.select(F.col("id").alias("source_id")).distinct()
+    owner = batch.select(F.col("id").alias("source_id"))
     mine = F.col("relationship_type").isin(touched) & F.col("is_available")
     old = edges.where(mine).join(owner, "source_id", "left_semi")
     kinds = dict(batch.dtypes)
@@ -424,13 +425,18 @@ def batch_put(
 def first_in_batch(batch: DataFrame, key: str, order: str) -> DataFrame:
     """Mark each row ``first`` or not within its external id.
 
-    The winning position per id is a combined ``min``, joined back: a key copied
-    over a third of the batch is reduced on the map side, not ranked in one task.
+    The winning position per id is a combined ``min``. It joins back on (id,
+    position), so the copies of one id spread over all tasks.
     """
-    winners = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_winner"))
-    return batch.join(winners, key, "left").withColumn(
-        "is_first", F.coalesce(F.col(order) == F.col("_winner"), F.lit(False))
-    ).drop("_winner")
+    winners = (
+        batch.where(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.min(order).alias(order))
+        .withColumn("_won", F.lit(True))
+    )
+    return batch.join(winners, [key, order], "left").withColumn(
+        "is_first", F.coalesce("_won", F.lit(False))
+    ).drop("_won")
 
 
 def classify_changes(incoming: DataFrame, stored: DataFrame, key: str, columns: Iterable[str]) -> DataFrame:
@@ -478,7 +484,12 @@ def upsert_by_external_id(
     found = mappings.select(F.col("value").alias("_value"), F.col("entity").alias("_entity")).join(
         old, F.col("_entity") == F.col("_id")
     )
-    joined = marked.join(found, value == F.col("_value"), "left")
+    # Only first rows can match; the others get a key of their own, so that
+    # copies of one id (or rows without id) do not meet in one task.
+    lookup = F.when(F.col("is_first"), F.concat(F.lit("="), value)).otherwise(
+        F.concat(F.lit("row "), F.col(order).cast("string"))
+    )
+    joined = marked.join(found, lookup == F.concat(F.lit("="), F.col("_value")), "left")
     same = F.struct(*columns).eqNullSafe(F.col("_old"))
     outcome = (
         F.when(F.col(key).isNull() | ~F.col("is_first"), "error")

@@ -9,7 +9,7 @@ from ..runtime import stable
 
 
 def position_in_group(
-    df: DataFrame, keys: list[str], order: list[str], part_size: int, hot: int | None = None
+    df: DataFrame, keys: list[str], order: list[str], part_size: int
 ) -> DataFrame:
     """Add ``part``: the 0-based position in the group divided by ``part_size``.
 
@@ -20,11 +20,11 @@ def position_in_group(
     offset of each piece.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"))
-    large = sizes.where(F.col("_size") > (hot or part_size)).select(*keys)
-    large = stable(large)
-    small_rows = df.join(large, keys, "left_anti").withColumn("part", F.lit(0).cast("long"))
+    large = stable(sizes.where(F.col("_size") > part_size).select(*keys))
+    first_part = F.lit(0).cast("long")
     if large.isEmpty():
-        return small_rows
+        return df.withColumn("part", first_part)
+    small_rows = df.join(large, keys, "left_anti").withColumn("part", first_part)
     pieces = stable(
         df.join(large, keys, "left_semi")
         .repartitionByRange(*keys, *order)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.predicates import Scope, TreeBuilder, check_tree, flat_condition, flat_leaves
 from ..model import SYSTEM_COLUMNS, Catalog, QueryError, Schema, union_all
-from .temporal import temporal_summary
+from .temporal import temporal_summary, temporal_summary_of
 
 COMPUTED_FIELDS = ("created_at", "updated_at", "schema_version", "created_by", "updated_by")
 
@@ -143,8 +143,8 @@ def query(
         out = page_with_total(matched, ordering(matched, order_by, order_dir), limit, offset)
         if catalog.log is None:
             return out
-        touched = catalog.log.join(out.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
-        return join_temporal(out, touched)
+        summary = temporal_summary_of(catalog.log, out.select(F.col("id").alias("entity_id")))
+        return out.join(summary.withColumnRenamed("entity_id", "id"), "id", "left")
     hydrated = filter_created_between(matched, catalog.log, date_from, date_to)
     order = [F.col("created_at").asc_nulls_first(), F.col("id").asc()]
     return page_with_total(hydrated, order, limit, offset)
@@ -156,10 +156,8 @@ def get_by_id(
     """Batch point lookup: rows for ``ids(id)`` with their temporal fields."""
     rows = catalog.table(entity_type) if include_unavailable else catalog.live(entity_type)
     hits = rows.join(ids.select("id"), "id", "left_semi")
-    events = catalog.log.join(
-        ids.select(F.col("id").alias("entity_id")), "entity_id", "left_semi"
-    )
-    return join_temporal(hits, events)
+    summary = temporal_summary_of(catalog.log, ids.select(F.col("id").alias("entity_id")))
+    return hits.join(summary.withColumnRenamed("entity_id", "id"), "id", "left")
 
 
 def get_any(catalog: Catalog, entity_type: str, ids: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..model import Catalog, union_all
+from ..runtime import spread, stable
 from .read import find, ordering, page
 
 HIT_BUDGET = 1000
@@ -37,7 +38,7 @@ def build_fts_index(entities: DataFrame, field: str) -> DataFrame:
     Token streams explode to one row each and regroup by (term, entity), so a
     frequent term is spread over its entities rather than gathered.
     """
-    rows = content_rows(entities, field).withColumn("toks", tx.tokens(F.col("content")))
+    rows = spread(content_rows(entities, field)).withColumn("toks", tx.tokens(F.col("content")))
     return (
         rows.select("entity_id", F.size("toks").alias("doc_len"), F.posexplode("toks").alias("pos", "term"))
         .groupBy("term", "entity_id", "doc_len")
@@ -46,6 +47,60 @@ def build_fts_index(entities: DataFrame, field: str) -> DataFrame:
     )
 
 
+def write_fts_index(postings: DataFrame, path: str) -> None:
+    """Store postings sorted by term, so a term lookup skips most row groups.
+
+    The range runs over (term, entity), so a very frequent term fills several
+    files instead of one task.
+    """
+    (
+        postings.repartitionByRange("term", "entity_id")
+        .sortWithinPartitions("term", "entity_id")
+        .write.mode("overwrite")
+        .parquet(path)
+    )
+
+
+def _shifted(positions: Column, place: int) -> Column:
+    return F.transform(positions, lambda x: x - place)
+
+
+def search_index_phrase(
+    postings: DataFrame, content: DataFrame, query: str, min_score: float = 0.0, limit: int = 100
+) -> DataFrame:
+    """The phrase search over stored postings instead of the text.
+
+    Only postings of the phrase's terms are read (a pushed ``IN`` on the sorted
+    term column). Per entity they regroup to at most one position list per term;
+    a phrase starts where all lists, shifted by their place, share a position.
+    ``content(entity_id, doc_len)`` gives the number and mean length of rows.
+    """
+    terms = tx.query_tokens(query)
+    words = list(dict.fromkeys(terms))
+    if not words:
+        return content.select("entity_id", F.lit(0.0).alias("score")).limit(0)
+    lists = [
+        F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{i}") for i, w in enumerate(words)
+    ]
+    grouped = postings.where(F.col("term").isin(words)).groupBy("entity_id").agg(F.max("doc_len").alias("length"), *lists)
+    for i in range(len(words)):
+        grouped = grouped.where(F.col(f"p{i}").isNotNull())
+    starts = F.col(f"p{words.index(terms[0])}")
+    for place, term in enumerate(terms[1:], start=1):
+        starts = F.array_intersect(starts, _shifted(F.col(f"p{words.index(term)}"), place))
+    found = grouped.select("entity_id", "length", F.size(starts).alias("freq")).where(F.col("freq") > 0)
+    stats = content.agg(F.struct(F.count("*").alias("rows"), F.avg("doc_len").alias("average"))).scalar()
+    hits = found.agg(F.count("*")).scalar()
+    scored = found.withColumn("stats", stats).select(
+        "entity_id",
+        (
+            tx.idf(F.col("stats.rows"), hits)
+            * tx.bm25_weight(F.col("freq"), F.col("length"), F.col("stats.average"))
+        ).alias("raw"),
+    )
+    return normalised_top(scored, limit, min_score)
+
+
 def sync_fts(content: DataFrame, changed: DataFrame, field: str) -> DataFrame:
     """Content rows after a write: changed ids replaced, gone or empty ones removed."""
     touched = changed.select(F.col("id").alias("entity_id"))
@@ -55,13 +110,16 @@ def sync_fts(content: DataFrame, changed: DataFrame, field: str) -> DataFrame:
 def _scored(entities: DataFrame, field: str, query: str) -> DataFrame:
     """Hits ``(entity_id, raw)`` with BM25 over the live rows of one field."""
     terms = tx.query_tokens(query)
-    folded = content_rows(entities, field).select(
+    folded = spread(content_rows(entities, field)).select(
         "entity_id", tx.folded_tokens_text(F.col("content")).alias("folded")
     )
-    measured = folded.select(
-        "entity_id",
-        tx.phrase_frequency(F.col("folded"), terms).alias("freq"),
-        tx.token_count(F.col("folded")).alias("length"),
+    # The text is read once; what is kept of it is one narrow row per entity.
+    measured = stable(
+        folded.select(
+            "entity_id",
+            tx.phrase_frequency(F.col("folded"), terms).alias("freq"),
+            tx.token_count(F.col("folded")).alias("length"),
+        )
     )
     stats = measured.agg(
         F.struct(

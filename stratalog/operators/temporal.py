@@ -90,6 +90,16 @@ def temporal_summary(log: DataFrame, as_of: Any = None) -> DataFrame:
     )
 
 
+def temporal_summary_of(log: DataFrame, ids: DataFrame, as_of: Any = None) -> DataFrame:
+    """The summary of ``ids(entity_id)`` only.
+
+    Written as aggregate, then semi join: Catalyst moves the join below the
+    aggregate when the ids are small enough to broadcast; otherwise the log
+    combines first, so an entity with very many events is never shuffled raw.
+    """
+    return temporal_summary(log, as_of).join(ids.select("entity_id"), "entity_id", "left_semi")
+
+
 def temporal_as_of(log: DataFrame, as_of: Any) -> DataFrame:
     return temporal_summary(log, as_of)
 

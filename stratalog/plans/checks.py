@@ -62,8 +62,8 @@ def check_polymorphic_refs(t: Tables):
 
 @query(
     "check_unique_live",
-    """SELECT CAST(id AS VARCHAR) AS entity_id, 'unique' AS rule, 'name' AS field FROM part_e WHERE is_available
-    AND name IN (SELECT name FROM part_e WHERE is_available GROUP BY name HAVING count(*) > 1)""",
+    """SELECT CAST(min(id) AS VARCHAR) AS entity_id, 'unique' AS rule, 'name' AS field FROM part_e WHERE is_available
+    GROUP BY name HAVING count(*) > 1""",
 )
 def check_unique_live(t: Tables):
     from ..model import Catalog, EntityType, Schema, Slot

@@ -145,13 +145,13 @@ def related_to(t: Tables):
     "traverse",
     """WITH RECURSIVE walk AS (
       SELECT id, source_id, target_id, relationship_type, 1 AS depth FROM link_e
-      WHERE is_available AND source_id = 3 AND relationship_type = 'follows'
+      WHERE is_available AND source_id = 7 AND relationship_type = 'views'
       UNION ALL SELECT l.id, l.source_id, l.target_id, l.relationship_type, w.depth + 1
       FROM link_e l JOIN walk w ON l.source_id = w.target_id WHERE l.is_available AND w.depth < 3)
     SELECT id, source_id, target_id, relationship_type, depth FROM walk""",
 )
 def traverse(t: Tables):
-    return graph.traverse(t.role("link_e").where("is_available"), 3, "follows", 3)
+    return graph.traverse(t.role("link_e").where("is_available"), 7, "views", 3)
 
 
 LATEST_EDGE = """SELECT source_id, target_id, relationship_type, arg_max(operation, timestamp) AS operation,
@@ -375,6 +375,6 @@ def find_by_xref(t: Tables):
     return ext.find_by_xref(ext.xref_index(xref_rows(t)), pairs).select("system", "value", "entity_id")
 
 
-@query("list_xrefs", f"SELECT slot, system, value FROM ({XREF_SQL}) x WHERE entity_id = 12")
+@query("list_xrefs", f"SELECT slot, system, value FROM ({XREF_SQL}) x WHERE entity_id = 18")
 def list_xrefs(t: Tables):
-    return ext.list_xrefs(ext.xref_index(xref_rows(t)), 12).select("slot", "system", "value")
+    return ext.list_xrefs(ext.xref_index(xref_rows(t)), 18).select("slot", "system", "value")

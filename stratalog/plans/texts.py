@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..model import Catalog
 from ..operators import mutate as mu
 from ..operators import search as se
+from ..runtime import scratch_path, spread
 from .registry import query
 from .scans import is_
 from .tables import SCHEMA, Tables
@@ -71,6 +72,20 @@ def search_term_bm25(t: Tables):
     return hits.select("entity_id", F.round("score", 8).alias("score"))
 
 
+@query(
+    "search_index_phrase",
+    f"SELECT id AS entity_id, round(score, 8) AS score FROM ({bm25(DOC_TOKS, 'toks', ['de', 'la'], 200)}) x ORDER BY score DESC, id LIMIT 100",
+)
+def search_index_phrase(t: Tables):
+    path = scratch_path(t.spark, "postings")
+    se.write_fts_index(se.build_fts_index(t.role("document_e"), "text"), path)
+    lengths = spread(se.content_rows(t.role("document_e"), "text")).select(
+        "entity_id", tx.token_count(tx.folded_tokens_text(F.col("content"))).alias("doc_len")
+    )
+    hits = se.search_index_phrase(t.spark.read.parquet(path), lengths, "de la")
+    return hits.select("entity_id", F.round("score", 8).alias("score"))
+
+
 NAME_HITS = bm25(PART_TOKS, "toks", ["ring"], 2000)
 BRAND_HITS = bm25(PART_TOKS, "btoks", ["ring"], 2000)
 

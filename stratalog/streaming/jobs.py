@@ -6,14 +6,14 @@ replaces its earlier output instead of adding to it.
 
 from __future__ import annotations
 
-from typing import Any, Callable
+from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.temporal import is_deletion, temporal_summary
+from ..operators.temporal import temporal_summary, temporal_summary_of
 from ..sources.sinks import write_batch_once
 
 
@@ -34,8 +34,7 @@ def stream_updated_since(
     def emit(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select("entity_id").distinct()
         log = batch.sparkSession.read.parquet(log_path)
-        summary = temporal_summary(log.join(touched, "entity_id", "left_semi"))
-        write_batch_once(summary, out_path, batch_id)
+        write_batch_once(temporal_summary_of(log, touched), out_path, batch_id)
 
     writer = events.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
