@@ -19,11 +19,22 @@ from ..model import SYSTEM_COLUMNS, Catalog, QueryError, Schema, union_all
 from ..runtime import stable
 
 
+def among(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of ``table`` whose id occurs in ``ids(key)``.
+
+    Applied before an outer join, so that a small batch is broadcast to the table
+    and the table is not shuffled for it; Spark decides by the batch's size.
+    """
+    return table.join(ids.select(F.col(key).alias("id")), "id", "left_semi")
+
+
 @dataclass
 class WriteSet:
-    """What a job wants to write. ``entities`` is the class's new snapshot."""
+    """What a job wants to write. ``entities`` is the class's new snapshot and
+    ``changed`` only its new or changed rows, for tables that can merge."""
 
     entities: DataFrame | None = None
+    changed: DataFrame | None = None
     log: DataFrame | None = None
     edges: DataFrame | None = None
     external_ids: DataFrame | None = None
@@ -137,7 +148,7 @@ def put(
     """
     table = catalog.table(entity_type)
     rows = _shape(batch, table)
-    known = table.select("id", F.col("is_available").alias("_was"), F.lit(True).alias("_exists"))
+    known = among(table, rows).select("id", F.col("is_available").alias("_was"), F.lit(True).alias("_exists"))
     joined = rows.drop("is_available").join(known, "id", "left")
     if only_existing:
         missing = joined.where(F.col("_exists").isNull()).select("id").head(1)
@@ -148,7 +159,7 @@ def put(
     log = event(written, stamp, F.col("id"), entity_type, operation, image(_data_columns(table)))
     snapshot = table.join(rows.select("id"), "id", "left_anti").unionByName(written.select(*table.columns))
     report = written.select("id", operation.alias("operation"))
-    return WriteSet(entities=snapshot, log=log, report=report)
+    return WriteSet(entities=snapshot, changed=written.select(*table.columns), log=log, report=report)
 
 
 def update(catalog: Catalog, entity_type: str, batch: DataFrame, stamp: Stamp) -> WriteSet:
@@ -181,12 +192,13 @@ def set_availability_bulk(
     snapshot = table.join(asked.withColumn("_asked", F.lit(True)), "id", "left").withColumn(
         "is_available", F.when(F.col("_asked"), F.lit(available)).otherwise(F.col("is_available"))
     ).select(*table.columns)
-    report = asked.join(table.select("id", F.lit(True).alias("found")), "id", "left").select(
+    report = asked.join(hit.select("id", F.lit(True).alias("found")), "id", "left").select(
         "id",
         F.coalesce("found", F.lit(False)).alias("success"),
         F.when(F.col("found").isNull(), "not found").alias("error"),
     )
-    return WriteSet(entities=snapshot, log=log, report=report)
+    changed = hit.withColumn("is_available", F.lit(available))
+    return WriteSet(entities=snapshot, changed=changed, log=log, report=report)
 
 
 def soft_delete(catalog: Catalog, entity_type: str, ids: DataFrame, stamp: Stamp) -> WriteSet:
@@ -204,7 +216,8 @@ def soft_delete(catalog: Catalog, entity_type: str, ids: DataFrame, stamp: Stamp
     report = asked.join(hit.select("id", F.lit(True).alias("hit")), "id", "left").select(
         "id", F.coalesce("hit", F.lit(False)).alias("deleted")
     )
-    return WriteSet(entities=snapshot, log=log, report=report)
+    changed = hit.withColumn("is_available", F.lit(False))
+    return WriteSet(entities=snapshot, changed=changed, log=log, report=report)
 
 
 def supersede_entities(
@@ -213,20 +226,20 @@ def supersede_entities(
     """``pairs(id, replacement)``: the old row goes unavailable and points at its
     replacement; a supersede event, an edge and an update event record it."""
     table = catalog.table(entity_type)
-    old = pairs.join(table.select("id", "superseded_by"), "id", "left")
-    both = old.join(table.select(F.col("id").alias("replacement"), F.lit(True).alias("_has")), "replacement", "left")
-    known = table.select("id").join(pairs.select("id").distinct(), "id", "left_semi")
-    unknown = pairs.select("id").join(known, "id", "left_anti").head(1)
-    if unknown or both.where(F.col("_has").isNull()).head(1):
+    old = among(table, pairs)
+    fresh = among(table, pairs, "replacement")
+    unknown = pairs.join(old.select("id"), "id", "left_anti").select("id").unionByName(
+        pairs.select(F.col("replacement").alias("id")).join(fresh.select("id"), "id", "left_anti")
+    )
+    if unknown.head(1):
         raise QueryError("supersede names an entity that does not exist")
-    if both.where(F.col("superseded_by").isNotNull()).head(1):
+    if old.where(F.col("superseded_by").isNotNull()).head(1):
         raise QueryError("an entity is already superseded")
     why = F.lit(reason).cast("string").alias("reason")
     gone = event(
         pairs, stamp, F.col("id"), entity_type, "supersede",
         F.to_json(F.struct(F.col("replacement").alias("superseded_by"), why)),
     )
-    fresh = table.join(pairs.select(F.col("replacement").alias("id")).distinct(), "id", "left_semi")
     update_log = event(fresh, stamp, F.col("id"), entity_type, "update", image(_data_columns(table)))
     edges = new_edges(
         pairs.select(
@@ -241,7 +254,7 @@ def supersede_entities(
         .withColumn("superseded_by", F.coalesce("_by", "superseded_by"))
         .select(*table.columns)
     )
-    return WriteSet(entities=snapshot, log=gone.unionByName(update_log), edges=edges)
+    return WriteSet(entities=snapshot, changed=among(snapshot, pairs), log=gone.unionByName(update_log), edges=edges)
 
 
 def new_edges(rows: DataFrame, stamp: Stamp) -> DataFrame:
@@ -271,7 +284,7 @@ def relate(edges: DataFrame, rows: DataFrame, live_ids: DataFrame, stamp: Stamp)
     from .validate import check_edges, require_valid
 
     fresh = new_edges(rows, stamp)
-    require_valid(check_edges(fresh, live_ids))
+    require_valid(check_edges(fresh, live_ids, batch=True))
     log = event(fresh, stamp, F.col("source_id"), "relationship", "relationship_add", edge_patch())
     return WriteSet(edges=edges.unionByName(fresh, allowMissingColumns=True), log=log)
 
@@ -333,7 +346,7 @@ def register_external_ids(
     catalog: Catalog, entity_type: str, rows: DataFrame, stamp: Stamp
 ) -> WriteSet:
     """``rows(entity, value, source_system)``: new active mappings and their events."""
-    parents = catalog.table(entity_type).select(F.col("id").alias("entity"))
+    parents = among(catalog.table(entity_type), rows, "entity").select(F.col("id").alias("entity"))
     if rows.join(parents, "entity", "left_anti").head(1):
         raise QueryError("an external id names an entity that does not exist")
     return _new_mappings(rows, entity_type, stamp)
@@ -407,7 +420,7 @@ def batch_put(
     if new_edge_rows is not None:
         live = union_all([merged.live(n).select("id") for n in merged.tables])
         fresh = new_edges(new_edge_rows, stamp)
-        findings.append(check_edges(fresh, live))
+        findings.append(check_edges(fresh, live, batch=True))
         log = event(fresh, stamp, F.col("source_id"), "relationship", "relationship_add", edge_patch())
         sets["relationships"] = WriteSet(edges=fresh, log=log)
     require_valid(union_all(findings))
@@ -481,8 +494,11 @@ def upsert_by_external_id(
     old = stored.select(
         F.col("id").alias("_id"), F.struct(*columns).alias("_old"), F.lit(True).alias("_has")
     )
-    found = mappings.select(F.col("value").alias("_value"), F.col("entity").alias("_entity")).join(
-        old, F.col("_entity") == F.col("_id")
+    named = marked.where("is_first").select(value.alias("_value"))
+    found = (
+        mappings.select(F.col("value").alias("_value"), F.col("entity").alias("_entity"))
+        .join(named, "_value", "left_semi")
+        .join(old, F.col("_entity") == F.col("_id"))
     )
     # Only first rows can match; the others get a key of their own, so that
     # copies of one id (or rows without id) do not meet in one task.

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.predicates import Scope, TreeBuilder, check_tree, flat_condition, flat_leaves
 from ..model import SYSTEM_COLUMNS, Catalog, QueryError, Schema, union_all
-from .temporal import temporal_summary, temporal_summary_of
+from .temporal import creation_time, temporal_summary, temporal_summary_of
 
 COMPUTED_FIELDS = ("created_at", "updated_at", "schema_version", "created_by", "updated_by")
 
@@ -73,7 +73,13 @@ def order_by_slot(df: DataFrame, order_by: str, direction: str = "asc") -> DataF
 
 def order_by_created(entities: DataFrame, log: DataFrame) -> DataFrame:
     """Default order: derived ``created_at`` ascending, unknown first, then id."""
-    return join_temporal(entities, log).orderBy(F.col("created_at").asc_nulls_first(), "id")
+    return with_created(entities, log).orderBy(F.col("created_at").asc_nulls_first(), "id")
+
+
+def with_created(entities: DataFrame, log: DataFrame) -> DataFrame:
+    """Attach only ``created_at``: a plain minimum over the create events."""
+    created = creation_time(log).withColumnRenamed("entity_id", "id")
+    return entities.join(created, "id", "left")
 
 
 def page(df: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:
@@ -109,12 +115,12 @@ def join_temporal(
 def filter_created_between(entities: DataFrame, log: DataFrame, start: Any, end: Any) -> DataFrame:
     """Inclusive window on the derived ``created_at``."""
     created = F.col("created_at")
-    hydrated = join_temporal(entities, log)
+    rows = with_created(entities, log)
     if start is not None:
-        hydrated = hydrated.where(created >= F.lit(start).cast(T.TimestampNTZType()))
+        rows = rows.where(created >= F.lit(start).cast(T.TimestampNTZType()))
     if end is not None:
-        hydrated = hydrated.where(created <= F.lit(end).cast(T.TimestampNTZType()))
-    return hydrated
+        rows = rows.where(created <= F.lit(end).cast(T.TimestampNTZType()))
+    return rows
 
 
 def query(
@@ -130,24 +136,26 @@ def query(
     date_from: Any = None,
     date_to: Any = None,
 ) -> DataFrame:
-    """The list query: filter, attach temporal fields, order, page, count.
+    """The list query: filter, order, page, count, attach temporal fields.
 
-    An explicit ``order_by`` ranks before the log is joined, so only the page's
-    ids reach the temporal aggregate; the default order needs ``created_at`` of
-    the whole match set.
+    An explicit ``order_by`` ranks without the log; the default order needs only
+    ``created_at`` of the match set. The other temporal fields are derived for
+    the ids of the page.
     """
     matched = find(catalog, entity_type, filters, filter_mode, where)
     if order_by is not None:
         if date_from is not None or date_to is not None:
             raise QueryError("order_by cannot be combined with date_from / date_to")
-        out = page_with_total(matched, ordering(matched, order_by, order_dir), limit, offset)
-        if catalog.log is None:
-            return out
-        summary = temporal_summary_of(catalog.log, out.select(F.col("id").alias("entity_id")))
-        return out.join(summary.withColumnRenamed("entity_id", "id"), "id", "left")
-    hydrated = filter_created_between(matched, catalog.log, date_from, date_to)
-    order = [F.col("created_at").asc_nulls_first(), F.col("id").asc()]
-    return page_with_total(hydrated, order, limit, offset)
+        order = ordering(matched, order_by, order_dir)
+        out = page_with_total(matched, order, limit, offset)
+    else:
+        dated = filter_created_between(matched, catalog.log, date_from, date_to)
+        order = [F.col("created_at").asc_nulls_first(), F.col("id").asc()]
+        out = page_with_total(dated, order, limit, offset).drop("created_at")
+    if catalog.log is None:
+        return out
+    summary = temporal_summary_of(catalog.log, out.select(F.col("id").alias("entity_id")))
+    return out.join(summary.withColumnRenamed("entity_id", "id"), "id", "left").orderBy(*order)
 
 
 def get_by_id(

@@ -41,10 +41,22 @@ def normalize_operation(col: Column) -> Column:
 
 
 def until(log: DataFrame, as_of: Any) -> DataFrame:
-    """Events at or before ``as_of``; a plain comparison, so the scan prunes."""
+    """Events at or before ``as_of``; plain comparisons, so the scan prunes files
+    by timestamp and, in a log written by ``append_provenance``, folders by day."""
     if as_of is None:
         return log
-    return log.where(F.col("timestamp") <= F.lit(as_of).cast(T.TimestampNTZType()))
+    mark = F.lit(as_of).cast(T.TimestampNTZType())
+    if "event_date" in log.columns:
+        log = log.where(F.col("event_date") <= mark.cast("date"))
+    return log.where(F.col("timestamp") <= mark)
+
+
+def after(log: DataFrame, since: Any) -> DataFrame:
+    """Events strictly after ``since``, pruned like :func:`until`."""
+    mark = F.lit(since).cast(T.TimestampNTZType())
+    if "event_date" in log.columns:
+        log = log.where(F.col("event_date") >= mark.cast("date"))
+    return log.where(F.col("timestamp") > mark)
 
 
 def instant() -> Column:
@@ -312,18 +324,36 @@ def live_edges_at(log: DataFrame, as_of: Any = None) -> DataFrame:
 
 
 def updated_since(
-    entities: DataFrame, log: DataFrame, since: Any, limit: int | None = None, offset: int | None = None
+    entities: DataFrame,
+    log: DataFrame,
+    since: Any,
+    limit: int | None = None,
+    offset: int | None = None,
+    hydrate: bool = False,
 ) -> DataFrame:
-    """Entities changed strictly after ``since`` (UTC), oldest change first."""
+    """Entities changed strictly after ``since`` (UTC), oldest change first.
+
+    The newest change of such an entity lies after ``since`` itself, so only that
+    end of the log is read. ``hydrate`` adds the other temporal fields, for the
+    ids of the page.
+    """
     from ..functions.scalars import iso_to_utc
-    from .read import join_temporal, page
+    from .read import page
 
     mark = iso_to_utc(since)
     if mark is None:
         raise QueryError(f"not an ISO-8601 timestamp: {since!r}")
-    changed = F.coalesce(F.col("updated_at"), F.col("created_at"))
-    rows = join_temporal(entities, log).where(changed > F.lit(mark).cast(T.TimestampNTZType()))
-    return page(rows.orderBy(changed.asc(), F.col("id").asc()), limit, offset)
+    recent = (
+        after(log, mark)
+        .where(~is_deletion())
+        .groupBy(F.col("entity_id").alias("id"))
+        .agg(F.max("timestamp").alias("updated_at"))
+    )
+    rows = page(entities.join(recent, "id").orderBy("updated_at", "id"), limit, offset)
+    if not hydrate:
+        return rows
+    summary = temporal_summary_of(log, rows.select(F.col("id").alias("entity_id"))).drop("updated_at")
+    return rows.join(summary.withColumnRenamed("entity_id", "id"), "id", "left").orderBy("updated_at", "id")
 
 
 def history(log: DataFrame, entity_id: Any) -> DataFrame:

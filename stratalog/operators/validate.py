@@ -97,12 +97,23 @@ def check_schema(df: DataFrame, schema: Schema, entity_type: str) -> DataFrame:
     return explode_findings(df, entity_type, schema_findings(schema, entity_type, dict(df.dtypes)))
 
 
-def check_references(catalog: Catalog, entity_type: str, rows: DataFrame | None = None) -> DataFrame:
-    """Single-valued references whose target does not exist (unavailable ones do)."""
-    rows = catalog.table(entity_type) if rows is None else rows
+def check_references(
+    catalog: Catalog, entity_type: str, rows: DataFrame | None = None, whole: bool = False
+) -> DataFrame:
+    """Single-valued references whose target does not exist (unavailable ones do).
+
+    For a batch the known ids are narrowed to those it names first, so a small
+    batch does not shuffle the target table.
+    """
+    whole = whole or rows is None
+    rows = catalog.table(entity_type) if whole else rows
     parts = []
     for slot in catalog.schema.references(entity_type):
+        if slot.name not in rows.columns:
+            continue
         known = catalog.table(slot.reference).select(F.col("id").alias("_known"))
+        if not whole:
+            known = known.join(rows.select(F.col(slot.name).alias("_known")), "_known", "left_semi")
         missing = rows.where(F.col(slot.name).isNotNull()).join(
             known, F.col(slot.name) == F.col("_known"), "left_anti"
         )
@@ -421,8 +432,11 @@ def check_type_conflict(registry: DataFrame) -> DataFrame:
     )
 
 
-def check_edges(edges: DataFrame, live_ids: DataFrame) -> DataFrame:
-    """Empty type, self edge, endpoint missing or unavailable."""
+def check_edges(edges: DataFrame, live_ids: DataFrame, batch: bool = False) -> DataFrame:
+    """Empty type, self edge, endpoint missing or unavailable.
+
+    ``batch`` narrows the live ids to the named ones first.
+    """
     local = explode_findings(
         edges,
         "relationship",
@@ -434,7 +448,8 @@ def check_edges(edges: DataFrame, live_ids: DataFrame) -> DataFrame:
     parts = [local]
     known = live_ids.select(F.col("id").alias("_known"))
     for end in ("source_id", "target_id"):
-        bad = edges.join(known, F.col(end) == F.col("_known"), "left_anti")
+        near = known.join(edges.select(F.col(end).alias("_known")), "_known", "left_semi") if batch else known
+        bad = edges.join(near, F.col(end) == F.col("_known"), "left_anti")
         message = F.concat(F.lit(f"{end} not found: "), F.col(end).cast("string"))
         parts.append(violations_of(bad, "relationship", "edge", "missing_endpoint", end, message))
     return union_all(parts)
@@ -532,7 +547,7 @@ def end_to_end_gate(catalog: Catalog, names: Iterable[str]) -> DataFrame:
         live = catalog.live(name)
         parts += [
             check_schema(live, catalog.schema, name),
-            check_references(catalog, name, live),
+            check_references(catalog, name, live, whole=True),
             check_unique_live(catalog, name),
         ]
         if any(s.xref for s in catalog.schema.slots(name).values()):

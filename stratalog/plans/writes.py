@@ -426,7 +426,7 @@ def stream_updated_since(t: Tables):
     path, schema = written_log(t)
     out = scratch_path(t.spark, "feed")
     events = jobs.read_log_stream(t.spark, path, schema)
-    jobs.stream_updated_since(events, path, out, scratch_path(t.spark, "state")).awaitTermination()
+    jobs.stream_updated_since(events, out, scratch_path(t.spark, "state")).awaitTermination()
     feed = t.spark.read.parquet(out)
     return jobs.latest_of(feed, ["entity_id"]).select("entity_id", "created_at", "updated_at")
 
@@ -452,5 +452,5 @@ def stream_temporal_summary(t: Tables):
     path, schema = written_log(t)
     out = scratch_path(t.spark, "summary")
     events = jobs.read_log_stream(t.spark, path, schema)
-    jobs.run_to_table(jobs.stream_temporal_summary(events), out, scratch_path(t.spark, "state"), ["entity_id"])
+    jobs.run_to_table(jobs.stream_temporal_summary(events), out, scratch_path(t.spark, "state"))
     return jobs.latest_of(t.spark.read.parquet(out), ["entity_id"]).select("entity_id", "created_at", "updated_at")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.temporal import temporal_summary, temporal_summary_of
+from ..operators.temporal import is_deletion, temporal_summary
 from ..sources.sinks import write_batch_once
 
 
@@ -22,21 +22,20 @@ def read_log_stream(spark: SparkSession, path: str, schema: T.StructType, files_
 
 
 def stream_updated_since(
-    events: DataFrame,
-    log_path: str,
-    out_path: str,
-    checkpoint: str,
-    once: bool = True,
+    events: DataFrame, out_path: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
-    """Feed of changed entities: for the ids a batch touches, their temporal
-    summary over the whole log. The stream's checkpoint is the watermark."""
+    """Feed of changed entities: each batch writes the summaries it changed.
 
-    def emit(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select("entity_id").distinct()
-        log = batch.sparkSession.read.parquet(log_path)
-        write_batch_once(temporal_summary_of(log, touched), out_path, batch_id)
-
-    writer = events.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint)
+    The state store holds one summary per entity, so the log is never read
+    again; the stream's checkpoint replaces the caller's watermark. Deletions
+    change no summary and are dropped first.
+    """
+    summary = temporal_summary(events.where(~is_deletion()))
+    writer = (
+        summary.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, batch_id: write_batch_once(batch, out_path, batch_id))
+        .option("checkpointLocation", checkpoint)
+    )
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -65,17 +64,7 @@ def stream_temporal_summary(events: DataFrame) -> DataFrame:
     return temporal_summary(events)
 
 
-def run_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Drive a stream over everything available into an in-memory table (tests)."""
-    query = (
-        df.writeStream.format("memory").queryName(name).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return df.sparkSession.table(name)
-
-
-def run_to_table(df: DataFrame, out_path: str, checkpoint: str, keys: list[str]) -> None:
+def run_to_table(df: DataFrame, out_path: str, checkpoint: str) -> None:
     """Drive an update-mode aggregation to parquet, one folder per batch."""
     query = (
         df.writeStream.outputMode("update")

@@ -107,6 +107,8 @@ def test_updated_since_is_exclusive(spark, log):
     assert ids("2023-12-31T23:59:59") == ["b", "x", "a"]
     assert ids("2024-01-09") == []
     assert ids("2023-12-31", limit=1, offset=1) == ["x"]
+    full = tm.updated_since(entities, log, "2024-01-01", limit=2, hydrate=True).collect()
+    assert [(r.id, r.created_by, r.updated_by) for r in full] == [("x", None, "eve"), ("a", "ann", "dan")]
     with pytest.raises(QueryError):
         tm.updated_since(entities, log, "yesterday")
 
@@ -126,7 +128,11 @@ def test_provenance_check(spark, log):
 def test_append_refuses_unknown_operations(spark, log, folder):
     sinks.append_provenance(log, folder + "/log")
     sinks.append_provenance(log.limit(2), folder + "/log")
-    assert spark.read.parquet(folder + "/log").count() == 13
+    stored = spark.read.parquet(folder + "/log")
+    assert stored.count() == 13
+    plan = tm.state_at(stored, "2024-01-03 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "event_date" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert sorted(r.entity_id for r in tm.state_at(stored, "2024-01-04 00:00:00").collect()) == ["a", "b", "x"]
     with pytest.raises(QueryError):
         sinks.append_provenance(log.withColumn("operation", F.lit("rewrite")), folder + "/log")
 

@@ -266,7 +266,7 @@ def test_stream_feed_continues_from_its_checkpoint(spark, folder):
     schema = spark.read.parquet(path).schema
 
     def drive():
-        jobs.stream_updated_since(jobs.read_log_stream(spark, path, schema), path, out, state).awaitTermination()
+        jobs.stream_updated_since(jobs.read_log_stream(spark, path, schema), out, state).awaitTermination()
 
     drive()
     assert spark.read.parquet(out).count() == 2
@@ -284,9 +284,9 @@ def test_stream_summary_takes_late_events(spark, folder):
     log_rows(spark, [(2, "a"), (3, "a")]).coalesce(1).write.parquet(path)
     schema = spark.read.parquet(path).schema
     events = lambda: jobs.stream_temporal_summary(jobs.read_log_stream(spark, path, schema))
-    jobs.run_to_table(events(), f"{folder}/out", f"{folder}/state", ["entity_id"])
+    jobs.run_to_table(events(), f"{folder}/out", f"{folder}/state")
     log_rows(spark, [(1, "a")]).coalesce(1).write.mode("append").parquet(path)
-    jobs.run_to_table(events(), f"{folder}/out", f"{folder}/state", ["entity_id"])
+    jobs.run_to_table(events(), f"{folder}/out", f"{folder}/state")
     (row,) = jobs.latest_of(spark.read.parquet(f"{folder}/out"), ["entity_id"]).collect()
     assert str(row.created_at)[:10] == "2024-01-01" and str(row.updated_at)[:10] == "2024-01-03"
 
