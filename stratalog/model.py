@@ -13,7 +13,9 @@ Five logical tables carry everything:
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from collections import ChainMap
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from functools import cached_property
 from typing import Any
 
@@ -164,7 +166,7 @@ class Catalog:
     """The schema together with the DataFrames that hold its data."""
 
     schema: Schema
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: Mapping[str, DataFrame] = field(default_factory=dict)
     edges: DataFrame | None = None
     log: DataFrame | None = None
     external_ids: DataFrame | None = None
@@ -190,7 +192,8 @@ class Catalog:
         return union_all(parts)
 
     def with_table(self, entity_type: str, df: DataFrame) -> "Catalog":
-        return replace(self, tables={**self.tables, entity_type: df})
+        tables = ChainMap({entity_type: df}, self.tables)
+        return Catalog(self.schema, tables, self.edges, self.log, self.external_ids, self.write_log)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

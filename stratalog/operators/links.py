@@ -52,8 +52,10 @@ def hydrate_multi_refs(catalog: Catalog, entity_type: str, list_size: int = 10_0
     """
     refs = multi_refs(catalog, entity_type)
     placed = position_in_group(refs, ["id", "slot"], ["created_at", "edge_id"], list_size)
+    # Lists do not shrink on the map side; shuffling first spreads their building.
     lists = (
-        placed.groupBy("id", "slot", "part")
+        placed.repartition("id", "slot", "part")
+        .groupBy("id", "slot", "part")
         .agg(F.array_sort(F.collect_list(F.struct("created_at", "edge_id", "target_id"))).alias("refs"))
         .select("id", "slot", "part", F.col("refs.target_id").alias("targets"))
     )
@@ -100,7 +102,10 @@ def _expand(catalog: Catalog, entity_type: str, steps: list[str], rows: DataFram
     # Parts are cut on the narrow edge rows; the targets join afterwards.
     placed = position_in_group(edges, ["_source"], ["_at", "_edge"], list_size)
     lists = (
-        placed.join(child, "_target").groupBy("_source", F.col("part").alias(f"{slot.name}_part"))
+        placed.join(child, "_target")
+        .withColumnRenamed("part", f"{slot.name}_part")
+        .repartition("_source", f"{slot.name}_part")
+        .groupBy("_source", f"{slot.name}_part")
         .agg(F.collect_list(F.struct("_at", "_edge", "_child")).alias("_items"))
         .select(
             "_source", f"{slot.name}_part",

@@ -7,6 +7,7 @@ query and its SQL counterpart start from the same rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,63 +73,109 @@ SCHEMA = Schema(
     )
 )
 
-# One SELECT per role; Spark and DuckDB both run these texts, except where the
-# JSON text of the log is concerned (Spark builds it, SQL uses its parts).
-VIEWS = {
-    "region_e": """SELECT CAST(r_regionkey AS BIGINT) AS id, TRUE AS is_available,
-        CAST(NULL AS BIGINT) AS superseded_by, r_name AS name FROM region""",
-    "nation_e": """SELECT CAST(n_nationkey AS BIGINT) AS id, TRUE AS is_available,
-        CAST(NULL AS BIGINT) AS superseded_by, n_name AS name,
-        CAST(n_regionkey AS BIGINT) AS region FROM nation""",
-    "customer_e": """SELECT c_custkey AS id, c_acctbal > 0 AS is_available,
-        CAST(NULL AS BIGINT) AS superseded_by, c_name AS name, c_acctbal AS balance,
-        CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment AS segment FROM customer""",
-    "supplier_e": """SELECT s_suppkey AS id, TRUE AS is_available,
-        CAST(NULL AS BIGINT) AS superseded_by, s_name AS name, s_acctbal AS balance,
-        CAST(s_nationkey AS BIGINT) AS nation FROM supplier""",
-    "part_e": """SELECT p_partkey AS id, p_size <> 13 AS is_available,
-        CAST(NULL AS BIGINT) AS superseded_by, p_name AS name, p_brand AS brand, p_type AS type,
-        CAST(p_size AS BIGINT) AS size, p_retailprice AS price FROM part""",
-    "order_e": """SELECT o_orderkey AS id, o_orderstatus <> 'P' AS is_available,
-        CASE WHEN o_orderstatus = 'P' THEN o_orderkey + 1 END AS superseded_by,
-        o_custkey AS customer, o_orderstatus AS status, o_totalprice AS total,
-        o_orderdate AS ordered_at, nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority FROM orders""",
-    "document_e": """SELECT doc_id AS id, source <> 'src0' AS is_available,
-        CAST(NULL AS BIGINT) AS superseded_by, text, lang, source FROM documents""",
+# Columns every entity role starts with.
+LIVE = {"is_available": "TRUE", "superseded_by": "CAST(NULL AS BIGINT)"}
+
+# Role -> (source, filter, column -> expression). The expressions are read by
+# Spark and DuckDB alike; only the JSON text of the log is Spark's own.
+ROLES: dict[str, tuple[str, str | None, dict[str, str]]] = {
+    "region_e": ("region", None, {"id": "CAST(r_regionkey AS BIGINT)", **LIVE, "name": "r_name"}),
+    "nation_e": (
+        "nation", None,
+        {"id": "CAST(n_nationkey AS BIGINT)", **LIVE, "name": "n_name", "region": "CAST(n_regionkey AS BIGINT)"},
+    ),
+    "customer_e": (
+        "customer", None,
+        {
+            "id": "c_custkey", **LIVE, "is_available": "c_acctbal > 0", "name": "c_name", "balance": "c_acctbal",
+            "nation": "CAST(c_nationkey AS BIGINT)", "segment": "c_mktsegment",
+        },
+    ),
+    "supplier_e": (
+        "supplier", None,
+        {"id": "s_suppkey", **LIVE, "name": "s_name", "balance": "s_acctbal", "nation": "CAST(s_nationkey AS BIGINT)"},
+    ),
+    "part_e": (
+        "part", None,
+        {
+            "id": "p_partkey", **LIVE, "is_available": "p_size <> 13", "name": "p_name", "brand": "p_brand",
+            "type": "p_type", "size": "CAST(p_size AS BIGINT)", "price": "p_retailprice",
+        },
+    ),
+    "order_e": (
+        "orders", None,
+        {
+            "id": "o_orderkey", "is_available": "o_orderstatus <> 'P'",
+            "superseded_by": "CASE WHEN o_orderstatus = 'P' THEN o_orderkey + 1 END",
+            "customer": "o_custkey", "status": "o_orderstatus", "total": "o_totalprice", "ordered_at": "o_orderdate",
+            "priority": "nullif(o_orderpriority, '4-NOT SPECIFIED')",
+        },
+    ),
+    "document_e": (
+        "documents", None,
+        {"id": "doc_id", **LIVE, "is_available": "source <> 'src0'", "text": "text", "lang": "lang", "source": "source"},
+    ),
     # Orders hold parts: one edge per line item.
-    "edge_e": """SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR(20)), CAST(l_partkey AS VARCHAR(20)),
-          CAST(l_suppkey AS VARCHAR(20)), CAST(l_linenumber AS VARCHAR(20))) AS id,
-        l_orderkey AS source_id, l_partkey AS target_id, 'parts' AS relationship_type,
-        CAST(NULL AS VARCHAR(20)) AS metadata, l_shipdate AS created_at, 'loader' AS created_by,
-        l_returnflag <> 'R' AS is_available FROM lineitem""",
+    "edge_e": (
+        "lineitem", None,
+        {
+            "id": "concat_ws('-', CAST(l_orderkey AS VARCHAR(20)), CAST(l_partkey AS VARCHAR(20)), "
+            "CAST(l_suppkey AS VARCHAR(20)), CAST(l_linenumber AS VARCHAR(20)))",
+            "source_id": "l_orderkey", "target_id": "l_partkey", "relationship_type": "'parts'",
+            "metadata": "CAST(NULL AS VARCHAR(20))", "created_at": "l_shipdate", "created_by": "'loader'",
+            "is_available": "l_returnflag <> 'R'",
+        },
+    ),
     # Users point at users: one edge per view event.
-    "link_e": """SELECT event_id AS id, user_id AS source_id, k AS target_id,
-        CASE WHEN k % 3 = 0 THEN 'follows' ELSE 'views' END AS relationship_type,
-        CAST(NULL AS VARCHAR(20)) AS metadata, ts AS created_at, 'app' AS created_by,
-        event_id % 4 <> 0 AS is_available
-        FROM event_k WHERE event_type = 'view'""",
-    "log_e": """SELECT event_id AS id, user_id AS entity_id,
-        CASE WHEN event_type IN ('view', 'click') THEN 'relationship' ELSE 'User' END AS entity_type,
-        CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'update'
-          WHEN 'error' THEN 'availability_change' WHEN 'view' THEN 'relationship_add'
-          ELSE 'relationship_remove' END AS operation,
-        concat('actor', CAST(event_id % 7 AS VARCHAR(20))) AS actor_id, ts AS timestamp,
-        concat('v', CAST(1 + event_id % 3 AS VARCHAR(20))) AS schema_version,
-        CAST(NULL AS VARCHAR(20)) AS derived_from_id, CAST(NULL AS VARCHAR(20)) AS process_id,
-        k, event_type = 'error' AND k % 2 = 1 AS deletion
-        FROM event_k""",
-    # Two customers share a value; one mapping in five is inactive.
-    "ext_e": """SELECT concat('m', CAST(c_custkey AS VARCHAR(20))) AS id,
-        concat('X', CAST(c_custkey % 500 AS VARCHAR(20))) AS value,
-        CASE WHEN c_custkey % 2 = 0 THEN 'crm' ELSE 'erp' END AS source_system,
-        c_custkey AS entity, c_custkey % 5 <> 0 AS is_active FROM customer""",
-    "write_e": """SELECT concat('loader', CAST(o_custkey % 3 AS VARCHAR(20))) AS loader_name,
-        concat('v', CAST(1 + o_orderkey % 2 AS VARCHAR(20))) AS version,
-        CAST(o_orderkey AS VARCHAR(20)) AS entity_id,
-        CASE WHEN o_orderkey % 10 = 0 THEN 'Part' ELSE 'Order' END AS entity_type,
-        o_orderdate AS written_at FROM orders""",
+    "link_e": (
+        "event_k", "event_type = 'view'",
+        {
+            "id": "event_id", "source_id": "user_id", "target_id": "k",
+            "relationship_type": "CASE WHEN k % 3 = 0 THEN 'follows' ELSE 'views' END",
+            "metadata": "CAST(NULL AS VARCHAR(20))", "created_at": "ts", "created_by": "'app'",
+            "is_available": "event_id % 4 <> 0",
+        },
+    ),
+    "log_e": (
+        "event_k", None,
+        {
+            "id": "event_id", "entity_id": "user_id",
+            "entity_type": "CASE WHEN event_type IN ('view', 'click') THEN 'relationship' ELSE 'User' END",
+            "operation": "CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'update' "
+            "WHEN 'error' THEN 'availability_change' WHEN 'view' THEN 'relationship_add' ELSE 'relationship_remove' END",
+            "actor_id": "concat('actor', CAST(event_id % 7 AS VARCHAR(20)))", "timestamp": "ts",
+            "schema_version": "concat('v', CAST(1 + event_id % 3 AS VARCHAR(20)))",
+            "derived_from_id": "CAST(NULL AS VARCHAR(20))", "process_id": "CAST(NULL AS VARCHAR(20))",
+            "k": "k", "deletion": "event_type = 'error' AND k % 2 = 1",
+        },
+    ),
+    # Several customers share a value; one mapping in five is inactive.
+    "ext_e": (
+        "customer", None,
+        {
+            "id": "concat('m', CAST(c_custkey AS VARCHAR(20)))", "value": "concat('X', CAST(c_custkey % 500 AS VARCHAR(20)))",
+            "source_system": "CASE WHEN c_custkey % 2 = 0 THEN 'crm' ELSE 'erp' END",
+            "entity": "c_custkey", "is_active": "c_custkey % 5 <> 0",
+        },
+    ),
+    "write_e": (
+        "orders", None,
+        {
+            "loader_name": "concat('loader', CAST(o_custkey % 3 AS VARCHAR(20)))",
+            "version": "concat('v', CAST(1 + o_orderkey % 2 AS VARCHAR(20)))",
+            "entity_id": "CAST(o_orderkey AS VARCHAR(20))",
+            "entity_type": "CASE WHEN o_orderkey % 10 = 0 THEN 'Part' ELSE 'Order' END", "written_at": "o_orderdate",
+        },
+    ),
 }
 
+
+def view_sql(name: str) -> str:
+    source, where, columns = ROLES[name]
+    picked = ", ".join(f"{expr} AS {alias}" for alias, expr in columns.items())
+    return f"SELECT {picked} FROM {source}" + (f" WHERE {where}" if where else "")
+
+
 DUCK_EVENT_K = "SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
 
 # Views that another view reads.
@@ -139,15 +186,15 @@ def with_views(sql: str) -> str:
     """Put the views a SQL text names in front of it."""
     sql = sql.strip()
     names: list[str] = []
-    for name in VIEWS:
+    for name in ROLES:
         if re.search(rf"\b{name}\b", sql):
             names += [n for n in NEEDS.get(name, []) if n not in names] + [name]
     if re.search(r"\bevent_k\b", sql) and "event_k" not in names:
         names.insert(0, "event_k")
     if not names:
         return sql
-    texts = {**VIEWS, "event_k": DUCK_EVENT_K}
-    ctes = ",\n".join(f"{n} AS ({texts[n]})" for n in names)
+    text = lambda n: DUCK_EVENT_K if n == "event_k" else view_sql(n)
+    ctes = ",\n".join(f"{n} AS ({text(n)})" for n in names)
     recursive = re.match(r"(?is)with\s+(recursive\s+)?", sql)
     if recursive:
         word = "WITH RECURSIVE " if recursive.group(1) else "WITH "
@@ -155,6 +202,39 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}\n{sql}"
 
 
+class Roles(Mapping):
+    """Entity classes by name; a class's DataFrame is built when it is asked for."""
+
+    def __init__(self, tables: "Tables", names: tuple[str, ...]):
+        self._tables, self._names = tables, names
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        return self._tables.role(f"{name.lower()}_e")
+
+    def __contains__(self, name) -> bool:
+        return name in self._names
+
+    def __iter__(self):
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
+class RoleCatalog(Catalog):
+    """A catalog over the roles that builds each DataFrame on first use."""
+
+    def __init__(self, tables: "Tables", names: tuple[str, ...]):
+        self._tables, self.schema, self.tables = tables, SCHEMA, Roles(tables, names)
+
+    edges = property(lambda self: self._tables.role("edge_e"))
+    log = property(lambda self: self._tables.order_log)
+    external_ids = property(lambda self: self._tables.role("ext_e"))
+    write_log = property(lambda self: self._tables.role("write_e"))
+
+
 class Tables:
     """Given tables and roles of one folder, loaded on first use."""
 
@@ -173,14 +253,13 @@ class Tables:
         return self.raw("events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
     def role(self, name: str) -> DataFrame:
-        """A view of :data:`VIEWS` as a DataFrame."""
+        """A role of :data:`ROLES` as a DataFrame."""
         if name not in self._cache:
-            text = VIEWS[name]
-            source = re.search(r"FROM (\w+)", text).group(1)
+            source, where, columns = ROLES[name]
             frame = self.event_k if source == "event_k" else self.raw(source)
-            self._cache[name] = self.spark.sql(
-                re.sub(rf"FROM {source}\b", "FROM {source}", text), source=frame
-            )
+            if where:
+                frame = frame.where(where)
+            self._cache[name] = frame.selectExpr(*[f"{expr} AS {alias}" for alias, expr in columns.items()])
         return self._cache[name]
 
     @cached_property
@@ -257,21 +336,7 @@ class Tables:
 
     @cached_property
     def catalog(self) -> Catalog:
-        return Catalog(
-            SCHEMA,
-            {
-                "Region": self.role("region_e"),
-                "Nation": self.role("nation_e"),
-                "Customer": self.role("customer_e"),
-                "Supplier": self.role("supplier_e"),
-                "Part": self.role("part_e"),
-                "Order": self.role("order_e"),
-            },
-            edges=self.role("edge_e"),
-            log=self.order_log,
-            external_ids=self.role("ext_e"),
-            write_log=self.role("write_e"),
-        )
+        return RoleCatalog(self, ("Region", "Nation", "Customer", "Supplier", "Part", "Order"))
 
     @cached_property
     def documents(self) -> Catalog:
