@@ -1,0 +1,133 @@
+"""English stems (the published Snowball "English" rules) for word search."""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+# Words an English word search leaves out.
+STOP_WORDS = frozenset(
+    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+    herself it its itself they them their theirs themselves what which who whom this that these those am is are was
+    were be been being have has had having do does did doing a an the and but if or because as until while of at by
+    for with about against between into through during before after above below to from up down in out on off over
+    under again further then once here there when where why how all any both each few more most other some such no
+    nor not only own same so than too very s t can will just don should now""".split()
+)
+
+# Words with stems of their own, and words that stop after step 1a.
+IRREGULAR = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl",
+    "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe",
+    "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+UNTOUCHED = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
+
+# Suffix replacements of steps 2 and 3, longest match first.
+STEP_2 = [
+    ("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"),
+    ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"), ("alism", "al"),
+    ("aliti", "al"), ("ousli", "ous"), ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"),
+    ("abli", "able"), ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble"), ("ogi", "og"), ("li", ""),
+]
+STEP_3 = [
+    ("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ative", ""),
+    ("ical", "ic"), ("ness", ""), ("ful", ""),
+]
+STEP_4 = [
+    "ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion",
+    "al", "er", "ic",
+]
+
+VOWEL = "[aeiouy]"
+DOUBLE = re.compile(r"(bb|dd|ff|gg|mm|nn|pp|rr|tt)$")
+SHORT_END = re.compile(r"([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$")
+
+
+def _region(word: str, start: int) -> int:
+    """Index after the first non-vowel that follows a vowel, from ``start``."""
+    found = re.search(rf"{VOWEL}[^aeiouy]", word[start:])
+    return start + found.end() if found else len(word)
+
+
+@lru_cache(maxsize=100_000)
+def stem(word: str) -> str:
+    if len(word) <= 2:
+        return word
+    if word in IRREGULAR:
+        return IRREGULAR[word]
+    # Y marks a consonant y.
+    w = re.sub(r"(^|[aeiouy])y", lambda m: m.group(1) + "Y", word)
+    special = re.match(r"gener|commun|arsen", w)
+    r1 = special.end() if special else _region(w, 0)
+    r2 = _region(w, r1)
+
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and re.search(VOWEL, w[:-2]):
+        w = w[:-1]
+    if w in UNTOUCHED:
+        return w.lower()
+
+    w = _step_1b(w, r1)
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in "aeiouy":
+        w = w[:-1] + "i"
+    w = _replace(w, STEP_2, r1, r2)
+    w = _replace(w, STEP_3, r1, r2)
+    for suffix in STEP_4:
+        if w.endswith(suffix):
+            at = len(w) - len(suffix)
+            if at >= r2 and (suffix != "ion" or w[at - 1 : at] in ("s", "t")):
+                w = w[:at]
+            break
+    if w.endswith("e"):
+        if len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not SHORT_END.search(w[:-1])):
+            w = w[:-1]
+    elif w.endswith("ll") and len(w) - 1 >= r2:
+        w = w[:-1]
+    return w.lower()
+
+
+def _step_1b(w: str, r1: int) -> str:
+    for suffix in ("eedly", "eed"):
+        if w.endswith(suffix):
+            at = len(w) - len(suffix)
+            return w[:at] + "ee" if at >= r1 else w
+    for suffix in ("ingly", "edly", "ing", "ed"):
+        if w.endswith(suffix):
+            rest = w[: -len(suffix)]
+            if not re.search(VOWEL, rest):
+                return w
+            if rest.endswith(("at", "bl", "iz")):
+                return rest + "e"
+            if DOUBLE.search(rest):
+                return rest[:-1]
+            if len(rest) <= r1 and SHORT_END.search(rest):
+                return rest + "e"
+            return rest
+    return w
+
+
+def _replace(w: str, pairs: list[tuple[str, str]], r1: int, r2: int) -> str:
+    for suffix, new in pairs:
+        if not w.endswith(suffix):
+            continue
+        at = len(w) - len(suffix)
+        if at < r1:
+            return w
+        before = w[at - 1 : at]
+        if suffix == "ogi" and before != "l":
+            return w
+        if suffix == "li" and before not in tuple("cdeghkmnrt"):
+            return w
+        if suffix == "ative" and at < r2:
+            return w
+        return w[:at] + new
+    return w
+
+
+def stem_prefix(stemmed: str) -> str:
+    """Every word with this stem starts so: the rules rewrite two letters at most."""
+    return stemmed[: max(1, len(stemmed) - 2)]

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import Catalog, QueryError, Schema, union_all
+from ..model import Catalog, QueryError, Schema
 from .aggregate import live_types
-from .mutate import Stamp, WriteSet, event, image, new_edges, put, soft_delete
+from .mutate import Stamp, WriteSet, event, new_edges, put, soft_delete
 from .validate import check_schema, require_valid
 
 MIGRATE_KEY = "predecessor"

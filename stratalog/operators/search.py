@@ -6,11 +6,14 @@ are ranked. ``build_fts_index`` materialises postings for repeated use.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stem as sm
 from ..functions import text as tx
 from ..model import Catalog, union_all
 from ..runtime import spread, stable
@@ -216,8 +219,43 @@ def search_all_classes(catalog: Catalog, query: str, limit: int | None = 100) ->
     return hits if limit is None else hits.limit(limit)
 
 
-def search_plain_and(entities: DataFrame, field: str, query: str, limit: int = 100, stem: bool = False) -> DataFrame:
-    """All words must occur, in any order; ranked by their frequency.
+def search_stemmed_and(entities: DataFrame, field: str, query: str, limit: int = 100) -> DataFrame:
+    """All words must occur by their English stem, in any order; stop words are
+    left out and a query of stop words alone finds nothing.
+
+    The JVM keeps the tokens that start like one of the stems and drops every
+    row without one for each; only those few tokens reach the Python stemmer.
+    Ranked like :func:`search_plain_and`.
+    """
+    stems = list(dict.fromkeys(sm.stem(w) for w in tx.query_tokens(query) if w not in sm.STOP_WORDS))
+    if not stems:
+        return entities.select(F.col("id").alias("entity_id"), F.lit(0.0).alias("score")).limit(0)
+
+    @F.pandas_udf("array<int>")
+    def counts(near: pd.Series) -> pd.Series:
+        def one(words) -> list[int]:
+            found = [sm.stem(w) for w in words]
+            return [found.count(s) for s in stems]
+
+        return near.map(one)
+
+    rows = spread(content_rows(entities, field)).select("entity_id", tx.tokens(F.col("content")).alias("toks"))
+    prefixes = [sm.stem_prefix(s) for s in stems]
+    starts = lambda t: reduce(lambda a, b: a | b, [F.startswith(t, F.lit(p)) for p in prefixes])
+    near = rows.select("entity_id", F.filter("toks", starts).alias("near"))
+    for prefix in prefixes:
+        near = near.where(F.exists("near", _starts_with(prefix)))
+    counted = near.select("entity_id", counts("near").alias("n")).where(F.forall("n", lambda x: x > 0))
+    mean = F.aggregate("n", F.lit(0), lambda a, x: a + x) / len(stems)
+    return normalised_top(counted.select("entity_id", (1 - 1 / (1 + mean)).alias("raw")), limit)
+
+
+def _starts_with(prefix: str):
+    return lambda t: F.startswith(t, F.lit(prefix))
+
+
+def search_plain_and(entities: DataFrame, field: str, query: str, limit: int = 100) -> DataFrame:
+    """All words must occur as they are, in any order; ranked by their frequency.
 
     The score is ``1 - 1/(1 + mean tf)``, then normalised like the phrase search.
     """
@@ -244,8 +282,8 @@ def search_trigram(
 
 
 def search_plain_or_trigram(entities: DataFrame, field: str, query: str, limit: int = 100) -> DataFrame:
-    """The AND search, or trigram similarity above 0.1 when it finds nothing."""
-    found = search_plain_and(entities, field, query, limit)
+    """The stemmed AND search, or trigram similarity above 0.1 when it finds nothing."""
+    found = search_stemmed_and(entities, field, query, limit)
     if not found.isEmpty():
         return found
     return search_trigram(entities, field, query, limit, 0.1)

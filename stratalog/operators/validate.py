@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any, Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -349,20 +350,11 @@ def _message(template: str, rule: Rule, entity_type: str) -> Column:
     return F.concat(*pieces)
 
 
-def _holds(expression: str, columns: set[str]) -> Column:
-    """The condition as true/false; a column that does not exist makes it false."""
-    try:
-        return F.coalesce(F.expr(expression), F.lit(False))
-    except Exception as error:  # parse errors surface when the expression is built
-        raise QueryError(f"cannot read condition {expression!r}: {error}") from error
-
-
 def rule_engine(
     df: DataFrame,
     entity_type: str,
     rules: Iterable[Any],
     operation: str = "create",
-    catalog: Catalog | None = None,
 ) -> DataFrame:
     """Apply every matching rule in ascending priority; all rules run.
 
@@ -376,24 +368,22 @@ def rule_engine(
     ]
     found = []
     for rule in sorted(chosen, key=lambda r: r.priority):
-        holds = _resolvable(df, rule.condition)
-        bad = ~holds
+        bad = ~_holds(df, rule.condition)
         if rule.when is not None:
-            bad = _resolvable(df, rule.when) & bad
+            bad = _holds(df, rule.when) & bad
         found.append(F.when(bad, finding("rule", rule.name, "", _message(rule.error, rule, entity_type))))
     return explode_findings(df, entity_type, found)
 
 
-def _resolvable(df: DataFrame, expression: str) -> Column:
-    from pyspark.errors import AnalysisException
-
+def _holds(df: DataFrame, expression: str) -> Column:
+    """The condition as true/false; over a field the rows do not have it is false."""
     try:
         df.select(F.expr(expression))
     except AnalysisException as error:
         if "UNRESOLVED_COLUMN" in str(error) or "FIELD_NOT_FOUND" in str(error):
             return F.lit(False)
         raise QueryError(f"cannot evaluate {expression!r}: {error}") from error
-    return _holds(expression, set(df.columns))
+    return F.coalesce(F.expr(expression), F.lit(False))
 
 
 def rule_expand(catalog: Catalog, entity_type: str, rules: Iterable[Any], operation: str = "create") -> DataFrame:

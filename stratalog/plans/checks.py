@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..model import union_all
 from ..operators import aggregate as ag
 from ..operators import external as ext
-from ..operators import lifecycle as lc
 from ..operators import validate as va
 from .registry import query
 from .relations import XREF_SQL, xref_rows
@@ -158,13 +157,12 @@ def rule_expand(t: Tables):
 
 @query(
     "check_provenance",
-    """SELECT CAST(id AS VARCHAR) AS entity_id, CASE WHEN id % 10 = 0 THEN 'no provenance records' ELSE 'no create record' END AS message
-    FROM order_e WHERE is_available AND (id % 10 = 0 OR (id % 10 = 1 AND id IN (SELECT l_orderkey FROM lineitem)))
-    UNION ALL SELECT CAST(id AS VARCHAR), 'no provenance records' FROM order_e WHERE is_available AND id % 10 = 1 AND id NOT IN (SELECT l_orderkey FROM lineitem)""",
+    """SELECT CAST(id AS VARCHAR) AS entity_id, CASE WHEN id IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01')
+      THEN 'no create record' ELSE 'no provenance records' END AS message
+    FROM order_e WHERE is_available AND ordered_at < TIMESTAMP '1997-01-01'""",
 )
 def check_provenance(t: Tables):
-    last = F.col("entity_id") % 10
-    log = t.order_log.where((last != 0) & ~((last == 1) & (F.col("operation") == "create")))
+    log = t.order_log.where("timestamp >= TIMESTAMP_NTZ '1997-01-01 00:00:00'")  # a log cut off at that day
     return va.check_provenance(t.role("order_e"), "Order", log).select("entity_id", "message")
 
 
@@ -195,12 +193,12 @@ def check_edges(t: Tables):
 
 @query(
     "check_append_only",
-    """SELECT CAST(id AS VARCHAR) AS entity_id, CASE WHEN id % 20 = 0 THEN 'record removed' ELSE 'record updated' END AS message
-    FROM log_e WHERE id % 20 IN (0, 1)""",
+    """SELECT CAST(id AS VARCHAR) AS entity_id, CASE WHEN operation = 'update' THEN 'record removed' ELSE 'record updated' END AS message
+    FROM log_e WHERE operation = 'update' OR actor_id = 'actor3'""",
 )
 def check_append_only(t: Tables):
-    last = F.col("id") % 20
-    newer = t.log.where(last != 0).withColumn("actor_id", F.when(last == 1, "intruder").otherwise(F.col("actor_id")))
+    kept = t.log.where("operation <> 'update'")
+    newer = kept.withColumn("actor_id", F.when(F.col("actor_id") == "actor3", "intruder").otherwise(F.col("actor_id")))
     return va.check_append_only(t.log, newer).select("entity_id", "message")
 
 
@@ -232,13 +230,13 @@ def validation_summary(t: Tables):
 
 @query(
     "validate_batch",
-    f"""{PART_CHECKS.format(live='AND id % 2 = 0')}
-    UNION ALL SELECT CAST(id AS VARCHAR), 'cheap', '' FROM part_e WHERE id % 2 = 0 AND price < 1000
-    UNION ALL SELECT CAST(id AS VARCHAR), 'typed', '' FROM part_e WHERE id % 2 = 0 AND type = 'PROMO'
-    UNION ALL SELECT CAST(id AS VARCHAR), 'field_required_if', 'type' FROM part_e WHERE id % 2 = 0 AND id % 3 = 0 AND brand = 'Brand#1'""",
+    f"""{PART_CHECKS.format(live='')}
+    UNION ALL SELECT CAST(id AS VARCHAR), 'cheap', '' FROM part_e WHERE price < 1000
+    UNION ALL SELECT CAST(id AS VARCHAR), 'typed', '' FROM part_e WHERE type = 'PROMO'
+    UNION ALL SELECT CAST(id AS VARCHAR), 'field_required_if', 'type' FROM part_e WHERE id % 3 = 0 AND brand = 'Brand#1'""",
 )
 def validate_batch(t: Tables):
-    batch = t.role("part_e").where("id % 2 = 0").withColumn("kind", F.col("type"))
+    batch = t.role("part_e").withColumn("kind", F.col("type"))
     batch = batch.withColumn("type", F.when(~((F.col("id") % 3 == 0) & (F.col("brand") == "Brand#1")), F.col("type")))
     found = va.validate_batch(
         batch, t.catalog, "Part",

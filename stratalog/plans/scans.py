@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import parse_iso_utc
 from ..operators import read as rd
 from ..runtime import scratch_path
 from ..sources import readers as src

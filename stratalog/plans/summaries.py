@@ -9,7 +9,6 @@ from ..operators import lifecycle as lc
 from ..operators import mutate as mu
 from ..operators import read as rd
 from ..operators import temporal as tm
-from ..operators import validate as va
 from .registry import query
 from .relations import NOW, STATE_AT
 from .scans import _order_temporal, is_
@@ -182,15 +181,15 @@ def first_in_batch(t: Tables):
 # Order and paging.
 
 
-@query("order_by_slot", "SELECT id, priority FROM order_e WHERE is_available ORDER BY priority DESC NULLS LAST, id LIMIT 700")
+@query("order_by_slot", "SELECT id, priority FROM order_e WHERE is_available ORDER BY priority DESC NULLS LAST, id")
 def order_by_slot(t: Tables):
-    return rd.order_by_slot(t.catalog.live("Order"), "priority", "desc").select("id", "priority").limit(700)
+    return rd.order_by_slot(t.catalog.live("Order"), "priority", "desc").select("id", "priority")
 
 
-@query("order_by_created", "SELECT id, ordered_at AS created_at FROM order_e WHERE is_available ORDER BY ordered_at, id LIMIT 50 OFFSET 30")
+@query("order_by_created", "SELECT id, ordered_at AS created_at FROM order_e WHERE is_available ORDER BY ordered_at, id")
 def order_by_created(t: Tables):
     rows = rd.order_by_created(t.catalog.live("Order"), t.order_log)
-    return rd.page(rows, 50, 30).select("id", "created_at")
+    return rows.select("id", "created_at")
 
 
 @query("page", "SELECT id, total FROM order_e WHERE is_available ORDER BY total DESC, id LIMIT 25 OFFSET 100")
@@ -245,24 +244,25 @@ def events_by_operation(t: Tables):
 @query(
     "apply_release_diff",
     """SELECT id, name FROM (
-      SELECT id, concat(name, '!') AS name FROM part_e WHERE id % 7 = 1
-      UNION ALL SELECT id + 1000000, name FROM part_e WHERE id % 11 = 0
-      UNION ALL SELECT id, name FROM part_e WHERE id % 7 NOT IN (1, 2)) x""",
+      SELECT id, concat(name, '!') AS name FROM part_e WHERE type = 'PROMO'
+      UNION ALL SELECT id + 1000000, name FROM part_e WHERE type = 'STANDARD'
+      UNION ALL SELECT id, name FROM part_e WHERE type NOT IN ('PROMO', 'ECONOMY')) x""",
 )
 def apply_release_diff(t: Tables):
-    base = t.role("part_e").select("id", "name")
-    changed = base.where("id % 7 = 1").withColumn("name", F.concat("name", F.lit("!")))
-    added = base.where("id % 11 = 0").withColumn("id", F.col("id") + 1000000)
-    return mu.apply_release_diff(base, "id", added, changed, base.where("id % 7 = 2").select("id"))
+    typed = t.role("part_e")
+    base = typed.select("id", "name")
+    changed = typed.where("type = 'PROMO'").select("id", F.concat("name", F.lit("!")).alias("name"))
+    added = typed.where("type = 'STANDARD'").select((F.col("id") + 1000000).alias("id"), "name")
+    return mu.apply_release_diff(base, "id", added, changed, typed.where("type = 'ECONOMY'").select("id"))
 
 
-CHANGED = """SELECT c.id, CASE WHEN c.id % 10 = 0 THEN 'created' WHEN c.id % 10 = 1 THEN 'updated'
+CHANGED = """SELECT c.id, CASE WHEN NOT c.is_available THEN 'created' WHEN c.id % 10 = 1 THEN 'updated'
   WHEN c.id % 10 = 2 THEN 'updated' ELSE 'unchanged' END AS outcome FROM customer_e c"""
 
 
 @query("classify_changes", CHANGED)
 def classify_changes(t: Tables):
-    stored = t.role("customer_e").where("id % 10 <> 0").select(
+    stored = t.catalog.live("Customer").select(
         "id", "name", F.when(F.col("id") % 10 != 2, F.col("segment")).alias("segment")
     )
     incoming = t.role("customer_e").select(
@@ -273,9 +273,9 @@ def classify_changes(t: Tables):
 
 @query(
     "ingest_summary",
-    """SELECT count(*) AS total_rows, count(*) FILTER (WHERE id % 10 = 0) AS created,
-      count(*) FILTER (WHERE id % 10 IN (1, 2)) AS updated, count(*) FILTER (WHERE id % 10 > 2) AS unchanged,
-      CAST(0 AS BIGINT) AS errors FROM customer_e""",
+    f"""SELECT count(*) AS total_rows, count(*) FILTER (WHERE outcome = 'created') AS created,
+      count(*) FILTER (WHERE outcome = 'updated') AS updated, count(*) FILTER (WHERE outcome = 'unchanged') AS unchanged,
+      CAST(0 AS BIGINT) AS errors FROM ({CHANGED}) x""",
 )
 def ingest_summary(t: Tables):
     return ag.ingest_summary(classify_changes(t))

@@ -315,6 +315,7 @@ class Tables:
     def mapping_log(self) -> DataFrame:
         """Create events of the external-id mappings and supersede events of inactive ones."""
         base = self.raw("customer").select("c_custkey")
+        inactive = self.role("ext_e").where("NOT is_active").select(F.col("entity").alias("c_custkey"))
         key = F.col("c_custkey")
         when = F.make_dt_interval(mins=key.cast("int")) + F.lit("2024-01-01").cast("timestamp_ntz")
         mapping = F.concat(F.lit("m"), key.cast("string"))
@@ -330,7 +331,7 @@ class Tables:
 
         made = rows(base, "create", mapping, none, when)
         gone = rows(
-            base.where(key % 5 == 0), "supersede", key.cast("string"), mapping, when + F.make_dt_interval(days=F.lit(30))
+            inactive, "supersede", key.cast("string"), mapping, when + F.make_dt_interval(days=F.lit(30))
         )
         return made.unionByName(gone)
 

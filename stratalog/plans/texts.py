@@ -145,6 +145,13 @@ def search_plain_and(t: Tables):
     return hits.select("entity_id", F.round("score", 8).alias("score"))
 
 
+@query("search_stemmed_and")
+def search_stemmed_and(t: Tables):
+    """No SQL: DuckDB has no stemmer here; tests compare it with brute force."""
+    hits = se.search_stemmed_and(t.role("document_e"), "text", "the tioning haed")
+    return hits.select("entity_id", F.round("score", 8).alias("score"))
+
+
 GRAMS = """list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({col}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''),
   lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
 
@@ -183,16 +190,16 @@ def search_boolean(t: Tables):
 
 @query(
     "sync_fts",
-    """SELECT id AS entity_id, CASE WHEN id % 5 = 1 THEN concat(name, ' v2') ELSE name END AS content FROM part_e
-    WHERE id % 5 = 1 OR (is_available AND id % 5 NOT IN (2, 3))""",
+    """SELECT id AS entity_id, CASE WHEN size <= 10 THEN concat(name, ' v2') ELSE name END AS content FROM part_e
+    WHERE size <= 10 OR (is_available AND size > 30)""",
 )
 def sync_fts(t: Tables):
-    parts = t.role("part_e").select("id", "is_available", "name")
+    parts = t.role("part_e").select("id", "is_available", "name", "size")
     content = se.content_rows(parts, "name")
-    changed = parts.where("id % 5 IN (1, 2, 3)").select(
+    changed = parts.where("size <= 30").select(
         "id",
-        (F.col("id") % 5 != 2).alias("is_available"),
-        F.when(F.col("id") % 5 == 1, F.concat("name", F.lit(" v2"))).otherwise("").alias("name"),
+        (~F.col("size").between(11, 20)).alias("is_available"),
+        F.when(F.col("size") <= 10, F.concat("name", F.lit(" v2"))).otherwise("").alias("name"),
     )
     return se.sync_fts(content, changed, "name")
 

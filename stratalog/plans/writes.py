@@ -6,11 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import Catalog, EntityType, Schema, Slot
-from ..operators import external as ext
 from ..operators import lifecycle as lc
 from ..operators import mutate as mu
-from ..operators import temporal as tm
-from ..runtime import scratch_path, stable
+from ..runtime import scratch_path
 from ..sources.readers import map_fields
 from ..streaming import jobs
 from .registry import query
@@ -20,14 +18,14 @@ STAMP = mu.Stamp("2025-01-01 00:00:00", "tester", schema_version="v9")
 
 
 def part_batch(t: Tables):
-    """Every third part changed, and as many new ones."""
-    changed = t.role("part_e").where("id % 3 = 0").select("id", F.upper("name").alias("name"), "brand", "type", "size", "price")
+    """The big parts changed, and as many new ones."""
+    changed = t.role("part_e").where("size > 25").select("id", F.upper("name").alias("name"), "brand", "type", "size", "price")
     return changed.unionByName(changed.withColumn("id", F.col("id") + 1_000_000))
 
 
-PUT_ROWS = """SELECT id, upper(name) AS name, is_available, 'update' AS operation FROM part_e WHERE id % 3 = 0
-  UNION ALL SELECT id + 1000000, upper(name), TRUE, 'create' FROM part_e WHERE id % 3 = 0
-  UNION ALL SELECT id, name, is_available, NULL FROM part_e WHERE id % 3 <> 0"""
+PUT_ROWS = """SELECT id, upper(name) AS name, is_available, 'update' AS operation FROM part_e WHERE size > 25
+  UNION ALL SELECT id + 1000000, upper(name), TRUE, 'create' FROM part_e WHERE size > 25
+  UNION ALL SELECT id, name, is_available, NULL FROM part_e WHERE size <= 25"""
 
 
 @query("put", PUT_ROWS)
@@ -39,11 +37,10 @@ def put(t: Tables):
 
 @query(
     "update",
-    """SELECT entity_id, operation, name FROM (
-      SELECT id AS entity_id, 'update' AS operation, upper(name) AS name FROM part_e WHERE id % 3 = 0) x""",
+    """SELECT id AS entity_id, 'update' AS operation, upper(name) AS name FROM part_e""",
 )
 def update(t: Tables):
-    batch = t.role("part_e").where("id % 3 = 0").withColumn("name", F.upper("name"))
+    batch = t.role("part_e").withColumn("name", F.upper("name"))
     log = mu.update(t.catalog, "Part", batch, STAMP).log
     return log.select("entity_id", "operation", F.get_json_object("patch", "$.name").alias("name"))
 
@@ -51,13 +48,13 @@ def update(t: Tables):
 @query(
     "replace",
     """SELECT id, name, brand, n_edges FROM (
-      SELECT o.id, CASE WHEN o.id % 4 = 0 THEN 'F' ELSE o.status END AS name,
-        CASE WHEN o.id % 4 = 0 THEN NULL ELSE o.priority END AS brand,
-        CASE WHEN o.id % 4 = 0 THEN 0 ELSE (SELECT count(*) FROM edge_e e WHERE e.source_id = o.id AND e.is_available) END AS n_edges
+      SELECT o.id, CASE WHEN o.status = 'O' THEN 'F' ELSE o.status END AS name,
+        CASE WHEN o.status = 'O' THEN NULL ELSE o.priority END AS brand,
+        CASE WHEN o.status = 'O' THEN 0 ELSE (SELECT count(*) FROM edge_e e WHERE e.source_id = o.id AND e.is_available) END AS n_edges
       FROM order_e o) x""",
 )
 def replace(t: Tables):
-    batch = t.role("order_e").where("id % 4 = 0").select("id", F.lit("F").alias("status"))
+    batch = t.role("order_e").where("status = 'O'").select("id", F.lit("F").alias("status"))
     out = mu.replace(t.catalog, "Order", batch, STAMP)
     counts = out.edges.where("is_available").groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n_edges"))
     return out.entities.join(counts, "id", "left").select(
@@ -67,12 +64,12 @@ def replace(t: Tables):
 
 @query(
     "soft_delete",
-    """SELECT id, is_available AS deleted, FALSE AS is_available FROM order_e WHERE id % 5 = 0
-    UNION ALL SELECT id, NULL, is_available FROM order_e WHERE id % 5 <> 0
-    UNION ALL SELECT id + 5000000000, FALSE, NULL FROM order_e WHERE id % 5 = 0""",
+    """SELECT id, is_available AS deleted, FALSE AS is_available FROM order_e WHERE total > 250000
+    UNION ALL SELECT id, NULL, is_available FROM order_e WHERE total <= 250000
+    UNION ALL SELECT id + 5000000000, FALSE, NULL FROM order_e WHERE total > 250000""",
 )
 def soft_delete(t: Tables):
-    ids = t.role("order_e").where("id % 5 = 0").select("id")
+    ids = t.role("order_e").where("total > 250000").select("id")
     asked = ids.unionByName(ids.select((F.col("id") + 5_000_000_000).alias("id")))
     out = mu.soft_delete(t.catalog, "Order", asked, STAMP)
     return out.entities.select("id", "is_available").join(out.report, "id", "full_outer").select("id", "deleted", "is_available")
@@ -80,24 +77,24 @@ def soft_delete(t: Tables):
 
 @query(
     "set_availability_bulk",
-    """SELECT id, TRUE AS success, NULL AS error FROM order_e WHERE id % 5 = 0
-    UNION ALL SELECT id + 5000000000, FALSE, 'not found' FROM order_e WHERE id % 5 = 0""",
+    """SELECT id, TRUE AS success, NULL AS error FROM order_e WHERE total > 250000
+    UNION ALL SELECT id + 5000000000, FALSE, 'not found' FROM order_e WHERE total > 250000""",
 )
 def set_availability_bulk(t: Tables):
-    ids = t.role("order_e").where("id % 5 = 0").select("id")
+    ids = t.role("order_e").where("total > 250000").select("id")
     asked = ids.unionByName(ids.select((F.col("id") + 5_000_000_000).alias("id")))
     return mu.set_availability_bulk(t.catalog, "Order", asked, True, STAMP, "restock").report
 
 
 @query(
     "supersede_entities",
-    """SELECT 'entity' AS kind, CAST(id AS VARCHAR) AS id, CAST(id + 1 AS VARCHAR) AS other FROM part_e WHERE id % 10 = 0 AND id + 1 IN (SELECT id FROM part_e)
-    UNION ALL SELECT 'edge', CAST(id AS VARCHAR), CAST(id + 1 AS VARCHAR) FROM part_e WHERE id % 10 = 0 AND id + 1 IN (SELECT id FROM part_e)
-    UNION ALL SELECT 'supersede', CAST(id AS VARCHAR), CAST(id + 1 AS VARCHAR) FROM part_e WHERE id % 10 = 0 AND id + 1 IN (SELECT id FROM part_e)
-    UNION ALL SELECT 'update', CAST(id AS VARCHAR), name FROM part_e WHERE id % 10 = 1""",
+    """SELECT 'entity' AS kind, CAST(id AS VARCHAR) AS id, CAST(id + 1 AS VARCHAR) AS other FROM part_e WHERE type = 'PROMO' AND id + 1 IN (SELECT id FROM part_e)
+    UNION ALL SELECT 'edge', CAST(id AS VARCHAR), CAST(id + 1 AS VARCHAR) FROM part_e WHERE type = 'PROMO' AND id + 1 IN (SELECT id FROM part_e)
+    UNION ALL SELECT 'supersede', CAST(id AS VARCHAR), CAST(id + 1 AS VARCHAR) FROM part_e WHERE type = 'PROMO' AND id + 1 IN (SELECT id FROM part_e)
+    UNION ALL SELECT 'update', CAST(id AS VARCHAR), name FROM part_e WHERE id - 1 IN (SELECT id FROM part_e WHERE type = 'PROMO')""",
 )
 def supersede_entities(t: Tables):
-    pairs = t.role("part_e").where("id % 10 = 0").select("id", (F.col("id") + 1).alias("replacement")).join(
+    pairs = t.role("part_e").where("type = 'PROMO'").select("id", (F.col("id") + 1).alias("replacement")).join(
         t.role("part_e").select(F.col("id").alias("replacement")), "replacement", "left_semi"
     )
     out = mu.supersede_entities(t.catalog, "Part", pairs, STAMP, "merged")
@@ -113,12 +110,12 @@ def supersede_entities(t: Tables):
 
 @query(
     "register_external_ids",
-    """SELECT 'mapping' AS kind, concat('P-', CAST(id AS VARCHAR)) AS value, CAST(id AS VARCHAR) AS entity FROM part_e WHERE id % 4 = 0
-    UNION ALL SELECT 'external_id_add', concat('P-', CAST(id AS VARCHAR)), CAST(id AS VARCHAR) FROM part_e WHERE id % 4 = 0
-    UNION ALL SELECT 'create', concat('P-', CAST(id AS VARCHAR)), NULL FROM part_e WHERE id % 4 = 0""",
+    """SELECT 'mapping' AS kind, concat('P-', CAST(id AS VARCHAR)) AS value, CAST(id AS VARCHAR) AS entity FROM part_e
+    UNION ALL SELECT 'external_id_add', concat('P-', CAST(id AS VARCHAR)), CAST(id AS VARCHAR) FROM part_e
+    UNION ALL SELECT 'create', concat('P-', CAST(id AS VARCHAR)), NULL FROM part_e""",
 )
 def register_external_ids(t: Tables):
-    rows = t.role("part_e").where("id % 4 = 0").select(
+    rows = t.role("part_e").select(
         F.col("id").alias("entity"), F.concat(F.lit("P-"), F.col("id").cast("string")).alias("value"), F.lit("erp").alias("source_system")
     )
     out = mu.register_external_ids(t.catalog, "Part", rows, STAMP)
@@ -130,11 +127,11 @@ def register_external_ids(t: Tables):
 
 @query(
     "supersede_external_ids",
-    """SELECT entity, value, source_system, is_active AND entity % 7 <> 0 AS is_active FROM ext_e
-    UNION ALL SELECT entity, concat(value, '-b'), source_system, TRUE FROM ext_e WHERE is_active AND entity % 7 = 0""",
+    """SELECT entity, value, source_system, is_active AND source_system <> 'crm' AS is_active FROM ext_e
+    UNION ALL SELECT entity, concat(value, '-b'), source_system, TRUE FROM ext_e WHERE is_active AND source_system = 'crm'""",
 )
 def supersede_external_ids(t: Tables):
-    old = t.role("ext_e").where("is_active AND entity % 7 = 0")
+    old = t.role("ext_e").where("is_active AND source_system = 'crm'")
     rows = old.select("entity", F.col("value").alias("old_value"), F.concat("value", F.lit("-b")).alias("new_value"), "source_system")
     out = mu.supersede_external_ids(t.role("ext_e"), "Customer", rows, STAMP)
     return out.external_ids.select("entity", "value", "source_system", "is_active")
@@ -168,22 +165,22 @@ def relate(t: Tables):
 
 @query(
     "unrelate",
-    """SELECT id, source_id, is_available AND target_id % 6 <> 0 AS is_available FROM link_e""",
+    """SELECT id, source_id, is_available AND relationship_type <> 'follows' AS is_available FROM link_e""",
 )
 def unrelate(t: Tables):
-    gone = t.role("link_e").where("is_available AND target_id % 6 = 0").select("source_id", "target_id", "relationship_type")
+    gone = t.role("link_e").where("is_available AND relationship_type = 'follows'").select("source_id", "target_id", "relationship_type")
     return mu.unrelate(t.role("link_e"), gone, STAMP).edges.select("id", "source_id", "is_available")
 
 
 @query(
     "reconcile_multi_refs",
     """SELECT source_id, target_id, count(*) AS n FROM (
-      SELECT source_id, target_id FROM edge_e WHERE is_available AND source_id % 3 <> 0
-      UNION ALL SELECT id, id % 50 FROM order_e WHERE id % 3 = 0
-      UNION ALL SELECT id, customer FROM order_e WHERE id % 3 = 0 AND id % 50 <> customer) x GROUP BY source_id, target_id""",
+      SELECT source_id, target_id FROM edge_e WHERE is_available AND source_id NOT IN (SELECT id FROM order_e WHERE status = 'F')
+      UNION ALL SELECT id, id % 50 FROM order_e WHERE status = 'F'
+      UNION ALL SELECT id, customer FROM order_e WHERE status = 'F' AND id % 50 <> customer) x GROUP BY source_id, target_id""",
 )
 def reconcile_multi_refs(t: Tables):
-    batch = t.role("order_e").where("id % 3 = 0").select(
+    batch = t.role("order_e").where("status = 'F'").select(
         "id", F.array((F.col("id") % 50), F.col("customer"), F.lit(None).cast("bigint")).alias("parts")
     )
     out = mu.reconcile_multi_refs(t.catalog, "Order", batch, STAMP)
@@ -192,11 +189,11 @@ def reconcile_multi_refs(t: Tables):
 
 @query(
     "batch_put",
-    """SELECT 'Supplier' AS entity_type, 'update' AS operation, count(*) AS n FROM supplier_e WHERE id % 2 = 0
+    """SELECT 'Supplier' AS entity_type, 'update' AS operation, count(*) AS n FROM supplier_e
     UNION ALL SELECT 'Nation', 'create', count(*) FROM nation_e""",
 )
 def batch_put(t: Tables):
-    suppliers = t.role("supplier_e").where("id % 2 = 0").withColumn("nation", F.col("nation") + 100)
+    suppliers = t.role("supplier_e").withColumn("nation", F.col("nation") + 100)
     nations = t.role("nation_e").withColumn("id", F.col("id") + 100)
     return mu.batch_put(t.catalog, {"Supplier": suppliers, "Nation": nations}, STAMP, dry_run=True)
 
@@ -210,12 +207,14 @@ def customer_feed(t: Tables):
     fed = base.withColumn("name", F.when(last == 1, F.concat("name", F.lit("*"))).otherwise(F.col("name"))).withColumn(
         "key", F.when(last == 2, F.concat(F.lit("NEW"), F.col("key"))).when(last != 3, F.col("key"))
     )
-    again = fed.where(last == 4).withColumn("line", F.col("line") + 1_000_000_000)
+    again = fed.where("segment = 'BUILDING'").withColumn("line", F.col("line") + 1_000_000_000)
     return fed.unionByName(again).select("key", "line", "name", "segment")
 
 
-FEED_OUT = """SELECT id AS line, CASE id % 10 WHEN 1 THEN 'updated' WHEN 2 THEN 'created' WHEN 3 THEN 'error' ELSE 'unchanged' END AS outcome FROM customer_e
-  UNION ALL SELECT id + 1000000000, 'error' FROM customer_e WHERE id % 10 = 4"""
+def feed_out(no_id: str) -> str:
+    """Outcome per fed line; ``no_id`` is that of lines without external id."""
+    return f"""SELECT id AS line, CASE id % 10 WHEN 1 THEN 'updated' WHEN 2 THEN 'created' WHEN 3 THEN '{no_id}' ELSE 'unchanged' END AS outcome FROM customer_e
+  UNION ALL SELECT id + 1000000000, CASE id % 10 WHEN 3 THEN '{no_id}' ELSE 'error' END FROM customer_e WHERE segment = 'BUILDING'"""
 
 
 def feed_mappings(t: Tables):
@@ -224,7 +223,7 @@ def feed_mappings(t: Tables):
     )
 
 
-@query("upsert_by_external_id", FEED_OUT)
+@query("upsert_by_external_id", feed_out("error"))
 def upsert_by_external_id(t: Tables):
     out = mu.upsert_by_external_id(
         customer_feed(t), "key", "line", t.role("customer_e"), feed_mappings(t), ["name", "segment"]
@@ -239,7 +238,7 @@ def open_catalog(t: Tables) -> Catalog:
     return Catalog(schema, {"Customer": table}, write_log=t.role("write_e"))
 
 
-@query("run_loader", FEED_OUT.replace("'error' ELSE", "'created' ELSE"))
+@query("run_loader", feed_out("created"))
 def run_loader(t: Tables):
     renamed = lambda since: customer_feed(t).withColumnRenamed("name", "label")
     out = mu.run_loader(
@@ -253,7 +252,8 @@ def run_loader(t: Tables):
     "run_loader_writes",
     """SELECT name, count(*) AS n FROM (
       SELECT CASE WHEN id % 10 = 1 THEN concat(name, '*') ELSE name END AS name FROM customer_e
-      UNION ALL SELECT name FROM customer_e WHERE id % 10 IN (2, 3)) x GROUP BY name""",
+      UNION ALL SELECT name FROM customer_e WHERE id % 10 IN (2, 3)
+      UNION ALL SELECT name FROM customer_e WHERE id % 10 = 3 AND segment = 'BUILDING') x GROUP BY name""",
 )
 def run_loader_writes(t: Tables):
     out = mu.run_loader(
@@ -265,12 +265,12 @@ def run_loader_writes(t: Tables):
 def split_customers(t: Tables):
     schema = Schema(
         (
-            EntityType("Customer", (Slot("name"), Slot("segment"))),
+            EntityType("Customer", (Slot("name"), Slot("segment"), Slot("balance", "double"))),
             EntityType("Client", (Slot("label", required=True),)),
         )
     )
     empty = t.spark.createDataFrame([], "id bigint, is_available boolean, superseded_by bigint, label string")
-    table = t.role("customer_e").select("id", "is_available", "superseded_by", "name", "segment")
+    table = t.role("customer_e").select("id", "is_available", "superseded_by", "name", "segment", "balance")
     return Catalog(schema, {"Customer": table, "Client": empty})
 
 
@@ -278,14 +278,14 @@ def split_customers(t: Tables):
     "migrate_rows",
     """SELECT 'Customer' AS entity_type, id, FALSE AS is_available, CASE WHEN is_available THEN 10000000 + id END AS superseded_by, name AS label FROM customer_e
     UNION ALL SELECT 'Client', 10000000 + id, TRUE, NULL, concat(name, '/a') FROM customer_e WHERE is_available
-    UNION ALL SELECT 'Client', 20000000 + id, TRUE, NULL, concat(name, '/b') FROM customer_e WHERE is_available AND id % 2 = 0""",
+    UNION ALL SELECT 'Client', 20000000 + id, TRUE, NULL, concat(name, '/b') FROM customer_e WHERE is_available AND balance > 5000""",
 )
 def migrate_rows(t: Tables):
     catalog = split_customers(t)
 
     def transform(df):
         first = df.select((F.col("id") + 10_000_000).alias("id"), F.concat("name", F.lit("/a")).alias("label"), F.col("id").alias("predecessor"))
-        second = df.where("id % 2 = 0").select((F.col("id") + 20_000_000).alias("id"), F.concat("name", F.lit("/b")).alias("label"), F.col("id").alias("predecessor"))
+        second = df.where("balance > 5000").select((F.col("id") + 20_000_000).alias("id"), F.concat("name", F.lit("/b")).alias("label"), F.col("id").alias("predecessor"))
         return first.unionByName(second)
 
     out = lc.migrate_rows(catalog, "Customer", "Client", transform, STAMP)
@@ -295,24 +295,24 @@ def migrate_rows(t: Tables):
 
 @query(
     "migration_transform",
-    "SELECT 20000000 + id AS id, upper(name) AS label FROM customer_e WHERE is_available AND id % 2 = 0",
+    "SELECT 20000000 + id AS id, upper(name) AS label FROM customer_e WHERE is_available AND contains(name, '5')",
 )
 def migration_transform(t: Tables):
     """Two hops; the second reads only what the first left live."""
     catalog = split_customers(t)
     hop1 = lambda df: df.select((F.col("id") + 10_000_000).alias("id"), F.col("name").alias("label"), F.col("id").alias("predecessor"))
-    hop2 = lambda df: df.where("id % 2 = 0").select((F.col("id") + 10_000_000).alias("id"), F.upper("label").alias("label"), F.col("id").alias("predecessor"))
+    hop2 = lambda df: df.where("contains(label, '5')").select((F.col("id") + 10_000_000).alias("id"), F.upper("label").alias("label"), F.col("id").alias("predecessor"))
     done = lc.migrate_chain(catalog, [("Customer", "Client", hop1), ("Client", "Client", hop2)], STAMP)
     return done.live("Client").where("id >= 20000000").select("id", "label")
 
 
 @query(
     "load_reference",
-    """SELECT 'log' AS kind, CAST(id AS VARCHAR) AS id, name FROM part_e WHERE id % 2 = 1
-    UNION ALL SELECT 'row', CAST(id AS VARCHAR), CASE WHEN id % 2 = 1 THEN concat(name, ' r2') ELSE name END FROM part_e""",
+    """SELECT 'log' AS kind, CAST(id AS VARCHAR) AS id, name FROM part_e WHERE type = 'PROMO'
+    UNION ALL SELECT 'row', CAST(id AS VARCHAR), CASE WHEN type = 'PROMO' THEN concat(name, ' r2') ELSE name END FROM part_e""",
 )
 def load_reference(t: Tables):
-    release = t.role("part_e").where("id % 2 = 1").select("id", F.concat("name", F.lit(" r2")).alias("name"), "brand", "type", "size", "price")
+    release = t.role("part_e").where("type = 'PROMO'").select("id", F.concat("name", F.lit(" r2")).alias("name"), "brand", "type", "size", "price")
     out, rows = lc.load_reference(t.catalog, "Part", release, "loader9", "v1", STAMP)
     names = t.role("part_e").select(F.col("id").cast("string").alias("entity_id"), "name")
     log = rows.join(names, "entity_id").select(F.lit("log").alias("kind"), F.col("entity_id").alias("id"), "name")
@@ -355,8 +355,7 @@ def evolve_columns(t: Tables):
 @query(
     "backfill_write_log",
     """SELECT loader_name, version, CAST(id AS VARCHAR) AS entity_id, 'Order' AS entity_type FROM (
-      SELECT o_orderkey AS id, concat('loader', CAST(o_orderkey % 3 AS VARCHAR)) AS loader_name, concat('v', CAST(o_custkey % 2 AS VARCHAR)) AS version FROM orders) x
-    WHERE id % 4 <> 0""",
+      SELECT o_orderkey AS id, concat('loader', CAST(o_orderkey % 3 AS VARCHAR)) AS loader_name, concat('v', CAST(o_custkey % 2 AS VARCHAR)) AS version FROM orders WHERE o_orderstatus <> 'P') x""",
 )
 def backfill_write_log(t: Tables):
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -367,7 +366,7 @@ def backfill_write_log(t: Tables):
         )
     )
     nested = t.raw("orders").select(payload.alias("payload"))
-    registry = t.role("order_e").where("id % 4 <> 0").select("id", F.lit("Order").alias("entity_type"))
+    registry = t.catalog.live("Order").select("id", F.lit("Order").alias("entity_type"))
     return lc.backfill_write_log(nested, registry, "2024-01-01 00:00:00").drop("written_at")
 
 
@@ -431,7 +430,7 @@ def stream_updated_since(t: Tables):
     return jobs.latest_of(feed, ["entity_id"]).select("entity_id", "created_at", "updated_at")
 
 
-@query("stream_upsert", FEED_OUT)
+@query("stream_upsert", feed_out("error"))
 def stream_upsert(t: Tables):
     path, out = scratch_path(t.spark, "feed-in"), scratch_path(t.spark, "feed-out")
     feed = customer_feed(t)

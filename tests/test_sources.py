@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.model import EntityType, QueryError, Schema, Slot
-from stratalog.operators import mutate as mu
 from stratalog.operators import read as rd
 from stratalog.sources import readers as src
 from stratalog.sources import sinks

@@ -1,0 +1,67 @@
+"""Stems of the published sample vocabulary, and the search built on them."""
+
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from stratalog.functions import text as tx
+from stratalog.functions.stem import IRREGULAR, STEP_2, STEP_3, STEP_4, STOP_WORDS, stem, stem_prefix
+from stratalog.operators import search as se
+
+SAMPLE = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist
+consistency consist consistent consist consistently consist consisting consist consists consist consolation consol
+consolations consol consolatory consolatori console consol consoled consol consoles consol consolidate consolid
+consolidated consolid consolidating consolid consoling consol consolingly consol consols consol consonant conson
+consort consort consorted consort consorting consort conspicuous conspicu conspicuously conspicu conspiracy conspiraci
+conspirator conspir conspirators conspir conspire conspir conspired conspir conspiring conspir constable constabl
+constables constabl constance constanc constancy constanc constant constant knack knack knackeries knackeri knacks knack
+knag knag knave knave knaves knave knavish knavish kneaded knead kneading knead knee knee kneel kneel kneeled kneel
+kneeling kneel kneels kneel knees knee knell knell knelt knelt knew knew knick knick knif knif knife knife knight knight
+knightly knight knights knight knit knit knits knit knitted knit knitting knit knives knive knob knob knobs knob
+knock knock knocked knock knocker knocker knockers knocker knocking knock knocks knock knopp knopp knot knot knots knot
+hopping hop hoping hope cried cri cries cri ties tie by by say say generously generous happy happi running run
+relational relat conditional condit rational ration""".split()
+
+
+@pytest.mark.parametrize("word, want", list(zip(SAMPLE[::2], SAMPLE[1::2])))
+def test_published_stems(word, want):
+    assert stem(word) == want
+
+
+suffixes = [s for s, _ in STEP_2 + STEP_3] + STEP_4 + ["ing", "ed", "ingly", "edly", "s", "ies", "ied", "y", "e", "eed", "sses", ""]
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text("abeilnsty", min_size=0, max_size=6), st.lists(st.sampled_from(suffixes), max_size=2))
+def test_words_start_like_their_stem(root, tail):
+    word = root + "".join(tail)
+    if word:
+        assert word.startswith(stem_prefix(stem(word)))
+
+
+def test_irregular_words_start_like_their_stem():
+    assert all(w.startswith(stem_prefix(s)) for w, s in IRREGULAR.items())
+
+
+def test_stop_word_count():
+    assert len(STOP_WORDS) == 127
+
+
+def test_stemmed_search_matches_brute_force(spark):
+    rng = random.Random(1)
+    words = ["run", "running", "runs", "runner", "story", "stories", "the", "cat", "cats", "catty", "hop", "hoping"]
+    docs = [(i, rng.random() < 0.9, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))) for i in range(200)]
+    df = spark.createDataFrame(docs, "id bigint, is_available boolean, body string")
+    for query in ("running the story", "Cats", "hoped run", "the of"):
+        stems = {stem(w) for w in tx.query_tokens(query) if w not in STOP_WORDS}
+        want = {}
+        for i, live, body in docs:
+            found = [stem(w) for w in body.split()]
+            if live and stems and stems <= set(found):
+                mean = sum(found.count(s) for s in stems) / len(stems)
+                want[i] = 1 - 1 / (1 + mean)
+        got = {r.entity_id: r.score for r in se.search_stemmed_and(df, "body", query, 1000).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[i] - want[i] / max(want.values())) < 1e-9 for i in want)
