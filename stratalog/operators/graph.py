@@ -121,8 +121,6 @@ def neighbors(
     live_ids = union_all(
         [catalog.live(n).select("id", F.lit(n).alias("entity_type")) for n in catalog.tables]
     )
-    if live_ids.where(F.col("id") == F.lit(entity_id)).isEmpty():
-        raise QueryError(f"{entity_id!r} not found")
     edges = all_edges(catalog)
     seen, frontier, expanded, truncated = [entity_id], [entity_id], [], False
     for _ in range(depth):
@@ -147,6 +145,8 @@ def neighbors(
         seen.extend(frontier)
     nodes = live_ids.where(F.col("id").isin(seen))
     alive = [r[0] for r in nodes.select("id").collect()]  # at most node_budget ids
+    if entity_id not in alive:
+        raise QueryError(f"{entity_id!r} not found")
     met = edges.where(
         (F.col("source_id").isin(expanded) | F.col("target_id").isin(expanded))
         & F.col("source_id").isin(alive)

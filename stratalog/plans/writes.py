@@ -345,7 +345,7 @@ def prune_loader(t: Tables):
     )
 
 
-@query("evolve_columns", "SELECT id, name, CAST(7 AS BIGINT) AS rank, NULL AS note FROM supplier_e")
+@query("evolve_columns", "SELECT id, name, CAST(7 AS BIGINT) AS rank, CAST(NULL AS VARCHAR) AS note FROM supplier_e")
 def evolve_columns(t: Tables):
     schema = Schema((EntityType("Supplier", (Slot("name"), Slot("rank", "integer", required=True, default=7), Slot("note"))),))
     table, added, warnings = lc.evolve_columns(t.role("supplier_e").select("id", "name"), schema, "Supplier")
