@@ -200,6 +200,17 @@ def test_default_order_is_created_at(catalog):
     assert rd.query(catalog, "Specimen", date_from="2024-05-02 00:00:00").count() == 0
 
 
+def test_decimals_compare_exactly(spark):
+    from pyspark.sql import types as T
+
+    from stratalog.functions.predicates import leaf as make
+
+    kind = T.DecimalType(38, 18)
+    df = spark.createDataFrame([("0.1",), ("0.10000000000000001",), ("0.2",)], "t string").select(F.col("t").cast(kind).alias("d"))
+    for value, n in (("0.1", 1), ("0.10000000000000001", 1), (0.2, 1), ("x", 0), ("NaN", 0)):
+        assert df.where(make(F.col("d"), kind, "eq", value)).count() == n
+
+
 def test_get_one(catalog):
     assert rd.get_one(catalog, "Specimen", "s1").created_by == "ann"
     with pytest.raises(QueryError):
