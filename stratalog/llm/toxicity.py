@@ -14,17 +14,18 @@ from .common import WordHashes, fold, pinned, slices
 
 #: Expected bound of labelled rows a model learns from; beyond it a hash of the id draws them.
 LABELLED_ROWS = 200_000
-#: Buckets for words and word pairs: the model has this size for any corpus.
-WORD_BITS, PAIR_BITS = 16, 18
+#: Buckets for words, for their contexts and for word pairs: the model has this size for any corpus.
+WORD_BITS, CONTEXT_BITS, PAIR_BITS = 20, 15, 18
 #: Classes of neighbours, a bit each, from which the number of different neighbours is estimated.
 CONTEXTS = 256
-#: Counts lose this much to the backoff; more than 1, as single occurrences say nothing about a class.
-DISCOUNT = 1.5
+#: What counts of words and of pairs lose to the backoff: single words and all but frequent pairs say
+#: nothing about a class that a sample of labels could show.
+DISCOUNT, PAIR_DISCOUNT = 1.5, 100.0
 #: Weight of the shared distribution in a class's word model, the same for both classes,
 #: so that words unseen in either say nothing.
 SHARED = 0.5
-#: Gain of a word that counts as evidence beyond the mean.
-EVIDENCE = 1.0
+#: Log gain at which a word counts as evidence beyond the mean, and the most it adds.
+EVIDENCE, MOST_EVIDENCE = 1.5, 2.0
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 THRESHOLD = 0.5
 
@@ -54,51 +55,50 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_PUNCTUATION).split()
 
 
-def _keys(hashes: WordHashes, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets, pair buckets and context classes of the words, in order."""
+def _keys(hashes: WordHashes, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word, context and pair buckets and context classes of the words, in order."""
     h = hashes(_words(text))
     left = np.concatenate([np.zeros(1, np.uint64), h])[: len(h)]
     words = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     pairs = (fold(left * np.uint64(0x9E3779B97F4A7C15) + h) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    return words, pairs, (h % np.uint64(CONTEXTS)).astype(np.int64)
+    return words, words >> (WORD_BITS - CONTEXT_BITS), pairs, (h % np.uint64(CONTEXTS)).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a partition: for each bucket its numbers per class and its neighbours' bits."""
     hashes = WordHashes()
-    size, pair_size = 1 << WORD_BITS, 1 << PAIR_BITS
+    size, pair_size = 1 << CONTEXT_BITS, 1 << PAIR_BITS
     before = np.zeros((size, CONTEXTS), dtype=bool)
-    after = np.zeros((size, CONTEXTS), dtype=bool)
-    words = np.zeros((2, size), dtype=np.int64)
+    after = np.zeros((2, size, CONTEXTS), dtype=bool)
+    words = np.zeros((2, 1 << WORD_BITS), dtype=np.int64)
     pairs = np.zeros((2, pair_size), dtype=np.int64)
-    lefts = np.zeros((3, size), dtype=np.int64)  # words that follow, by class and in all texts
+    lefts = np.zeros((2, size), dtype=np.int64)  # words that follow
     for batch in slices(batches):
         texts, labels = batch.column("text").to_pylist(), batch.column("label").to_pylist()
         found = [_keys(hashes, t) for t in texts]
-        first = np.concatenate([w[:-1] for w, _, _ in found])
-        before[np.concatenate([w[1:] for w, _, _ in found]), np.concatenate([c[:-1] for _, _, c in found])] = True
-        after[first, np.concatenate([c[1:] for _, _, c in found])] = True
-        lefts[2] += np.bincount(first, minlength=size)
+        before[np.concatenate([v[1:] for _, v, _, _ in found]), np.concatenate([c[:-1] for *_, c in found])] = True
         for label in (0, 1):
             own = [x for x, y in zip(found, labels) if y == label]
             if own:
-                words[label] += np.bincount(np.concatenate([w for w, _, _ in own]), minlength=size)
-                pairs[label] += np.bincount(np.concatenate([p for _, p, _ in own]), minlength=pair_size)
-                lefts[label] += np.bincount(np.concatenate([w[:-1] for w, _, _ in own]), minlength=size)
-    seen = np.concatenate([before, after], axis=1).reshape(size, len(_BITS), 64)
+                np.add.at(words[label], np.concatenate([w for w, *_ in own]), 1)
+                pairs[label] += np.bincount(np.concatenate([p for _, _, p, _ in own]), minlength=pair_size)
+                first = np.concatenate([v[:-1] for _, v, _, _ in own])
+                lefts[label] += np.bincount(first, minlength=size)
+                after[label, first, np.concatenate([c[1:] for *_, c in own])] = True
+    seen = np.concatenate([before, *after], axis=1).reshape(size, len(_BITS), 64)
     bits = np.packbits(seen, axis=2).view(">i8")[:, :, 0].astype(np.int64)
-    for kind, table in (("w", np.vstack([words, lefts])), ("p", pairs)):
+    for kind, table in (("word", words), ("context", lefts), ("pair", pairs)):
         at = np.flatnonzero(table.any(axis=0))
         columns = {"kind": pa.array([kind] * len(at)), "bucket": pa.array(at.astype(np.int32))}
-        for i in range(5):
-            columns[f"n{i}"] = pa.array(table[i, at] if i < len(table) else np.zeros(len(at), np.int64))
+        for i in range(len(_COUNTS)):
+            columns[f"n{i}"] = pa.array(table[i, at])
         for i in range(len(_BITS)):
-            columns[f"b{i}"] = pa.array(bits[at, i] if kind == "w" else np.zeros(len(at), np.int64))
+            columns[f"b{i}"] = pa.array(bits[at, i] if kind == "context" else np.zeros(len(at), np.int64))
         yield from pa.table(columns).to_batches(max_chunksize=8192)
 
 
-_COUNTS = [f"n{i}" for i in range(5)]
-_BITS = [f"b{i}" for i in range(2 * CONTEXTS // 64)]
+_COUNTS = [f"n{i}" for i in range(2)]
+_BITS = [f"b{i}" for i in range(3 * CONTEXTS // 64)]
 
 
 @dataclass
@@ -106,28 +106,28 @@ class Model:
     """Probabilities by bucket for class 0 and 1, and the calibration."""
 
     words: np.ndarray  # (2, words): probability of a word in a class, backed off to the shared one
-    lefts: np.ndarray  # (2, words): words that follow it
+    lefts: np.ndarray  # (2, contexts): words that follow
     pairs: np.ndarray  # (2, pairs): discounted counts
-    backoff: np.ndarray  # (words,): weight of the word model after it, from counts over all texts
+    backoff: np.ndarray  # (2, contexts): weight of the word model after a word
     bias: float = -2.0
     slopes: tuple = (0.0, 0.0, 1.0, 0.0)
 
     def features(self, hashes: WordHashes, text: str | None) -> tuple[float, float, float, float]:
         """Log-likelihood ratio of toxic to ordinary by the length and by its root, for all
         words and for what single words give beyond ``EVIDENCE``."""
-        w, p, _ = _keys(hashes, text)
+        w, v, p, _ = _keys(hashes, text)
         n = len(w)
         if not n:
             return 0.0, 0.0, 0.0, 0.0
-        left = w[:-1]
+        left = v[:-1]
         out = []
         for c in (0, 1):
             chance = self.words[c][w]
             kept = self.pairs[c][p[1:]] / np.maximum(self.lefts[c][left], 1)
-            chance[1:] = np.minimum(kept, 1) + self.backoff[left] * chance[1:]
+            chance[1:] = np.minimum(kept, 1) + self.backoff[c][left] * chance[1:]
             out.append(np.log(chance))
         gap = out[1] - out[0]
-        over = float(np.maximum(gap - EVIDENCE, 0).sum())
+        over = float(np.clip(gap - EVIDENCE, 0, MOST_EVIDENCE).sum())
         total, root = float(gap.sum()), float(np.sqrt(n))
         return total / n, total / root, over / n, over / root
 
@@ -142,26 +142,29 @@ def _estimated(bits: np.ndarray) -> np.ndarray:
 
 def _build(counts) -> Model:
     """Model arrays from the summed counts (a pandas frame of bounded size)."""
-    size, pair_size = 1 << WORD_BITS, 1 << PAIR_BITS
-    w, p = counts[counts.kind == "w"], counts[counts.kind == "p"]
-    table = np.zeros((5, size))
-    table[:, w.bucket] = w[_COUNTS].to_numpy().T
-    neighbours = np.zeros((2, size))
-    raw = np.ascontiguousarray(w[_BITS].to_numpy(np.int64)).view(np.uint8)
-    ones = np.unpackbits(raw, axis=1).reshape(len(w), 2, CONTEXTS).sum(axis=2)
-    neighbours[:, w.bucket] = _estimated(ones).T
-    pairs = np.zeros((2, pair_size))
-    pairs[:, p.bucket] = p[["n0", "n1"]].to_numpy().T
-    shared = (neighbours[0] + 0.5) / (neighbours[0] + 0.5).sum()
-    words = []
-    for c in (0, 1):
-        kept = np.maximum(table[c] - DISCOUNT, 0)
-        words.append((1 - SHARED) * kept / max(1.0, kept.sum()) + SHARED * shared)
-    backoff = np.clip(DISCOUNT * np.maximum(neighbours[1], 1) / np.maximum(table[4], 1), 1e-3, 1)
+
+    def table(kind: str, bits: int) -> np.ndarray:
+        own = counts[counts.kind == kind]
+        out = np.zeros((2, 1 << bits))
+        out[:, own.bucket] = own[_COUNTS].to_numpy().T
+        return out
+
+    words, pairs, lefts = table("word", WORD_BITS), table("pair", PAIR_BITS), table("context", CONTEXT_BITS)
+    own = counts[counts.kind == "context"]
+    raw = np.ascontiguousarray(own[_BITS].to_numpy(np.int64)).view(np.uint8)
+    ones = np.unpackbits(raw, axis=1).reshape(len(own), 3, CONTEXTS).sum(axis=2)
+    neighbours = np.zeros((3, 1 << CONTEXT_BITS))
+    neighbours[:, own.bucket] = _estimated(ones).T
+    # a context bucket holds this many word buckets, which share its chance evenly
+    shared = np.repeat(neighbours[0] + 0.5, 1 << (WORD_BITS - CONTEXT_BITS))
+    shared /= shared.sum()
+    kept = np.maximum(words - DISCOUNT, 0)
+    kept /= np.maximum(kept.sum(axis=1, keepdims=True), 1.0)
+    backoff = np.clip(PAIR_DISCOUNT * np.maximum(neighbours[1:], 1) / np.maximum(lefts, 1), 0.05, 1)
     return Model(
-        np.array(words, dtype=np.float64),
-        table[2:4].astype(np.float32),
-        np.maximum(pairs - DISCOUNT, 0).astype(np.float32),
+        (1 - SHARED) * kept + SHARED * shared,
+        lefts.astype(np.float32),
+        np.maximum(pairs - PAIR_DISCOUNT, 0).astype(np.float32),
         backoff.astype(np.float32),
     )
 
