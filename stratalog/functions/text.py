@@ -50,6 +50,20 @@ def tokens(col: Column) -> Column:
     return F.filter(F.split(fold(col), TOKEN_GAP), lambda t: t != "")
 
 
+#: Fixed value: endings that a stem of at least three letters drops.
+ENDING = r"^(.{3,}?)(ings|ing|edly|ed|ly|es|s)$"
+
+
+def light_stem(token: Column) -> Column:
+    """The token without its ending."""
+    return F.regexp_replace(token, ENDING, "$1")
+
+
+def light_stem_of(token: str) -> str:
+    """The same for a query word."""
+    return re.sub(ENDING, r"\1", token)
+
+
 def token_count(folded: Column) -> Column:
     return F.length(folded) - F.length(F.replace(folded, F.lit(" "), F.lit(""))) - 1
 

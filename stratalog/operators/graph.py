@@ -1,8 +1,8 @@
 """Multi-hop walks over the edge table.
 
 Each hop is one join; ``stable`` cuts the lineage between hops, so a lost
-executor costs one hop and the plan does not grow with depth. Only bounded
-things reach the driver: a frontier under the node budget, or a row count.
+executor costs one hop and the plan does not grow with depth. Frontiers and
+layers stay DataFrames; the driver sees only whether a layer is empty.
 """
 
 from __future__ import annotations
@@ -16,47 +16,49 @@ from pyspark.sql import functions as F
 from ..model import Catalog, QueryError, union_all
 from ..runtime import stable
 from .links import column_edges, union_edge_stores
-from .temporal import live_edges_at, state_at
-
-MAX_WALK_DEPTH = 100
-MAX_NEIGHBOR_DEPTH = 5
-NODE_BUDGET = 1000
+from .temporal import live_edges_at, state_at, temporal_summary_of
 
 WALK_COLUMNS = ("id", "source_id", "target_id", "relationship_type")
 
 
+def _checked_depth(depth: int) -> int:
+    if depth < 1:
+        raise QueryError(f"depth must be at least 1, got {depth}")
+    return depth
+
+
 def traverse(
     edges: DataFrame, source_id: Any, relationship_type: str | None = None, max_depth: int = 10
 ) -> DataFrame:
-    """Every directed walk from a start, one row per walk, duplicates kept.
+    """Directed walks from a start: one row per (edge, depth) with their number.
 
     ``edges`` holds live edges. The first hop obeys ``relationship_type``, later
-    hops follow any edge. Walk ends are carried with a multiplicity, so a hop
-    joins each distinct end node once however many walks reach it; the rows are
-    repeated only in the output.
+    hops follow any edge. ``walks`` counts the walks that end with the edge at that
+    depth, so a hop joins each distinct end node once however many reach it. The
+    walk goes as deep as asked or until no edge leaves the last ends.
     """
-    depth_limit = max(1, min(max_depth, MAX_WALK_DEPTH))
     steps = edges.select(*WALK_COLUMNS)
     hop = steps.where(F.col("source_id") == F.lit(source_id))
     if relationship_type is not None:
         hop = hop.where(F.col("relationship_type") == relationship_type)
-    hop = hop.withColumn("walks", F.lit(1).cast("long")).withColumn("depth", F.lit(1))
+    hop = hop.withColumn("depth", F.lit(1)).withColumn("walks", F.lit(1).cast("long"))
     levels = []
-    for depth in range(1, depth_limit + 1):
+    for depth in range(1, _checked_depth(max_depth) + 1):
         hop = stable(hop)
         if hop.isEmpty():
             break
         levels.append(hop)
         ends = hop.groupBy(F.col("target_id").alias("source_id")).agg(F.sum("walks").alias("walks"))
         # Written out, the ends are a plain join side: a hot source can be split.
-        hop = steps.join(stable(ends), "source_id").select(
-            *WALK_COLUMNS, "walks", F.lit(depth + 1).alias("depth")
-        )
-    if not levels:
-        return hop.select(*WALK_COLUMNS, "depth")
-    # One output row per walk: repeat in blocks so no single row expands alone.
+        hop = steps.join(stable(ends), "source_id").select(*WALK_COLUMNS, F.lit(depth + 1).alias("depth"), "walks")
+    return union_all(levels) if levels else hop
+
+
+def walk_rows(counted: DataFrame) -> DataFrame:
+    """The walks of :func:`traverse` as rows, one for each walk: the number of rows
+    can grow with the power of the depth. Rows repeat in blocks, so that no single
+    one expands alone."""
     block = 10_000
-    counted = union_all(levels)
     blocks = counted.withColumn(
         "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("walks") - 1, F.lit(block).cast("long")))
     )
@@ -65,12 +67,6 @@ def traverse(
     ).select(*WALK_COLUMNS, "depth")
 
 
-def traverse_counts(edges: DataFrame, source_id: Any, relationship_type: str | None = None, max_depth: int = 10) -> DataFrame:
-    """The same walks as one row per (edge, depth) with their number."""
-    walks = traverse(edges, source_id, relationship_type, max_depth)
-    return walks.groupBy(*WALK_COLUMNS, "depth").agg(F.count("*").alias("walks"))
-
-
 def traverse_as_of(
     log: DataFrame, source_id: Any, as_of: Any, relationship_type: str | None = None, max_depth: int = 10
 ) -> DataFrame:
@@ -107,67 +103,12 @@ def _distinct_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def neighbors(
-    catalog: Catalog, entity_id: Any, depth: int = 1, node_budget: int = NODE_BUDGET
-) -> Neighborhood:
-    """Undirected neighbourhood over link and foreign-key edges.
-
-    Ids must be unique across the catalog's classes. The node budget bounds every
-    id list, so the lists stay on the driver and each hop is one filtered scan
-    without a join. The layer that overflows the budget keeps its lowest ids and
-    ``notices`` says so. Edges are those met while expanding, both ends live.
-    """
-    depth = max(1, min(depth, MAX_NEIGHBOR_DEPTH))
-    live_ids = union_all(
-        [catalog.live(n).select("id", F.lit(n).alias("entity_type")) for n in catalog.tables]
-    )
-    edges = all_edges(catalog)
-    seen, frontier, expanded, truncated = [entity_id], [entity_id], [], False
-    for _ in range(depth):
-        if not frontier or truncated:
-            break
-        expanded.extend(frontier)
-        leaving, arriving = F.col("source_id").isin(frontier), F.col("target_id").isin(frontier)
-        around = edges.where(leaving | arriving).select(
-            F.explode(
-                F.array_compact(
-                    F.array(F.when(leaving, F.col("target_id")), F.when(arriving, F.col("source_id")))
-                )
-            ).alias("id")
-        )
-        room = max(node_budget - len(seen), 0)
-        fresh = [
-            r[0]
-            for r in around.where(~F.col("id").isin(seen)).distinct().orderBy("id").limit(room + 1).collect()
-        ]
-        truncated = len(fresh) > room
-        frontier = fresh[:room]
-        seen.extend(frontier)
-    nodes = live_ids.where(F.col("id").isin(seen))
-    alive = [r[0] for r in nodes.select("id").collect()]  # at most node_budget ids
-    if entity_id not in alive:
-        raise QueryError(f"{entity_id!r} not found")
-    met = edges.where(
-        (F.col("source_id").isin(expanded) | F.col("target_id").isin(expanded))
-        & F.col("source_id").isin(alive)
-        & F.col("target_id").isin(alive)
-    )
-    notices = [f"truncated at the budget of {node_budget} nodes"] if truncated else []
-    return Neighborhood(nodes, _distinct_edges(met), ["LINK_TABLE", "COLUMN"], notices)
-
-
-def neighbors_as_of(log: DataFrame, entity_id: Any, as_of: Any, depth: int = 1) -> Neighborhood:
-    """Neighbourhood over link edges live at ``as_of``; nodes are states then.
-
-    There is no node budget here, so layers stay DataFrames and grow by joins.
-    """
-    depth = max(1, min(depth, MAX_NEIGHBOR_DEPTH))
-    edges = stable(live_edges_at(log, as_of).select("source_id", "target_id", "relationship_type"))
+def _layers(edges: DataFrame, entity_id: Any, depth: int) -> tuple[DataFrame, DataFrame]:
+    """``(expanded, seen)`` ids of a breadth-first walk that ignores direction."""
     kind = edges.schema["source_id"].dataType
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(entity_id,)], f"id {kind.simpleString()}")
+    seen = edges.sparkSession.createDataFrame([(entity_id,)], f"id {kind.simpleString()}")
     frontier, layers = seen, []
-    for _ in range(depth):
+    for _ in range(_checked_depth(depth)):
         layers.append(frontier)
         around = _ends(edges, "source_id", "target_id", frontier).unionByName(
             _ends(edges, "target_id", "source_id", frontier)
@@ -176,19 +117,58 @@ def neighbors_as_of(log: DataFrame, entity_id: Any, as_of: Any, depth: int = 1)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    wanted = seen.select(F.col("id").cast(log.schema["entity_id"].dataType).alias("entity_id"))
-    states = state_at(log, as_of).join(wanted, "entity_id", "left_semi")
-    nodes = states.select(F.col("entity_id").cast(kind).alias("id"), "state")
-    opened = union_all(layers).select(F.col("id").alias("_id"))
-    ends = nodes.select(F.col("id").alias("_end"))
-    met = (
+    return union_all(layers), seen
+
+
+def _met(edges: DataFrame, expanded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges that touch an expanded id and end in ``nodes`` on both sides."""
+    opened, ends = expanded.select(F.col("id").alias("_id")), nodes.select(F.col("id").alias("_end"))
+    return (
         edges.join(opened, F.col("source_id") == F.col("_id"), "left_semi")
         .unionByName(edges.join(opened, F.col("target_id") == F.col("_id"), "left_semi"))
         .distinct()
         .join(ends, F.col("source_id") == F.col("_end"), "left_semi")
         .join(ends, F.col("target_id") == F.col("_end"), "left_semi")
-        .withColumn("edge_source", F.lit("LINK_TABLE"))
     )
+
+
+def neighbors(catalog: Catalog, entity_id: Any, depth: int = 1) -> Neighborhood:
+    """Undirected neighbourhood over link and foreign-key edges, whole.
+
+    Ids must be unique across the catalog's classes. The edges of all stores are
+    written once; each layer is a semi join with them and an anti join with what
+    was seen. Edges are those met while expanding, both ends live.
+    """
+    live_ids = union_all(
+        [catalog.live(n).select("id", F.lit(n).alias("entity_type")) for n in catalog.tables]
+    )
+    if live_ids.where(F.col("id") == F.lit(entity_id)).isEmpty():
+        raise QueryError(f"{entity_id!r} not found")
+    edges = stable(_distinct_edges(all_edges(catalog)))
+    expanded, seen = _layers(edges, entity_id, depth)
+    nodes = live_ids.join(seen, "id", "left_semi")
+    return Neighborhood(nodes, _met(edges, expanded, nodes), ["LINK_TABLE", "COLUMN"])
+
+
+def node_rows(catalog: Catalog, found: Neighborhood, entity_type: str) -> DataFrame:
+    """The neighbourhood's entities of a class, with their data and temporal fields."""
+    ids = found.nodes.where(F.col("entity_type") == entity_type).select("id")
+    rows = catalog.live(entity_type).join(ids, "id", "left_semi")
+    if catalog.log is None:
+        return rows
+    times = temporal_summary_of(catalog.log, ids.select(F.col("id").alias("entity_id")))
+    return rows.join(times.withColumnRenamed("entity_id", "id"), "id", "left")
+
+
+def neighbors_as_of(log: DataFrame, entity_id: Any, as_of: Any, depth: int = 1) -> Neighborhood:
+    """Neighbourhood over link edges live at ``as_of``; nodes are states then."""
+    edges = stable(live_edges_at(log, as_of).select("source_id", "target_id", "relationship_type"))
+    kind = edges.schema["source_id"].dataType
+    expanded, seen = _layers(edges, entity_id, depth)
+    wanted = seen.select(F.col("id").cast(log.schema["entity_id"].dataType).alias("entity_id"))
+    states = state_at(log, as_of).join(wanted, "entity_id", "left_semi")
+    nodes = states.select(F.col("entity_id").cast(kind).alias("id"), "state")
+    met = _met(edges, expanded, nodes).withColumn("edge_source", F.lit("LINK_TABLE"))
     return Neighborhood(nodes, met, ["LINK_TABLE"], ["as-of neighbourhoods cover link-table edges only"])
 
 
@@ -196,34 +176,23 @@ def supersession_chain(entities: DataFrame, starts: DataFrame | None = None) ->
     """``(id, hop, replacement)`` following ``superseded_by`` from each start.
 
     Every superseded entity is a start by default. A chain stops at the first
-    entity that is not superseded, or that it has already met.
+    entity that is not superseded, or that it has already met. The reach of all
+    entities doubles in each round, so the number of joins grows with the logarithm
+    of the longest chain; what a chain meets again loses to its first visit.
     """
-    links = entities.where(F.col("superseded_by").isNotNull()).select(
-        F.col("id").alias("_from"), F.col("superseded_by").alias("_next")
+    reach = entities.where(F.col("superseded_by").isNotNull() & (F.col("superseded_by") != F.col("id"))).select(
+        "id", F.lit(1).cast("long").alias("hop"), F.col("superseded_by").alias("replacement")
     )
-    begin = links if starts is None else links.join(
-        starts.select(F.col("id").alias("_from")), "_from", "left_semi"
-    )
-    hop = begin.select(
-        F.col("_from").alias("id"),
-        F.lit(1).alias("hop"),
-        F.col("_next").alias("replacement"),
-        F.array("_from", "_next").alias("path"),
-    ).where(F.col("id") != F.col("replacement"))
-    levels = []
+    reach, span = stable(reach), 1
     while True:
-        hop = stable(hop)
-        if hop.isEmpty():
+        last = reach.where(F.col("hop") == span)
+        ahead = reach.select(F.col("id").alias("replacement"), F.col("hop").alias("more"), F.col("replacement").alias("next"))
+        longer = last.join(ahead, "replacement").select("id", (F.col("hop") + F.col("more")).alias("hop"), F.col("next").alias("replacement"))
+        longer = longer.where(F.col("id") != F.col("replacement"))
+        both = reach.unionByName(longer).groupBy("id", "replacement").agg(F.min("hop").alias("hop"))
+        reach, span = stable(both.select("id", "hop", "replacement")), 2 * span
+        if reach.where(F.col("hop") == span).isEmpty():
             break
-        levels.append(hop)
-        hop = (
-            hop.join(links, F.col("replacement") == F.col("_from"))
-            .where(~F.array_contains("path", F.col("_next")))
-            .select(
-                "id",
-                (F.col("hop") + 1).alias("hop"),
-                F.col("_next").alias("replacement"),
-                F.concat("path", F.array("_next")).alias("path"),
-            )
-        )
-    return (union_all(levels) if levels else hop).drop("path")
+    if starts is not None:
+        reach = reach.join(starts.select("id"), "id", "left_semi")
+    return reach.select("id", F.col("hop").cast("int").alias("hop"), "replacement")

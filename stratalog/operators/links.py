@@ -42,48 +42,39 @@ def multi_refs(catalog: Catalog, entity_type: str) -> DataFrame:
     )
 
 
-def hydrate_multi_refs(catalog: Catalog, entity_type: str, list_size: int = 10_000) -> DataFrame:
-    """Each live entity with its target ids per slot, in insertion order.
+def hydrate_multi_refs(catalog: Catalog, entity_type: str) -> DataFrame:
+    """Each live entity with its targets in the long form: a row per slot and target.
 
-    A list never grows past ``list_size``: the targets of a larger entity come as
-    several rows numbered by ``part``, so ``part = 0`` is the whole list of
-    every ordinary entity and nothing is lost for a hot one.
+    ``ordinal`` counts the targets of a slot in insertion order from 0; an entity
+    without targets has one row with NULLs. The grain is the same for any number of
+    targets; a caller that wants lists collects them by ordinal.
     """
     refs = multi_refs(catalog, entity_type)
-    placed = position_in_group(refs, ["id", "slot"], ["created_at", "edge_id"], list_size)
-    # Lists do not shrink on the map side; shuffling first spreads their building.
-    lists = (
-        placed.repartition("id", "slot", "part")
-        .groupBy("id", "slot", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("created_at", "edge_id", "target_id"))).alias("refs"))
-        .select("id", "slot", "part", F.col("refs.target_id").alias("targets"))
-    )
-    return catalog.live(entity_type).join(lists, "id", "left")
+    placed = position_in_group(refs, ["id", "slot"], ["created_at", "edge_id", "target_id"])
+    return catalog.live(entity_type).join(placed.select("id", "slot", "ordinal", "target_id"), "id", "left")
 
 
-def expand_path(
-    catalog: Catalog, entity_type: str, path: str, list_size: int = 10_000
-) -> DataFrame:
+def expand_path(catalog: Catalog, entity_type: str, path: str) -> DataFrame:
     """Resolve ``a.b.c`` level by level into nested structs.
 
-    Single-valued steps become a struct (NULL when dangling), multivalued steps
-    a list of structs in parts of at most ``list_size``. Only live targets
-    resolve. The deepest step is built first so each level joins once.
+    Single-valued steps become a struct (NULL when dangling). A multivalued step
+    gives a row per target with its struct and its ordinal among the live targets,
+    NULLs when there is none. The deepest step is built first so each level joins once.
     """
     steps = path.split(".")
     if len(set(steps)) != len(steps) and len(steps) > 10:
         raise QueryError(f"expand path {path!r} is too deep")
-    return _expand(catalog, entity_type, steps, catalog.live(entity_type), list_size)
+    return _expand(catalog, entity_type, steps, catalog.live(entity_type))
 
 
-def _expand(catalog: Catalog, entity_type: str, steps: list[str], rows: DataFrame, list_size: int) -> DataFrame:
+def _expand(catalog: Catalog, entity_type: str, steps: list[str], rows: DataFrame) -> DataFrame:
     if not steps:
         return rows
     slots = catalog.schema.slots(entity_type)
     slot = slots.get(steps[0])
     if slot is None or slot.reference is None:
         raise QueryError(f"{steps[0]!r} is not a reference slot of {entity_type}")
-    children = _expand(catalog, slot.reference, steps[1:], catalog.live(slot.reference), list_size)
+    children = _expand(catalog, slot.reference, steps[1:], catalog.live(slot.reference))
     child = children.select(F.col("id").alias("_target"), F.struct(*children.columns).alias("_child"))
     name = f"{slot.name}_expanded"
     if not slot.multivalued:
@@ -98,27 +89,13 @@ def _expand(catalog: Catalog, entity_type: str, steps: list[str], rows: DataFram
         .select(F.col("source_id").alias("_source"), F.col("target_id").alias("_target"),
                 F.col("created_at").alias("_at"), F.col("id").alias("_edge"))
     )
-    # Parts are cut on the narrow edge rows; the targets join afterwards.
-    placed = position_in_group(edges, ["_source"], ["_at", "_edge"], list_size)
-    lists = (
-        placed.join(child, "_target")
-        .withColumnRenamed("part", f"{slot.name}_part")
-        .repartition("_source", f"{slot.name}_part")
-        .groupBy("_source", f"{slot.name}_part")
-        .agg(F.collect_list(F.struct("_at", "_edge", "_child")).alias("_items"))
-        .select(
-            "_source", f"{slot.name}_part",
-            F.transform(
-                F.array_sort("_items", lambda a, b: _by_edge(a, b)), lambda x: x["_child"]
-            ).alias(name),
-        )
+    # Only live targets are numbered, on the narrow edge rows; the targets join afterwards.
+    live = catalog.live(slot.reference).select(F.col("id").alias("_target"))
+    placed = position_in_group(edges.join(live, "_target", "left_semi"), ["_source"], ["_at", "_edge", "_target"])
+    targets = placed.join(child, "_target").select(
+        "_source", F.col("ordinal").alias(f"{slot.name}_ordinal"), F.col("_child").alias(name)
     )
-    return rows.join(lists, F.col("id") == F.col("_source"), "left").drop("_source")
-
-
-def _by_edge(a, b):
-    left, right = F.struct(a["_at"], a["_edge"]), F.struct(b["_at"], b["_edge"])
-    return F.when(left < right, -1).when(left > right, 1).otherwise(0)
+    return rows.join(targets, F.col("id") == F.col("_source"), "left").drop("_source")
 
 
 def resolve_types(catalog: Catalog, ids: DataFrame) -> DataFrame:

@@ -8,43 +8,24 @@ from pyspark.sql import functions as F
 from ..runtime import stable
 
 
-def position_in_group(
-    df: DataFrame, keys: list[str], order: list[str], part_size: int
-) -> DataFrame:
-    """Add ``part``: the 0-based position in the group divided by ``part_size``.
+def position_in_group(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add ``ordinal``: the 0-based position of a row in its group.
 
-    Group sizes are counted first (combined before the shuffle). Groups that fit
-    one part need no position at all. Only the rows of larger groups are range
-    sorted by (keys, order), which splits a hot group over many tasks; the
-    per-partition counts (at most one row per group and partition) then give the
-    offset of each piece.
+    All rows are range sorted by (keys, order), which splits a hot group over many
+    tasks; counts per group and piece (at most one row for each) give the offset of
+    every piece.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"))
-    large = stable(sizes.where(F.col("_size") > part_size).select(*keys))
-    first_part = F.lit(0).cast("long")
-    if large.isEmpty():
-        return df.withColumn("part", first_part)
-    small_rows = df.join(large, keys, "left_anti").withColumn("part", first_part)
     pieces = stable(
-        df.join(large, keys, "left_semi")
-        .repartitionByRange(*keys, *order)
+        df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_piece", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id())
     )
-    counts = pieces.groupBy(*keys, "_piece").agg(
-        F.count("*").alias("_n"), F.min("_row").alias("_first")
-    )
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    ranked = (
+    counts = pieces.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stable(counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    return (
         pieces.join(offsets, [*keys, "_piece"])
-        .withColumn(
-            "part",
-            F.floor((F.col("_offset") + F.col("_row") - F.col("_first")) / part_size).cast("long"),
-        )
+        .withColumn("ordinal", (F.col("_offset") + F.col("_row") - F.col("_first")).cast("long"))
         .drop("_piece", "_row", "_first", "_offset")
     )
-    return small_rows.unionByName(ranked)

@@ -1,25 +1,21 @@
 """Full-text search over entity tables.
 
-A query scans the text column once per statistic with JVM expressions; only hits
-are ranked. ``build_fts_index`` materialises postings for repeated use.
+A query scans the text column with JVM expressions; only hits are ranked, and all
+of them unless the caller gives a limit. ``build_fts_index`` and
+``write_fts_index`` keep postings for repeated use.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Iterable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import stem as sm
 from ..functions import text as tx
-from ..model import Catalog, union_all
-from ..runtime import spread, stable
+from ..model import Catalog, QueryError, union_all
 from .read import find, ordering, page
-
-HIT_BUDGET = 1000
+from .temporal import temporal_summary_of
 
 
 def fts_content(columns: Iterable[str]) -> Column:
@@ -41,7 +37,7 @@ def build_fts_index(entities: DataFrame, field: str) -> DataFrame:
     Token streams explode to one row each and regroup by (term, entity), so a
     frequent term is spread over its entities rather than gathered.
     """
-    rows = spread(content_rows(entities, field)).withColumn("toks", tx.tokens(F.col("content")))
+    rows = content_rows(entities, field).withColumn("toks", tx.tokens(F.col("content")))
     return (
         rows.select("entity_id", F.size("toks").alias("doc_len"), F.posexplode("toks").alias("pos", "term"))
         .groupBy("term", "entity_id", "doc_len")
@@ -69,7 +65,7 @@ def _shifted(positions: Column, place: int) -> Column:
 
 
 def search_index_phrase(
-    postings: DataFrame, content: DataFrame, query: str, min_score: float = 0.0, limit: int = 100
+    postings: DataFrame, content: DataFrame, query: str, min_score: float = 0.0, limit: int | None = 100
 ) -> DataFrame:
     """The phrase search over stored postings instead of the text.
 
@@ -113,16 +109,13 @@ def sync_fts(content: DataFrame, changed: DataFrame, field: str) -> DataFrame:
 def _scored(entities: DataFrame, field: str, query: str) -> DataFrame:
     """Hits ``(entity_id, raw)`` with BM25 over the live rows of one field."""
     terms = tx.query_tokens(query)
-    folded = spread(content_rows(entities, field)).select(
+    folded = content_rows(entities, field).select(
         "entity_id", tx.folded_tokens_text(F.col("content")).alias("folded")
     )
-    # The text is read once; what is kept of it is one narrow row per entity.
-    measured = stable(
-        folded.select(
-            "entity_id",
-            tx.phrase_frequency(F.col("folded"), terms).alias("freq"),
-            tx.token_count(F.col("folded")).alias("length"),
-        )
+    measured = folded.select(
+        "entity_id",
+        tx.phrase_frequency(F.col("folded"), terms).alias("freq"),
+        tx.token_count(F.col("folded")).alias("length"),
     )
     stats = measured.agg(
         F.struct(
@@ -136,47 +129,47 @@ def _scored(entities: DataFrame, field: str, query: str) -> DataFrame:
     return hits.select("entity_id", (tx.idf(F.col("stats.rows"), F.col("stats.hits")) * weight).alias("raw"))
 
 
-def clamp_limit(limit: int) -> int:
-    return min(limit if limit > 0 else 100, HIT_BUDGET)
+def first_rows(ordered: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows; None is all of them, a negative number is refused."""
+    if limit is None:
+        return ordered
+    if limit < 0:
+        raise QueryError(f"limit must not be negative, got {limit}")
+    return ordered.limit(limit)
 
 
-def normalised_top(scored: DataFrame, limit: int, min_score: float = 0.0) -> DataFrame:
-    """Best hits divided by the best one. The window sees at most 2000 rows."""
-    limit = clamp_limit(limit)
-    best = scored.orderBy(F.col("raw").desc(), "entity_id").limit(limit * 2)
-    top = F.max("raw").over(Window.partitionBy(F.lit(0)))
-    return (
-        best.withColumn("score", F.when(top > 0, F.col("raw") / top).otherwise(F.lit(0.0)))
-        .where(F.col("score") >= min_score)
-        .orderBy(F.col("score").desc(), "entity_id")
-        .limit(limit)
-        .select("entity_id", "score")
+def normalised_top(scored: DataFrame, limit: int | None, min_score: float = 0.0) -> DataFrame:
+    """Hits by their share of the best score, best first."""
+    top = scored.agg(F.max("raw")).scalar()
+    rated = scored.withColumn("top", top).select(
+        "entity_id", F.when(F.col("top") > 0, F.col("raw") / F.col("top")).otherwise(F.lit(0.0)).alias("score")
     )
+    return first_rows(rated.where(F.col("score") >= min_score).orderBy(F.col("score").desc(), "entity_id"), limit)
 
 
 def search_phrase_bm25(
-    entities: DataFrame, field: str, query: str, min_score: float = 0.0, limit: int = 100
+    entities: DataFrame, field: str, query: str, min_score: float = 0.0, limit: int | None = 100
 ) -> DataFrame:
     """Phrase match ranked by BM25, best hit scoring 1."""
     return normalised_top(_scored(entities, field, query), limit, min_score)
 
 
-def top_k_hits(scored: DataFrame, k: int) -> DataFrame:
+def top_k_hits(scored: DataFrame, k: int | None) -> DataFrame:
     """Best k hits by score, then id."""
-    return scored.orderBy(F.col("score").desc(), "entity_id").limit(clamp_limit(k))
+    return first_rows(scored.orderBy(F.col("score").desc(), "entity_id"), k)
 
 
 def best_score_per_entity(hits: DataFrame) -> DataFrame:
-    """Max score per entity; ``seen`` (field position, rank) breaks ties."""
+    """Max score per entity; ``seen`` (the field's position) breaks ties."""
     return hits.groupBy("entity_id").agg(F.max("score").alias("score"), F.min("seen").alias("seen"))
 
 
 def _field_hits(catalog: Catalog, entity_type: str, query: str) -> DataFrame:
+    """All hits of every searchable field; nothing is cut before filters apply."""
     parts = []
     for position, slot in enumerate(catalog.schema.searchable(entity_type)):
-        hits = search_phrase_bm25(catalog.table(entity_type), slot.name, query, limit=HIT_BUDGET)
-        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), "entity_id"))
-        parts.append(hits.withColumn("seen", (rank + position * HIT_BUDGET).cast("long")))
+        hits = search_phrase_bm25(catalog.table(entity_type), slot.name, query, limit=None)
+        parts.append(hits.withColumn("seen", F.lit(position)))
     return union_all(parts)
 
 
@@ -191,8 +184,10 @@ def search_entities(
     where: dict | None = None,
     order_by: str | None = None,
     order_dir: str = "asc",
+    with_times: bool = True,
 ) -> DataFrame:
-    """Ranked hits of a class that also satisfy filters and tree, paged, with total."""
+    """Ranked hits of a class that also satisfy filters and tree, paged, with the
+    total of all of them. With a log, hits carry their temporal fields."""
     if not catalog.schema.searchable(entity_type):
         return catalog.live(entity_type).limit(0)
     best = best_score_per_entity(_field_hits(catalog, entity_type, query))
@@ -203,8 +198,15 @@ def search_entities(
     if order_by is not None:
         ordered = matched.orderBy(*ordering(matched, order_by, order_dir))
     else:
-        ordered = matched.orderBy(F.col("score").desc(), "seen")
-    return page(ordered, limit, offset).withColumn("total_count", total).drop("seen")
+        ordered = matched.orderBy(F.col("score").desc(), "seen", "id")
+    hits = page(ordered, limit, offset).withColumn("total_count", total).drop("seen")
+    if catalog.log is None or not with_times:
+        return hits
+    times = temporal_summary_of(catalog.log, hits.select(F.col("id").alias("entity_id")))
+    joined = hits.join(times.withColumnRenamed("entity_id", "id"), "id", "left")
+    if order_by is not None:
+        return joined.orderBy(*ordering(joined, order_by, order_dir))
+    return joined.orderBy(F.col("score").desc(), "id")
 
 
 def search_all_classes(catalog: Catalog, query: str, limit: int | None = 100) -> DataFrame:
@@ -215,46 +217,29 @@ def search_all_classes(catalog: Catalog, query: str, limit: int | None = 100) ->
             best = best_score_per_entity(_field_hits(catalog, name, query)).drop("seen")
             live = catalog.live(name).select(F.col("id").alias("entity_id"))
             parts.append(best.join(live, "entity_id", "left_semi").withColumn("entity_type", F.lit(name)))
-    hits = union_all(parts).orderBy(F.col("score").desc(), "entity_type", "entity_id")
-    return hits if limit is None else hits.limit(limit)
+    return first_rows(union_all(parts).orderBy(F.col("score").desc(), "entity_type", "entity_id"), limit)
 
 
-def search_stemmed_and(entities: DataFrame, field: str, query: str, limit: int = 100) -> DataFrame:
-    """All words must occur by their English stem, in any order; stop words are
-    left out and a query of stop words alone finds nothing.
+def search_stemmed_and(entities: DataFrame, field: str, query: str, limit: int | None = 100) -> DataFrame:
+    """All words must occur by their stem, in any order, ranked like :func:`search_plain_and`.
 
-    The JVM keeps the tokens that start like one of the stems and drops every
-    row without one for each; only those few tokens reach the Python stemmer.
-    Ranked like :func:`search_plain_and`.
+    A stem is a word without its ending (:func:`text.light_stem`), cut by one JVM
+    expression on either side.
     """
-    stems = list(dict.fromkeys(sm.stem(w) for w in tx.query_tokens(query) if w not in sm.STOP_WORDS))
+    stems = list(dict.fromkeys(tx.light_stem_of(w) for w in tx.query_tokens(query)))
     if not stems:
         return entities.select(F.col("id").alias("entity_id"), F.lit(0.0).alias("score")).limit(0)
-
-    @F.pandas_udf("array<int>")
-    def counts(near: pd.Series) -> pd.Series:
-        def one(words) -> list[int]:
-            found = [sm.stem(w) for w in words]
-            return [found.count(s) for s in stems]
-
-        return near.map(one)
-
-    rows = spread(content_rows(entities, field)).select("entity_id", tx.tokens(F.col("content")).alias("toks"))
-    prefixes = [sm.stem_prefix(s) for s in stems]
-    starts = lambda t: reduce(lambda a, b: a | b, [F.startswith(t, F.lit(p)) for p in prefixes])
-    near = rows.select("entity_id", F.filter("toks", starts).alias("near"))
-    for prefix in prefixes:
-        near = near.where(F.exists("near", _starts_with(prefix)))
-    counted = near.select("entity_id", counts("near").alias("n")).where(F.forall("n", lambda x: x > 0))
-    mean = F.aggregate("n", F.lit(0), lambda a, x: a + x) / len(stems)
-    return normalised_top(counted.select("entity_id", (1 - 1 / (1 + mean)).alias("raw")), limit)
-
-
-def _starts_with(prefix: str):
-    return lambda t: F.startswith(t, F.lit(prefix))
+    rows = content_rows(entities, field).select(
+        "entity_id", F.transform(tx.tokens(F.col("content")), tx.light_stem).alias("stems")
+    )
+    for stem in stems:
+        rows = rows.where(F.array_contains("stems", stem))
+    wanted = F.array(*[F.lit(s) for s in stems])
+    mean = F.size(F.filter("stems", lambda t: F.array_contains(wanted, t))) / len(stems)
+    return normalised_top(rows.select("entity_id", (1 - 1 / (1 + mean)).alias("raw")), limit)
 
 
-def search_plain_and(entities: DataFrame, field: str, query: str, limit: int = 100) -> DataFrame:
+def search_plain_and(entities: DataFrame, field: str, query: str, limit: int | None = 100) -> DataFrame:
     """All words must occur as they are, in any order; ranked by their frequency.
 
     The score is ``1 - 1/(1 + mean tf)``, then normalised like the phrase search.
@@ -272,21 +257,13 @@ def search_plain_and(entities: DataFrame, field: str, query: str, limit: int = 1
 
 
 def search_trigram(
-    entities: DataFrame, field: str, query: str, limit: int = 100, threshold: float = 0.3
+    entities: DataFrame, field: str, query: str, limit: int | None = 100, threshold: float = 0.3
 ) -> DataFrame:
     """Trigram similarity above ``threshold``, most similar first."""
     rows = content_rows(entities, field).select(
         "entity_id", tx.trigram_similarity(F.col("content"), query).alias("score")
     )
-    return rows.where(F.col("score") > threshold).orderBy(F.col("score").desc(), "entity_id").limit(clamp_limit(limit))
-
-
-def search_plain_or_trigram(entities: DataFrame, field: str, query: str, limit: int = 100) -> DataFrame:
-    """The stemmed AND search, or trigram similarity above 0.1 when it finds nothing."""
-    found = search_stemmed_and(entities, field, query, limit)
-    if not found.isEmpty():
-        return found
-    return search_trigram(entities, field, query, limit, 0.1)
+    return first_rows(rows.where(F.col("score") > threshold).orderBy(F.col("score").desc(), "entity_id"), limit)
 
 
 def search_raw_content(entities: DataFrame, field: str, query: str) -> DataFrame:

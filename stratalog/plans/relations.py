@@ -70,14 +70,16 @@ def join_temporal(t: Tables):
 
 @query(
     "hydrate_multi_refs",
-    """SELECT o.id, CAST(0 AS BIGINT) AS part, string_agg(CAST(e.target_id AS VARCHAR), ',' ORDER BY e.created_at, e.id, e.target_id) AS targets
+    """SELECT o.id, string_agg(CAST(e.target_id AS VARCHAR), ',' ORDER BY e.created_at, e.id, e.target_id) AS targets
     FROM order_e o JOIN edge_e e ON e.source_id = o.id AND e.is_available WHERE o.is_available GROUP BY o.id
-    UNION ALL SELECT o.id, NULL, NULL FROM order_e o WHERE o.is_available
+    UNION ALL SELECT o.id, NULL FROM order_e o WHERE o.is_available
       AND NOT EXISTS (SELECT 1 FROM edge_e e WHERE e.source_id = o.id AND e.is_available)""",
 )
 def hydrate_multi_refs(t: Tables):
     rows = links.hydrate_multi_refs(t.catalog, "Order")
-    return rows.select("id", "part", F.array_join(F.transform("targets", lambda x: x.cast("string")), ",").alias("targets"))
+    lists = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", "target_id")))).alias("refs"))
+    joined = F.array_join(F.transform("refs", lambda r: r["target_id"].cast("string")), ",")
+    return lists.select("id", F.when(F.size("refs") > 0, joined).alias("targets"))
 
 
 @query(
@@ -104,23 +106,23 @@ def expand_path(t: Tables):
 )
 def expand_path_multi(t: Tables):
     rows = links.expand_path(t.catalog, "Order", "parts")
-    names = F.transform("parts_expanded", lambda p: p["name"])
-    return rows.select(
-        "id", F.coalesce(F.size("parts_expanded"), F.lit(0)).cast("bigint").alias("n"), F.array_join(names, ",").alias("names")
-    )
+    part = F.struct("parts_ordinal", F.col("parts_expanded.name").alias("name"))
+    lists = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("parts_ordinal").isNotNull(), part))).alias("found"))
+    names = F.array_join(F.transform("found", lambda p: p["name"]), ",")
+    return lists.select("id", F.size("found").cast("bigint").alias("n"), F.when(F.size("found") > 0, names).alias("names"))
 
 
 @query(
     "resolve_types",
-    """SELECT 'Order' AS entity_type, id FROM order_e WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 7)
-    UNION ALL SELECT 'Part', id FROM part_e WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 7)
-    UNION ALL SELECT 'Customer', id FROM customer_e WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 7)
-    UNION ALL SELECT 'Supplier', id FROM supplier_e WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 7)
-    UNION ALL SELECT 'Nation', id FROM nation_e WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 7)
-    UNION ALL SELECT 'Region', id FROM region_e WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 7)""",
+    """SELECT 'Order' AS entity_type, id FROM order_e WHERE id IN (SELECT l_partkey FROM lineitem)
+    UNION ALL SELECT 'Part', id FROM part_e WHERE id IN (SELECT l_partkey FROM lineitem)
+    UNION ALL SELECT 'Customer', id FROM customer_e WHERE id IN (SELECT l_partkey FROM lineitem)
+    UNION ALL SELECT 'Supplier', id FROM supplier_e WHERE id IN (SELECT l_partkey FROM lineitem)
+    UNION ALL SELECT 'Nation', id FROM nation_e WHERE id IN (SELECT l_partkey FROM lineitem)
+    UNION ALL SELECT 'Region', id FROM region_e WHERE id IN (SELECT l_partkey FROM lineitem)""",
 )
 def resolve_types(t: Tables):
-    ids = t.raw("lineitem").where("l_quantity = 7").select(F.col("l_partkey").alias("id"))
+    ids = t.raw("lineitem").select(F.col("l_partkey").alias("id"))
     return links.resolve_types(t.catalog, ids)
 
 
@@ -148,7 +150,7 @@ def related_to(t: Tables):
       WHERE is_available AND source_id = 7 AND relationship_type = 'views'
       UNION ALL SELECT l.id, l.source_id, l.target_id, l.relationship_type, w.depth + 1
       FROM link_e l JOIN walk w ON l.source_id = w.target_id WHERE l.is_available AND w.depth < 3)
-    SELECT id, source_id, target_id, relationship_type, depth FROM walk""",
+    SELECT id, source_id, target_id, relationship_type, depth, count(*) AS walks FROM walk GROUP BY ALL""",
 )
 def traverse(t: Tables):
     return graph.traverse(t.role("link_e").where("is_available"), 7, "views", 3)
@@ -184,7 +186,7 @@ def latest_edge_event(t: Tables):
       SELECT id, source_id, target_id, relationship_type, 1 AS depth FROM live WHERE source_id = '5'
       UNION ALL SELECT l.id, l.source_id, l.target_id, l.relationship_type, w.depth + 1
       FROM live l JOIN walk w ON l.source_id = w.target_id WHERE w.depth < 3)
-    SELECT id, source_id, target_id, relationship_type, depth FROM walk""",
+    SELECT id, source_id, target_id, relationship_type, depth, count(*) AS walks FROM walk GROUP BY ALL""",
 )
 def traverse_as_of(t: Tables):
     return graph.traverse_as_of(t.log, "5", "2024-01-20 00:00:00", None, 3)
@@ -201,7 +203,7 @@ GLOBAL_EDGES = """
     UNION ALL SELECT 'Supplier/' || id, 'Nation/' || nation, 'nation', 'COLUMN' FROM supplier_e
     UNION ALL SELECT 'Order/' || id, 'Customer/' || customer, 'customer', 'COLUMN' FROM order_e WHERE is_available)"""
 
-START = "Order/1"
+START, REGION = "Order/1", "Region/1"
 
 
 @query(
@@ -219,6 +221,19 @@ def neighbors(t: Tables):
     return graph.neighbors(t.global_catalog, START, depth=2).edges
 
 
+@query(
+    "neighbors_deep",
+    f"""WITH {GLOBAL_EDGES}, both_ways AS (SELECT s AS a, t AS b FROM edges UNION SELECT t, s FROM edges),
+    l1 AS (SELECT b AS id FROM both_ways WHERE a = '{REGION}' UNION SELECT '{REGION}'),
+    l2 AS (SELECT b AS id FROM both_ways WHERE a IN (SELECT id FROM l1) UNION SELECT id FROM l1),
+    l3 AS (SELECT b AS id FROM both_ways WHERE a IN (SELECT id FROM l2) UNION SELECT id FROM l2)
+    SELECT id, split_part(id, '/', 1) AS entity_type FROM ids WHERE id IN (SELECT id FROM l3)""",
+)
+def neighbors_deep(t: Tables):
+    """Thousands of nodes: nations, customers, suppliers and their orders."""
+    return graph.neighbors(t.global_catalog, REGION, depth=3).nodes
+
+
 @query(
     "neighbors_nodes",
     f"""WITH {GLOBAL_EDGES},

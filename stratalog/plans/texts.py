@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..model import Catalog
 from ..operators import mutate as mu
 from ..operators import search as se
-from ..runtime import scratch_path, spread
+from ..runtime import scratch_path
 from .registry import query
 from .scans import is_
 from .tables import SCHEMA, Tables
@@ -26,13 +26,13 @@ def freq(toks: str, words: list[str]) -> str:
     return f"len(list_filter(range(1, len({toks}) - {n} + 2), lambda i: {tests}))"
 
 
-def bm25(source: str, toks: str, words: list[str], rows: int) -> str:
+def bm25(source: str, toks: str, words: list[str]) -> str:
     return f"""SELECT id, raw / max(raw) OVER () AS score FROM (
       SELECT id, greatest(ln((rows - hits + 0.5) / (hits + 0.5)), 1e-6)
         * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / average)) AS raw FROM (
         SELECT *, count(*) OVER () AS rows, count(*) FILTER (WHERE f > 0) OVER () AS hits, avg(len) OVER () AS average
         FROM (SELECT id, {freq(toks, words)} AS f, len({toks}) AS len FROM ({source}) s WHERE is_available) a) b
-      WHERE f > 0 ORDER BY raw DESC, id LIMIT {rows}) c"""
+      WHERE f > 0) c"""
 
 
 @query(
@@ -56,7 +56,7 @@ def fts_content(t: Tables):
 
 @query(
     "search_phrase_bm25",
-    f"SELECT id AS entity_id, round(score, 8) AS score FROM ({bm25(DOC_TOKS, 'toks', ['de', 'la'], 200)}) x ORDER BY score DESC, id LIMIT 100",
+    f"SELECT id AS entity_id, round(score, 8) AS score FROM ({bm25(DOC_TOKS, 'toks', ['de', 'la'])}) x ORDER BY score DESC, id LIMIT 100",
 )
 def search_phrase_bm25(t: Tables):
     hits = se.search_phrase_bm25(t.role("document_e"), "text", "De LA", limit=100)
@@ -65,7 +65,7 @@ def search_phrase_bm25(t: Tables):
 
 @query(
     "search_term_bm25",
-    f"SELECT id AS entity_id, round(score, 8) AS score FROM ({bm25(DOC_TOKS, 'toks', ['the'], 100)}) x WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 50",
+    f"SELECT id AS entity_id, round(score, 8) AS score FROM ({bm25(DOC_TOKS, 'toks', ['the'])}) x WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 50",
 )
 def search_term_bm25(t: Tables):
     hits = se.search_phrase_bm25(t.role("document_e"), "text", "the", min_score=0.5, limit=50)
@@ -74,26 +74,24 @@ def search_term_bm25(t: Tables):
 
 @query(
     "search_index_phrase",
-    f"SELECT id AS entity_id, round(score, 8) AS score FROM ({bm25(DOC_TOKS, 'toks', ['de', 'la'], 200)}) x ORDER BY score DESC, id LIMIT 100",
+    f"SELECT id AS entity_id, round(score, 8) AS score FROM ({bm25(DOC_TOKS, 'toks', ['de', 'la'])}) x ORDER BY score DESC, id LIMIT 100",
 )
 def search_index_phrase(t: Tables):
     path = scratch_path(t.spark, "postings")
     se.write_fts_index(se.build_fts_index(t.role("document_e"), "text"), path)
-    lengths = spread(se.content_rows(t.role("document_e"), "text")).select(
+    lengths = se.content_rows(t.role("document_e"), "text").select(
         "entity_id", tx.token_count(tx.folded_tokens_text(F.col("content"))).alias("doc_len")
     )
     hits = se.search_index_phrase(t.spark.read.parquet(path), lengths, "de la")
     return hits.select("entity_id", F.round("score", 8).alias("score"))
 
 
-NAME_HITS = bm25(PART_TOKS, "toks", ["ring"], 2000)
-BRAND_HITS = bm25(PART_TOKS, "btoks", ["ring"], 2000)
+NAME_HITS = bm25(PART_TOKS, "toks", ["ring"])
 
 
 @query(
     "search_entities",
-    f"""SELECT p.id, p.name, round(h.score, 8) AS score, count(*) OVER () AS total_count FROM (
-      SELECT id, score FROM ({NAME_HITS}) a ORDER BY score DESC, id LIMIT 1000) h
+    f"""SELECT p.id, p.name, round(h.score, 8) AS score, count(*) OVER () AS total_count FROM ({NAME_HITS}) h
     JOIN part_e p ON p.id = h.id WHERE p.is_available AND p.size > 20 AND NOT coalesce(p.type = 'STANDARD', FALSE)
     ORDER BY h.score DESC, p.id LIMIT 30 OFFSET 5""",
 )
@@ -107,8 +105,8 @@ def search_entities(t: Tables):
 @query(
     "search_all_classes",
     f"""SELECT entity_type, entity_id, round(score, 8) AS score FROM (
-      SELECT 'Part' AS entity_type, id AS entity_id, score FROM (SELECT * FROM ({bm25(PART_TOKS, 'toks', ['blue'], 2000)}) a ORDER BY score DESC, id LIMIT 1000) p
-      UNION ALL SELECT 'Document', id, score FROM (SELECT * FROM ({bm25(DOC_TOKS, 'toks', ['blue'], 2000)}) b ORDER BY score DESC, id LIMIT 1000) d) x
+      SELECT 'Part' AS entity_type, id AS entity_id, score FROM ({bm25(PART_TOKS, 'toks', ['blue'])}) p
+      UNION ALL SELECT 'Document', id, score FROM ({bm25(DOC_TOKS, 'toks', ['blue'])}) d) x
     ORDER BY score DESC, entity_type, entity_id LIMIT 200""",
 )
 def search_all_classes(t: Tables):
@@ -137,7 +135,7 @@ def top_k_hits(t: Tables):
     "search_plain_and",
     f"""SELECT id AS entity_id, round(raw / max(raw) OVER (), 8) AS score FROM (
       SELECT id, 1 - 1 / (1 + ({freq('toks', ['que'])} + {freq('toks', ['los'])}) / 2.0) AS raw FROM ({DOC_TOKS}) d
-      WHERE is_available AND list_contains(toks, 'que') AND list_contains(toks, 'los') ORDER BY raw DESC, id LIMIT 200) x
+      WHERE is_available AND list_contains(toks, 'que') AND list_contains(toks, 'los')) x
     ORDER BY raw DESC, id LIMIT 100""",
 )
 def search_plain_and(t: Tables):
@@ -145,10 +143,29 @@ def search_plain_and(t: Tables):
     return hits.select("entity_id", F.round("score", 8).alias("score"))
 
 
-@query("search_stemmed_and")
+@query(
+    "search_stemmed_and",
+    f"""SELECT id AS entity_id, round(raw / max(raw) OVER (), 8) AS score FROM (
+      SELECT id, 1 - 1 / (1 + len(list_filter(stems, lambda x: x IN ('the', 'tion', 'haed'))) / 3.0) AS raw FROM (
+        SELECT id, list_transform(toks, lambda x: regexp_replace(x, '{tx.ENDING}', '\\1')) AS stems
+        FROM ({DOC_TOKS}) d WHERE is_available) s
+      WHERE list_contains(stems, 'the') AND list_contains(stems, 'tion') AND list_contains(stems, 'haed')) x""",
+)
 def search_stemmed_and(t: Tables):
-    """No SQL: DuckDB has no stemmer here; tests compare it with brute force."""
-    hits = se.search_stemmed_and(t.role("document_e"), "text", "the tioning haed")
+    hits = se.search_stemmed_and(t.role("document_e"), "text", "the tioning haed", None)
+    return hits.select("entity_id", F.round("score", 8).alias("score"))
+
+
+BRAND_HITS = bm25(PART_TOKS, "btoks", ["brand"])
+
+
+@query(
+    "search_every_hit",
+    f"SELECT id AS entity_id, round(score, 8) AS score FROM ({BRAND_HITS}) x",
+)
+def search_every_hit(t: Tables):
+    """A word that nearly every row holds, without a limit."""
+    hits = se.search_phrase_bm25(t.role("part_e"), "brand", "brand", limit=None)
     return hits.select("entity_id", F.round("score", 8).alias("score"))
 
 

@@ -40,9 +40,3 @@ def stable(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores when a scan yields fewer partitions than that
-    (one big row group). A large table has more splits than cores and stays put."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from stratalog.plans import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-ORACLE = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +15,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) - set(ORACLE) == {"search_stemmed_and"}
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(entry.queries())
 
 
 def test_entry_has_rows(spark):
@@ -24,7 +24,7 @@ def test_entry_has_rows(spark):
     assert len(df.collect()) == 20
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    _, problem = compare(spark, FOLDER, name, entry.queries()[name], ORACLE.get(name), duck)
+    _, problem = compare(spark, FOLDER, name, QUERIES[name], ORACLES[name], duck)
     assert problem is None, problem

@@ -43,7 +43,27 @@ def test_rank_follows_term_frequency(catalog):
     cut = se.search_phrase_bm25(catalog.table("Note"), "body", "cortex", min_score=hits[1].score)
     assert cut.count() == 2
     assert se.search_phrase_bm25(catalog.table("Note"), "body", "cortex", limit=1).count() == 1
-    assert se.search_phrase_bm25(catalog.table("Note"), "body", "cortex", limit=0).count() == 3
+    assert se.search_phrase_bm25(catalog.table("Note"), "body", "cortex", limit=0).count() == 0
+    assert se.search_phrase_bm25(catalog.table("Note"), "body", "cortex", limit=None).count() == 3
+    with pytest.raises(QueryError):
+        se.search_phrase_bm25(catalog.table("Note"), "body", "cortex", limit=-1)
+
+
+def test_no_hit_is_cut(spark):
+    rows = spark.range(3000).selectExpr("id", "true AS is_available", "'cortex' AS name", "'' AS tissue", "id AS priority", "'' AS body")
+    many = Catalog(SCHEMA, {"Note": rows})
+    late = [{"field": "priority", "op": "gte", "value": 1500}]
+    page = se.search_entities(many, "Note", "cortex", 20, 1000, filters=late).collect()
+    assert [r.id for r in page] == list(range(2500, 2520)) and page[0].total_count == 1500
+    hits = se.search_phrase_bm25(rows, "name", "cortex", limit=None)
+    assert hits.count() == 3000 and se.top_k_hits(hits, 2000).count() == 2000
+
+
+def test_stems_on_either_side(catalog):
+    notes = catalog.table("Note")
+    assert [tx.light_stem_of(w) for w in ("rings", "walking", "bed", "boxes", "class")] == ["ring", "walk", "bed", "box", "clas"]
+    assert found(se.search_stemmed_and(notes, "body", "cortexes b")) == ["n2", "n1"]
+    assert found(se.search_stemmed_and(notes, "body", "")) == []
 
 
 def test_phrases_are_consecutive_and_folded(catalog):
@@ -78,7 +98,7 @@ def test_search_all_skips_unsearchable(catalog):
 def test_plain_and_trigram_fallback(catalog):
     notes = catalog.table("Note")
     assert sorted(found(se.search_plain_and(notes, "body", "e cortex b"))) == ["n1", "n2"]
-    assert found(se.search_plain_or_trigram(notes, "body", "hepatiqe foi")) != []
+    assert found(se.search_trigram(notes, "body", "hepatiqe foi", threshold=0.1)) != []
     assert found(se.search_boolean(notes, "body", ["cortex", "b"], "NOT")) == ["n3"]
     assert found(se.search_boolean(notes, "body", ["cort"], prefix=True)) == ["n1", "n2", "n3"]
     assert found(se.search_raw_content(notes, "body", "cortex b")) == ["n2"]
