@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,7 +113,7 @@ def remove_units(docs: DataFrame, removed: DataFrame) -> DataFrame:
     spans = pinned(spans.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), "spans"), "spans")
 
     @F.pandas_udf("string")
-    def cut(batches: Iterator) -> Iterator:
+    def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for texts, lists in batches:
             out = []
             for text, pieces in zip(texts, lists):
@@ -126,7 +127,7 @@ def remove_units(docs: DataFrame, removed: DataFrame) -> DataFrame:
                     at = max(at, p[1])
                 parts.append(text[at:])
                 out.append(re.sub(r"\n[ \t]*(?=\n)", "", "".join(parts)).strip("\n"))
-            yield type(texts)(out, dtype=object)
+            yield pd.Series(out, dtype=object)
 
     row = docs.select(F.struct(*docs.columns).alias("row_"))
     joined = row.join(

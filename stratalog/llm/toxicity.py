@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -250,10 +251,10 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def rate(batches: Iterator) -> Iterator:
+    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes, known = WordHashes(), shared.value
         for texts in batches:
             found = np.array([known.features(hashes, t) for t in texts]).reshape(-1, 4)
-            yield type(texts)(known.score(found))
+            yield pd.Series(known.score(found))
 
     return docs.filter(rate(F.col("text")) < THRESHOLD)
