@@ -7,7 +7,7 @@ from typing import Any, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import flat_leaves
+from ..functions.predicates import read_filters
 from ..model import Catalog, QueryError, union_all
 from .read import find
 
@@ -19,7 +19,7 @@ def count_matching(catalog: Catalog, entity_type: str, **criteria) -> DataFrame:
 def count_all_classes(catalog: Catalog, filters: Iterable[dict] = (), filter_mode: str = "and") -> DataFrame:
     """Matches over every class; a class without a filtered field adds none."""
     filters = list(filters)
-    fields = {f for f, _, _ in flat_leaves(filters)}
+    fields = {x.field for x in read_filters(filters)}
     parts = [
         find(catalog, name, filters, filter_mode).agg(F.count("*").alias("n"))
         for name, df in catalog.tables.items()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.predicates import Scope, TreeBuilder, check_tree, flat_condition, flat_leaves
+from ..functions.predicates import TreeCompiler, flat_condition, read_filters
 from ..model import SYSTEM_COLUMNS, Catalog, QueryError, Schema, union_all
 from .temporal import creation_time, temporal_summary, temporal_summary_of
 
@@ -49,8 +49,7 @@ def find(
     if condition is not None:
         aliased = aliased.where(condition)
     if where is not None:
-        scope = Scope("entity", base.schema, entity_type)
-        aliased = aliased.where(TreeBuilder(catalog).column(check_tree(where), scope))
+        aliased = aliased.where(TreeCompiler(catalog).condition(where, base, "entity", entity_type))
     return aliased
 
 
@@ -284,15 +283,13 @@ def typed_compare_json(
     df: DataFrame, json_column: str, schema: Schema, entity_type: str, filters: Iterable[dict]
 ) -> DataFrame:
     """Filter on fields of a JSON column, compared as the slot's declared type."""
-    from ..functions.predicates import leaf
-
     slots = schema.slots(entity_type)
-    for field, op, value in flat_leaves(filters):
-        if field not in slots:
+    for test in read_filters(filters):
+        if test.field not in slots:
             return df.where(F.lit(False))
-        dtype = slots[field].spark_type
-        text = F.get_json_object(F.col(json_column), f"$.{field}")
-        df = df.where(leaf(text.try_cast(dtype), dtype, op, value))
+        dtype = slots[test.field].spark_type
+        text = F.get_json_object(F.col(json_column), f"$.{test.field}")
+        df = df.where(test.over(text.try_cast(dtype), dtype))
     return df
 
 

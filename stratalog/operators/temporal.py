@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.predicates import Scope, TreeBuilder, check_tree, flat_condition, has_edge
+from ..functions.predicates import TreeCompiler, flat_condition
 from ..model import QueryError, Schema
 
 STATE_OPS = ("create", "update")
@@ -241,9 +241,6 @@ def query_as_of(
     """A class reconstructed at ``as_of`` and filtered like a live query."""
     if order_by is not None:
         raise QueryError("order_by is not available with as_of")
-    tree = check_tree(where) if where is not None else None
-    if tree is not None and has_edge(tree):
-        raise QueryError("relationship predicates are not available with as_of")
     # A create event fixes the class of an entity; edge events carry other types.
     own = log.where(
         (F.col("entity_type") == entity_type)
@@ -255,7 +252,7 @@ def query_as_of(
         "version",
         F.from_json("state", schema.struct(entity_type)).alias("data"),
     ).select("id", "version", "data.*")
-    return matches_tree_json(parsed, filters, filter_mode, tree)
+    return matches_tree_json(parsed, filters, filter_mode, where)
 
 
 def matches_tree_json(
@@ -270,8 +267,7 @@ def matches_tree_json(
     if condition is not None:
         rows = rows.where(condition)
     if where is not None:
-        scope = Scope("entity", parsed.schema)
-        rows = rows.where(TreeBuilder().column(check_tree(where), scope))
+        rows = rows.where(TreeCompiler().condition(where, parsed, "entity"))
     return rows
 
 
