@@ -79,13 +79,13 @@ def coerce_with_warning(col: Column, dtype: str, target: str) -> Column:
             done = F.when(coerce_number(col, dtype).isNotNull(), _number_text(col))
         else:
             done = coerce_number(col, dtype).cast("string")
-        note = F.concat(F.lit("Coerced '"), text, F.lit(f"' ({source}) to number "), done)
+        note = F.concat(F.lit(f"{source} '"), text, F.lit("' read as number "), done)
     elif target == "boolean":
         done = coerce_string(coerce_boolean(col, dtype), "boolean")
-        note = F.concat(F.lit("Coerced '"), text, F.lit(f"' ({source}) to boolean "), done)
+        note = F.concat(F.lit(f"{source} '"), text, F.lit("' read as boolean "), done)
     else:
         done = text
-        note = F.concat(F.lit(f"Coerced {source} value to string '"), text, F.lit("'"))
+        note = F.concat(F.lit(f"{source} written as text '"), text, F.lit("'"))
     return F.struct(
         F.coalesce(done, text).alias("value"),
         F.when(done.isNotNull(), note).alias("warning"),

@@ -171,6 +171,8 @@ class Catalog:
     log: DataFrame | None = None
     external_ids: DataFrame | None = None
     write_log: DataFrame | None = None
+    #: An id names one entity over all classes; off where each class counts its own.
+    global_ids: bool = True
 
     def table(self, entity_type: str) -> DataFrame:
         if entity_type not in self.tables:
@@ -193,7 +195,9 @@ class Catalog:
 
     def with_table(self, entity_type: str, df: DataFrame) -> "Catalog":
         tables = ChainMap({entity_type: df}, self.tables)
-        return Catalog(self.schema, tables, self.edges, self.log, self.external_ids, self.write_log)
+        return Catalog(
+            self.schema, tables, self.edges, self.log, self.external_ids, self.write_log, self.global_ids
+        )
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

@@ -34,9 +34,12 @@ def migrate_rows(
     new = transform(catalog.live(source))
     if MIGRATE_KEY not in new.columns or "id" not in new.columns:
         raise QueryError("a migration returns id and predecessor")
-    data = new.drop(MIGRATE_KEY).dropDuplicates(["id"])
+    # Of several rows of one id, that of the smallest predecessor is written.
+    columns = [c for c in new.columns if c not in ("id", MIGRATE_KEY)]
+    chosen_row = F.min(F.struct(MIGRATE_KEY, *columns)).alias("row")
+    data = new.groupBy("id").agg(chosen_row).select("id", *[F.col(f"row.{c}").alias(c) for c in columns])
     require_valid(check_schema(data, catalog.schema, target))
-    links = new.select(F.col(MIGRATE_KEY).alias("id"), F.col("id").alias("successor"))
+    links = new.select(F.col(MIGRATE_KEY).alias("id"), F.col("id").alias("successor")).distinct()
     # One successor per predecessor is recorded on the row, all of them as edges.
     chosen = links.groupBy("id").agg(F.min("successor").alias("successor"))
     old_table = catalog.table(source)
@@ -46,19 +49,27 @@ def migrate_rows(
         .withColumn("superseded_by", F.coalesce(F.col("superseded_by"), F.col("successor").cast(old_table.schema["superseded_by"].dataType)))
         .select(*old_table.columns)
     )
+    # Reconstructions go by availability events, so the retirement is one, before the reason for it.
+    away = event(
+        chosen, stamp, F.col("id"), source, "availability_change",
+        F.to_json(F.struct(F.lit(False).alias("is_available"), F.lit("migrated").alias("reason"))),
+    )
     gone = event(
-        links.distinct(), stamp, F.col("id"), source, "supersede",
+        links, stamp, F.col("id"), source, "supersede",
         F.to_json(F.struct(F.col("successor").alias("superseded_by"))),
     )
-    written = put(catalog, target, data, stamp)
     edges = new_edges(
-        links.distinct().select(
+        links.select(
             F.col("id").alias("source_id"), F.col("successor").alias("target_id"),
             F.lit("superseded_by").alias("relationship_type"),
         ),
         stamp,
     )
-    return {source: WriteSet(entities=retired, log=gone, edges=edges), target: written}
+    log = away.unionByName(gone)
+    written = put(catalog.with_table(source, retired), target, data, stamp)
+    if source == target:  # one snapshot holds what retired and what is new
+        return {target: WriteSet(entities=written.entities, changed=written.changed, log=log.unionByName(written.log), edges=edges)}
+    return {source: WriteSet(entities=retired, log=log, edges=edges), target: written}
 
 
 def migrate_chain(
@@ -97,13 +108,15 @@ def prune_version(
     catalog: Catalog, loader: str, version: str | None, entity_types: Iterable[str] | None = None
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Hard-delete what (loader, version) wrote, even if a later version rewrote
-    it. ``version=None`` prunes every version."""
-    mine = F.col("loader_name") == loader
+    it. ``version=None`` prunes every version. With ``entity_types`` only these
+    classes lose rows, in their tables and in the write log."""
+    names = list(entity_types or catalog.tables)
+    mine = (F.col("loader_name") == loader) & F.col("entity_type").isin(names)
     if version is not None:
         mine = mine & (F.col("version") == version)
     doomed = catalog.write_log.where(mine).select(F.col("entity_id").alias("id"), "entity_type")
     tables = {}
-    for name in entity_types or catalog.tables:
+    for name in names:
         table = catalog.table(name)
         key = table.schema["id"].dataType
         ids = doomed.where(F.col("entity_type") == name).select(F.col("id").cast(key).alias("id"))

@@ -121,8 +121,8 @@ def apply_defaults(df: DataFrame, schema: Schema, entity_type: str) -> DataFrame
     return df.withColumns(out)
 
 
-def _shape(batch: DataFrame, table: DataFrame) -> DataFrame:
-    """The batch with exactly the table's columns; absent ones NULL, new rows live."""
+def _shape(batch: DataFrame, table: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """The batch with exactly the table's columns and ``keep``; absent ones NULL, new rows live."""
     cols = []
     for f in table.schema.fields:
         if f.name in batch.columns:
@@ -131,35 +131,60 @@ def _shape(batch: DataFrame, table: DataFrame) -> DataFrame:
             cols.append(F.lit(True).alias("is_available"))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return batch.select(*cols)
+    return batch.select(*cols, *keep)
 
 
 def _data_columns(table: DataFrame) -> list[str]:
     return [c for c in table.columns if c not in SYSTEM_COLUMNS]
 
 
+def refuse_bad_ids(catalog: Catalog, entity_type: str, batch: DataFrame) -> None:
+    """Raise on an id that the batch repeats or that names an entity of another class."""
+    twice = batch.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").head(1)
+    if twice:
+        raise QueryError(f"the batch holds {entity_type} {twice[0][0]!r} more than once")
+    others = [name for name in catalog.tables if name != entity_type]
+    if catalog.global_ids and others:
+        taken = union_all([among(catalog.table(n), batch).select("id", F.lit(n).alias("kind")) for n in others]).head(1)
+        if taken:
+            raise QueryError(f"{taken[0][0]!r} is a {taken[0][1]}, not a {entity_type}")
+
+
 def put(
     catalog: Catalog, entity_type: str, batch: DataFrame, stamp: Stamp, only_existing: bool = False
 ) -> WriteSet:
     """Upsert by id: one create or update event with the full post-image per row.
 
-    One id-only join decides the event; the snapshot is the untouched rows plus
-    the batch.
+    One id-only join decides the event; the snapshot is the untouched rows plus the
+    batch, whose availability and ``superseded_by`` stay what they were. Lists of
+    multivalued slots become edges, and a slot that the batch omits loses its edges
+    (see :func:`reconcile_multi_refs`). An id may occur once and in one class.
     """
+    refuse_bad_ids(catalog, entity_type, batch)
     table = catalog.table(entity_type)
-    rows = _shape(batch, table)
-    known = among(table, rows).select("id", F.col("is_available").alias("_was"), F.lit(True).alias("_exists"))
-    joined = rows.drop("is_available").join(known, "id", "left")
+    slots = [s.name for s in catalog.schema.edge_slots(entity_type)]
+    lists = [s for s in slots if s in batch.columns]
+    rows = _shape(batch, table, lists)
+    known = among(table, rows).select(
+        "id", F.col("is_available").alias("_was"), F.col("superseded_by").alias("_by"), F.lit(True).alias("_exists")
+    )
+    joined = rows.drop("is_available", "superseded_by").join(known, "id", "left")
     if only_existing:
         missing = joined.where(F.col("_exists").isNull()).select("id").head(1)
         if missing:
             raise QueryError(f"{entity_type} {missing[0][0]!r} does not exist")
-    written = joined.withColumn("is_available", F.coalesce("_was", F.lit(True)))
+    written = joined.withColumn("is_available", F.coalesce("_was", F.lit(True))).withColumn("superseded_by", F.col("_by"))
     operation = F.when(F.col("_exists"), "update").otherwise("create")
-    log = event(written, stamp, F.col("id"), entity_type, operation, image(_data_columns(table)))
-    snapshot = table.join(rows.select("id"), "id", "left_anti").unionByName(written.select(*table.columns))
+    log = event(written, stamp, F.col("id"), entity_type, operation, image([*_data_columns(table), *lists]))
+    changed = written.select(*table.columns)
+    snapshot = table.join(rows.select("id"), "id", "left_anti").unionByName(changed)
     report = written.select("id", operation.alias("operation"))
-    return WriteSet(entities=snapshot, changed=written.select(*table.columns), log=log, report=report)
+    out = WriteSet(entities=snapshot, changed=changed, log=log, report=report)
+    if slots and catalog.edges is not None:
+        moved = reconcile_multi_refs(catalog, entity_type, batch, stamp, all_slots=True)
+        out.edges = moved.edges
+        out.log = log.unionByName(moved.log.withColumn("entity_id", F.col("entity_id").cast(log.schema["entity_id"].dataType)))
+    return out
 
 
 def update(catalog: Catalog, entity_type: str, batch: DataFrame, stamp: Stamp) -> WriteSet:
@@ -168,14 +193,8 @@ def update(catalog: Catalog, entity_type: str, batch: DataFrame, stamp: Stamp) -
 
 
 def replace(catalog: Catalog, entity_type: str, batch: DataFrame, stamp: Stamp) -> WriteSet:
-    """Full replacement of existing rows: omitted slots become NULL and omitted
-    edges are removed (see :func:`reconcile_multi_refs`)."""
-    out = put(catalog, entity_type, batch, stamp, only_existing=True)
-    if catalog.edges is not None and catalog.schema.edge_slots(entity_type):
-        moved = reconcile_multi_refs(catalog, entity_type, batch, stamp, all_slots=True)
-        out.edges = moved.edges
-        out.log = out.log.unionByName(moved.log)
-    return out
+    """Full replacement of existing rows: omitted slots become NULL, omitted lists empty."""
+    return put(catalog, entity_type, batch, stamp, only_existing=True)
 
 
 def set_availability_bulk(
@@ -411,11 +430,15 @@ def batch_put(
 
     batches = {name: assign_ids(df) for name, df in batches.items()}
     # References may point into the same batch.
-    merged = Catalog(catalog.schema, dict(catalog.tables), catalog.edges, catalog.log)
+    merged = Catalog(
+        catalog.schema, dict(catalog.tables), catalog.edges, catalog.log, global_ids=catalog.global_ids
+    )
     sets = {}
     for name, df in batches.items():
-        sets[name] = put(catalog, name, df, stamp)
+        sets[name] = put(merged, name, df, stamp)
         merged.tables[name] = sets[name].entities
+        if sets[name].edges is not None:  # a later class starts from these edges
+            merged.edges = sets[name].edges
     findings = [validate_batch(df, merged, name, **validation) for name, df in batches.items()]
     if new_edge_rows is not None:
         live = union_all([merged.live(n).select("id") for n in merged.tables])
@@ -513,8 +536,8 @@ def upsert_by_external_id(
         .when(same, "unchanged")
         .otherwise("updated")
     )
-    error = F.when(F.col(key).isNull(), F.lit(f"Missing external ID field: {key}")).when(
-        ~F.col("is_first"), F.concat(F.lit("Duplicate external ID in batch: "), value)
+    error = F.when(F.col(key).isNull(), F.lit(f"no value in {key}")).when(
+        ~F.col("is_first"), F.concat(F.lit(f"{key} "), value, F.lit(" came earlier in the batch"))
     )
     return joined.withColumns({"outcome": outcome, "error": error}).withColumn(
         "entity", F.col("_entity")

@@ -229,6 +229,7 @@ class RoleCatalog(Catalog):
     def __init__(self, tables: "Tables", names: tuple[str, ...]):
         self._tables, self.schema, self.tables = tables, SCHEMA, Roles(tables, names)
 
+    global_ids = False  # the given tables number each class by itself
     edges = property(lambda self: self._tables.role("edge_e"))
     log = property(lambda self: self._tables.order_log)
     external_ids = property(lambda self: self._tables.role("ext_e"))

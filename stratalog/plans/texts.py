@@ -274,8 +274,8 @@ def coerce_string(t: Tables):
 @query(
     "coerce_with_warning",
     f"""SELECT event_id, {RAW_TEXT} AS value, CASE WHEN try_cast({RAW_TEXT} AS DOUBLE) IS NOT NULL
-      THEN concat('Coerced ''', {RAW_TEXT}, ''' (string) to number ', {RAW_TEXT}) END AS warning,
-      concat('Coerced number value to string ''', CAST(k AS VARCHAR), '''') AS text_warning FROM event_k""",
+      THEN concat('string ''', {RAW_TEXT}, ''' read as number ', {RAW_TEXT}) END AS warning,
+      concat('number written as text ''', CAST(k AS VARCHAR), '''') AS text_warning FROM event_k""",
 )
 def coerce_with_warning(t: Tables):
     number = sc.coerce_with_warning(raw_text(), "string", "number")

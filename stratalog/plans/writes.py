@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from ..model import Catalog, EntityType, Schema, Slot
 from ..operators import lifecycle as lc
 from ..operators import mutate as mu
+from ..operators import temporal as tm
 from ..runtime import scratch_path
 from ..sources.readers import map_fields
 from ..streaming import jobs
@@ -295,7 +296,8 @@ def migrate_rows(t: Tables):
 
 @query(
     "migration_transform",
-    "SELECT 20000000 + id AS id, upper(name) AS label FROM customer_e WHERE is_available AND contains(name, '5')",
+    """SELECT 20000000 + id AS id, upper(name) AS label FROM customer_e WHERE is_available AND contains(name, '5')
+    UNION ALL SELECT 10000000 + id, name FROM customer_e WHERE is_available AND NOT contains(name, '5')""",
 )
 def migration_transform(t: Tables):
     """Two hops; the second reads only what the first left live."""
@@ -303,7 +305,36 @@ def migration_transform(t: Tables):
     hop1 = lambda df: df.select((F.col("id") + 10_000_000).alias("id"), F.col("name").alias("label"), F.col("id").alias("predecessor"))
     hop2 = lambda df: df.where("contains(label, '5')").select((F.col("id") + 10_000_000).alias("id"), F.upper("label").alias("label"), F.col("id").alias("predecessor"))
     done = lc.migrate_chain(catalog, [("Customer", "Client", hop1), ("Client", "Client", hop2)], STAMP)
-    return done.live("Client").where("id >= 20000000").select("id", "label")
+    return done.live("Client").select("id", "label")
+
+
+@query(
+    "migrate_as_of",
+    """SELECT 'Client' AS entity_type, 10000000 + id AS id FROM customer_e WHERE is_available AND balance > 5000
+    UNION ALL SELECT 'Customer', id FROM customer_e WHERE NOT is_available OR balance <= 5000""",
+)
+def migrate_as_of(t: Tables):
+    """What stands after a migration, reconstructed from the log alone."""
+    catalog = split_customers(t)
+    early = mu.Stamp("2023-01-01 00:00:00", "loader")
+    created = mu.put(Catalog(catalog.schema, {"Customer": catalog.table("Customer").limit(0)}), "Customer", catalog.table("Customer"), early)
+    rich = lambda df: df.where("balance > 5000").select((F.col("id") + 10_000_000).alias("id"), F.col("name").alias("label"), F.col("id").alias("predecessor"))
+    out = lc.migrate_rows(catalog, "Customer", "Client", rich, STAMP)
+    log = created.log.unionByName(out["Customer"].log).unionByName(out["Client"].log)
+    states = [tm.query_as_of(log, catalog.schema, n, "2030-01-01 00:00:00").select(F.lit(n).alias("entity_type"), "id") for n in ("Customer", "Client")]
+    return states[0].unionByName(states[1])
+
+
+@query(
+    "put_lists",
+    """SELECT source_id, target_id FROM edge_e WHERE is_available AND source_id NOT IN (SELECT id FROM order_e WHERE status = 'O')
+    UNION ALL SELECT id, id % 100 + 1 FROM order_e WHERE status = 'O' UNION ALL SELECT id, id % 100 + 2 FROM order_e WHERE status = 'O'""",
+)
+def put_lists(t: Tables):
+    """Lists of a multivalued slot replace the edges of the rows that are put."""
+    parts = F.array(F.col("id") % 100 + 1, F.col("id") % 100 + 2)
+    batch = t.role("order_e").where("status = 'O'").withColumn("parts", parts)
+    return mu.put(t.catalog, "Order", batch, STAMP).edges.where("is_available").select("source_id", "target_id")
 
 
 @query(
@@ -319,30 +350,39 @@ def load_reference(t: Tables):
     return out.entities.select(F.lit("row").alias("kind"), F.col("id").cast("string").alias("id"), "name").unionByName(log)
 
 
-@query(
-    "prune_version",
-    """SELECT 'Order' AS kind, CAST(id AS VARCHAR) AS id FROM order_e WHERE CAST(id AS VARCHAR) NOT IN
-      (SELECT entity_id FROM write_e WHERE loader_name = 'loader1' AND version = 'v1' AND entity_type = 'Order')
-    UNION ALL SELECT 'log', entity_id FROM write_e WHERE NOT (loader_name = 'loader1' AND version = 'v1')""",
-)
+PRUNED = """SELECT 'Order' AS kind, CAST(id AS VARCHAR) AS id FROM order_e WHERE CAST(id AS VARCHAR) NOT IN
+      (SELECT entity_id FROM write_e WHERE {mine} AND entity_type = 'Order')
+    UNION ALL SELECT 'Part', CAST(id AS VARCHAR) FROM part_e WHERE CAST(id AS VARCHAR) NOT IN
+      (SELECT entity_id FROM write_e WHERE {mine} AND entity_type = 'Part')
+    UNION ALL SELECT 'log of ' || entity_type, entity_id FROM write_e WHERE NOT ({mine})"""
+
+
+def pruned(tables, log):
+    parts = [tables[n].select(F.lit(n).alias("kind"), F.col("id").cast("string").alias("id")) for n in ("Order", "Part")]
+    left = log.select(F.concat(F.lit("log of "), "entity_type").alias("kind"), F.col("entity_id").alias("id"))
+    return parts[0].unionByName(parts[1]).unionByName(left)
+
+
+@query("prune_version", PRUNED.format(mine="loader_name = 'loader1' AND version = 'v1'"))
 def prune_version(t: Tables):
-    tables, log = lc.prune_version(t.catalog, "loader1", "v1", ["Order"])
-    return tables["Order"].select(F.lit("Order").alias("kind"), F.col("id").cast("string").alias("id")).unionByName(
-        log.select(F.lit("log").alias("kind"), F.col("entity_id").alias("id"))
-    )
+    return pruned(*lc.prune_version(t.catalog, "loader1", "v1"))
+
+
+@query("prune_loader", PRUNED.format(mine="loader_name = 'loader1'"))
+def prune_loader(t: Tables):
+    return pruned(*lc.prune_loader(t.catalog, "loader1"))
 
 
 @query(
-    "prune_loader",
+    "prune_one_class",
     """SELECT 'Order' AS kind, CAST(id AS VARCHAR) AS id FROM order_e WHERE CAST(id AS VARCHAR) NOT IN
-      (SELECT entity_id FROM write_e WHERE loader_name = 'loader1' AND entity_type = 'Order')
-    UNION ALL SELECT 'log', entity_id FROM write_e WHERE loader_name <> 'loader1'""",
+      (SELECT entity_id FROM write_e WHERE loader_name = 'loader1' AND version = 'v1' AND entity_type = 'Order')
+    UNION ALL SELECT 'log of ' || entity_type, entity_id FROM write_e
+      WHERE NOT (loader_name = 'loader1' AND version = 'v1' AND entity_type = 'Order')""",
 )
-def prune_loader(t: Tables):
-    tables, log = lc.prune_loader(t.catalog, "loader1", ["Order"])
-    return tables["Order"].select(F.lit("Order").alias("kind"), F.col("id").cast("string").alias("id")).unionByName(
-        log.select(F.lit("log").alias("kind"), F.col("entity_id").alias("id"))
-    )
+def prune_one_class(t: Tables):
+    tables, log = lc.prune_version(t.catalog, "loader1", "v1", ["Order"])
+    return pruned({**tables, "Part": t.role("part_e").limit(0)}, log)
 
 
 @query("evolve_columns", "SELECT id, name, CAST(7 AS BIGINT) AS rank, CAST(NULL AS VARCHAR) AS note FROM supplier_e")

@@ -36,13 +36,13 @@ def test_string(spark):
 
 def test_warning_only_when_changed(spark):
     row = value(spark, sc.coerce_with_warning(F.lit("12"), "string", "number"))
-    assert (row.value, row.warning) == ("12", "Coerced '12' (string) to number 12")
+    assert (row.value, row.warning) == ("12", "string '12' read as number 12")
     row = value(spark, sc.coerce_with_warning(F.lit("x"), "string", "number"))
     assert (row.value, row.warning) == ("x", None)
     row = value(spark, sc.coerce_with_warning(F.lit("x"), "string", "string"))
     assert row.warning is None
     row = value(spark, sc.coerce_with_warning(F.lit("TRUE"), "string", "boolean"))
-    assert (row.value, row.warning) == ("True", "Coerced 'TRUE' (string) to boolean True")
+    assert (row.value, row.warning) == ("True", "string 'TRUE' read as boolean True")
 
 
 @pytest.mark.parametrize(
