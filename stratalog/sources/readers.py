@@ -6,7 +6,6 @@ failing or dropping it.
 
 from __future__ import annotations
 
-import csv
 import datetime as dt
 import re
 from typing import Any, Callable
@@ -26,28 +25,32 @@ WRITE_KEYWORDS = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUN
 
 
 def read_csv_records(
-    spark: SparkSession, path: str, columns: list[str] | None = None, header: bool = True
+    spark: SparkSession, path: str, columns: list[str] | None = None, header: bool = True, multi_line: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """CSV lines, every value a string. Returns (records, errors).
+    """CSV records, every value a string. Returns (records, errors).
 
-    Lines with too many or too few fields go to ``errors`` with their text. Only
-    the header line comes to the driver, for the column names.
+    Each file may start with a header of its own, which alone is dropped; quoted
+    values may hold line breaks. Records with too many or too few fields go to
+    ``errors`` with their text. Only the header comes to the driver, for the column
+    names. With ``multi_line`` a file is read by one task; without it files split,
+    and a line break ends a record.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    if header:
-        first = lines.head(1)
-        if not first:
-            columns = columns or []
-        else:
-            columns = columns or next(csv.reader([first[0][0]]))
-            lines = lines.where(F.col("value") != first[0][0])
+    source = spark.read.option("multiLine", multi_line).option("header", header)
+    if columns is None:
+        columns = source.csv(path).columns
     fields = ", ".join(f"`{c}` STRING" for c in [*columns, CORRUPT])
-    parsed = lines.select(
-        "value", F.from_csv("value", fields, {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}).alias("r")
+    parsed = (
+        source.schema(fields)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("columnPruning", False)
+        .csv(path)
     )
-    good = parsed.where(F.col(f"r.{CORRUPT}").isNull()).select(*[F.col(f"r.`{c}`") for c in columns])
-    bad = parsed.where(F.col(f"r.{CORRUPT}").isNotNull()).select(
-        F.col("value").alias("record"), F.lit("malformed row").alias("error")
+    # Spark refuses a scan of the broken records alone, so each plan reads a value as well.
+    read = F.length(F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))) >= 0 if columns else F.lit(True)
+    good = parsed.where(F.col(CORRUPT).isNull() & read).select(*[F.col(f"`{c}`") for c in columns])
+    bad = parsed.where(F.col(CORRUPT).isNotNull() & read).select(
+        F.col(CORRUPT).alias("record"), F.lit("malformed row").alias("error")
     )
     return good, bad
 
@@ -133,11 +136,20 @@ def read_json_array(
 
 
 def extract_json_path(df: DataFrame, column: str, path: str, element: str = "string") -> DataFrame:
-    """Records at a JSON path: arrays explode, a single value gives one row."""
+    """Records at a JSON path: arrays explode, a single value gives one row.
+
+    The parsed type decides, not the text: a string may begin with a bracket. A
+    path with ``[*]`` names many values and always explodes.
+    """
     found = F.get_json_object(F.col(column), path)
     many = F.from_json(found, f"array<{element}>")
     one = F.array(found if element == "string" else F.from_json(found, element))
-    items = F.when(F.startswith(F.ltrim(found), F.lit("[")), many).when(found.isNotNull(), one)
+    if "*" in path:
+        listed = F.startswith(F.ltrim(found), F.lit("["))
+    else:
+        value = F.try_variant_get(F.try_parse_json(F.col(column)), path, "variant")
+        listed = F.startswith(F.schema_of_variant(value), F.lit("ARRAY"))
+    items = F.when(listed, many).when(found.isNotNull(), one)
     keep = [c for c in df.columns if c != column]
     return df.select(*keep, F.posexplode(items).alias("position", "record"))
 

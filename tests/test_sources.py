@@ -175,3 +175,19 @@ def test_replayed_batch_replaces_itself(spark, folder):
     for _ in range(2):
         sinks.write_batch_once(df, folder + "/out", 4)
     assert spark.read.parquet(folder + "/out").count() == 3
+
+
+def test_csv_with_line_breaks_and_a_header_in_each_file(spark, folder):
+    os.makedirs(f"{folder}/csv")
+    for name, body in (("a", 'id,note\n1,"one\ntwo"\nid,note\n'), ("b", "id,note\n2,x\n3,y,z\n4\n")):
+        with open(f"{folder}/csv/{name}.csv", "w") as f:
+            f.write(body)
+    good, bad = src.read_csv_records(spark, f"{folder}/csv")
+    assert sorted(tuple(r) for r in good.collect()) == [("1", "one\ntwo"), ("2", "x"), ("id", "note")]
+    assert sorted(r.record for r in bad.collect()) == ["3,y,z", "4"] and good.count() == 3 and bad.count() == 2
+
+
+def test_json_strings_that_look_like_arrays(spark):
+    df = spark.createDataFrame([(1, '{"a": "[x"}'), (2, '{"a": ["p", "q"]}'), (3, '{"a": "[1]"}'), (4, '{"b": 1}')], "id int, doc string")
+    got = sorted((r.id, r.position, r.record) for r in src.extract_json_path(df, "doc", "$.a").collect())
+    assert got == [(1, 0, "[x"), (2, 0, "p"), (2, 1, "q"), (3, 0, "[1]")]
