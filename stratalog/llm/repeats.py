@@ -55,7 +55,7 @@ def _units_of(docs: DataFrame, least: int) -> DataFrame:
             for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text"))):
                 met = set()
                 for level, start, end, n, body in units(text, least):
-                    digest = blake2b(f"{level}:{body}".encode("utf-8", "replace"), digest_size=16).digest()
+                    digest = blake2b(body.encode("utf-8", "replace"), digest_size=16).digest()
                     rows.append((doc, key, level, start, end, n, digest not in met, *struct.unpack("<qq", digest)))
                     met.add(digest)
             columns = list(zip(*rows)) if rows else [()] * len(names)
@@ -73,7 +73,8 @@ def repeated_units(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """The units to remove: (doc_id, level, start, end, n_words, digest, keeper, text_key).
 
     A unit is a line, or a sentence within a line, of at least ``least`` words; its
-    digest (128 bits of its normalised words) is grouped over all documents. The
+    digest (128 bits of its normalised words, so a line equals the same sentence
+    elsewhere) is grouped over all documents. The
     occurrence in the document of smallest id stays, the first one in its text;
     ``keeper`` is that id. Offsets are characters of the original text. A sentence
     of a removed line is listed as well.
