@@ -94,7 +94,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(len(_COUNTS)):
             columns[f"n{i}"] = pa.array(table[i, at])
         for i in range(len(_BITS)):
-            columns[f"b{i}"] = pa.array(bits[at, i] if kind == "context" else np.zeros(len(at), np.int64))
+            columns[f"b{i}"] = pa.array(bits[at, i]) if kind == "context" else pa.nulls(len(at), pa.int64())
         yield from pa.table(columns).to_batches(max_chunksize=8192)
 
 
@@ -123,7 +123,7 @@ class Model:
         left = v[:-1]
         out = []
         for c in (0, 1):
-            chance = self.words[c][w]
+            chance = self.words[c][w].astype(np.float64)
             kept = self.pairs[c][p[1:]] / np.maximum(self.lefts[c][left], 1)
             chance[1:] = np.minimum(kept, 1) + self.backoff[c][left] * chance[1:]
             out.append(np.log(chance))
@@ -141,30 +141,32 @@ def _estimated(bits: np.ndarray) -> np.ndarray:
     return -CONTEXTS * np.log(np.maximum(CONTEXTS - bits, 0.5) / CONTEXTS)
 
 
-def _build(counts) -> Model:
-    """Model arrays from the summed counts (a pandas frame of bounded size)."""
+def _build(summed: DataFrame) -> Model:
+    """Model arrays from the summed counts, whose number the buckets bound.
 
-    def table(kind: str, bits: int) -> np.ndarray:
-        own = counts[counts.kind == kind]
-        out = np.zeros((2, 1 << bits))
-        out[:, own.bucket] = own[_COUNTS].to_numpy().T
+    Each kind comes to the driver by itself and without columns that it lacks.
+    """
+
+    def table(kind: str, bits: int, columns: list[str]) -> np.ndarray:
+        own = summed.filter(F.col("kind") == kind).select("bucket", *columns).toPandas()
+        out = np.zeros((len(columns), 1 << bits), dtype=np.int64 if columns == _BITS else np.float32)
+        for i, column in enumerate(columns):
+            out[i, own.bucket] = own[column]
         return out
 
-    words, pairs, lefts = table("word", WORD_BITS), table("pair", PAIR_BITS), table("context", CONTEXT_BITS)
-    own = counts[counts.kind == "context"]
-    raw = np.ascontiguousarray(own[_BITS].to_numpy(np.int64)).view(np.uint8)
-    ones = np.unpackbits(raw, axis=1).reshape(len(own), 3, CONTEXTS).sum(axis=2)
-    neighbours = np.zeros((3, 1 << CONTEXT_BITS))
-    neighbours[:, own.bucket] = _estimated(ones).T
+    words, pairs = table("word", WORD_BITS, _COUNTS), table("pair", PAIR_BITS, _COUNTS)
+    lefts = table("context", CONTEXT_BITS, _COUNTS)
+    raw = np.ascontiguousarray(table("context", CONTEXT_BITS, _BITS).T).view(np.uint8)
+    neighbours = _estimated(np.unpackbits(raw, axis=1).reshape(len(raw), 3, CONTEXTS).sum(axis=2)).T
     # a context bucket holds this many word buckets, which share its chance evenly
-    shared = np.repeat(neighbours[0] + 0.5, 1 << (WORD_BITS - CONTEXT_BITS))
-    shared /= shared.sum()
+    shared = np.repeat(neighbours[0] + 0.5, 1 << (WORD_BITS - CONTEXT_BITS)).astype(np.float32)
+    shared /= shared.sum(dtype=np.float64)
     kept = np.maximum(words - DISCOUNT, 0)
-    kept /= np.maximum(kept.sum(axis=1, keepdims=True), 1.0)
+    kept /= np.maximum(kept.sum(axis=1, keepdims=True, dtype=np.float64), 1.0).astype(np.float32)
     backoff = np.clip(PAIR_DISCOUNT * np.maximum(neighbours[1:], 1) / np.maximum(lefts, 1), 0.05, 1)
     return Model(
-        (1 - SHARED) * kept + SHARED * shared,
-        lefts.astype(np.float32),
+        np.float32(1 - SHARED) * kept + np.float32(SHARED) * shared,
+        lefts,
         np.maximum(pairs - PAIR_DISCOUNT, 0).astype(np.float32),
         backoff.astype(np.float32),
     )
@@ -202,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         .groupBy("kind", "bucket")
         .agg(*[F.sum(c).alias(c) for c in _COUNTS], *[F.bit_or(c).alias(c) for c in _BITS])
     )
-    model = _build(summed.toPandas())
+    model = _build(pinned(summed, "toxicity-counts"))
     tune = marked.filter(F.col("fold") == CALIBRATE).select("doc_id", "label")
     seen = _features(docs.select("doc_id", "text").join(F.broadcast(tune), "doc_id").select("label", "text"), "label", "int", model)
     fit = seen.toPandas()
