@@ -456,7 +456,7 @@ SUMMARY_SQL = """SELECT entity_id, min(CASE WHEN operation = 'create' THEN times
 
 def written_log(t: Tables) -> tuple[str, T.StructType]:
     path = scratch_path(t.spark, "stream-log")
-    t.log.write.parquet(path)
+    t.log.repartitionByRange(3, "timestamp").write.parquet(path)  # three files, a batch each
     return path, t.log.schema
 
 
@@ -464,7 +464,7 @@ def written_log(t: Tables) -> tuple[str, T.StructType]:
 def stream_updated_since(t: Tables):
     path, schema = written_log(t)
     out = scratch_path(t.spark, "feed")
-    events = jobs.read_log_stream(t.spark, path, schema)
+    events = jobs.read_log_stream(t.spark, path, schema, files_per_batch=1)
     jobs.stream_updated_since(events, out, scratch_path(t.spark, "state")).awaitTermination()
     feed = t.spark.read.parquet(out)
     return jobs.latest_of(feed, ["entity_id"]).select("entity_id", "created_at", "updated_at")
@@ -490,6 +490,6 @@ def stream_upsert(t: Tables):
 def stream_temporal_summary(t: Tables):
     path, schema = written_log(t)
     out = scratch_path(t.spark, "summary")
-    events = jobs.read_log_stream(t.spark, path, schema)
+    events = jobs.read_log_stream(t.spark, path, schema, files_per_batch=1)
     jobs.run_to_table(jobs.stream_temporal_summary(events), out, scratch_path(t.spark, "state"))
     return jobs.latest_of(t.spark.read.parquet(out), ["entity_id"]).select("entity_id", "created_at", "updated_at")

@@ -19,7 +19,7 @@ def provenance_rows(events: DataFrame) -> DataFrame:
     ).withColumn("event_date", F.to_date("timestamp"))
 
 
-def append_provenance(events: DataFrame, path: str) -> None:
+def append_provenance(events: DataFrame, path: str, mode: str = "append") -> None:
     """Append events, partitioned by day. Unknown operations are refused first."""
     rows = provenance_rows(events)
     bad = rows.where(~F.col("operation").isin(*OPERATIONS)).head(1)
@@ -30,7 +30,7 @@ def append_provenance(events: DataFrame, path: str) -> None:
     (
         rows.repartitionByRange("event_date", "entity_id", "timestamp")
         .sortWithinPartitions("event_date", "entity_id", "timestamp")
-        .write.mode("append")
+        .write.mode(mode)
         .partitionBy("event_date")
         .parquet(path)
     )

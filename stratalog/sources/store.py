@@ -1,24 +1,22 @@
-"""A folder layout for the five tables, written with Spark's own commit marker.
+"""A folder layout for the five tables, published one commit at a time.
 
-``entities/<class>/v=<n>`` and ``edges/v=<n>``, ``external_ids/v=<n>`` are whole
-snapshots: a job reads the newest complete one and writes the next, so it never
-overwrites what it reads and a failed job leaves no half table behind. ``log``
-and ``write_log`` only grow.
+``entities/<class>/v=<n>``, ``edges/v=<n>`` and ``external_ids/v=<n>`` are whole
+snapshots, ``log/v=<n>`` and ``write_log/v=<n>`` what commit ``n`` adds. A commit
+writes all its tables under one number and then its manifest, which names the
+folders that are current; readers go by the newest complete manifest. So a job
+never overwrites what it reads, and one that stops half way changes nothing.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..model import Catalog, QueryError, Schema
+from ..model import Catalog, QueryError, Schema, union_all
 from ..operators.mutate import WriteSet
-from .sinks import append_provenance, append_write_log
-
-MAX_BUCKET_SKEW = 4
+from .sinks import append_provenance
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -40,78 +38,70 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(found)
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    known = versions(spark, path)
-    return spark.read.parquet(f"{path}/v={known[-1]}") if known else None
-
-
-def write_snapshot(df: DataFrame, path: str) -> int:
-    known = versions(df.sparkSession, path)
-    number = known[-1] + 1 if known else 1
-    df.write.mode("overwrite").parquet(f"{path}/v={number}")
-    return number
+def _manifest(spark: SparkSession, root: str) -> tuple[int, dict]:
+    """Number and content of the newest commit; 0 and nothing before the first."""
+    known = versions(spark, f"{root}/manifest")
+    if not known:
+        return 0, {}
+    (line,) = spark.read.text(f"{root}/manifest/v={known[-1]}").collect()
+    return known[-1], json.loads(line[0])
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
-    """Store a table hashed and sorted by ``key``.
+def load_catalog(spark: SparkSession, root: str, schema: Schema) -> Catalog:
+    """The catalog as the last commit left it."""
+    _, current = _manifest(spark, root)
 
-    Entities bucketed by id and logs by entity id (edges by source id) with the
-    same number of buckets aggregate and join without a shuffle. A bucket is one
-    task from then on, so a table whose largest bucket is several times the mean
-    (a hot key) is refused; its plain layout lets joins split the key.
-    """
-    bucket = F.pmod(F.hash(key), F.lit(buckets))
-    load = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).agg(
-        F.max("n").alias("largest"), F.sum("n").alias("rows")
-    ).first()
-    if load.rows and load.largest > MAX_BUCKET_SKEW * load.rows / buckets:
-        raise QueryError(f"{key} is too skewed to bucket: {load.largest} of {load.rows} rows in one of {buckets}")
-    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
-    if path is not None:
-        writer = writer.option("path", path)
-    writer.format("parquet").saveAsTable(table)
-    return df.sparkSession.table(table)
-
-
-def _read_growing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    def read(name: str) -> DataFrame | None:
+        numbers = current.get(name)
+        return spark.read.parquet(f"{root}/{name}/v={numbers[0]}") if numbers else None
 
+    def parts(name: str) -> DataFrame | None:
+        numbers = current.get(name)
+        if not numbers:
+            return None
+        found = spark.read.option("basePath", f"{root}/{name}").parquet(*[f"{root}/{name}/v={n}" for n in numbers])
+        return found.drop("v")
 
-def load_catalog(spark: SparkSession, root: str, schema: Schema) -> Catalog:
-    tables = {}
-    for kind in schema.types:
-        df = None if kind.abstract else read_snapshot(spark, f"{root}/entities/{kind.name}")
-        if df is not None:
-            tables[kind.name] = df
+    tables = {k.name: read(f"entities/{k.name}") for k in schema.types if not k.abstract}
     return Catalog(
         schema,
-        tables,
-        edges=read_snapshot(spark, f"{root}/edges"),
-        log=_read_growing(spark, f"{root}/log"),
-        external_ids=read_snapshot(spark, f"{root}/external_ids"),
-        write_log=_read_growing(spark, f"{root}/write_log"),
+        {name: df for name, df in tables.items() if df is not None},
+        edges=read("edges"),
+        log=parts("log"),
+        external_ids=read("external_ids"),
+        write_log=parts("write_log"),
     )
 
 
-def commit(root: str, sets: dict[str, WriteSet], write_log: DataFrame | None = None) -> None:
-    """Write what a job returned: snapshots first, the log last.
+def commit(root: str, sets: dict[str, WriteSet], write_log: DataFrame | None = None) -> int:
+    """Write what a job returned as one commit and publish it; returns its number.
 
     The keys of ``sets`` name entity classes. Validate before calling.
     """
     if not sets:
         raise QueryError("nothing to commit")
+    frames = [df for out in sets.values() for df in (out.entities, out.edges, out.external_ids, out.log) if df is not None]
+    spark = frames[0].sparkSession
+    last, current = _manifest(spark, root)
+    number = last + 1
+
+    def snapshot(name: str, df: DataFrame | None) -> None:
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{root}/{name}/v={number}")
+            current[name] = [number]
+
     for name, out in sets.items():
-        if out.entities is not None:
-            write_snapshot(out.entities, f"{root}/entities/{name}")
-        if out.edges is not None:
-            write_snapshot(out.edges, f"{root}/edges")
-        if out.external_ids is not None:
-            write_snapshot(out.external_ids, f"{root}/external_ids")
-    for out in sets.values():
-        if out.log is not None:
-            append_provenance(out.log, f"{root}/log")
+        snapshot(f"entities/{name}", out.entities)
+        snapshot("edges", out.edges)
+        snapshot("external_ids", out.external_ids)
+    logs = [out.log for out in sets.values() if out.log is not None]
+    if logs:
+        # an attempt that stopped may have left a part under this number
+        append_provenance(union_all(logs), f"{root}/log/v={number}", mode="overwrite")
+        current["log"] = [*current.get("log", []), number]
     if write_log is not None:
-        append_write_log(write_log, f"{root}/write_log")
+        write_log.write.mode("overwrite").parquet(f"{root}/write_log/v={number}")
+        current["write_log"] = [*current.get("write_log", []), number]
+    published = spark.createDataFrame([(json.dumps(current),)], "value string").coalesce(1)
+    published.write.mode("overwrite").text(f"{root}/manifest/v={number}")
+    return number

@@ -287,6 +287,21 @@ def test_store_round_trip(spark, catalog, folder):
     assert [(r.id, r.name, r.version) for r in past] == [("n", "first", 1)]
 
 
+def test_a_commit_that_stops_changes_nothing(spark, catalog, folder, monkeypatch):
+    store.commit(folder, {"Sample": mu.WriteSet(entities=catalog.table("Sample"), edges=catalog.edges)})
+    current = store.load_catalog(spark, folder, SCHEMA)
+    out = mu.put(current, "Sample", frame(spark, [("n", "N")], "id string, name string"), STAMP)
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "append_provenance", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.commit(folder, {"Sample": out})
+    after = store.load_catalog(spark, folder, SCHEMA)
+    assert after.log is None and sorted(r.id for r in after.table("Sample").collect()) == ["a", "b", "c"]
+    assert store.commit(folder, {"Sample": out}) == 2
+    done = store.load_catalog(spark, folder, SCHEMA)
+    assert done.table("Sample").count() == 4 and done.log.count() == 1
+
+
 def log_rows(spark, days):
     return spark.createDataFrame(
         [(f"p{d}{e}", e, "T", "create" if d == 1 else "update", "ann", f"2024-01-0{d} 00:00:00", "v1", None, None, "{}", None) for d, e in days],

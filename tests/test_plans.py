@@ -45,35 +45,6 @@ def test_summary_shuffles_once_and_combines_first(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "partial_max" in plan
 
 
-def test_bucketed_tables_join_without_a_shuffle(spark, folder):
-    from stratalog.sources.store import write_bucketed
-
-    t = Tables(spark, FOLDER)
-    entities = write_bucketed(t.role("order_e"), "bucketed_orders", "id", 4, folder + "/e")
-    log = write_bucketed(t.order_log, "bucketed_log", "entity_id", 4, folder + "/l")
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        joined = rd.join_temporal(entities, log)
-        assert "Exchange" not in plan_of(joined)
-        assert joined.count() == t.role("order_e").count()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-        spark.sql("DROP TABLE bucketed_orders")
-        spark.sql("DROP TABLE bucketed_log")
-
-
-def test_hot_key_is_not_bucketed(spark, folder):
-    from pyspark.sql import functions as F
-
-    from stratalog.model import QueryError
-    from stratalog.sources.store import write_bucketed
-
-    df = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
-    with pytest.raises(QueryError):
-        write_bucketed(df, "hot", "k", 64, folder + "/h")
-
-
 def test_flagship_takes_ordered(spark):
     assert "TakeOrderedAndProject" in plan_of(entry.entry(spark))
 
