@@ -13,7 +13,7 @@ MOST_PASSES = 2
 #: Words of a block. Blocks are counted, never listed, so small ones cost nothing.
 BLOCK_WORDS = 8
 #: Words of a shard of the mix; a (source, shard) cell is what one window group holds.
-SHARD_WORDS = 250_000
+SHARD_WORDS = 100_000
 SEED = 20_240
 
 
