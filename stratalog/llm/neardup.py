@@ -17,6 +17,10 @@ SHINGLE_WORDS = 5
 THRESHOLD = 80
 #: A pair at the threshold shares no band with probability (1 - 0.8^5)^35 < 1e-6.
 BANDS, BAND_ROWS = 35, 5
+#: Bits of the parity map of a set, in longs.
+PARITY_LONGS = 16
+#: Rounds in which unconnected members meet one drawn member of each bucket's main component.
+ROUNDS = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,11 +80,18 @@ def bands_of(sketch: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parity_map(elements: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements in each of 1,024 classes. Maps of two sets
+    differ in at most as many bits as elements are in one set only."""
+    counts = np.bincount((elements & np.uint64(64 * PARITY_LONGS - 1)).astype(np.int64), minlength=64 * PARITY_LONGS)
+    return np.packbits((counts & 1).astype(bool)).view(np.int64)
+
+
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            n, d0, d1, bands = [], [], [], []
+            n, d0, d1, bands, parity = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 elements = shingle_set(hashes, text, words)
                 n.append(len(elements))
@@ -89,11 +100,12 @@ def _sketches(words: int):
                     d0.append(int(digest[0]))
                     d1.append(int(digest[1]))
                     bands.append(bands_of(fast_sketch(elements, BANDS * BAND_ROWS)))
+                    parity.append(parity_map(elements))
                 else:
-                    d0.append(None), d1.append(None), bands.append(None)
+                    d0.append(None), d1.append(None), bands.append(None), parity.append(None)
             yield pa.record_batch(
-                [batch.column("id_"), pa.array(n, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["id_", "n", "d0", "d1", "bands"],
+                [batch.column("id_"), pa.array(n, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
+                ["id_", "n", "d0", "d1", "bands", "parity"],
             )
 
     return run
@@ -159,11 +171,13 @@ def near_duplicates(
     Documents with equal shingle sets are one class (a digest of 128 bits), in the
     name of its smallest id; classes are sketched and banded. Every class is first
     verified against one partner, the bucket head it shares most bands with; linked
-    classes are contracted. Then every pair of classes that share a bucket and are
-    not yet connected is verified: the members outside the bucket's main component
-    against all others of another component. So no link between different texts is
-    lost to the order, and a bucket of copies costs one pair per member instead of
-    all pairs. Verification is on full sets; sizes rule out pairs first.
+    classes are contracted. In some rounds, members outside a bucket's main
+    component then meet one drawn member of it. At last every pair of classes that
+    share a bucket and are still not connected is verified: the members outside the
+    main component against all others of another component. So no link between
+    different texts is lost to the order, and a bucket of copies costs some pairs
+    per member instead of all pairs. Verification is on full sets; sizes and parity
+    maps rule out pairs first, both without loss.
 
     * Null or empty text, or one without words: no set, linked with nothing.
     * Null ids: rows of their own with null component, kept.
@@ -171,7 +185,7 @@ def near_duplicates(
     * Empty table: no rows. Other columns are not read.
     """
     named = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text).alias("text"))
-    sketched = pinned(named.mapInArrow(_sketches(words), "id_ bigint, n bigint, d0 bigint, d1 bigint, bands array<bigint>"), "sketches")
+    sketched = pinned(named.mapInArrow(_sketches(words), "id_ bigint, n bigint, d0 bigint, d1 bigint, bands array<bigint>, parity array<bigint>"), "sketches")
     with_set = sketched.filter("n > 0 and id_ is not null")
     classes = pinned(with_set.groupBy("d0", "d1").agg(F.min("id_").alias("rep_")), "classes")
 
@@ -193,21 +207,36 @@ def near_duplicates(
     links = pinned(_confirmed(first, sets, threshold), "first-links")
     roots = _roots(links)
 
-    placed = members.join(roots, "id_", "left").withColumn("root_", F.coalesce("root_", "id_"))
-    placed = pinned(placed, "placed")
-    shares = placed.groupBy("band", "root_").agg(F.count("*").alias("c_"))
-    mixed = shares.groupBy("band").agg(F.max_by("root_", "c_").alias("main_"), F.count("*").alias("r_")).filter("r_ > 1")
-    mixed = pinned(mixed.select("band", "main_"), "mixed-buckets")
-    open_ = pinned(placed.join(mixed, "band"), "open-members")
-    rest = open_.filter("root_ <> main_").select("band", F.col("id_").alias("a"), F.col("n").alias("na"), F.col("root_").alias("ra"))
-    others = open_.select("band", F.col("id_").alias("b"), F.col("n").alias("nb"), F.col("root_").alias("rb"), (F.col("root_") == F.col("main_")).alias("in_main"))
+    for round_ in range(ROUNDS):
+        open_ = _open_members(members, roots, f"round-{round_}")
+        drawn = open_.filter("root_ = main_").groupBy("band").agg(F.min(F.xxhash64(F.lit(round_), "id_")).alias("draw_"))
+        picks = open_.filter("root_ = main_").withColumn("draw_", F.xxhash64(F.lit(round_), "id_")).join(pinned(drawn, "draws"), ["band", "draw_"])
+        picks = pinned(picks.select("band", F.col("id_").alias("b"), F.col("n").alias("nb")), "picks")
+        rest = open_.filter("root_ <> main_").select("band", F.col("id_").alias("a"), F.col("n").alias("na"))
+        pairs = rest.join(picks, "band").filter(kept_sizes(F.col("na"), F.col("nb")))
+        pairs = pinned(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "round-pairs")
+        links = links.union(pinned(_confirmed(pairs, sets, threshold), "round-links"))
+        roots = _roots(links)
+
+    maps = with_set.join(head, ["d0", "d1", "id_"], "left_semi").select("id_", "n", "parity").dropDuplicates(["id_", "n"])
+    open_ = _open_members(members, roots, "last")
+    open_ = pinned(open_.join(maps, ["id_", "n"]), "last-maps")
+    rest = open_.filter("root_ <> main_").select(
+        "band", F.col("id_").alias("a"), F.col("n").alias("na"), F.col("root_").alias("ra"), F.col("parity").alias("pa")
+    )
+    others = open_.select(
+        "band", F.col("id_").alias("b"), F.col("n").alias("nb"), F.col("root_").alias("rb"), F.col("parity").alias("pb"),
+        (F.col("root_") == F.col("main_")).alias("in_main"),
+    )
+    apart = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY_LONGS)), F.lit(0))
+    near = (100 + threshold) * apart <= (100 - threshold) * (F.col("na") + F.col("nb"))
     pairs = (
         rest.join(others, "band")
-        .filter((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & kept_sizes(F.col("na"), F.col("nb")))
+        .filter((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & kept_sizes(F.col("na"), F.col("nb")) & near)
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    more = pinned(_confirmed(pinned(pairs, "more-pairs"), sets, threshold), "more-links")
+    more = pinned(_confirmed(pinned(pairs, "last-pairs"), sets, threshold), "last-links")
     roots = _roots(links.union(more)) if not more.isEmpty() else roots
 
     known = sketched.join(classes, ["d0", "d1"], "left")
@@ -220,6 +249,16 @@ def near_duplicates(
     return named_out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
 
 
+def _open_members(members: DataFrame, roots: DataFrame, label: str) -> DataFrame:
+    """(band, id_, n, root_, main_) of the buckets that hold several components;
+    ``main_`` is the one with most members."""
+    placed = members.select("band", "id_", "n").join(roots, "id_", "left").withColumn("root_", F.coalesce("root_", "id_"))
+    placed = pinned(placed, f"{label}-placed")
+    shares = placed.groupBy("band", "root_").agg(F.count("*").alias("c_"))
+    mixed = shares.groupBy("band").agg(F.max_by("root_", "c_").alias("main_"), F.count("*").alias("r_")).filter("r_ > 1")
+    return pinned(placed.join(pinned(mixed.select("band", "main_"), f"{label}-mixed"), "band"), f"{label}-open")
+
+
 def _roots(links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return links.select(F.col("a").alias("id_"), F.col("b").alias("root_"))
