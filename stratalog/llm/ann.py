@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pinned
+from .common import fetched, pinned
 
 #: Expected bounds: vectors the partitions are learned from, queries that set the number of probes.
 SAMPLE, TUNING = 4_000, 200
@@ -260,7 +260,7 @@ def _tuned_probes(rows: DataFrame, stored: DataFrame, router: Router, total: int
     best = found.withColumn("r_", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("r_") <= k)
     home = stored.select("vec_id", "part")
     ranks = _routed(drawn, router, router.parts, "query_id").select("query_id", "part", "place")
-    places = best.join(home, "vec_id").join(ranks, ["query_id", "part"]).groupBy("place").count().toPandas()
+    places = fetched(best.join(home, "vec_id").join(ranks, ["query_id", "part"]).groupBy("place").count())
     if not len(places):
         return router.parts
     counts = np.zeros(router.parts)

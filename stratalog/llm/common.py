@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def pinned(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fetched(df: DataFrame) -> pd.DataFrame:
+    """A result of bounded size on the driver, in columns all the way."""
+    return df.toArrow().to_pandas()
+
+
 def word_count(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

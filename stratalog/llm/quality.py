@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, pinned, slices
+from .common import WordHashes, fetched, pinned, slices
 from .toxicity import CALIBRATE, HELD_OUT, fold_of, labelled
 
 #: Buckets of words and length of their vectors; nonzero entries of an index vector; neighbours on either side.
@@ -104,7 +104,7 @@ def word_vectors(docs: DataFrame) -> Network:
     summed = docs.select("text").mapInArrow(_contexts, schema).groupBy("bucket").agg(
         F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]
     )
-    frame = summed.toPandas()
+    frame = fetched(summed)
     size = 1 << WORD_BITS
     vectors, count = index_vectors().astype(np.float64), np.zeros(size)
     count[frame.bucket] = frame.n
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     model = word_vectors(docs)
     marked = pinned(labelled(labels, label, most), "quality-labels")
     rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("label", "fold", "text")
-    seen = _pool(rows, model).toPandas()
+    seen = fetched(_pool(rows, model))
     x = np.array(seen.vector.tolist(), dtype=np.float32).reshape(len(seen), 3 * DIMENSIONS)
     y, tune = seen.label.to_numpy(float), (seen.fold == CALIBRATE).to_numpy()
     if len(set(y[~tune])) < 2:  # nothing to tell apart: the share of label 1 is all that is known

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, fold, pinned, slices
+from .common import WordHashes, fetched, fold, pinned, slices
 
 #: Expected bound of labelled rows a model learns from; beyond it a hash of the id draws them.
 LABELLED_ROWS = 200_000
@@ -148,10 +148,11 @@ def _build(summed: DataFrame) -> Model:
     """
 
     def table(kind: str, bits: int, columns: list[str]) -> np.ndarray:
-        own = summed.filter(F.col("kind") == kind).select("bucket", *columns).toPandas()
+        own = summed.filter(F.col("kind") == kind).select("bucket", *columns).toArrow()
         out = np.zeros((len(columns), 1 << bits), dtype=np.int64 if columns == _BITS else np.float32)
+        at = own.column("bucket").to_numpy()
         for i, column in enumerate(columns):
-            out[i, own.bucket] = own[column]
+            out[i, at] = own.column(column).to_numpy()
         return out
 
     words, pairs = table("word", WORD_BITS, _COUNTS), table("pair", PAIR_BITS, _COUNTS)
@@ -207,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     model = _build(pinned(summed, "toxicity-counts"))
     tune = marked.filter(F.col("fold") == CALIBRATE).select("doc_id", "label")
     seen = _features(docs.select("doc_id", "text").join(F.broadcast(tune), "doc_id").select("label", "text"), "label", "int", model)
-    fit = seen.toPandas()
+    fit = fetched(seen)
     if fit.label.nunique() == 2:
         bias, slopes = _fit_logistic(fit[_FEATURES].to_numpy(), fit.label.to_numpy(float))
         model.bias, model.slopes = bias, tuple(slopes)
