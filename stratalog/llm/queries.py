@@ -53,8 +53,8 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    """Repeated lines and sentences to remove."""
-    return repeats.repeated_units(table(spark, folder, "documents")).drop("text_key")
+    """Repeated paragraphs, lines of any length and sentences to remove."""
+    return repeats.repeated_units(table(spark, folder, "documents"), least_line=1).drop("text_key")
 
 
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:

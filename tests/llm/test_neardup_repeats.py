@@ -126,3 +126,22 @@ def test_repeated_units_beside_a_scan(spark):
     after = {r["doc_id"]: r["text"] for r in cleaned.collect()}
     assert after[1] == texts[1] and after[7] == "short line" and after[6] is None and after[None] == ""
     assert "three" not in after[8] and repeats.repeated_units(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_short_lines_and_short_sentences_repeat_too(spark):
+    verse = "\n".join(["roses are red", "violets are blue", "sugar is sweet"])
+    talk = "He came in late. She said no. They left."
+    rows = [
+        (1, f"{verse}\n\nMy own first words stand before it. {talk}\n這是一行沒有空格的文字"),
+        (2, f"Quite other words.\n\n{verse}\n\nYours. {talk} And something else comes after."),
+        (3, "這是一行沒有空格的文字"), (4, verse.replace("\n", " ")), (5, "no no. " * 30),
+    ]
+    docs = spark.createDataFrame([(i, t, 0, "x", "y") for i, t in rows], DOCS)
+    cleaned = repeats.remove_units(docs, repeats.repeated_units(docs, least_line=1))
+    after = {r["doc_id"]: r["text"] for r in cleaned.collect()}
+    assert after[1] == rows[0][1] and after[3] == after[4] == ""
+    assert "roses" not in after[2] and "late" not in after[2] and "left" not in after[2]
+    assert after[2].startswith("Quite other words.") and after[2].endswith("And something else comes after.")
+    assert after[5].count("no no.") in range(4, 8)
+    # paragraphs of short lines count without short lines, too
+    assert {r["level"] for r in repeats.repeated_units(docs).filter("doc_id = 2").collect()} == {"paragraph", "sentence"}
