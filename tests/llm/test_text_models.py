@@ -126,3 +126,25 @@ def test_models_without_labels_or_rows(spark):
     for module in (toxicity, quality):
         assert module.score(none, module.train(none, no_labels)).count() == 0
         assert module.score(one, module.train(one, no_labels)).count() == 1
+
+
+def test_quality_trains_the_same_epochs_at_every_size(monkeypatch):
+    drawn = []
+
+    class Counted:
+        def __init__(self, seed):
+            self.draw = np.random.Generator(np.random.PCG64(seed))
+
+        def normal(self, *a):
+            return self.draw.normal(*a)
+
+        def permutation(self, n):
+            drawn.append(n)
+            return self.draw.permutation(n)
+
+    monkeypatch.setattr(quality.np.random, "default_rng", Counted)
+    for n in (500, 8000, 8001):
+        drawn.clear()
+        x = np.linspace(-1, 1, 2 * n).reshape(n, 2)
+        quality._fit(quality.Network(np.zeros((1, 2)), np.zeros(1)), x, (x[:, 0] > 0).astype(float))
+        assert drawn == [n] * quality.EPOCHS
