@@ -77,6 +77,27 @@ def test_leaks_beside_all_windows(spark):
     assert decontaminate.contaminated(frame, no_items).count() == 0
 
 
+def test_leaks_with_repeated_shingles_beside_all_windows(spark):
+    items, docs = [], []
+    for i in range(10):
+        common, run = ["c%dx%d" % (i, k) for k in range(126)], [["and", "no", "la"][i % 3]] * 15
+        other = ["o%dx%d" % (i, k) for k in range(15)]
+        items.append((i, " ".join(common + run)))
+        docs.append((i, " ".join(["before"] * 3 + common + other)))
+    want = leaks(docs, items)
+    assert len(want) == 10 and all(0.8 <= v < 0.81 for v in want.values())
+    frame = spark.createDataFrame([(i, t, "c", "c", "c") for i, t in docs], DOCS)
+    got = decontaminate.contaminated(frame, spark.createDataFrame([(i, t, 1) for i, t in items], BENCH)).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_repeats_count_as_features_of_their_own(spark):
+    frame = spark.createDataFrame([([5, 7, 5, 5, 9],), ([9, 5, 7, 5, 5],), ([5, 7],), ([],)], "grams array<bigint>")
+    got = [r[0] for r in frame.select(decontaminate.occurrences(F.col("grams"))).collect()]
+    assert len(set(got[0])) == 5 and {5, 7, 9} < set(got[0]) and set(got[0]) == set(got[1])
+    assert got[2:] == [[5, 7], []]
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     parts = decontaminate.blocks(20)
     assert len(parts) == 21 and sum(w for _, w in parts) == 64
