@@ -12,8 +12,9 @@ WEIGHTS = (3, 1, 2)
 MOST_PASSES = 2
 #: Words of a block. Blocks are counted, never listed, so small ones cost nothing.
 BLOCK_WORDS = 8
-#: Words of a shard of the mix; a (source, shard) cell is what one window group holds.
-SHARD_WORDS = 100_000
+#: Words of a shard of the mix; a source is laid out in this many cells per shard of its own
+#: words, and at least one. A cell is what one window group holds.
+SHARD_WORDS, SHARD_CELLS = 100_000, 4
 SEED = 20_240
 
 
@@ -81,13 +82,29 @@ def source_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
 
 
 def _covered(x: Column, block: int) -> Column:
-    """Words before ``x`` on a cell's line that lie in its chosen blocks."""
-    start, end = F.col("first_") * block, (F.col("first_") + F.col("extra_")) * block
+    """Words before ``x`` on a cell's line that lie in its chosen run."""
+    start = F.col("first_") * block
+    end = start + F.col("extra_")
     straight = F.greatest(F.lit(0), F.least(x, end) - start)
-    wrapped = F.greatest(F.lit(0), F.least(x, end - F.col("in_line_") * block))
+    wrapped = F.greatest(F.lit(0), F.least(x, end - F.col("cell_")))
     return F.when(F.col("extra_") == 0, F.lit(0)).otherwise(straight + wrapped)
 
 
+def _cell_quotas(dealt: DataFrame) -> DataFrame:
+    """(no_, at_, cell_, quota_): words of every cell and the words its source takes of it.
+
+    A source's words up to the end of a cell take their share of its ``words_``, rounded; a
+    cell gets the difference to the one before it. So quotas sum to the source's words
+    exactly and miss a cell's own share by less than a word.
+    """
+    cells = dealt.groupBy("source_no", "source_size", "words_", "part_").agg(F.sum("size").alias("cell_"))
+    before = Window.partitionBy("source_no").orderBy("part_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    due = lambda x: F.floor(F.coalesce(F.col("words_") * F.try_divide(x, F.col("source_size")), F.lit(0.0)) + 0.5)
+    upto = cells.withColumn("upto_", F.sum("cell_").over(before))
+    quota = F.least(due(F.col("upto_")) - due(F.col("upto_") - F.col("cell_")), F.col("cell_") * MOST_PASSES)
+    return upto.select(F.col("source_no").alias("no_"), F.col("part_").alias("at_"), "cell_", quota.alias("quota_"))
+
+
 def mix(
     rows: DataFrame,
     share: float = SHARE,
@@ -101,10 +118,10 @@ def mix(
     Adds ``source_size``, ``target``, ``taken`` (words, repeats counted), ``copies``
     (passes that take the row's middle word) and ``mix_shard``. All rows are dealt
     to shards by a seeded hash, so a source with a third of the rows lies on all of
-    them. In a (source, shard) cell rows stand on a line in seeded order, cut into
-    blocks of ``block_words``. The source's blocks go to its cells by the same
-    highest quotients (down to the quotient at which the source's own share is one
-    block), whole passes first, the rest as a run of blocks from a seeded start.
+    them, and to the cells of their source, whose number follows from that source's
+    words alone. In a cell rows stand on a line in seeded order. The words of the
+    source's blocks go to its cells by their sizes and sum up exactly, whole passes
+    first, the rest as a run of words from the seeded start of a block.
 
     * Null source: a source of its own, last in order. Null or empty text has size
       0, takes nothing and is not copied.
@@ -119,21 +136,27 @@ def mix(
     dealt = rows.withColumn("draw_", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn(
         "mix_shard", F.pmod("draw_", F.lit(shards).cast("long"))
     )
-    part = plan.select(F.col("source").alias("source_"), "source_size", "target", "blocks")
+    cells = F.greatest(F.lit(1), F.floor(F.col("source_size") * SHARD_CELLS / shard_words)).cast("long")
+    whole = F.least(F.col("blocks") * block_words, F.col("source_size") * MOST_PASSES)
+    part = plan.select(
+        F.col("source").alias("source_"), "source_no", "source_size", "target", cells.alias("cells_"), whole.alias("words_")
+    )
     known = dealt.join(part, dealt["source"].eqNullSafe(part["source_"])).drop("source_")
-    cell = Window.partitionBy("source", "mix_shard")
+    known = known.withColumn("part_", F.pmod("draw_", "cells_"))
+    quotas = pinned(_cell_quotas(known), "mix-cells")
+    cell = Window.partitionBy("source_no", "part_")
     order = cell.orderBy("draw_", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = (
         known.withColumn("end_", F.sum("size").over(order))
-        .withColumn("cell_", F.sum("size").over(cell))
-        .withColumn("in_line_", F.ceil(F.col("cell_") / block_words))
-        .withColumn("quota_", F.floor(F.col("blocks") * F.try_divide(F.col("cell_"), F.col("source_size")) + 0.5))
-        .withColumn("quota_", F.coalesce(F.least("quota_", F.col("in_line_") * MOST_PASSES), F.lit(0)))
-        .withColumn("passes_", F.coalesce(F.try_divide("quota_", "in_line_"), F.lit(0)).cast("long"))
-        .withColumn("extra_", F.col("quota_") - F.col("passes_") * F.col("in_line_"))
+        .join(quotas, (F.col("source_no") == F.col("no_")) & (F.col("part_") == F.col("at_")))
+        .withColumn("passes_", F.coalesce(F.floor(F.try_divide("quota_", "cell_")), F.lit(0)).cast("long"))
+        .withColumn("extra_", F.col("quota_") - F.col("passes_") * F.col("cell_"))
         .withColumn(
             "first_",
-            F.pmod(F.xxhash64(F.lit(seed), "source", "mix_shard"), F.greatest(F.lit(1), F.col("in_line_")).cast("long")),
+            F.pmod(
+                F.xxhash64(F.lit(seed), "source", "part_"),
+                F.greatest(F.lit(1), F.ceil(F.col("cell_") / block_words)).cast("long"),
+            ),
         )
         .withColumn("start_", F.col("end_") - F.col("size"))
     )

@@ -132,6 +132,20 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark):
     assert counts == {k: v for k, v in _sum((r["doc_id"], r["copies"]) for r in first).items() if v}
 
 
+def test_small_sources_of_short_texts_reach_their_targets(spark):
+    rows = [(i, "w " * 3, "short", "", 1) for i in range(900)] + [(i, "w " * 500, "z%d" % (i % 2), "", 1) for i in range(1000, 1800)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for share in (0.5, 1.0, 1.5):
+        got = mixing.mix_sizes(docs, share=share, weights=(1, 100, 120), shard_words=100).collect()
+        blocks = {}
+        for r in got:
+            assert 0 <= r["taken"] <= 2 * r["size"]
+            taken, target = blocks.get(r["source"], (0, 0))
+            blocks[r["source"]] = taken + r["taken"], r["target"]
+        for source, (taken, target) in blocks.items():
+            assert abs(taken - target) <= mixing.BLOCK_WORDS, (share, source, taken, target)
+
+
 def _sum(pairs):
     out = {}
     for k, v in pairs:
