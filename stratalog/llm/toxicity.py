@@ -17,8 +17,10 @@ from .common import WordHashes, fetched, fold, pinned, slices
 LABELLED_ROWS = 200_000
 #: Buckets for words, for their contexts and for word pairs: the model has this size for any corpus.
 WORD_BITS, CONTEXT_BITS, PAIR_BITS = 20, 15, 18
-#: Classes of neighbours, a bit each, from which the number of different neighbours is estimated.
-CONTEXTS = 256
+#: Bits of a neighbour's hash beside a bucket; pairs of the two are told apart over the whole corpus.
+NEIGHBOUR_BITS = 40
+#: What a row of the counts is about: different words before a word, after a word in either class, and numbers.
+BEFORE, AFTER, WORD, CONTEXT, PAIR = 0, (1, 2), 3, 4, 5
 #: What counts of words and of pairs lose to the backoff: single words and all but frequent pairs say
 #: nothing about a class that a sample of labels could show.
 DISCOUNT, PAIR_DISCOUNT = 1.5, 100.0
@@ -57,27 +59,29 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _keys(hashes: WordHashes, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word, context and pair buckets and context classes of the words, in order."""
+    """Word, context and pair buckets and neighbour hashes of the words, in order."""
     h = hashes(_words(text))
     left = np.concatenate([np.zeros(1, np.uint64), h])[: len(h)]
     words = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     pairs = (fold(left * np.uint64(0x9E3779B97F4A7C15) + h) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    return words, words >> (WORD_BITS - CONTEXT_BITS), pairs, (h % np.uint64(CONTEXTS)).astype(np.int64)
+    return words, words >> (WORD_BITS - CONTEXT_BITS), pairs, (h & np.uint64((1 << NEIGHBOUR_BITS) - 1)).astype(np.int64)
+
+
+def _key(kind: int, bucket: np.ndarray, neighbour: np.ndarray | int = 0) -> np.ndarray:
+    return (kind << 60) | (bucket << NEIGHBOUR_BITS) | neighbour
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a partition: for each bucket its numbers per class and its neighbours' bits."""
+    """Different (bucket, neighbour) keys of every few texts, and a partition's numbers per bucket and class."""
     hashes = WordHashes()
     size, pair_size = 1 << CONTEXT_BITS, 1 << PAIR_BITS
-    before = np.zeros((size, CONTEXTS), dtype=bool)
-    after = np.zeros((2, size, CONTEXTS), dtype=bool)
     words = np.zeros((2, 1 << WORD_BITS), dtype=np.int64)
     pairs = np.zeros((2, pair_size), dtype=np.int64)
     lefts = np.zeros((2, size), dtype=np.int64)  # words that follow
     for batch in slices(batches):
         texts, labels = batch.column("text").to_pylist(), batch.column("label").to_pylist()
         found = [_keys(hashes, t) for t in texts]
-        before[np.concatenate([v[1:] for _, v, _, _ in found]), np.concatenate([c[:-1] for *_, c in found])] = True
+        met = [_key(BEFORE, np.concatenate([w[1:] for w, *_ in found]), np.concatenate([c[:-1] for *_, c in found]))]
         for label in (0, 1):
             own = [x for x, y in zip(found, labels) if y == label]
             if own:
@@ -85,21 +89,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pairs[label] += np.bincount(np.concatenate([p for _, _, p, _ in own]), minlength=pair_size)
                 first = np.concatenate([v[:-1] for _, v, _, _ in own])
                 lefts[label] += np.bincount(first, minlength=size)
-                after[label, first, np.concatenate([c[1:] for *_, c in own])] = True
-    seen = np.concatenate([before, *after], axis=1).reshape(size, len(_BITS), 64)
-    bits = np.packbits(seen, axis=2).view(">i8")[:, :, 0].astype(np.int64)
-    for kind, table in (("word", words), ("context", lefts), ("pair", pairs)):
+                met.append(_key(AFTER[label], first, np.concatenate([c[1:] for *_, c in own])))
+        keys = pa.array(np.unique(np.concatenate(met)))
+        none = pa.nulls(len(keys), pa.int64())
+        yield from pa.table([keys, none, none], ["key", *_COUNTS]).to_batches(max_chunksize=8192)
+    for kind, table in ((WORD, words), (CONTEXT, lefts), (PAIR, pairs)):
         at = np.flatnonzero(table.any(axis=0))
-        columns = {"kind": pa.array([kind] * len(at)), "bucket": pa.array(at.astype(np.int32))}
-        for i in range(len(_COUNTS)):
-            columns[f"n{i}"] = pa.array(table[i, at])
-        for i in range(len(_BITS)):
-            columns[f"b{i}"] = pa.array(bits[at, i]) if kind == "context" else pa.nulls(len(at), pa.int64())
-        yield from pa.table(columns).to_batches(max_chunksize=8192)
+        columns = [pa.array(_key(kind, at)), *[pa.array(table[i, at]) for i in range(len(_COUNTS))]]
+        yield from pa.table(columns, ["key", *_COUNTS]).to_batches(max_chunksize=8192)
 
 
 _COUNTS = [f"n{i}" for i in range(2)]
-_BITS = [f"b{i}" for i in range(3 * CONTEXTS // 64)]
+
+
+def _summed(texts: DataFrame) -> DataFrame:
+    """(kind, bucket, n0, n1, different) of (text, label); different keys are exact at any size of the corpus."""
+    keys = texts.mapInArrow(_count, "key bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    once = keys.groupBy("key").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    place = F.shiftright("key", NEIGHBOUR_BITS)
+    kind, bucket = F.shiftright("key", 60), place.bitwiseAND(F.lit((1 << WORD_BITS) - 1))
+    return once.groupBy(kind.cast("int").alias("kind"), bucket.cast("int").alias("bucket")).agg(
+        *[F.sum(c).alias(c) for c in _COUNTS], F.count("*").alias("different")
+    )
 
 
 @dataclass
@@ -136,35 +147,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + features @ np.asarray(self.slopes), -30, 30)))
 
 
-def _estimated(bits: np.ndarray) -> np.ndarray:
-    """Number of different neighbours by linear counting over the classes."""
-    return -CONTEXTS * np.log(np.maximum(CONTEXTS - bits, 0.5) / CONTEXTS)
-
-
 def _build(summed: DataFrame) -> Model:
     """Model arrays from the summed counts, whose number the buckets bound.
 
     Each kind comes to the driver by itself and without columns that it lacks.
     """
 
-    def table(kind: str, bits: int, columns: list[str]) -> np.ndarray:
+    def table(kind: int, bits: int, columns: list[str]) -> np.ndarray:
         own = summed.filter(F.col("kind") == kind).select("bucket", *columns).toArrow()
-        out = np.zeros((len(columns), 1 << bits), dtype=np.int64 if columns == _BITS else np.float32)
+        out = np.zeros((len(columns), 1 << bits), dtype=np.float32)
         at = own.column("bucket").to_numpy()
         for i, column in enumerate(columns):
             out[i, at] = own.column(column).to_numpy()
         return out
 
-    words, pairs = table("word", WORD_BITS, _COUNTS), table("pair", PAIR_BITS, _COUNTS)
-    lefts = table("context", CONTEXT_BITS, _COUNTS)
-    raw = np.ascontiguousarray(table("context", CONTEXT_BITS, _BITS).T).view(np.uint8)
-    neighbours = _estimated(np.unpackbits(raw, axis=1).reshape(len(raw), 3, CONTEXTS).sum(axis=2)).T
-    # a context bucket holds this many word buckets, which share its chance evenly
-    shared = np.repeat(neighbours[0] + 0.5, 1 << (WORD_BITS - CONTEXT_BITS)).astype(np.float32)
+    words, pairs = table(WORD, WORD_BITS, _COUNTS), table(PAIR, PAIR_BITS, _COUNTS)
+    lefts = table(CONTEXT, CONTEXT_BITS, _COUNTS)
+    neighbours = np.concatenate([table(kind, CONTEXT_BITS, ["different"]) for kind in AFTER])
+    shared = table(BEFORE, WORD_BITS, ["different"])[0] + np.float32(0.5)
     shared /= shared.sum(dtype=np.float64)
     kept = np.maximum(words - DISCOUNT, 0)
     kept /= np.maximum(kept.sum(axis=1, keepdims=True, dtype=np.float64), 1.0).astype(np.float32)
-    backoff = np.clip(PAIR_DISCOUNT * np.maximum(neighbours[1:], 1) / np.maximum(lefts, 1), 0.05, 1)
+    backoff = np.clip(PAIR_DISCOUNT * np.maximum(neighbours, 1) / np.maximum(lefts, 1), 0.05, 1)
     return Model(
         np.float32(1 - SHARED) * kept + np.float32(SHARED) * shared,
         lefts,
@@ -193,19 +197,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     All documents give the shared backoff counts: the number of different words
     before and after a word. Words and word pairs of the labelled ones give each
-    class its own counts. Tasks add up their rows first, so the shuffle and the model are bounded
-    by the buckets. Another fold of labelled rows calibrates the score.
+    class its own counts. The different pairs are grouped over the whole corpus, so their
+    shuffle grows with it; the model is bounded by the buckets. Another fold of labelled rows calibrates the score.
     """
     marked = pinned(labelled(labels, label, most), "toxicity-labels")
     learn = marked.filter(F.col("fold") != CALIBRATE).select("doc_id", "label")
     texts = docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id", "left").select("text", "label")
-    schema = "kind string, bucket int, " + ", ".join(f"{c} bigint" for c in _COUNTS + _BITS)
-    summed = (
-        texts.mapInArrow(_count, schema)
-        .groupBy("kind", "bucket")
-        .agg(*[F.sum(c).alias(c) for c in _COUNTS], *[F.bit_or(c).alias(c) for c in _BITS])
-    )
-    model = _build(pinned(summed, "toxicity-counts"))
+    model = _build(pinned(_summed(texts), "toxicity-counts"))
     tune = marked.filter(F.col("fold") == CALIBRATE).select("doc_id", "label")
     seen = _features(docs.select("doc_id", "text").join(F.broadcast(tune), "doc_id").select("label", "text"), "label", "int", model)
     fit = fetched(seen)

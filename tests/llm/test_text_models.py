@@ -4,8 +4,10 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from stratalog.llm import licenses, quality, toxicity
+from stratalog.llm.common import WordHashes
 
 DOCS = "doc_id long, text string, words string, score double"
 
@@ -148,3 +150,11 @@ def test_quality_trains_the_same_epochs_at_every_size(monkeypatch):
         x = np.linspace(-1, 1, 2 * n).reshape(n, 2)
         quality._fit(quality.Network(np.zeros((1, 2)), np.zeros(1)), x, (x[:, 0] > 0).astype(float))
         assert drawn == [n] * quality.EPOCHS
+
+
+def test_different_neighbours_are_counted_without_a_bound(spark):
+    rows = [(" ".join(f"left{i} hot left{i} rare" if i < 3 else f"left{i} hot" for i in range(k, 5000, 7)), k % 2) for k in range(7)]
+    summed = toxicity._summed(spark.createDataFrame(rows * 2, "text string, label int")).filter(F.col("kind") == toxicity.BEFORE)
+    found = {r["bucket"]: r["different"] for r in summed.collect()}
+    bucket = lambda w: int(toxicity._keys(WordHashes(), w)[0][0])
+    assert found[bucket("hot")] == 5000 and found[bucket("rare")] == 3
