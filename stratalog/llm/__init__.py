@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark import cloudpickle
 
-from . import ann, archive, common, neardup, quality, repeats, shards, toxicity
+from . import ann, archive, clusters, common, neardup, quality, ranked, repeats, shards, token_files, toxicity
 
-for _module in (common, neardup, toxicity, quality, archive, repeats, shards, ann):
+for _module in (common, neardup, toxicity, quality, archive, repeats, shards, ann, clusters, ranked, token_files):
     cloudpickle.register_pickle_by_value(_module)

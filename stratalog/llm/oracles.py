@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .archive import LEAST_REVISIT
+from .clusters import CENTROIDS, DIMS, ROUNDS, SCALE
 from .decontaminate import SIMILARITY, SHINGLE_WORDS
 from .neardup import THRESHOLD
+from .ranked import TOP
 from .shards import SHARDS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,4 +85,38 @@ sums AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
 SELECT doc_id, size, text_crc32, shard::INTEGER AS shard, grown_shard::INTEGER AS grown_shard,
   row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, 'key' AS law FROM sums JOIN placed USING (doc_id)"""
 
-ORACLES = {"op1_minhash": OP1, "op4_decontaminate": OP4, "op6_warc": OP6, "op9_sharding": OP9}
+def _round(r: int) -> str:
+    """Assignment to the centroids of round ``r`` and the centroids after it."""
+    return f"""near{r} AS MATERIALIZED (SELECT row_, c, gap FROM (
+  SELECT row_, c, sum((f.x - m.x) * (f.x - m.x))::BIGINT AS gap FROM flat f JOIN mid{r} m USING (d) GROUP BY row_, c) g
+  QUALIFY row_number() OVER (PARTITION BY row_ ORDER BY gap, c) = 1),
+mid{r + 1} AS MATERIALIZED (SELECT m.c, m.d, coalesce(s.x, m.x) AS x FROM mid{r} m LEFT JOIN (
+  SELECT c, d, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+  FROM near{r} JOIN flat USING (row_) GROUP BY c, d) s USING (c, d))"""
+
+
+OP11 = f"""WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS row_, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMS}),
+flat AS MATERIALIZED (SELECT row_, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM kept),
+mid0 AS MATERIALIZED (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM kept) s WHERE c < {CENTROIDS}),
+{", ".join(_round(r) for r in range(ROUNDS + 1))},
+named AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM mid{ROUNDS} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, gap AS distance, (sum(gap) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(gap) OVER ())::BIGINT AS inertia, centroid_sha256 FROM near{ROUNDS} JOIN kept USING (row_) JOIN named USING (c)"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), '{}', '{}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(UPPER, LOWER)
+
+OP12 = f"""WITH docs AS (SELECT row_number() OVER () AS row_, doc_id, {_TERMS} AS w FROM documents),
+size_ AS (SELECT count(*) AS docs_, sum(len(w))::BIGINT AS words_ FROM docs WHERE len(w) > 0),
+tfs AS (SELECT row_, t, count(*) AS tf FROM (SELECT row_, unnest(w) AS t FROM docs) x GROUP BY row_, t),
+asked AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) x GROUP BY item_id, t),
+weights AS (SELECT t, floor(1000 * ln((2 * docs_ + 2) / (2 * df + 1)))::BIGINT AS weight
+  FROM (SELECT t, count(*) AS df FROM tfs SEMI JOIN asked USING (t) GROUP BY t) f, size_),
+lengths AS (SELECT row_, doc_id, 75 + (25 * len(w) * docs_) // words_ AS m FROM docs, size_ WHERE len(w) > 0),
+scores AS (SELECT item_id, row_, doc_id, sum(q * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (t) JOIN tfs USING (t) JOIN lengths USING (row_) GROUP BY item_id, row_, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= {TOP}"""
+
+ORACLES = {"op1_minhash": OP1, "op4_decontaminate": OP4, "op6_warc": OP6, "op9_sharding": OP9, "op11_clusters": OP11, "op12_ranked": OP12}

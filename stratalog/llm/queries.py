@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch_path
-from . import ann, archive, decontaminate, licenses, mixing, neardup, quality, repeats, shards, toxicity
+from . import ann, archive, clusters, decontaminate, licenses, mixing, neardup, quality, ranked, repeats, shards, token_files, toxicity
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -68,10 +68,31 @@ def op10_ann(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster of every vector after 5 rounds with 40 centroids."""
+    return clusters.cluster_vectors(table(spark, folder, "embeddings"))
+
+
+def op12_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of every benchmark item, on an index of all documents."""
+    index = ranked.build_index(table(spark, folder, "documents"))
+    return ranked.search(spark, index, table(spark, folder, "benchmark"))
+
+
+def op13_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents, written as compressed shards and read back."""
+    import public_tokenizers
+
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_tokens(spark, path, ids=False)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash, op2_licenses, op3_toxicity, op4_decontaminate, op5_quality,
         op6_warc, op7_mixing, op8_repeats, op9_sharding, op10_ann,
+        op11_clusters, op12_ranked, op13_tokens,
     )
 }
