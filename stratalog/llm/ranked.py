@@ -40,7 +40,9 @@ def terms_of(text: bytes | None) -> list[bytes]:
 def forward(rows: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """(id, place, n, terms, tfs) of every row with a term, written once: one pass over the texts.
 
-    ``place`` tells rows apart; it is pinned by the writing.
+    ``place`` tells rows apart; it is pinned by the writing. ``terms`` is one string, the
+    distinct terms with a space between: an array of short strings takes several times the
+    room in a shuffle.
     """
     kind = dict(rows.dtypes)[key]
     source = rows.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("place"), F.col(text).cast("binary").alias("text"))
@@ -52,9 +54,9 @@ def forward(rows: DataFrame, key: str, text: str, label: str) -> DataFrame:
                 found = Counter(terms_of(body))
                 if found:
                     at.append(i)
-                    terms.extend(found)
+                    terms.append(b" ".join(found))
                     tfs.extend(found.values())
-                    ends.append(len(terms))
+                    ends.append(len(tfs))
                     sizes.append(sum(found.values()))
             ends = pa.array(ends, pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -62,13 +64,13 @@ def forward(rows: DataFrame, key: str, text: str, label: str) -> DataFrame:
                     batch.column("id").take(pa.array(at, pa.int64())),
                     batch.column("place").take(pa.array(at, pa.int64())),
                     pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(ends, pa.array(terms, pa.binary()).cast(pa.string())),
+                    pa.array(terms, pa.binary()).cast(pa.string()),
                     pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int32())),
                 ],
                 ["id", "place", "n", "terms", "tfs"],
             )
 
-    shape = f"id {kind}, place bigint, n bigint, terms array<string>, tfs array<int>"
+    shape = f"id {kind}, place bigint, n bigint, terms string, tfs array<int>"
     return pinned(source.mapInArrow(run, shape), label)
 
 
@@ -79,9 +81,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     stratum = None
 
     def segment() -> pa.RecordBatch:
-        flat = pa.concat_arrays([b.column("terms").flatten() for b in held]).dictionary_encode()
+        flat = pa.concat_arrays([pc.split_pattern(b.column("terms"), " ").flatten() for b in held]).dictionary_encode()
         tfs = np.concatenate([b.column("tfs").flatten().to_numpy() for b in held])
-        sizes = np.concatenate([pc.list_value_length(b.column("terms")).to_numpy() for b in held])
+        sizes = np.concatenate([pc.list_value_length(b.column("tfs")).to_numpy() for b in held])
         codes = flat.indices.to_numpy()
         where = np.repeat(np.arange(docs, dtype=np.int32), sizes)
         order = np.lexsort((where, -tfs, codes))  # postings of a term by falling tf
@@ -95,7 +97,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [
             pa.array([stratum], pa.int64()),
             one(pa.concat_arrays([b.column("id") for b in held])),
-            one(flat.dictionary),
+            pc.binary_join(one(flat.dictionary), " "),
             one(pa.array(counts)),
             one(pa.array(tfs[first])),
             one(pa.array(tfs)),
@@ -105,7 +107,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         ms = batch.column("m").to_numpy()
-        lengths = pc.list_value_length(batch.column("terms")).to_numpy()
+        lengths = pc.list_value_length(batch.column("tfs")).to_numpy()
         start = 0
         while start < len(ms):
             if held and (ms[start] != stratum or docs >= SEGMENT_DOCS or postings >= SEGMENT_POSTINGS):
@@ -140,7 +142,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     m = 75 + F.expr(f"(25 * n * {size.docs}L) div {words}L")
     tasks = max(1, ceil((size.postings or 0) / TASK_POSTINGS))
     dealt = rows.withColumn("m", m).repartitionByRange(tasks, "m", "place").sortWithinPartitions("m", "place")
-    shape = f"m bigint, docs array<{kind}>, terms array<string>, counts array<int>, tops array<int>, tfs array<int>, places array<int>"
+    shape = f"m bigint, docs array<{kind}>, terms string, counts array<int>, tops array<int>, tfs array<int>, places array<int>"
     return pinned(dealt.select("m", "id", "terms", "tfs").mapInArrow(_segments, shape), "ranked-segments")
 
 
@@ -153,7 +155,8 @@ def impacts(tfs: np.ndarray, m: int) -> np.ndarray:
 
 def _known(segment: dict, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Positions in a segment's terms and in the vocabulary of the terms they share."""
-    found = pc.fill_null(pc.index_in(segment["terms"], value_set=vocabulary), -1).to_numpy()
+    terms = pc.split_pattern(segment["terms"], " ").values
+    found = pc.fill_null(pc.index_in(terms, value_set=vocabulary), -1).to_numpy()
     at = np.flatnonzero(found >= 0)
     return at, found[at]
 
@@ -163,7 +166,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         out = {}
         for name in batch.schema.names:
             value = batch.column(name)[i]
-            out[name] = value.values if isinstance(value, pa.ListScalar) else value.as_py()
+            out[name] = value.values if isinstance(value, pa.ListScalar) else value if name == "terms" else value.as_py()
         yield out
 
 
@@ -295,13 +298,13 @@ def _ranked(hits: DataFrame, top: int) -> DataFrame:
 
 def _search_block(index: DataFrame, block: list, docs: int, top: int, kind: str) -> DataFrame:
     """(item, id, score, rank) of a block of items, which are rows of (id, terms, tfs)."""
-    vocabulary = sorted({t for row in block for t in row.terms})
+    vocabulary = sorted({t for row in block for t in row.terms.split(" ")})
     at = {t: i for i, t in enumerate(vocabulary)}
     df = document_counts(index, vocabulary)
     w = np.array([int(1000 * log((2 * docs + 2) / (2 * int(n) + 1))) for n in df], np.int64)
     weights = np.zeros((len(block), len(vocabulary)), np.int64)
     for i, row in enumerate(block):
-        for t, q in zip(row.terms, row.tfs):
+        for t, q in zip(row.terms.split(" "), row.tfs):
             weights[i, at[t]] = q * w[at[t]]
     if int(weights.sum(axis=1).max()) * 1_000_000 < 1 << 53:
         weights = weights.astype(np.float64)  # sums of whole numbers below 2^53 stay exact
@@ -335,7 +338,7 @@ def search(
     * Equal scores: smaller id first, null ids last. Empty index or items: no rows.
     """
     asked = forward(items, key, text, "ranked-items")
-    about = asked.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("terms")).first()
+    about = asked.agg(F.count("*").alias("n"), F.sum(F.size("tfs")).alias("terms")).first()
     blocks = max(1, ceil(about.n / BLOCK_ITEMS), ceil((about.terms or 0) / BLOCK_TERMS))
     docs = index.agg(F.sum(F.size("docs"))).first()[0] or 0
     kind = dict(index.dtypes)["docs"].removeprefix("array<").removesuffix(">")
