@@ -1,4 +1,4 @@
-"""Toxicity by class-conditional Kneser-Ney word models with shared backoff counts."""
+"""Toxicity by class-conditional Kneser-Ney word models over shared counts of the whole corpus."""
 
 from __future__ import annotations
 
@@ -15,20 +15,13 @@ from .common import WordHashes, fetched, fold, pinned, slices
 
 #: Expected bound of labelled rows a model learns from; beyond it a hash of the id draws them.
 LABELLED_ROWS = 200_000
-#: Buckets for words, for their contexts and for word pairs: the model has this size for any corpus.
-WORD_BITS, CONTEXT_BITS, PAIR_BITS = 20, 15, 18
-#: Bits of a neighbour's hash beside a bucket; pairs of the two are told apart over the whole corpus.
-NEIGHBOUR_BITS = 40
-#: What a row of the counts is about: different words before a word, after a word in either class, and numbers.
-BEFORE, AFTER, WORD, CONTEXT, PAIR = 0, (1, 2), 3, 4, 5
-#: What counts of words and of pairs lose to the backoff: single words and all but frequent pairs say
-#: nothing about a class that a sample of labels could show.
-DISCOUNT, PAIR_DISCOUNT = 1.5, 100.0
-#: Weight of the shared distribution in a class's word model, the same for both classes,
-#: so that words unseen in either say nothing.
-SHARED = 0.5
-#: Log gain at which a word counts as evidence beyond the mean, and the most it adds.
-EVIDENCE, MOST_EVIDENCE = 1.5, 2.0
+#: What counts lose to the backoff. A word pair that a class shows twice and a word that it shows
+#: after three others are too rare to tell classes apart, so all they have goes to the backoff.
+PAIR_DISCOUNT, WORD_DISCOUNT = 2, 3
+#: Log gain over an unknown word from which a word is evidence, and the most it adds.
+EVIDENCE, MOST_EVIDENCE = 1.15, 2.0
+#: Words (or different pairs of them) that a counting task holds before it passes them on.
+HELD = 1 << 22
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 THRESHOLD = 0.5
 
@@ -58,122 +51,225 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_PUNCTUATION).split()
 
 
-def _keys(hashes: WordHashes, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word, context and pair buckets and neighbour hashes of the words, in order."""
-    h = hashes(_words(text))
-    left = np.concatenate([np.zeros(1, np.uint64), h])[: len(h)]
-    words = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    pairs = (fold(left * np.uint64(0x9E3779B97F4A7C15) + h) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    return words, words >> (WORD_BITS - CONTEXT_BITS), pairs, (h & np.uint64((1 << NEIGHBOUR_BITS) - 1)).astype(np.int64)
+def _pair(left: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit digest of a word and the one before it."""
+    return fold(left * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def _key(kind: int, bucket: np.ndarray, neighbour: np.ndarray | int = 0) -> np.ndarray:
-    return (kind << 60) | (bucket << NEIGHBOUR_BITS) | neighbour
+def _sequence(hashes: WordHashes, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word digests of all texts, the digest before each (0 at a start), and words per text."""
+    rows = [hashes(_words(t)) for t in texts]
+    sizes = np.array([len(r) for r in rows], np.int64)
+    words = np.concatenate([*rows, np.zeros(0, np.uint64)])
+    left = np.concatenate([np.zeros(1, np.uint64), words])[: len(words)]
+    left[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    return words, left, sizes
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different (bucket, neighbour) keys of every few texts, and a partition's numbers per bucket and class."""
-    hashes = WordHashes()
-    size, pair_size = 1 << CONTEXT_BITS, 1 << PAIR_BITS
-    words = np.zeros((2, 1 << WORD_BITS), dtype=np.int64)
-    pairs = np.zeros((2, pair_size), dtype=np.int64)
-    lefts = np.zeros((2, size), dtype=np.int64)  # words that follow
+def _class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(left, word, n0, n1) of labelled texts, added up within a task."""
+    hashes, held, size = WordHashes(), [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        words, left, label = (np.concatenate(x) for x in zip(*held))
+        _, first, at = np.unique(_pair(left, words), return_index=True, return_inverse=True)
+        toxic = np.bincount(at, label, minlength=len(first)).astype(np.int64)
+        every = np.bincount(at, minlength=len(first))
+        columns = [left[first].view(np.int64), words[first].view(np.int64), every - toxic, toxic]
+        yield from pa.table([pa.array(c) for c in columns], ["left", "word", "n0", "n1"]).to_batches(max_chunksize=8192)
+
     for batch in slices(batches):
-        texts, labels = batch.column("text").to_pylist(), batch.column("label").to_pylist()
-        found = [_keys(hashes, t) for t in texts]
-        met = [_key(BEFORE, np.concatenate([w[1:] for w, *_ in found]), np.concatenate([c[:-1] for *_, c in found]))]
-        for label in (0, 1):
-            own = [x for x, y in zip(found, labels) if y == label]
-            if own:
-                np.add.at(words[label], np.concatenate([w for w, *_ in own]), 1)
-                pairs[label] += np.bincount(np.concatenate([p for _, _, p, _ in own]), minlength=pair_size)
-                first = np.concatenate([v[:-1] for _, v, _, _ in own])
-                lefts[label] += np.bincount(first, minlength=size)
-                met.append(_key(AFTER[label], first, np.concatenate([c[1:] for *_, c in own])))
-        keys = pa.array(np.unique(np.concatenate(met)))
-        none = pa.nulls(len(keys), pa.int64())
-        yield from pa.table([keys, none, none], ["key", *_COUNTS]).to_batches(max_chunksize=8192)
-    for kind, table in ((WORD, words), (CONTEXT, lefts), (PAIR, pairs)):
-        at = np.flatnonzero(table.any(axis=0))
-        columns = [pa.array(_key(kind, at)), *[pa.array(table[i, at]) for i in range(len(_COUNTS))]]
-        yield from pa.table(columns, ["key", *_COUNTS]).to_batches(max_chunksize=8192)
-
-
-_COUNTS = [f"n{i}" for i in range(2)]
-
-
-def _summed(texts: DataFrame) -> DataFrame:
-    """(kind, bucket, n0, n1, different) of (text, label); different keys are exact at any size of the corpus."""
-    keys = texts.mapInArrow(_count, "key bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS))
-    once = keys.groupBy("key").agg(*[F.sum(c).alias(c) for c in _COUNTS])
-    place = F.shiftright("key", NEIGHBOUR_BITS)
-    kind, bucket = F.shiftright("key", 60), place.bitwiseAND(F.lit((1 << WORD_BITS) - 1))
-    return once.groupBy(kind.cast("int").alias("kind"), bucket.cast("int").alias("bucket")).agg(
-        *[F.sum(c).alias(c) for c in _COUNTS], F.count("*").alias("different")
-    )
+        words, left, sizes = _sequence(hashes, batch.column("text").to_pylist())
+        held.append((words, left, np.repeat(batch.column("label").to_numpy(), sizes)))
+        size += len(words)
+        if size >= HELD:
+            yield from flush()
+            held, size = [], 0
+    if size:
+        yield from flush()
+
+
+def _shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers of different words before each of ``words`` (sorted), and of different pairs in all texts.
+
+    A task makes its pairs unique before they leave it, as one number each: the place of
+    the word among ``words`` above a digest of the pair. Pairs are then grouped over the
+    whole corpus, so what is gathered grows with it and no counter can fill.
+    """
+    bits = 63 - int(len(words)).bit_length()
+    known = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = WordHashes(), [], 0
+
+        def out(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from pa.table([pa.array(keys)], ["key"]).to_batches(max_chunksize=8192)
+
+        for batch in slices(batches):
+            found, left, _ = _sequence(hashes, batch.column("text").to_pylist())
+            place = np.searchsorted(known.value, found)
+            same = known.value[np.minimum(place, len(known.value) - 1)] == found if len(known.value) else np.zeros(len(found), bool)
+            place = np.where(same, place, len(known.value)).astype(np.int64)
+            held.append((place << bits) | (_pair(left, found) >> np.uint64(64 - bits)).astype(np.int64))
+            size += len(found)
+            if size >= HELD:
+                held = [np.unique(np.concatenate(held))]
+                size = len(held[0])
+                if size >= HELD // 2:
+                    yield from out(held[0])
+                    held, size = [], 0
+        if size:
+            yield from out(np.unique(np.concatenate(held)))
+
+    once = docs.select("text").mapInArrow(run, "key bigint").distinct()
+    place = F.shiftright("key", bits).cast("int").alias("place")
+    counts = fetched(pinned(once.groupBy(place).agg(F.count("*").alias("n")), "toxicity-shared"))
+    before = np.zeros(len(words), np.int64)
+    own = counts.place < len(words)
+    before[counts.place[own]] = counts.n[own]
+    return before, int(counts.n.sum())
 
 
 @dataclass
 class Model:
-    """Probabilities by bucket for class 0 and 1, and the calibration."""
+    """Two word models over one shared distribution.
+
+    The chance of a word after another in class c is
+    ``top[c](left, word) + weight[c](left) * (kept[c](word) + mass[c] * shared(word))``:
+    discounted pairs, what they leave, discounted words and what those leave, and the
+    share of all different word pairs that end in the word. Pairs, contexts and words of
+    which a class keeps nothing are not stored: they have top 0, weight 1 and kept 0.
+    """
 
-    words: np.ndarray  # (2, words): probability of a word in a class, backed off to the shared one
-    lefts: np.ndarray  # (2, contexts): words that follow
-    pairs: np.ndarray  # (2, pairs): discounted counts
-    backoff: np.ndarray  # (2, contexts): weight of the word model after a word
+    words: np.ndarray  # digests, sorted
+    kept: np.ndarray  # (2, words)
+    shared: np.ndarray  # (words)
+    mass: np.ndarray  # (2)
+    lefts: np.ndarray  # digests, sorted
+    weight: np.ndarray  # (2, lefts)
+    pairs: np.ndarray  # (2, pairs): digests of left and word
+    top: np.ndarray  # (2, pairs)
     bias: float = -2.0
-    slopes: tuple = (0.0, 0.0, 1.0, 0.0)
-
-    def features(self, hashes: WordHashes, text: str | None) -> tuple[float, float, float, float]:
-        """Log-likelihood ratio of toxic to ordinary by the length and by its root, for all
-        words and for what single words give beyond ``EVIDENCE``."""
-        w, v, p, _ = _keys(hashes, text)
-        n = len(w)
-        if not n:
-            return 0.0, 0.0, 0.0, 0.0
-        left = v[:-1]
-        out = []
-        for c in (0, 1):
-            chance = self.words[c][w].astype(np.float64)
-            kept = self.pairs[c][p[1:]] / np.maximum(self.lefts[c][left], 1)
-            chance[1:] = np.minimum(kept, 1) + self.backoff[c][left] * chance[1:]
-            out.append(np.log(chance))
-        gap = out[1] - out[0]
-        over = float(np.clip(gap - EVIDENCE, 0, MOST_EVIDENCE).sum())
-        total, root = float(gap.sum()), float(np.sqrt(n))
-        return total / n, total / root, over / n, over / root
+    slopes: tuple = (1.0, 0.0, 0.0, 0.0)
+
+    def chances(self, left: int, words: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """(2, words) chances of words after ``left``, given their shared chances."""
+        at, found = _find(self.words, words)
+        low = np.where(found, self.kept[:, at], 0) + self.mass[:, None] * shared
+        context, known = _find(self.lefts, np.full(1, left, np.uint64))
+        weight = self.weight[:, context] if known[0] else np.ones((2, 1))
+        keys = _pair(np.full(len(words), left, np.uint64), words)
+        order = np.argsort(_pair(*self.pairs))
+        at, found = _find(_pair(*self.pairs)[order], keys)
+        return np.where(found, self.top[:, order][:, at], 0) + weight * low
+
+    def gaps(self) -> dict:
+        """What tasks need, as plain arrays: log ratios of toxic to ordinary chances."""
+        low = self.kept + self.mass[:, None] * self.shared
+        at, _ = _find(self.words, self.pairs[1])
+        context, _ = _find(self.lefts, self.pairs[0])
+        pair = self.top + self.weight[:, context] * low[:, at]
+        keys = _pair(*self.pairs)
+        order = np.argsort(keys)
+
+        def gap(x: np.ndarray) -> np.ndarray:
+            return (np.log(x[1]) - np.log(x[0])).astype(np.float32)
+
+        return {
+            "words": self.words, "word": gap(low), "unknown": float(np.log(self.mass[1] / self.mass[0])),
+            "lefts": self.lefts, "left": gap(self.weight), "pairs": keys[order], "pair": gap(pair)[order],
+        }
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.bias + features @ np.asarray(self.slopes), -30, 30)))
+        return _score(features, self.bias, self.slopes)
 
 
-def _build(summed: DataFrame) -> Model:
-    """Model arrays from the summed counts, whose number the buckets bound.
+def _score(features: np.ndarray, bias: float, slopes: tuple) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(bias + features @ np.asarray(slopes), -30, 30)))
 
-    Each kind comes to the driver by itself and without columns that it lacks.
-    """
 
-    def table(kind: int, bits: int, columns: list[str]) -> np.ndarray:
-        own = summed.filter(F.col("kind") == kind).select("bucket", *columns).toArrow()
-        out = np.zeros((len(columns), 1 << bits), dtype=np.float32)
-        at = own.column("bucket").to_numpy()
-        for i, column in enumerate(columns):
-            out[i, at] = own.column(column).to_numpy()
-        return out
-
-    words, pairs = table(WORD, WORD_BITS, _COUNTS), table(PAIR, PAIR_BITS, _COUNTS)
-    lefts = table(CONTEXT, CONTEXT_BITS, _COUNTS)
-    neighbours = np.concatenate([table(kind, CONTEXT_BITS, ["different"]) for kind in AFTER])
-    shared = table(BEFORE, WORD_BITS, ["different"])[0] + np.float32(0.5)
-    shared /= shared.sum(dtype=np.float64)
-    kept = np.maximum(words - DISCOUNT, 0)
-    kept /= np.maximum(kept.sum(axis=1, keepdims=True, dtype=np.float64), 1.0).astype(np.float32)
-    backoff = np.clip(PAIR_DISCOUNT * np.maximum(neighbours, 1) / np.maximum(lefts, 1), 0.05, 1)
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in sorted ``keys`` and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), other)
+    at, found = _find(keys, wanted)
+    return np.where(found, values[at], other)
+
+
+def features(known: dict, hashes: WordHashes, texts: list[str | None]) -> np.ndarray:
+    """Per text: the log-likelihood ratio of toxic to ordinary by its length, and the evidence
+    of single words beyond ``EVIDENCE`` by the length, as a root, and by the root of the length."""
+    words, left, sizes = _sequence(hashes, texts)
+    single = _looked_up(known["words"], known["word"], words, known["unknown"])
+    gap = single + _looked_up(known["lefts"], known["left"], left, 0.0)
+    at, found = _find(known["pairs"], _pair(left, words))
+    if found.any():
+        gap[found] = known["pair"][at[found]]
+    over = np.clip(single - max(known["unknown"], 0.0) - EVIDENCE, 0, MOST_EVIDENCE)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    total = np.bincount(text, gap, minlength=len(texts))
+    evidence = np.bincount(text, over, minlength=len(texts))
+    n = np.maximum(sizes, 1)
+    return np.column_stack([total / n, evidence / n, np.sqrt(evidence), evidence / np.sqrt(n)])
+
+
+def _build(texts: DataFrame, docs: DataFrame) -> Model:
+    """Count the labelled (text, label), then what all documents share of the words kept.
+
+    What reaches the driver are words, contexts and pairs that a class keeps after the
+    discount: fewer than labelled words, which the sample of labels bounds.
+    """
+    pairs = texts.mapInArrow(_class_pairs, "left bigint, word bigint, n0 bigint, n1 bigint")
+    pairs = pinned(pairs.groupBy("left", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-pairs")
+    most = F.greatest("n0", "n1")
+    words = pinned(
+        pairs.groupBy("word").agg(
+            F.count(F.when(F.col("n0") > 0, 1)).alias("c0"), F.count(F.when(F.col("n1") > 0, 1)).alias("c1"), F.max(most).alias("top")
+        ),
+        "toxicity-words",
+    )
+    contexts = pairs.groupBy("left").agg(
+        *[F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)],
+        *[F.sum(F.least(F.col(f"n{c}"), F.lit(PAIR_DISCOUNT))).alias(f"lost{c}") for c in (0, 1)],
+        F.max(most).alias("top"),
+    )
+    sums = words.agg(*[F.sum(f(F.col(f"c{c}"))).alias(f"{n}{c}") for c in (0, 1) for n, f in (
+        ("all", lambda x: x), ("lost", lambda x: F.least(x, F.lit(WORD_DISCOUNT))))]).first()
+    kept_words = fetched(words.filter((F.greatest("c0", "c1") > WORD_DISCOUNT) | (F.col("top") > PAIR_DISCOUNT)).drop("top"))
+    kept_pairs = fetched(pairs.filter(most > PAIR_DISCOUNT))
+    kept_contexts = fetched(contexts.filter(F.col("top") > PAIR_DISCOUNT).drop("top"))
+
+    def digests(column: pd.Series) -> np.ndarray:
+        return column.to_numpy(np.int64).view(np.uint64)
+
+    word, left = digests(kept_words.word), digests(kept_contexts.left)
+    order, along = np.argsort(word), np.argsort(left)
+    word, left = word[order], left[along]
+    before, total = _shared_counts(docs, word)
+    counts = kept_words[["c0", "c1"]].to_numpy(np.float64).T[:, order]
+    every = np.array([sums.all0 or 0, sums.all1 or 0], np.float64)
+    lost = np.array([sums.lost0 or 0, sums.lost1 or 0], np.float64)
+    seen = kept_contexts[["n0", "n1"]].to_numpy(np.float64).T[:, along]
+    given = kept_contexts[["lost0", "lost1"]].to_numpy(np.float64).T[:, along]
+    pair = np.stack([digests(kept_pairs.left), digests(kept_pairs.word)])
+    times = kept_pairs[["n0", "n1"]].to_numpy(np.float64).T
+    at, _ = _find(left, pair[0])
     return Model(
-        np.float32(1 - SHARED) * kept + np.float32(SHARED) * shared,
-        lefts,
-        np.maximum(pairs - PAIR_DISCOUNT, 0).astype(np.float32),
-        backoff.astype(np.float32),
+        words=word,
+        kept=np.maximum(counts - WORD_DISCOUNT, 0) / np.maximum(every, 1)[:, None],
+        shared=before / max(total, 1),
+        mass=np.where(every > 0, lost / np.maximum(every, 1), 1.0),
+        lefts=left,
+        weight=np.where(seen > 0, given / np.maximum(seen, 1), 1.0),
+        pairs=pair,
+        top=np.maximum(times - PAIR_DISCOUNT, 0) / np.maximum(seen[:, at], 1),
     )
 
 
@@ -195,15 +291,13 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 40) -> tuple[float,
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = LABELLED_ROWS) -> Model:
     """Learn from labelled rows outside the held-out fold and from all texts.
 
-    All documents give the shared backoff counts: the number of different words
-    before and after a word. Words and word pairs of the labelled ones give each
-    class its own counts. The different pairs are grouped over the whole corpus, so their
-    shuffle grows with it; the model is bounded by the buckets. Another fold of labelled rows calibrates the score.
+    The labelled ones give each class its counts of word pairs and of different words
+    before a word; all documents give the distribution that both back off to. Another
+    fold of labelled rows calibrates the score.
     """
     marked = pinned(labelled(labels, label, most), "toxicity-labels")
     learn = marked.filter(F.col("fold") != CALIBRATE).select("doc_id", "label")
-    texts = docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id", "left").select("text", "label")
-    model = _build(pinned(_summed(texts), "toxicity-counts"))
+    model = _build(docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id").select("text", "label"), docs)
     tune = marked.filter(F.col("fold") == CALIBRATE).select("doc_id", "label")
     seen = _features(docs.select("doc_id", "text").join(F.broadcast(tune), "doc_id").select("label", "text"), "label", "int", model)
     fit = fetched(seen)
@@ -213,17 +307,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     return model
 
 
-_FEATURES = ["mean", "root", "over_mean", "over_root"]
+_FEATURES = ["mean", "over_mean", "over_root", "over_by_root"]
 
 
 def _features(rows: DataFrame, keep: str, kind: str, model: Model) -> DataFrame:
     """(keep, features) of every row of (keep, text)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model.gaps())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = WordHashes(), shared.value
         for batch in slices(batches):
-            found = np.array([known.features(hashes, t) for t in batch.column("text").to_pylist()]).reshape(-1, 4)
+            found = features(known, hashes, batch.column("text").to_pylist())
             yield pa.record_batch([batch.column(keep), *[pa.array(x) for x in found.T]], [keep, *_FEATURES])
 
     return rows.select(keep, "text").mapInArrow(run, f"{keep} {kind}, " + ", ".join(f"{x} double" for x in _FEATURES))
@@ -248,14 +342,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows that the model does not call toxic, all columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows that the model does not call toxic, all columns as they are.
+
+    * Null or empty text: kept or dropped as a text without words is rated.
+    * Repeated rows and ids: each row by its own text. Empty table: no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.gaps(), float(model.bias), tuple(float(x) for x in model.slopes)))
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes, known = WordHashes(), shared.value
+        hashes, (known, bias, slopes) = WordHashes(), shared.value
         for texts in batches:
-            found = np.array([known.features(hashes, t) for t in texts]).reshape(-1, 4)
-            yield pd.Series(known.score(found))
+            parts = [features(known, hashes, list(texts[i : i + 512])) for i in range(0, len(texts), 512)]
+            yield pd.Series(_score(np.concatenate([*parts, np.zeros((0, 4))]), bias, slopes))
 
     return docs.filter(rate(F.col("text")) < THRESHOLD)

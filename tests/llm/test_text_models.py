@@ -152,9 +152,45 @@ def test_quality_trains_the_same_epochs_at_every_size(monkeypatch):
         assert drawn == [n] * quality.EPOCHS
 
 
-def test_different_neighbours_are_counted_without_a_bound(spark):
-    rows = [(" ".join(f"left{i} hot left{i} rare" if i < 3 else f"left{i} hot" for i in range(k, 5000, 7)), k % 2) for k in range(7)]
-    summed = toxicity._summed(spark.createDataFrame(rows * 2, "text string, label int")).filter(F.col("kind") == toxicity.BEFORE)
-    found = {r["bucket"]: r["different"] for r in summed.collect()}
-    bucket = lambda w: int(toxicity._keys(WordHashes(), w)[0][0])
-    assert found[bucket("hot")] == 5000 and found[bucket("rare")] == 3
+def test_shared_counts_are_exact_and_grow(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD", 500)  # tasks pass on what they hold many times
+    rows = [" ".join(f"left{i} hot left{i} rare" if i < 3 else f"left{i} hot" for i in range(k, 5000, 7)) for k in range(7)]
+    words = np.sort(WordHashes()([b"hot", b"rare", b"never"]))
+    before, total = toxicity._shared_counts(spark.createDataFrame([(r,) for r in rows * 2], "text string"), words)
+    found = dict(zip(words.tolist(), before.tolist()))
+    hot, rare, never = WordHashes()([b"hot", b"rare", b"never"]).tolist()
+    assert (found[hot], found[rare], found[never]) == (5000, 3, 0)
+    pairs = {p for r in rows for p in zip(["", *r.split()], r.split())}
+    assert total == len(pairs)
+
+
+def test_chances_follow_kneser_ney_and_sum_to_one(spark):
+    draw = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(25)]
+    p = 1 / np.arange(1, 26) ** 1.3
+    texts = [" ".join(draw.choice(vocabulary, 30, p=p / p.sum() if i % 2 else p[::-1] / p.sum())) for i in range(60)]
+    labelled = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts[:40])], "text string, label int")
+    every = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = toxicity._build(labelled, every)
+    digest = dict(zip(["", *vocabulary], [0, *WordHashes()([w.encode() for w in vocabulary]).tolist()]))
+    pairs = {p for t in texts for p in zip(["", *t.split()], t.split())}
+    shared = np.array([sum(w == v for _, w in pairs) / len(pairs) for v in vocabulary])
+    ids = np.array([digest[v] for v in vocabulary], np.uint64)
+    counts = [{}, {}]
+    for i, t in enumerate(texts[:40]):
+        for pair in zip(["", *t.split()], t.split()):
+            counts[i % 2][pair] = counts[i % 2].get(pair, 0) + 1
+    for left in ["", *vocabulary, "unseen"]:
+        got = model.chances(digest.get(left, 12345), ids, shared)
+        assert np.allclose(got.sum(axis=1), 1)
+        for c in (0, 1):
+            ends = np.array([sum(w == v for _, w in counts[c]) for v in vocabulary])
+            low = np.maximum(ends - 3, 0) / ends.sum() + np.minimum(ends, 3).sum() / ends.sum() * shared
+            n = np.array([counts[c].get((left, v), 0) for v in vocabulary])
+            want = np.maximum(n - 2, 0) / n.sum() + np.minimum(n, 2).sum() / n.sum() * low if n.sum() else low
+            assert np.allclose(got[c], want)
+    known, text = model.gaps(), texts[0]
+    rated = toxicity.features(known, WordHashes(), [text, None, ""])
+    steps = [model.chances(digest[a], np.array([digest[b]], np.uint64), shared[[vocabulary.index(b)]]) for a, b in zip(["", *text.split()], text.split())]
+    assert np.isclose(rated[0, 0], np.mean([np.log(s[1, 0] / s[0, 0]) for s in steps]), atol=1e-5)
+    assert not rated[1:].any()
