@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Ids per shard; a shard ends with the document that reaches them.
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 18
 #: Bytes of text per writing task.
-TASK_BYTES = 24 << 20
+TASK_BYTES = 16 << 20
 #: A pair is replaced from so many places on; fewer would not pay for the rule.
 LEAST_PAIRS = 4
 #: A round takes the pairs that stand at least at this share of the places of the most frequent one.
 ROUND_SHARE = 1 / 16
+#: Buckets (less one) of the count that comes before the exact one.
+BUCKET = (1 << 20) - 1
 #: Pieces of text whose ids a task remembers, and the longest of them.
-PIECES, LONGEST_PIECE = 200_000, 64
+PIECES, LONGEST_PIECE = 60_000, 64
 
 _FORMAT = (
     "part int, number int, tokens bigint, first {kind}, last {kind}, docs array<{kind}>, ends array<bigint>, base int, "
@@ -35,34 +37,62 @@ class Encoder:
 
     For tokenizers that never join anything across a space, tab or line feed, the ids of
     a text are those of its pieces between them, one after another; ``whole`` turns
-    this off for tokenizers that do.
+    this off for tokenizers that do. Pieces not seen before are encoded together, with a
+    mark between them whose own id then tells them apart; pieces that hold the mark, and
+    all pieces if the mark is not one id, go one by one.
     """
 
+    MARK = "\x00"
+
     def __init__(self, model: str, whole: bool = False):
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._whole, self._known = Tokenizer.from_str(model), whole, {}
+        self._tokenizer, self._whole = Tokenizer.from_str(model), whole
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}  # what was known before the last overflow
+        mark = self._ids([self.MARK, f"a {self.MARK} a", "a"])
+        self._mark = mark[0][0] if len(mark[0]) == 1 and mark[1] == mark[2] + mark[0] + mark[2] else None
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as bytes."""
+        if self._mark is None or any(self.MARK in p for p in pieces):
+            return [np.array(x, np.int32).tobytes() for x in self._ids(pieces)]
+        ids = np.array(self._ids([f" {self.MARK} ".join(pieces)])[0], np.int32)
+        ends = np.append(np.flatnonzero(ids == self._mark), len(ids)).tolist()
+        every, out, start = ids.tobytes(), [], 0
+        for end in ends:
+            out.append(every[4 * start : 4 * end])
+            start = end + 1
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, older, fresh, odd = self._known, self._older, [], []
+        for p in pieces:
+            if p in older:
+                known[p] = older[p]
+            else:
+                (odd if self.MARK in p or not p else fresh).append(p)
+        for part in [fresh[i : i + 2048] for i in range(0, len(fresh), 2048)] + [[p] for p in odd]:
+            known.update(zip(part, self._encoded(part)))
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if self._whole:
             return [np.array(x, np.int32) for x in self._ids([t or "" for t in texts])]
-        known = self._known
-        if len(known) > PIECES:
-            known.clear()
-        pieces = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        fresh = list({p for row in pieces for p in row if p not in known and len(p) <= LONGEST_PIECE})
-        for start in range(0, len(fresh), 4096):
-            part = fresh[start : start + 4096]
-            known.update(zip(part, self._ids(part)))
         out = []
-        for row in pieces:
-            ids: list[int] = []
-            for p in row:
-                ids += known[p] if len(p) <= LONGEST_PIECE else self._ids([p])[0]
-            out.append(np.array(ids, np.int32))
+        for text in texts:
+            row = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
+            if len(self._known) > PIECES:
+                self._known, self._older = {}, self._known
+            fresh = set(row).difference(self._known)
+            long = {p for p in fresh if len(p) > LONGEST_PIECE}
+            self._learn(fresh - long)
+            known = self._known
+            if long:  # met once, forgotten after the text
+                known = known | {p: self._encoded([p])[0] for p in long}
+            out.append(np.frombuffer(b"".join(map(known.__getitem__, row)), np.int32))
         return out
 
 
@@ -78,10 +108,18 @@ def compress(ids: np.ndarray, base: int) -> dict:
     lefts, rights, rounds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     rules = 0
     while len(symbols) > 1:
-        keys = (symbols[:-1] << 32) | symbols[1:]
+        # a bucket holds at least what each of its pairs holds, so rare buckets have no frequent pair
+        bucket = (symbols[:-1] * 0x9E3779B1 + symbols[1:] * 0x85EBCA77) & BUCKET
+        held = np.bincount(bucket, minlength=BUCKET + 1)
+        least = max(LEAST_PAIRS, int(held.max() * ROUND_SHARE))
+        place = np.flatnonzero(held[bucket] >= least)
+        keys = (symbols[place] << 32) | symbols[place + 1]
         pairs, counts = np.unique(keys, return_counts=True)
-        counts = np.where(pairs >> 32 == pairs & 0xFFFFFFFF, counts // 2, counts)
-        least = max(LEAST_PAIRS, int(counts.max() * ROUND_SHARE))
+        counts = np.where(pairs >> 32 == pairs & 0xFFFFFFFF, (counts + 1) // 2, counts)
+        if not (counts >= least).any():
+            if least == LEAST_PAIRS:
+                break
+            least = max(LEAST_PAIRS, int(counts.max(initial=0) * ROUND_SHARE))
         at = np.flatnonzero(counts >= least)
         at = at[np.argsort(-counts[at], kind="stable")]
         sides: dict[int, int] = {}
@@ -103,13 +141,13 @@ def compress(ids: np.ndarray, base: int) -> dict:
         order = np.argsort(chosen)
         found = np.minimum(np.searchsorted(chosen[order], keys), len(chosen) - 1)
         hit = chosen[order][found] == keys
-        same = np.flatnonzero(hit & (symbols[:-1] == symbols[1:]))
-        if len(same):
-            fresh = np.diff(same, prepend=-2) != 1
-            begin = same[fresh][np.cumsum(fresh) - 1]
-            hit[same[(same - begin) % 2 == 1]] = False
-        where = np.flatnonzero(hit)
-        symbols[where] = base + rules + order[found[where]]
+        same = np.flatnonzero(hit & (keys >> 32 == keys & 0xFFFFFFFF))
+        if len(same):  # runs of one id
+            fresh = np.diff(place[same], prepend=-2) != 1
+            begin = place[same][fresh][np.cumsum(fresh) - 1]
+            hit[same[(place[same] - begin) % 2 == 1]] = False
+        where = place[hit]
+        symbols[where] = base + rules + order[found[hit]]
         stays = np.ones(len(symbols), bool)
         stays[where + 1] = False
         symbols = symbols[stays]
