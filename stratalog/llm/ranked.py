@@ -16,13 +16,13 @@ from .common import fetched, pinned, slices
 
 #: Bounds of a segment: a stratum is stored in pieces of at most so many documents, and of
 #: about so many postings (one long document may exceed them).
-SEGMENT_DOCS, SEGMENT_POSTINGS = 4096, 1 << 19
+SEGMENT_DOCS, SEGMENT_POSTINGS = 2048, 1 << 17
 #: Postings per task of the index.
-TASK_POSTINGS = 2_000_000
+TASK_POSTINGS = 1_000_000
 #: Items that are looked up together, and their terms: what a task holds of the queries.
 BLOCK_ITEMS, BLOCK_TERMS = 256, 20_000
 #: Cells of the impact matrix that a task fills at a time.
-CELLS = 1 << 22
+CELLS = 1 << 20
 #: Share of strata, by an item's bounds, that the first visit leaves for later ones.
 LATER = (0.9,)
 TOP = 20

@@ -101,7 +101,7 @@ def run_search(spark, docs, items, top=20):
     return sorted((tuple(r) for r in ranked.search(spark, ranked.build_index(docs), items, top=top).collect()), key=repr)
 
 
-@pytest.mark.parametrize("docs_limit, postings", [(4096, 1 << 19), (3, 1 << 19), (4096, 10)])
+@pytest.mark.parametrize("docs_limit, postings", [(2048, 1 << 17), (3, 1 << 17), (2048, 10)])
 def test_search_equals_brute_force(spark, monkeypatch, docs_limit, postings):
     monkeypatch.setattr(ranked, "SEGMENT_DOCS", docs_limit)
     monkeypatch.setattr(ranked, "SEGMENT_POSTINGS", postings)
