@@ -11,7 +11,7 @@ from ..operators import mutate as mu
 from ..operators import temporal as tm
 from ..runtime import scratch_path
 from ..sources.readers import map_fields
-from ..streaming import jobs
+from ..streaming import feed, jobs
 from .registry import query
 from .tables import Tables
 
@@ -460,14 +460,34 @@ def written_log(t: Tables) -> tuple[str, T.StructType]:
     return path, t.log.schema
 
 
-@query("stream_updated_since", SUMMARY_SQL)
+#: Where the log of the feed is cut into three batches, and which events come a batch late.
+FEED_CUTS, FEED_LATE, FEED_DELAY = ("2024-01-11", "2024-01-21"), "id % 10 = 0", "36 hours"
+FEED_BATCH = (
+    f"least(2, CASE WHEN timestamp < TIMESTAMP '{FEED_CUTS[0]} 00:00:00' THEN 0 WHEN timestamp < TIMESTAMP '{FEED_CUTS[1]} 00:00:00' THEN 1 ELSE 2 END"
+    f" + CASE WHEN {FEED_LATE} THEN 1 ELSE 0 END)"
+)
+
+
+@query(
+    "stream_updated_since",
+    f"""WITH changes AS (SELECT entity_id, timestamp, {FEED_BATCH} AS b FROM log_e WHERE NOT deletion),
+    marks AS (SELECT b, max(date_trunc('millisecond', newest) - INTERVAL {FEED_DELAY}) OVER (ORDER BY b) AS mark
+      FROM (SELECT b, max(timestamp) AS newest FROM changes GROUP BY b) n),
+    kept AS (SELECT c.* FROM changes c LEFT JOIN marks m ON m.b = c.b - 1 WHERE m.mark IS NULL OR c.timestamp > m.mark),
+    told AS (SELECT k.entity_id, k.timestamp, min(m.b) AS step FROM kept k JOIN marks m ON m.b >= k.b AND k.timestamp < m.mark
+      GROUP BY k.entity_id, k.timestamp, k.b)
+    SELECT entity_id, max(timestamp) AS updated_at, count(*) AS n_events FROM told GROUP BY entity_id, step""",
+)
 def stream_updated_since(t: Tables):
-    path, schema = written_log(t)
-    out = scratch_path(t.spark, "feed")
-    events = jobs.read_log_stream(t.spark, path, schema, files_per_batch=1)
-    jobs.stream_updated_since(events, out, scratch_path(t.spark, "state")).awaitTermination()
-    feed = t.spark.read.parquet(out)
-    return jobs.latest_of(feed, ["entity_id"]).select("entity_id", "created_at", "updated_at")
+    """Three runs of the feed; a tenth of the events come one run late, most of them too late."""
+    path, out, state = (scratch_path(t.spark, name) for name in ("stream-log", "feed", "state"))
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", feed.STATE_STORE)
+    log = t.log.withColumn("b", F.expr(FEED_BATCH.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")))
+    for number in range(3):
+        log.where(F.col("b") == number).drop("b").write.mode("append").parquet(path)
+        events = jobs.read_log_stream(t.spark, path, t.log.schema)
+        feed.stream_updated_since(events, out, state, FEED_DELAY).awaitTermination()
+    return feed.read_feed(t.spark.read.parquet(out))
 
 
 @query("stream_upsert", feed_out("error"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.temporal import is_deletion, temporal_summary
+from ..operators.temporal import temporal_summary
 from ..sources.sinks import write_batch_once
 
 
@@ -21,24 +21,6 @@ def read_log_stream(spark: SparkSession, path: str, schema: T.StructType, files_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def stream_updated_since(
-    events: DataFrame, out_path: str, checkpoint: str, once: bool = True
-) -> StreamingQuery:
-    """Feed of changed entities: each batch writes the summaries it changed.
-
-    The state store holds one summary per entity, so the log is never read
-    again; the stream's checkpoint replaces the caller's watermark. Deletions
-    change no summary and are dropped first.
-    """
-    summary = temporal_summary(events.where(~is_deletion()))
-    writer = (
-        summary.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: write_batch_once(batch, out_path, batch_id))
-        .option("checkpointLocation", checkpoint)
-    )
-    return (writer.trigger(availableNow=True) if once else writer).start()
-
-
 def stream_upsert(
     records: DataFrame,
     apply_batch: Callable[[DataFrame, int], DataFrame],

@@ -310,25 +310,6 @@ def log_rows(spark, days):
     ).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
-def test_stream_feed_continues_from_its_checkpoint(spark, folder):
-    path, out, state = (f"{folder}/{x}" for x in ("log", "feed", "state"))
-    log_rows(spark, [(1, "a"), (1, "b")]).coalesce(1).write.mode("append").parquet(path)
-    schema = spark.read.parquet(path).schema
-
-    def drive():
-        jobs.stream_updated_since(jobs.read_log_stream(spark, path, schema), out, state).awaitTermination()
-
-    drive()
-    assert spark.read.parquet(out).count() == 2
-    log_rows(spark, [(2, "a")]).coalesce(1).write.mode("append").parquet(path)
-    drive()
-    drive()
-    feed = spark.read.parquet(out)
-    assert feed.count() == 3
-    newest = {r.entity_id: str(r.updated_at)[:10] for r in jobs.latest_of(feed, ["entity_id"]).collect()}
-    assert newest == {"a": "2024-01-02", "b": "2024-01-01"}
-
-
 def test_stream_summary_takes_late_events(spark, folder):
     path = f"{folder}/log"
     log_rows(spark, [(2, "a"), (3, "a")]).coalesce(1).write.parquet(path)
