@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Catalog, Schema, union_all
+from .latest import fetch_winners, order_code
 from .temporal import creation_time
 
 XREF = "array<struct<system:string,value:string>>"
@@ -22,19 +23,12 @@ def mapping_times(external_ids: DataFrame, log: DataFrame) -> DataFrame:
 
 def newest_mapping(mappings: DataFrame) -> DataFrame:
     """Newest active mapping per value; ``mappings`` carry ``created_at``."""
-    order = F.struct(F.col("created_at"), F.col("id"), F.col("entity"), F.col("source_system"))
-    return (
-        mappings.where("is_active")
-        .groupBy("value")
-        .agg(F.max(order).alias("top"))
-        .select(
-            "value",
-            F.col("top.entity").alias("entity"),
-            F.col("top.source_system").alias("source_system"),
-            F.col("top.id").alias("mapping_id"),
-            F.col("top.created_at").alias("created_at"),
-        )
-    )
+    never = F.lit("0001-01-01").cast("timestamp_ntz")
+    active = mappings.where("is_active").withColumn("_at", F.coalesce("created_at", never))
+    active = active.withColumn("_code", order_code(active, "_at"))
+    newest = active.groupBy("value").agg(F.max("_code").alias("_code"), F.max("created_at").alias("created_at"))
+    found = fetch_winners(newest, active, ["value"], "_code", "id", ["entity", "source_system", "id"])
+    return found.select("value", "entity", "source_system", F.col("id").alias("mapping_id"), "created_at")
 
 
 def get_by_external_id(

@@ -1,8 +1,8 @@
 """Everything derived from the provenance log: summaries, versions, as-of states.
 
-"Latest per key" is always ``max_by`` over ``(timestamp, id)`` so that the
-aggregate combines before the shuffle; a key holding a large share of the log
-then sends one row per map task instead of its whole history.
+"Latest per key" goes by ``(timestamp, id)`` as one number (:mod:`.latest`), so a hash
+aggregate combines it before the shuffle: a key holding a large share of the log
+sends one narrow row per map task, and patches travel for winners only.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.predicates import TreeCompiler, flat_condition
 from ..model import QueryError, Schema
+from .latest import dictionary, digest_of, fetch_winners, flag_of, has_whole_ids, order_code, spell_out, with_flag
 
 STATE_OPS = ("create", "update")
 EDGE_OPS = ("relationship_add", "relationship_remove")
@@ -80,26 +81,27 @@ def temporal_summary(log: DataFrame, as_of: Any = None) -> DataFrame:
     ``updated_*`` and ``schema_version`` come from the newest event that is not a
     deletion, edge events included; ``created_*`` from the earliest create.
     """
+    created, kept, code = F.col("operation") == "create", ~is_deletion(), order_code(log)
     events = until(log, as_of).select(
-        "entity_id", "operation", "timestamp", "id", "actor_id", "schema_version",
-        is_deletion().alias("deletion"),
+        "entity_id", "id", F.when(created, F.col("timestamp")).alias("first_at"), F.when(kept, F.col("timestamp")).alias("last_at"),
+        F.when(created, code).alias("first"), F.when(kept, code).alias("last"), "actor_id", "schema_version",
     )
-    created = F.col("operation") == "create"
-    kept = ~F.col("deletion")
-    first = F.min(F.when(created, F.struct("timestamp", "id", "actor_id")))
-    last = F.max(F.when(kept, F.struct("timestamp", "id", "actor_id", "schema_version")))
-    return (
-        events.groupBy("entity_id")
-        .agg(first.alias("first"), last.alias("last"))
-        .select(
-            "entity_id",
-            F.col("first.timestamp").alias("created_at"),
-            F.col("last.timestamp").alias("updated_at"),
-            F.col("last.schema_version").alias("schema_version"),
-            F.col("first.actor_id").alias("created_by"),
-            F.col("last.actor_id").alias("updated_by"),
+    times = [F.min("first_at").alias("created_at"), F.max("last_at").alias("updated_at")]
+    if has_whole_ids(log):
+        narrow = events.withColumns({"actor": digest_of("actor_id"), "version": digest_of("schema_version")})
+        out = narrow.groupBy("entity_id").agg(
+            *times, F.max_by("version", "last").alias("_version"),
+            F.min_by("actor", "first").alias("_made"), F.max_by("actor", "last").alias("_changed"),
         )
-    )
+        actors = dictionary(events, "actor_id")
+        out = spell_out(out, dictionary(events, "schema_version"), "_version", "schema_version")
+        out = spell_out(spell_out(out, actors, "_made", "created_by"), actors, "_changed", "updated_by")
+    else:  # text ids: a task sorts the narrow rows it combines, and one row per entity leaves it
+        first = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "id", "actor_id")))
+        last = F.max(F.when(F.col("last").isNotNull(), F.struct("last", "id", "actor_id", "schema_version")))
+        out = events.groupBy("entity_id").agg(*times, first.alias("_first"), last.alias("_last"))
+        out = out.withColumns({"schema_version": F.col("_last.schema_version"), "created_by": F.col("_first.actor_id"), "updated_by": F.col("_last.actor_id")})
+    return out.select("entity_id", "created_at", "updated_at", "schema_version", "created_by", "updated_by")
 
 
 def temporal_summary_of(log: DataFrame, ids: DataFrame, as_of: Any = None) -> DataFrame:
@@ -120,22 +122,19 @@ def provenance_summary(log: DataFrame, entity_type: str | None = None) -> DataFr
     """Per (entity, type): earliest event, newest non-deletion, latest schema version."""
     if entity_type is not None:
         log = log.where(F.col("entity_type") == entity_type)
+    key = ["entity_id", "entity_type"]
     events = log.select(
-        "entity_id", "entity_type", "timestamp", "id", "schema_version",
-        is_deletion().alias("deletion"),
-    )
-    return (
-        events.groupBy("entity_id", "entity_type")
-        .agg(
-            F.min("timestamp").alias("created_at"),
-            F.max(F.when(~F.col("deletion"), F.col("timestamp"))).alias("updated_at"),
-            F.max(F.struct("timestamp", "id", "schema_version")).alias("last"),
-        )
-        .select(
-            "entity_id", "entity_type", "created_at", "updated_at",
-            F.col("last.schema_version").alias("schema_version"),
-        )
+        *key, "id", "timestamp", order_code(log).alias("code"), F.when(~is_deletion(), F.col("timestamp")).alias("kept_at"), "schema_version"
     )
+    times = [F.min("timestamp").alias("created_at"), F.max("kept_at").alias("updated_at")]
+    if has_whole_ids(log):
+        narrow = events.withColumn("version", digest_of("schema_version"))
+        out = narrow.groupBy(*key).agg(*times, F.max_by("version", "code").alias("_version"))
+        out = spell_out(out, dictionary(log, "schema_version"), "_version", "schema_version")
+    else:
+        out = events.groupBy(*key).agg(*times, F.max(F.struct("code", "id", "schema_version")).alias("_last"))
+        out = out.withColumn("schema_version", F.col("_last.schema_version"))
+    return out.select(*key, "created_at", "updated_at", "schema_version")
 
 
 def entity_version(log: DataFrame, as_of: Any = None) -> DataFrame:
@@ -170,29 +169,29 @@ def entities_created_by(log: DataFrame, as_of: Any = None, entity_type: str | No
 
 def latest_state_per_entity(log: DataFrame, as_of: Any = None) -> DataFrame:
     """Newest create/update post-image per entity."""
-    return (
-        until(log, as_of)
-        .where(F.col("operation").isin(*STATE_OPS))
-        .groupBy("entity_id")
-        .agg(F.max(F.struct("timestamp", "id", "patch")).alias("last"))
-        .select("entity_id", F.col("last.patch").alias("state"), F.col("last.timestamp").alias("timestamp"))
-    )
+    states = until(log, as_of).where(F.col("operation").isin(*STATE_OPS)).withColumn("_code", order_code(log))
+    newest = states.groupBy("entity_id").agg(F.max("_code").alias("_code"), F.max("timestamp").alias("timestamp"))
+    found = fetch_winners(newest, states, ["entity_id"], "_code", "id", ["patch"])
+    return found.select("entity_id", F.col("patch").alias("state"), "timestamp")
 
 
 def latest_availability_per_entity(log: DataFrame, as_of: Any = None) -> DataFrame:
     """What the newest availability event says; entities without one are absent."""
-    return (
+    events = (
         until(log, as_of)
         .where((F.col("operation") == "availability_change") & F.col("patch").isNotNull())
-        .select("entity_id", "timestamp", "id", (~is_deletion()).alias("available"))
-        .groupBy("entity_id")
-        .agg(F.max(F.struct("timestamp", "id", "available")).alias("last"))
-        .select("entity_id", F.col("last.available").alias("available"), F.col("last.timestamp").alias("timestamp"))
+        .select("entity_id", "timestamp", "id", order_code(log).alias("_code"), (~is_deletion()).alias("available"))
     )
+    newest = F.max("timestamp").alias("timestamp")
+    if has_whole_ids(log):
+        found = events.groupBy("entity_id").agg(F.max(with_flag(F.col("_code"), F.col("available"))).alias("_code"), newest)
+        return found.select("entity_id", flag_of(F.col("_code")).alias("available"), "timestamp")
+    found = events.groupBy("entity_id").agg(F.max("_code").alias("_code"), newest)
+    return fetch_winners(found, events, ["entity_id"], "_code", "id", ["available"]).select("entity_id", "available", "timestamp")
 
 
 def state_at(log: DataFrame, as_of: Any = None, require_create: bool = False) -> DataFrame:
-    """State of every entity at ``as_of`` in one shuffle by entity.
+    """State of every entity at ``as_of``: one narrow aggregate, then the winners' patches.
 
     The newest create/update carries the post-image; the newest availability
     event decides presence on its own; other events never define state.
@@ -204,28 +203,34 @@ def state_at(log: DataFrame, as_of: Any = None, require_create: bool = False) ->
         until(log, as_of)
         .where(state_op | avail_op)
         .select(
-            "entity_id", "timestamp", "id", "operation",
-            F.when(state_op, F.col("patch")).alias("patch"),
+            "entity_id", "timestamp", "id", "operation", "patch", state_op.alias("is_state"), order_code(log).alias("_code"),
             is_deletion().alias("deletion"),
         )
     )
-    return (
-        events.groupBy("entity_id")
+    state, whole, key = F.col("is_state"), has_whole_ids(log), ["entity_id"]
+    avail = with_flag(F.col("_code"), F.col("deletion")) if whole else F.col("_code")
+    newest = (
+        events.groupBy(*key)
         .agg(
-            F.max(F.when(state_op, F.struct("timestamp", "id", "patch"))).alias("state"),
-            F.max(F.when(~state_op, F.struct("timestamp", "id", "deletion"))).alias("avail"),
-            F.count(F.when(state_op, 1)).alias("version"),
+            F.max(F.when(state, F.col("_code"))).alias("_code"),
+            F.max(F.when(state, F.col("timestamp"))).alias("timestamp"),
+            F.max(F.when(~state, avail)).alias("_avail"),
+            F.count(F.when(state, 1)).alias("version"),
             F.count(F.when(F.col("operation") == "create", 1)).alias("creates"),
         )
-        .where(F.col("state").isNotNull() & ~F.coalesce(F.col("avail.deletion"), F.lit(False)))
-        .where(F.col("creates") >= (1 if require_create else 0))
-        .select(
-            "entity_id",
-            F.col("state.patch").alias("state"),
-            F.col("state.timestamp").alias("timestamp"),
-            F.greatest(F.col("version"), F.lit(1).cast("long")).alias("version"),
-        )
+        .where(F.col("_code").isNotNull() & (F.col("creates") >= (1 if require_create else 0)))
+    )
+    if whole:
+        gone = flag_of(F.col("_avail"))
+    else:
+        flags = events.where(~state).withColumnRenamed("_code", "_avail")
+        newest = fetch_winners(newest, flags, key, "_avail", "id", ["deletion"], "left")
+        gone = F.col("deletion")
+    newest = newest.where(~F.coalesce(gone, F.lit(False))).select(
+        "entity_id", "_code", "timestamp", F.greatest(F.col("version"), F.lit(1).cast("long")).alias("version")
     )
+    found = fetch_winners(newest, events.where(state), key, "_code", "id", ["patch"])
+    return found.select("entity_id", F.col("patch").alias("state"), "timestamp", "version")
 
 
 def query_as_of(
@@ -297,16 +302,16 @@ def edge_events(log: DataFrame, as_of: Any = None) -> DataFrame:
 
 def latest_edge_event(log: DataFrame, as_of: Any = None) -> DataFrame:
     """Newest add/remove per (source, target, type)."""
-    return (
-        edge_events(log, as_of)
-        .groupBy("source_id", "target_id", "relationship_type")
-        .agg(F.max(F.struct("timestamp", "event_id", "operation", "relationship_id")).alias("last"))
-        .select(
-            F.col("last.relationship_id").alias("id"),
-            "source_id", "target_id", "relationship_type",
-            F.col("last.operation").alias("operation"),
-            F.col("last.timestamp").alias("timestamp"),
-        )
+    keys = ["source_id", "target_id", "relationship_type"]
+    events = edge_events(log, as_of)
+    # text of a patch may name no key; those events are one group, as nulls are when grouped
+    events = events.withColumns({k: F.coalesce(k, F.lit("\x00")) for k in keys}).withColumn("_code", order_code(events, tie="event_id"))
+    newest = events.groupBy(*keys).agg(
+        F.max("_code").alias("_code"), F.max("timestamp").alias("timestamp")
+    )
+    found = fetch_winners(newest, events, keys, "_code", "event_id", ["relationship_id", "operation"])
+    return found.select(
+        F.col("relationship_id").alias("id"), *[F.nullif(F.col(k), F.lit("\x00")).alias(k) for k in keys], "operation", "timestamp"
     )
 
 

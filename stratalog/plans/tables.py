@@ -293,14 +293,14 @@ class Tables:
     def order_log(self) -> DataFrame:
         """A log of the orders: created on their date, updated at their ship dates."""
         created = self.raw("orders").select(
-            F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("id"),
+            (F.col("o_orderkey") * 100).alias("id"),
             F.col("o_orderkey").alias("entity_id"),
             F.lit("Order").alias("entity_type"),
             F.lit("create").alias("operation"),
             F.col("o_orderdate").alias("timestamp"),
         )
         updated = self.raw("lineitem").select(
-            F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("id"),
+            (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("bigint").alias("id"),
             F.col("l_orderkey").alias("entity_id"),
             F.lit("Order").alias("entity_type"),
             F.lit("update").alias("operation"),
@@ -362,6 +362,6 @@ class Tables:
         return Catalog(SCHEMA, tables, edges=edges, log=None)
 
 
-ORDER_LOG_SQL = """(SELECT concat('c', CAST(o_orderkey AS VARCHAR)) AS id, o_orderkey AS entity_id,
+ORDER_LOG_SQL = """(SELECT o_orderkey * 100 AS id, o_orderkey AS entity_id,
   'create' AS operation, o_orderdate AS timestamp FROM orders
-  UNION ALL SELECT concat('u', CAST(l_orderkey AS VARCHAR)), l_orderkey, 'update', l_shipdate FROM lineitem)"""
+  UNION ALL SELECT l_orderkey * 100 + l_linenumber, l_orderkey, 'update', l_shipdate FROM lineitem)"""

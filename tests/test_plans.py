@@ -40,9 +40,29 @@ def test_a_tree_without_not_is_pushed_down(spark):
     assert "Or(GreaterThan(o_totalprice,9.0),EqualTo(o_custkey,3))" in plan_of(rd.find(t.catalog, "Order", where=tree))
 
 
-def test_summary_shuffles_once_and_combines_first(spark):
-    plan = plan_of(entry.queries()["temporal_summary"](spark, FOLDER))
-    assert plan.count("Exchange hashpartitioning") == 1 and "partial_max" in plan
+@pytest.mark.parametrize(
+    "name",
+    ["temporal_summary", "temporal_as_of", "provenance_summary", "latest_state_per_entity", "latest_availability_per_entity", "state_at",
+     "query_as_of", "latest_edge_event", "live_edges_at", "newest_mapping", "get_by_external_id", "get_by_id", "join_temporal", "query_list"],
+)
+def test_latest_per_key_never_sorts_the_log(spark, name):
+    assert "SortAggregate" not in plan_of(entry.queries()[name](spark, FOLDER))
+
+
+def test_the_first_exchange_of_a_state_carries_no_patch(spark):
+    from stratalog.operators import temporal as tm
+
+    path = Tables(spark, FOLDER).log
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for build in (tm.latest_state_per_entity, tm.state_at):
+            plan = build(path)._jdf.queryExecution().executedPlan().toString()
+            aggregate = plan[plan.index("HashAggregate(keys") :]
+            first = aggregate[aggregate.index("Exchange hashpartitioning") :]
+            partial = first[first.index("HashAggregate(keys") :].split("\n")[0]
+            assert "partial_max" in partial and "patch" not in partial
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_flagship_takes_ordered(spark):
