@@ -68,8 +68,9 @@ def migrate_rows(
     log = away.unionByName(gone)
     written = put(catalog.with_table(source, retired), target, data, stamp)
     if source == target:  # one snapshot holds what retired and what is new
-        return {target: WriteSet(entities=written.entities, changed=written.changed, log=log.unionByName(written.log), edges=edges)}
-    return {source: WriteSet(entities=retired, log=log, edges=edges), target: written}
+        both = log.unionByName(written.log)
+        return {target: WriteSet(entities=written.entities, changed=written.changed, log=both, edges=written.edges, new_edges=edges)}
+    return {source: WriteSet(entities=retired, log=log, new_edges=edges), target: written}
 
 
 def migrate_chain(

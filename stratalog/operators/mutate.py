@@ -31,7 +31,11 @@ def among(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 @dataclass
 class WriteSet:
     """What a job wants to write. ``entities`` is the class's new snapshot and
-    ``changed`` only its new or changed rows, for tables that can merge."""
+    ``changed`` only its new or changed rows, for tables that can merge.
+
+    ``edges`` and ``external_ids`` are whole tables as they shall be;
+    ``new_edges`` and ``new_mappings`` are rows to add to the tables that are.
+    """
 
     entities: DataFrame | None = None
     changed: DataFrame | None = None
@@ -39,6 +43,8 @@ class WriteSet:
     edges: DataFrame | None = None
     external_ids: DataFrame | None = None
     report: DataFrame | None = None
+    new_edges: DataFrame | None = None
+    new_mappings: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -273,7 +279,7 @@ def supersede_entities(
         .withColumn("superseded_by", F.coalesce("_by", "superseded_by"))
         .select(*table.columns)
     )
-    return WriteSet(entities=snapshot, changed=among(snapshot, pairs), log=gone.unionByName(update_log), edges=edges)
+    return WriteSet(entities=snapshot, changed=among(snapshot, pairs), log=gone.unionByName(update_log), new_edges=edges)
 
 
 def new_edges(rows: DataFrame, stamp: Stamp) -> DataFrame:
@@ -385,7 +391,7 @@ def _new_mappings(rows: DataFrame, entity_type: str, stamp: Stamp) -> WriteSet:
         mapping, stamp, F.col("entity").cast("string"), entity_type, "external_id_add",
         F.to_json(F.struct(F.col("value").alias("external_id"), "source_system")),
     )
-    return WriteSet(external_ids=mapping, log=made.unionByName(told))
+    return WriteSet(new_mappings=mapping, log=made.unionByName(told))
 
 
 def supersede_external_ids(
@@ -410,7 +416,7 @@ def supersede_external_ids(
     marked = external_ids.join(old.select("id", F.lit(True).alias("_old")), "id", "left").withColumn(
         "is_active", F.col("is_active") & F.col("_old").isNull()
     ).select(*external_ids.columns)
-    new_rows = fresh.external_ids.select(
+    new_rows = fresh.new_mappings.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in external_ids.schema.fields]
     )
     return WriteSet(external_ids=marked.unionByName(new_rows), log=fresh.log.unionByName(link))
@@ -445,7 +451,7 @@ def batch_put(
         fresh = new_edges(new_edge_rows, stamp)
         findings.append(check_edges(fresh, live, batch=True))
         log = event(fresh, stamp, F.col("source_id"), "relationship", "relationship_add", edge_patch())
-        sets["relationships"] = WriteSet(edges=fresh, log=log)
+        sets["relationships"] = WriteSet(new_edges=fresh, log=log)
     require_valid(union_all(findings))
     if dry_run:
         return union_all(
@@ -544,6 +550,29 @@ def upsert_by_external_id(
     ).drop("_id", "_old", "_has", "_value", "_entity", "is_first")
 
 
+def stored_lists(catalog: Catalog, ids: DataFrame, slots: list[str]) -> DataFrame:
+    """(id, one sorted array per slot) of the live edges of ``ids(id)``."""
+    mine = F.col("relationship_type").isin(slots) & F.col("is_available")
+    edges = catalog.edges.where(mine).join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    lists = [
+        F.array_sort(F.collect_set(F.when(F.col("relationship_type") == s, F.col("target_id")))).alias(s) for s in slots
+    ]
+    return edges.groupBy(F.col("source_id").alias("id")).agg(*lists)
+
+
+def as_lists(df: DataFrame, slots: list[str], kind: T.DataType) -> DataFrame:
+    """Each slot as a sorted array of different items; a scalar is a list of one, an absent slot an empty one."""
+    have, empty = dict(df.dtypes), F.array().cast(T.ArrayType(kind))
+    out = {}
+    for name in slots:
+        if name in have:
+            items = F.col(name) if have[name].startswith("array") else F.array(name)
+            out[name] = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(items.cast(T.ArrayType(kind)), empty))))
+        else:
+            out[name] = empty
+    return df.withColumns(out) if out else df
+
+
 def run_loader(
     fetch,
     catalog: Catalog,
@@ -555,36 +584,66 @@ def run_loader(
     transform=None,
     since: Any = None,
     dry_run: bool = False,
+    checks: Iterable = (),
+    source_system: str = "loader",
 ) -> DataFrame | WriteSet:
-    """fetch -> map -> validate -> upsert. Rows without an external id are created.
+    """fetch -> map -> validate -> upsert; what is wrong with a row stops that row only.
+
+    ``fetch(since)`` and ``transform(df)`` are callables over DataFrames, ``checks``
+    callables from rows (``id`` is the row's ``order``) to findings, beside the schema's.
+    The outcome of every row is in the report: created, updated, unchanged or error, with
+    the findings as ``error``. Rows without external id are created. A list replaces the
+    edges of its slot and counts when rows are compared; a slot that the feed lacks is empty.
 
-    ``fetch(since)`` and ``transform(df)`` are callables over DataFrames.
+    The fetched rows are written out once, so entities, edges, mappings and log come from
+    the same rows whatever the source does meanwhile.
     """
-    from .validate import check_schema, require_valid
+    from .validate import check_schema
 
     rows = fetch(since)
-    if transform is not None:
-        rows = transform(rows)
+    rows = stable(transform(rows) if transform is not None else rows)
     table = catalog.table(entity_type)
     columns = [c for c in _data_columns(table) if c in rows.columns]
-    require_valid(check_schema(rows.withColumn("id", F.col(key)), catalog.schema, entity_type))
-    outcomes = upsert_by_external_id(rows, key, order, catalog.live(entity_type), mappings, columns)
+    slots = [s.name for s in catalog.schema.edge_slots(entity_type)] if catalog.edges is not None else []
+    named = rows.withColumn("id", F.col(order).cast("string"))
+    found = union_all([check_schema(named, catalog.schema, entity_type), *[check(named) for check in checks]])
+    bad = found.groupBy(F.col("entity_id").alias("_row")).agg(F.array_join(F.array_sort(F.collect_set("message")), "; ").alias("_wrong"))
+    judged = stable(rows.join(bad, F.col(order).cast("string") == F.col("_row"), "left").drop("_row"))
+    good = judged.where("_wrong IS NULL").drop("_wrong")
+    live = catalog.live(entity_type)
+    if slots:
+        kind = catalog.edges.schema["target_id"].dataType
+        good = as_lists(good, slots, kind)
+        asked = good.select(F.col(key).cast("string").alias("value"))
+        ids = mappings.join(asked, "value", "left_semi").select(F.col("entity").alias("id"))
+        live = as_lists(live.drop(*slots).join(stored_lists(catalog, ids, slots), "id", "left"), slots, kind)
+    outcomes = upsert_by_external_id(good, key, order, live, mappings, [*columns, *slots])
     outcomes = outcomes.withColumn("outcome", F.when(F.col(key).isNull(), "created").otherwise(F.col("outcome")))
+    outcomes = outcomes.withColumn("error", F.when(F.col("outcome") == "error", F.col("error")))
+    wrong = judged.where("_wrong IS NOT NULL").withColumns({"outcome": F.lit("error"), "error": F.col("_wrong")}).drop("_wrong")
+    report = outcomes.unionByName(wrong, allowMissingColumns=True)
     if dry_run:
-        return outcomes
+        return report
     writes = outcomes.where(F.col("outcome").isin("created", "updated"))
-    made_id = F.sha2(F.concat_ws("|", F.lit(entity_type), F.coalesce(F.col(key).cast("string"), F.concat(F.lit("row-"), F.col(order).cast("string")))), 256)
+    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.concat(F.lit("row "), F.col(order).cast("string"), F.lit(f" {stamp.timestamp}")))
+    made_id = F.sha2(F.concat_ws("|", F.lit(entity_type), name), 256)
     if dict(table.dtypes)["id"] != "string":
-        made_id = F.xxhash64(F.lit(entity_type), F.col(key), F.col(order))
-    batch = writes.withColumn("id", F.coalesce(F.col("entity").cast(table.schema["id"].dataType), made_id))
-    out = put(catalog, entity_type, batch.select("id", *columns), stamp)
+        made_id = F.xxhash64(F.lit(entity_type), name)
+    batch = stable(writes.withColumn("id", F.coalesce(F.col("entity").cast(table.schema["id"].dataType), made_id)))
+    created = batch.where("outcome = 'created'").select("id")
+    taken = among(table, created).select("id").head(1)
+    if taken:
+        raise QueryError(f"the id {taken[0][0]!r} made for a new {entity_type} is taken")
+    out = put(catalog, entity_type, batch.select("id", *columns, *slots), stamp)
     fresh = batch.where((F.col("outcome") == "created") & F.col(key).isNotNull()).select(
-        F.col("id").alias("entity"), F.col(key).cast("string").alias("value"), F.lit("loader").alias("source_system")
+        F.col("id").alias("entity"), F.col(key).cast("string").alias("value"), F.lit(source_system).alias("source_system")
     )
     mapped = _new_mappings(fresh, entity_type, stamp)
     return WriteSet(
         entities=out.entities,
+        changed=out.changed,
         log=out.log.withColumn("entity_id", F.col("entity_id").cast("string")).unionByName(mapped.log),
-        external_ids=mapped.external_ids,
-        report=outcomes,
+        edges=out.edges,
+        new_mappings=mapped.new_mappings,
+        report=report,
     )

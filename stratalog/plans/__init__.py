@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .registry import ORACLES, QUERIES
-from . import checks, relations, scans, summaries, texts, writes  # noqa: F401
+from . import checks, commits, relations, scans, summaries, texts, writes  # noqa: F401
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -103,7 +103,7 @@ def supersede_entities(t: Tables):
     rows = out.entities.where(F.col("superseded_by").isNotNull() & ~F.col("is_available")).select(
         F.lit("entity").alias("kind"), text("id").alias("id"), text("superseded_by").alias("other")
     )
-    edges = out.edges.select(F.lit("edge").alias("kind"), text("source_id").alias("id"), text("target_id").alias("other"))
+    edges = out.new_edges.select(F.lit("edge").alias("kind"), text("source_id").alias("id"), text("target_id").alias("other"))
     other = F.coalesce(F.get_json_object("patch", "$.superseded_by"), F.get_json_object("patch", "$.name"))
     log = out.log.select(F.col("operation").alias("kind"), text("entity_id").alias("id"), other.alias("other"))
     return rows.unionByName(edges).unionByName(log)
@@ -120,7 +120,7 @@ def register_external_ids(t: Tables):
         F.col("id").alias("entity"), F.concat(F.lit("P-"), F.col("id").cast("string")).alias("value"), F.lit("erp").alias("source_system")
     )
     out = mu.register_external_ids(t.catalog, "Part", rows, STAMP)
-    maps = out.external_ids.select(F.lit("mapping").alias("kind"), "value", F.col("entity").cast("string").alias("entity"))
+    maps = out.new_mappings.select(F.lit("mapping").alias("kind"), "value", F.col("entity").cast("string").alias("entity"))
     value = F.coalesce(F.get_json_object("patch", "$.external_id"), F.get_json_object("patch", "$.value"))
     entity = F.when(F.col("operation") == "external_id_add", F.col("entity_id"))
     return maps.unionByName(out.log.select(F.col("operation").alias("kind"), value.alias("value"), entity.alias("entity")))

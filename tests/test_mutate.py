@@ -215,9 +215,64 @@ def test_loader_writes(spark, catalog):
     maps = catalog.external_ids.where("is_active and entity = 'a'").select("value", "entity")
     out = mu.run_loader(lambda since: feed, catalog, "Sample", STAMP, "key", "line", maps)
     assert {r.name for r in out.entities.collect()} == {"A9", "B", "C", "W", "V"}
-    assert [r.value for r in out.external_ids.collect()] == ["W"]
-    with pytest.raises(QueryError):
-        mu.run_loader(lambda since: feed.withColumn("name", F.lit(None).cast("string")), catalog, "Sample", STAMP, "key", "line", maps)
+    assert [r.value for r in out.new_mappings.collect()] == ["W"]
+    nameless = mu.run_loader(lambda since: feed.withColumn("name", F.lit(None).cast("string")), catalog, "Sample", STAMP, "key", "line", maps)
+    assert {(r.outcome, r.error) for r in nameless.report.collect()} == {("error", "name is required")}
+    assert nameless.log.count() == 0 and nameless.entities.count() == 3
+
+
+def test_a_bad_row_stops_itself_only(spark, catalog):
+    rows = [("X", 1, "A9"), ("W", 2, None), ("W", 3, "late"), (None, 4, None), (None, 5, "V"), ("V2", 6, "q")]
+    feed = frame(spark, rows, "key string, line bigint, name string")
+    maps = catalog.external_ids.where("is_active and entity = 'a'").select("value", "entity")
+    short = lambda df: va.explode_findings(df, "Sample", [F.when(F.length("name") < 2, va.finding("python", "short", "name", "too short"))])
+    out = mu.run_loader(lambda since: feed, catalog, "Sample", STAMP, "key", "line", maps, checks=[short])
+    got = {r.line: (r.outcome, r.error) for r in out.report.collect()}
+    assert got == {
+        1: ("updated", None), 2: ("error", "name is required"), 3: ("created", None), 4: ("error", "name is required"),
+        5: ("error", "too short"), 6: ("error", "too short"),
+    }
+    assert {r.name for r in out.entities.collect()} == {"A9", "B", "C", "late"}
+    again = mu.run_loader(lambda since: feed, catalog, "Sample", STAMP, "key", "line", maps, checks=[short])
+    ids = lambda o: sorted(r.id for r in o.entities.collect())
+    assert ids(out) == ids(again)  # a rerun makes the same ids
+
+
+def test_lists_through_the_loader(spark, catalog, folder):
+    rows = [("X", 1, "A", ["b", "c"]), ("N", 2, "N", ["a", None, "a"]), ("M", 3, "M", None)]
+    feed = frame(spark, rows, "key string, line bigint, name string, parts array<string>")
+    maps = catalog.external_ids.where("is_active and entity = 'a'").select("value", "entity")
+    live = lambda c: sorted((r.source_id, r.target_id) for r in c.edges.where("is_available and relationship_type = 'parts'").collect())
+    store.commit(folder, {"Sample": mu.WriteSet(entities=catalog.table("Sample"), edges=catalog.edges, external_ids=catalog.external_ids)})
+    current = store.load_catalog(spark, folder, SCHEMA)
+    store.commit(folder, {"Sample": mu.run_loader(lambda since: feed, current, "Sample", STAMP, "key", "line", maps)})
+    after = store.load_catalog(spark, folder, SCHEMA)
+    new = after.external_ids.where("value = 'N'").first().entity
+    assert live(after) == sorted([("a", "b"), ("a", "c"), (new, "a")])
+    assert after.external_ids.count() == catalog.external_ids.count() + 2
+    maps = maps.unionByName(after.external_ids.where("value in ('N', 'M')").select("value", "entity"))
+    second = mu.run_loader(lambda since: feed, after, "Sample", STAMP, "key", "line", maps)
+    assert {r.outcome for r in second.report.collect()} == {"unchanged"} and second.log.count() == 0
+    bare = mu.run_loader(lambda since: feed.drop("parts"), after, "Sample", STAMP, "key", "line", maps)
+    assert {r.line: r.outcome for r in bare.report.collect()} == {1: "updated", 2: "updated", 3: "unchanged"}
+    store.commit(folder, {"Sample": bare})
+    assert live(store.load_catalog(spark, folder, SCHEMA)) == []
+
+
+def test_additions_keep_what_is_there(spark, catalog, folder, monkeypatch):
+    monkeypatch.setattr(store, "MOST_PARTS", 3)
+    store.commit(folder, {"Sample": mu.WriteSet(entities=catalog.table("Sample"), edges=catalog.edges, external_ids=catalog.external_ids)})
+    for n in range(4):
+        current = store.load_catalog(spark, folder, SCHEMA)
+        rows = frame(spark, [("a", f"Z{n}", "s")], "entity string, value string, source_system string")
+        stamp = mu.Stamp(f"2024-06-0{n + 1} 00:00:00", "ann")
+        edge = frame(spark, [("a", "b", f"near{n}")], "source_id string, target_id string, relationship_type string")
+        store.commit(folder, {"ids": mu.register_external_ids(current, "Sample", rows, stamp), "links": mu.WriteSet(new_edges=mu.new_edges(edge, stamp))})
+        now = store.load_catalog(spark, folder, SCHEMA)
+        assert now.external_ids.count() == catalog.external_ids.count() + n + 1 and now.edges.count() == catalog.edges.count() + n + 1
+    pairs = frame(spark, [("a", "b")], "id string, replacement string")
+    store.commit(folder, {"Sample": mu.supersede_entities(now, "Sample", pairs, mu.Stamp("2024-07-01 00:00:00"))})
+    assert store.load_catalog(spark, folder, SCHEMA).edges.count() == catalog.edges.count() + 5
 
 
 def test_migration_gate_runs_first(spark, catalog):
@@ -229,7 +284,7 @@ def test_migration_gate_runs_first(spark, catalog):
     assert [tuple(r) for r in out["Aliquot"].entities.select("id", "label").collect()] == [("m", "all")]
     old = {r.id: (r.is_available, r.superseded_by) for r in out["Sample"].entities.collect()}
     assert old == {"a": (False, "m"), "b": (False, "m"), "c": (False, "b")}
-    assert out["Sample"].edges.count() == 2
+    assert out["Sample"].new_edges.count() == 2
 
 
 def test_reference_loads_once(spark, catalog):
