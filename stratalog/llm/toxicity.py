@@ -22,6 +22,8 @@ PAIR_DISCOUNT, WORD_DISCOUNT = 2, 3
 EVIDENCE, MOST_EVIDENCE = 1.15, 2.0
 #: Words (or different pairs of them) that a counting task holds before it passes them on.
 HELD = 1 << 22
+#: Bits of a pair's digest by which pairs are dealt to tasks.
+DEAL_BITS = 12
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 THRESHOLD = 0.5
 
@@ -92,11 +94,14 @@ def _class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
     """Numbers of different words before each of ``words`` (sorted), and of different pairs in all texts.
 
-    A task makes its pairs unique before they leave it, as one number each: the place of
-    the word among ``words`` above a digest of the pair. Pairs are then grouped over the
-    whole corpus, so what is gathered grows with it and no counter can fill.
+    A task makes its pairs unique before they leave it, as one number each: the first bits
+    of the pair's digest, the place of the word among ``words``, more bits of the digest.
+    They leave in order, dealt by the first bits, so that neighbours begin alike and the
+    shuffle shrinks them. Pairs are grouped over the whole corpus: what is gathered grows
+    with it and no counter can fill.
     """
-    bits = 63 - int(len(words)).bit_length()
+    width = int(len(words)).bit_length()
+    rest = 63 - DEAL_BITS - width
     known = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +115,9 @@ def _shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]
             place = np.searchsorted(known.value, found)
             same = known.value[np.minimum(place, len(known.value) - 1)] == found if len(known.value) else np.zeros(len(found), bool)
             place = np.where(same, place, len(known.value)).astype(np.int64)
-            held.append((place << bits) | (_pair(left, found) >> np.uint64(64 - bits)).astype(np.int64))
+            pair = _pair(left, found)
+            first, low = pair >> np.uint64(64 - DEAL_BITS), pair & np.uint64((1 << rest) - 1)
+            held.append((first.astype(np.int64) << (63 - DEAL_BITS)) | (place << rest) | low.astype(np.int64))
             size += len(found)
             if size >= HELD:
                 held = [np.unique(np.concatenate(held))]
@@ -121,8 +128,9 @@ def _shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]
         if size:
             yield from out(np.unique(np.concatenate(held)))
 
-    once = docs.select("text").mapInArrow(run, "key bigint").distinct()
-    place = F.shiftright("key", bits).cast("int").alias("place")
+    keys = docs.select("text").mapInArrow(run, "key bigint").withColumn("deal", F.shiftright("key", 63 - DEAL_BITS).cast("int"))
+    once = keys.repartition("deal").select("deal", "key").distinct()
+    place = F.shiftright("key", rest).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("place")
     counts = fetched(pinned(once.groupBy(place).agg(F.count("*").alias("n")), "toxicity-shared"))
     before = np.zeros(len(words), np.int64)
     own = counts.place < len(words)
