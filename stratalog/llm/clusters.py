@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fetched, pinned
+from .common import few_rows, fetched, pinned
 
 #: Vectors per chunk; a chunk has its own dictionaries, as a row group of a column store has.
 CHUNK = 8192
+#: Chunks that go to a task's Python worker at a time.
+AT_A_TIME = 4
 #: Scaled components stay below this, so that squared distances of thousands of dimensions fit 64 bits.
 LARGEST = 1 << 25
 CENTROIDS, ROUNDS, DIMS, SCALE = 40, 5, 64, 256
@@ -90,7 +92,7 @@ def encoded(vectors: DataFrame, key: str, vector: str, dims: int, scale: int) ->
         if held:
             yield chunk(pa.concat_arrays(ids), np.concatenate(values))
 
-    return pinned(rows.mapInArrow(run, _CHUNKS.format(kind=kind)), "cluster-chunks")
+    return pinned(rows.mapInArrow(run, _CHUNKS.format(kind=kind)), "cluster-chunks", compression="zstd")
 
 
 def _blocks(row: pa.StructArray) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -194,8 +196,9 @@ def cluster_vectors(
     if not len(centroids):
         return spark.createDataFrame([], f"`{key}` {kind}, {names}, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
     chunks = encoded(vectors, key, vector, dims, scale)
-    for _ in range(rounds):
-        centroids = _moved(chunks, centroids)
+    with few_rows(spark, AT_A_TIME):
+        for _ in range(rounds):
+            centroids = _moved(chunks, centroids)
     shared = spark.sparkContext.broadcast(centroids)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +208,8 @@ def cluster_vectors(
                 columns = [ids.values, pa.array(cluster.astype(np.int32)), pa.array(distance)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "cluster", "distance"])
 
-    assigned = pinned(chunks.mapInArrow(assign, f"id {kind}, {names}"), "cluster-assigned")
+    with few_rows(spark, AT_A_TIME):
+        assigned = pinned(chunks.mapInArrow(assign, f"id {kind}, {names}"), "cluster-assigned")
     sums = fetched(assigned.groupBy("cluster").agg(F.sum("distance").alias("total")))  # k rows
     total = int(sums.total.sum())
     digests = [sha256(",".join(str(x) for x in row).encode()).hexdigest() for row in centroids.tolist()]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def pinned(df: DataFrame, label: str) -> DataFrame:
+class Temporary:
+    """Folders that :func:`pinned` writes inside a ``with`` block; they go at its end, but for those kept."""
+
+    open: list[Temporary] = []
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
+
+    def __enter__(self) -> Temporary:
+        Temporary.open.append(self)
+        return self
+
+    def add(self, path: str) -> None:
+        self._paths.append(path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A table written inside the block that shall stay."""
+        self._paths = [p for p in self._paths if p != df.scratch]
+        return df
+
+    def __exit__(self, *problem) -> None:
+        Temporary.open.remove(self)
+        jvm, conf = self._spark.sparkContext._jvm, self._spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self._paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def pinned(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
 
     This cuts lineage and pins values that a recomputed task could give anew.
@@ -28,8 +57,28 @@ def pinned(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if Temporary.open:
+        Temporary.open[-1].add(path)
+    df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+@contextmanager
+def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside pass at most ``rows`` rows at a time to Python workers.
+
+    For tables whose row is a whole segment or chunk: with thousands of them in a batch
+    its buffers would outgrow an executor.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def fetched(df: DataFrame) -> pd.DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, fold, pinned, slices
+from .common import Temporary, WordHashes, fold, pinned, slices
 
 SHINGLE_WORDS = 5
 #: Two sets are linked if 100 * common >= THRESHOLD * union.
@@ -181,9 +181,18 @@ def near_duplicates(
 
     * Null or empty text, or one without words: no set, linked with nothing.
     * Null ids: rows of their own with null component, kept.
-    * Repeated ids: links of any of the rows count for the id.
+    * Repeated ids: links of any of the rows count for the id, so texts of one id are one
+      group with all that they are linked with.
+    * Ids are whole numbers; text that is none raises or, without ANSI mode, counts as null.
     * Empty table: no rows. Other columns are not read.
+
+    The result is written out; the tables on the way to it are removed again.
     """
+    with Temporary(docs.sparkSession) as temporary:
+        return temporary.keep(pinned(_near_duplicates(docs, words, threshold, id_col, text), "near-duplicates"))
+
+
+def _near_duplicates(docs: DataFrame, words: int, threshold: int, id_col: str, text: str) -> DataFrame:
     named = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text).alias("text"))
     sketched = pinned(named.mapInArrow(_sketches(words), "id_ bigint, n bigint, d0 bigint, d1 bigint, bands array<bigint>, parity array<bigint>"), "sketches")
     with_set = sketched.filter("n > 0 and id_ is not null")
@@ -201,10 +210,15 @@ def near_duplicates(
     sets = named.join(needed, "id_", "left_semi").mapInArrow(_sets(words), "id_ bigint, elements array<bigint>")
     sets = pinned(sets, "sets")
 
+    # classes that hold rows of one id belong together
+    ids = with_set.join(classes, ["d0", "d1"]).select("id_", "rep_").distinct()
+    least = ids.groupBy("id_").agg(F.min("rep_").alias("b"), F.count("*").alias("n_")).filter("n_ > 1")
+    ties = pinned(ids.join(least, "id_").filter("rep_ > b").select(F.col("rep_").alias("a"), "b").distinct(), "ties")
+
     votes = members.filter("id_ <> head_").groupBy("id_", "head_").agg(F.count("*").alias("votes_"))
     first = votes.groupBy("id_").agg(F.max_by("head_", "votes_").alias("head_"))
     first = pinned(first.select(F.col("id_").alias("a"), F.col("head_").alias("b")), "first-pairs")
-    links = pinned(_confirmed(first, sets, threshold), "first-links")
+    links = pinned(_confirmed(first, sets, threshold), "first-links").union(ties)
     roots = _roots(links)
 
     for round_ in range(ROUNDS):
@@ -218,7 +232,7 @@ def near_duplicates(
         links = links.union(pinned(_confirmed(pairs, sets, threshold), "round-links"))
         roots = _roots(links)
 
-    maps = with_set.join(head, ["d0", "d1", "id_"], "left_semi").select("id_", "n", "parity").dropDuplicates(["id_", "n"])
+    maps = with_set.join(head, ["d0", "d1", "id_"], "left_semi").select("id_", "n", "parity").distinct()
     open_ = _open_members(members, roots, "last")
     open_ = pinned(open_.join(maps, ["id_", "n"]), "last-maps")
     rest = open_.filter("root_ <> main_").select(

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fetched, pinned, slices
+from .common import few_rows, fetched, pinned, slices
 
 #: Bounds of a segment: a stratum is stored in pieces of at most so many documents, and of
 #: about so many postings (one long document may exceed them).
@@ -21,6 +21,8 @@ SEGMENT_DOCS, SEGMENT_POSTINGS = 2048, 1 << 17
 TASK_POSTINGS = 1_000_000
 #: Items that are looked up together, and their terms: what a task holds of the queries.
 BLOCK_ITEMS, BLOCK_TERMS = 256, 20_000
+#: Segments that go to a task's Python worker at a time.
+AT_A_TIME = 4
 #: Cells of the impact matrix that a task fills at a time.
 CELLS = 1 << 20
 #: Share of strata, by an item's bounds, that the first visit leaves for later ones.
@@ -143,7 +145,9 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     tasks = max(1, ceil((size.postings or 0) / TASK_POSTINGS))
     dealt = rows.withColumn("m", m).repartitionByRange(tasks, "m", "place").sortWithinPartitions("m", "place")
     shape = f"m bigint, docs array<{kind}>, terms string, counts array<int>, tops array<int>, tfs array<int>, places array<int>"
-    return pinned(dealt.select("m", "id", "terms", "tfs").mapInArrow(_segments, shape), "ranked-segments")
+    segments = dealt.select("m", "id", "terms", "tfs").mapInArrow(_segments, shape)
+    # a page holds many whole segments; the default codec would keep it in direct memory, out of the heap's sight
+    return pinned(segments, "ranked-segments", compression="zstd")
 
 
 def impacts(tfs: np.ndarray, m: int) -> np.ndarray:
@@ -348,7 +352,9 @@ def search(
         block = asked.filter(F.pmod(F.xxhash64("place"), F.lit(blocks)) == number).select("id", "terms", "tfs").collect()
         if not block:
             continue
+        with few_rows(spark, AT_A_TIME):
+            ranks = _search_block(index, block, docs, top, kind)
         names = spark.createDataFrame([(i, row.id) for i, row in enumerate(block)], f"item bigint, name {item_kind}")
-        found = _search_block(index, block, docs, top, kind).join(F.broadcast(names), "item")  # a block of items
+        found = ranks.join(F.broadcast(names), "item")  # a block of items
         out = out.unionByName(found.select(F.col("name").alias(key), "rank", F.col("id").alias(doc_key), "score"))
     return out

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, fetched, fold, pinned, slices
+from .common import Temporary, WordHashes, fetched, fold, pinned, slices
 
 #: Expected bound of labelled rows a model learns from; beyond it a hash of the id draws them.
 LABELLED_ROWS = 20_000
@@ -301,8 +301,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     The labelled ones give each class its counts of word pairs and of different words
     before a word; all documents give the distribution that both back off to. Another
-    fold of labelled rows calibrates the score.
+    fold of labelled rows calibrates the score. Tables on the way to the model are removed.
     """
+    with Temporary(docs.sparkSession):
+        return _train(docs, labels, label, most)
+
+
+def _train(docs: DataFrame, labels: DataFrame, label: str, most: int) -> Model:
     marked = pinned(labelled(labels, label, most), "toxicity-labels")
     learn = marked.filter(F.col("fold") != CALIBRATE).select("doc_id", "label")
     model = _build(docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id").select("text", "label"), docs)

@@ -145,3 +145,24 @@ def test_short_lines_and_short_sentences_repeat_too(spark):
     assert after[5].count("no no.") in range(4, 8)
     # paragraphs of short lines count without short lines, too
     assert {r["level"] for r in repeats.repeated_units(docs).filter("doc_id = 2").collect()} == {"paragraph", "sentence"}
+
+
+def test_texts_of_one_id_are_tied(spark):
+    x, y, z = ("one two three four five six seven eight " + w for w in ("x", "other words entirely here y", "and nothing shared at all z"))
+    y = " ".join(reversed(y.split()))
+    rows = [(5, x), (7, x), (5, y), (3, y), (9, z)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs, words=2).collect()}
+    assert got == {(5, 3), (7, 3), (3, 3), (9, 9)}
+    assert sorted(r.doc_id for r in neardup.keep_one(docs, words=2).collect()) == [3, 9]
+
+
+def test_scratch_tables_are_removed(spark, folder, monkeypatch):
+    import os
+
+    from stratalog.llm import common
+
+    monkeypatch.setattr(common, "scratch_path", lambda spark, label: f"{folder}/{label}-{len(os.listdir(folder))}")
+    docs = spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(9)], "doc_id bigint, text string")
+    assert neardup.near_duplicates(docs).count() == 9
+    assert [name.split("-")[0] for name in os.listdir(folder)] == ["near"]
