@@ -172,27 +172,54 @@ def neighbors_as_of(log: DataFrame, entity_id: Any, as_of: Any, depth: int = 1)
     return Neighborhood(nodes, met, ["LINK_TABLE"], ["as-of neighbourhoods cover link-table edges only"])
 
 
+def _pointers(entities: DataFrame) -> DataFrame:
+    """(id, to) of superseded entities; one that names itself counts as not superseded."""
+    return entities.where(F.col("superseded_by").isNotNull() & (F.col("superseded_by") != F.col("id"))).select(
+        "id", F.col("superseded_by").alias("to")
+    )
+
+
+def supersession_ends(entities: DataFrame) -> DataFrame:
+    """``(id, hops, terminal)``: where the chain of every superseded entity ends.
+
+    Pointer jumping: each round joins the pointers with themselves, so they span twice
+    as far, with one row per entity however long its chain. Rounds grow with the logarithm
+    of the longest chain. Pointers that still move after spanning as many hops as there
+    are entities run in a circle: their hops and terminal are NULL.
+    """
+    at = stable(_pointers(entities).select("id", "to", F.lit(1).cast("long").alias("hops"), F.lit(True).alias("moved")))
+    total, span = at.count(), 1
+    while span <= total and not at.where("moved").isEmpty():
+        ahead = at.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
+        at = at.join(ahead, "to", "left").select(
+            "id", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
+            F.col("next").isNotNull().alias("moved"),
+        )
+        at, span = stable(at), 2 * span
+    return at.select("id", F.when(~F.col("moved"), F.col("hops")).alias("hops"), F.when(~F.col("moved"), F.col("to")).alias("terminal"))
+
+
 def supersession_chain(entities: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """``(id, hop, replacement)`` following ``superseded_by`` from each start.
 
-    Every superseded entity is a start by default. A chain stops at the first
-    entity that is not superseded, or that it has already met. The reach of all
-    entities doubles in each round, so the number of joins grows with the logarithm
-    of the longest chain; what a chain meets again loses to its first visit.
+    Every superseded entity is a start by default; then a chain gives as many rows as it
+    has suffixes, and :func:`supersession_ends` is the linear answer. A chain stops at the
+    first entity that is not superseded, or that it has already met. Only the starts'
+    chains are built: what they have met so far is carried over the pointers of one span,
+    the pointers double, and so the rounds grow with the logarithm of the longest chain.
     """
-    reach = entities.where(F.col("superseded_by").isNotNull() & (F.col("superseded_by") != F.col("id"))).select(
-        "id", F.lit(1).cast("long").alias("hop"), F.col("superseded_by").alias("replacement")
-    )
-    reach, span = stable(reach), 1
-    while True:
-        last = reach.where(F.col("hop") == span)
-        ahead = reach.select(F.col("id").alias("replacement"), F.col("hop").alias("more"), F.col("replacement").alias("next"))
-        longer = last.join(ahead, "replacement").select("id", (F.col("hop") + F.col("more")).alias("hop"), F.col("next").alias("replacement"))
-        longer = longer.where(F.col("id") != F.col("replacement"))
-        both = reach.unionByName(longer).groupBy("id", "replacement").agg(F.min("hop").alias("hop"))
-        reach, span = stable(both.select("id", "hop", "replacement")), 2 * span
-        if reach.where(F.col("hop") == span).isEmpty():
+    jump = stable(_pointers(entities))
+    first = jump.select("id") if starts is None else starts.select("id").distinct()
+    kind = entities.schema["superseded_by"].dataType
+    met = stable(first.select(F.col("id").alias("start"), F.col("id").cast(kind).alias("node"), F.lit(0).cast("long").alias("hop")))
+    span, known = 1, met.count()
+    while not jump.isEmpty():
+        ahead = jump.select(F.col("id").alias("node"), "to")
+        further = met.join(ahead, "node").select("start", F.col("to").alias("node"), (F.col("hop") + span).alias("hop"))
+        met = stable(met.unionByName(further).groupBy("start", "node").agg(F.min("hop").alias("hop")))
+        grown = met.count()
+        if grown == known:  # every chain has ended or come round
             break
-    if starts is not None:
-        reach = reach.join(starts.select("id"), "id", "left_semi")
-    return reach.select("id", F.col("hop").cast("int").alias("hop"), "replacement")
+        known, span = grown, 2 * span
+        jump = stable(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
+    return met.where("hop > 0").select(F.col("start").alias("id"), F.col("hop").cast("int").alias("hop"), F.col("node").alias("replacement"))

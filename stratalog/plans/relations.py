@@ -309,6 +309,16 @@ def supersession_chain(t: Tables):
     return graph.supersession_chain(t.role("order_e"))
 
 
+@query(
+    "supersession_ends",
+    """WITH RECURSIVE walk AS (SELECT id, 1 AS hop, superseded_by AS node FROM order_e WHERE superseded_by IS NOT NULL
+      UNION ALL SELECT w.id, w.hop + 1, o.superseded_by FROM walk w JOIN order_e o ON o.id = w.node WHERE o.superseded_by IS NOT NULL)
+    SELECT id, max(hop)::BIGINT AS hops, arg_max(node, hop) AS terminal FROM walk GROUP BY id""",
+)
+def supersession_ends(t: Tables):
+    return graph.supersession_ends(t.role("order_e"))
+
+
 MAPPED = """SELECT value, entity, source_system, TIMESTAMP '2024-01-01' + entity * INTERVAL 1 MINUTE AS created_at, id
   FROM ext_e WHERE is_active"""
 

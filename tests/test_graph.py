@@ -175,3 +175,24 @@ def test_chain_stops_at_cycles(spark):
     assert got == [("a", 1, "b"), ("a", 2, "c"), ("b", 1, "c"), ("b", 2, "a"), ("c", 1, "a"), ("c", 2, "b"), ("d", 1, "e")]
     one = graph.supersession_chain(df, spark.createDataFrame([("b",)], "id string")).collect()
     assert sorted(tuple(r) for r in one) == [("b", 1, "c"), ("b", 2, "a")]
+
+
+def test_chains_of_starts_and_ends(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("d", "e"), ("e", "g"), ("g", None), ("f", "f"), ("h", "gone")]
+    df = spark.createDataFrame(rows, "id string, superseded_by string")
+    ends = {r.id: (r.hops, r.terminal) for r in graph.supersession_ends(df).collect()}
+    assert ends == {"a": (None, None), "b": (None, None), "c": (None, None), "x": (None, None), "d": (2, "g"), "e": (1, "g"), "h": (1, "gone")}
+    starts = spark.createDataFrame([("x",), ("d",), ("g",), ("nobody",), ("d",)], "id string")
+    got = sorted(tuple(r) for r in graph.supersession_chain(df, starts).collect())
+    assert got == [("d", 1, "e"), ("d", 2, "g"), ("x", 1, "a"), ("x", 2, "b"), ("x", 3, "c")]
+    assert graph.supersession_ends(df.limit(0)).count() == 0 and graph.supersession_chain(df.limit(0)).count() == 0
+
+
+def test_long_chain_in_linear_rows(spark):
+    n = 100_000
+    df = spark.range(n).select("id", F.when(F.col("id") < n - 1, F.col("id") + 1).alias("superseded_by"))
+    ends = graph.supersession_ends(df)
+    assert ends.count() == n - 1
+    assert ends.where((F.col("terminal") != n - 1) | (F.col("hops") != n - 1 - F.col("id"))).isEmpty()
+    chain = graph.supersession_chain(df, spark.createDataFrame([(0,)], "id bigint"))
+    assert chain.count() == n - 1 and chain.where("hop <> replacement").isEmpty()
