@@ -68,6 +68,24 @@ def token_count(folded: Column) -> Column:
     return F.length(folded) - F.length(F.replace(folded, F.lit(" "), F.lit(""))) - 1
 
 
+#: A token in a text that is not folded: folding drops marks, which neither begin nor end a token.
+TOKEN = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{M}]*+"
+
+
+def count_tokens(col: Column) -> Column:
+    """Number of tokens of a text, without folding it."""
+    return F.regexp_count(col, F.lit(TOKEN))
+
+
+def may_hold(col: Column, terms: list[str]) -> Column:
+    """False where an ASCII text surely lacks a term; other texts must be folded to know."""
+    low = F.lower(col)
+    inside = F.lit(True)
+    for term in dict.fromkeys(terms):
+        inside = inside & F.contains(low, F.lit(term))
+    return F.when(F.length(col) == F.octet_length(col), inside).otherwise(F.lit(True))
+
+
 def query_tokens(text: str) -> list[str]:
     """The same folding for a query literal."""
     low = unicodedata.normalize("NFD", text.lower())

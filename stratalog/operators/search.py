@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..model import Catalog, QueryError, union_all
+from ..runtime import stable
 from .read import find, ordering, page
 from .temporal import temporal_summary_of
 
@@ -37,7 +38,12 @@ def build_fts_index(entities: DataFrame, field: str) -> DataFrame:
     Token streams explode to one row each and regroup by (term, entity), so a
     frequent term is spread over its entities rather than gathered.
     """
-    rows = content_rows(entities, field).withColumn("toks", tx.tokens(F.col("content")))
+    return postings_of(content_rows(entities, field))
+
+
+def postings_of(content: DataFrame) -> DataFrame:
+    """Postings of ``content(entity_id, content)``."""
+    rows = content.withColumn("toks", tx.tokens(F.col("content")))
     return (
         rows.select("entity_id", F.size("toks").alias("doc_len"), F.posexplode("toks").alias("pos", "term"))
         .groupBy("term", "entity_id", "doc_len")
@@ -67,17 +73,26 @@ def _shifted(positions: Column, place: int) -> Column:
 def search_index_phrase(
     postings: DataFrame, content: DataFrame, query: str, min_score: float = 0.0, limit: int | None = 100
 ) -> DataFrame:
-    """The phrase search over stored postings instead of the text.
+    """The phrase search over postings; ``content(entity_id, doc_len)`` gives the number
+    and mean length of rows. ``sources.fts`` keeps both with a stored index."""
+    row = content.agg(F.count("*").alias("rows"), F.avg("doc_len").alias("average")).first()
+    return rank_postings(postings, query, row.rows, row.average or 0.0, min_score, limit)
+
+
+def rank_postings(
+    postings: DataFrame, query: str, rows: int, average: float, min_score: float = 0.0, limit: int | None = 100
+) -> DataFrame:
+    """Phrase hits from postings, ranked by BM25 over ``rows`` texts of ``average`` length.
 
     Only postings of the phrase's terms are read (a pushed ``IN`` on the sorted
     term column). Per entity they regroup to at most one position list per term;
-    a phrase starts where all lists, shifted by their place, share a position.
-    ``content(entity_id, doc_len)`` gives the number and mean length of rows.
+    a phrase starts where all lists, shifted by their place, share a position. The
+    hits, narrow rows, are written once and ranked from there.
     """
     terms = tx.query_tokens(query)
     words = list(dict.fromkeys(terms))
     if not words:
-        return content.select("entity_id", F.lit(0.0).alias("score")).limit(0)
+        return postings.select("entity_id", F.lit(0.0).alias("score")).limit(0)
     lists = [
         F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{i}") for i, w in enumerate(words)
     ]
@@ -87,16 +102,10 @@ def search_index_phrase(
     starts = F.col(f"p{words.index(terms[0])}")
     for place, term in enumerate(terms[1:], start=1):
         starts = F.array_intersect(starts, _shifted(F.col(f"p{words.index(term)}"), place))
-    found = grouped.select("entity_id", "length", F.size(starts).alias("freq")).where(F.col("freq") > 0)
-    stats = content.agg(F.struct(F.count("*").alias("rows"), F.avg("doc_len").alias("average"))).scalar()
-    hits = found.agg(F.count("*")).scalar()
-    scored = found.withColumn("stats", stats).select(
-        "entity_id",
-        (
-            tx.idf(F.col("stats.rows"), hits)
-            * tx.bm25_weight(F.col("freq"), F.col("length"), F.col("stats.average"))
-        ).alias("raw"),
-    )
+    found = stable(grouped.select("entity_id", "length", F.size(starts).alias("freq")).where(F.col("freq") > 0))
+    hits = found.count()
+    weight = tx.bm25_weight(F.col("freq"), F.col("length"), F.lit(float(average)))
+    scored = found.select("entity_id", (tx.idf(F.lit(rows), F.lit(hits)) * weight).alias("raw"))
     return normalised_top(scored, limit, min_score)
 
 
@@ -109,13 +118,13 @@ def sync_fts(content: DataFrame, changed: DataFrame, field: str) -> DataFrame:
 def _scored(entities: DataFrame, field: str, query: str) -> DataFrame:
     """Hits ``(entity_id, raw)`` with BM25 over the live rows of one field."""
     terms = tx.query_tokens(query)
-    folded = content_rows(entities, field).select(
-        "entity_id", tx.folded_tokens_text(F.col("content")).alias("folded")
-    )
-    measured = folded.select(
-        "entity_id",
-        tx.phrase_frequency(F.col("folded"), terms).alias("freq"),
-        tx.token_count(F.col("folded")).alias("length"),
+    content = F.col("content")
+    freq = tx.phrase_frequency(tx.folded_tokens_text(content), terms)
+    # the texts are read once; statistics, best score and hits come from narrow rows
+    measured = stable(
+        content_rows(entities, field).select(
+            "entity_id", F.when(tx.may_hold(content, terms), freq).otherwise(F.lit(0)).alias("freq"), tx.count_tokens(content).alias("length")
+        )
     )
     stats = measured.agg(
         F.struct(

@@ -10,6 +10,7 @@ from ..model import Catalog
 from ..operators import mutate as mu
 from ..operators import search as se
 from ..runtime import scratch_path
+from ..sources import fts
 from .registry import query
 from .scans import is_
 from .tables import SCHEMA, Tables
@@ -77,15 +78,49 @@ def search_term_bm25(t: Tables):
     f"SELECT id AS entity_id, round(score, 8) AS score FROM ({bm25(DOC_TOKS, 'toks', ['de', 'la'])}) x ORDER BY score DESC, id LIMIT 100",
 )
 def search_index_phrase(t: Tables):
-    path = scratch_path(t.spark, "postings")
-    se.write_fts_index(se.build_fts_index(t.role("document_e"), "text"), path)
-    lengths = se.content_rows(t.role("document_e"), "text").select(
-        "entity_id", tx.token_count(tx.folded_tokens_text(F.col("content"))).alias("doc_len")
-    )
-    hits = se.search_index_phrase(t.spark.read.parquet(path), lengths, "de la")
+    """The index is built by the first search of a session and stays; later ones only read it."""
+    hits = fts.search_phrase(t.spark, stored_index(t), "de la")
     return hits.select("entity_id", F.round("score", 8).alias("score"))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(t: Tables) -> str:
+    """The stored index over the documents of a folder, one per session."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _STORED:
+        path = scratch_path(t.spark, "fts")
+        fts.create(t.role("document_e"), "text", path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+UPKEEP = """SELECT id, name FROM (SELECT id, CASE WHEN size <= 10 THEN concat('new ring ', name) ELSE name END AS name,
+    CASE WHEN size BETWEEN 11 AND 15 THEN FALSE WHEN size BETWEEN 16 AND 20 THEN TRUE ELSE is_available END AS live, size FROM part_e) x
+  WHERE live AND name <> ''"""
+
+
+@query(
+    "fts_upkeep",
+    f"""SELECT term, id AS entity_id, to_json(list(pos ORDER BY pos))::VARCHAR AS positions, max(len)::BIGINT AS doc_len FROM (
+      SELECT id, len(toks) AS len, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM (
+        SELECT id, {TOKS.format(col="name")} AS toks FROM ({UPKEEP}) u) y) z GROUP BY term, id
+    UNION ALL SELECT '(rows, tokens)', count(*), NULL, sum(len(toks))::BIGINT FROM (SELECT {TOKS.format(col="name")} AS toks FROM ({UPKEEP}) v) w""",
+)
+def fts_upkeep(t: Tables):
+    """A base, a delta that renames and one that retires and revives: the index as it then stands."""
+    parts = t.role("part_e").select("id", "is_available", "name", "size")
+    path = scratch_path(t.spark, "fts")
+    fts.create(parts, "name", path)
+    fts.add(parts.where("size <= 10").withColumn("name", F.concat(F.lit("new ring "), "name")), "name", path)
+    fts.add(parts.where("size BETWEEN 11 AND 20").withColumn("is_available", F.col("size") > 15), "name", path)
+    rows, tokens = fts.totals(t.spark, path)
+    told = t.spark.createDataFrame([("(rows, tokens)", rows, None, tokens)], "term string, entity_id bigint, positions string, doc_len bigint")
+    current = fts.postings(t.spark, path)
+    return current.select("term", "entity_id", F.to_json("positions").alias("positions"), F.col("doc_len").cast("bigint").alias("doc_len")).unionByName(told)
+
+
 NAME_HITS = bm25(PART_TOKS, "toks", ["ring"])
 
 
