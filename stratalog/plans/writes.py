@@ -10,6 +10,7 @@ from ..operators import lifecycle as lc
 from ..operators import mutate as mu
 from ..operators import temporal as tm
 from ..runtime import scratch_path
+from ..sources import store
 from ..sources.readers import map_fields
 from ..streaming import feed, jobs
 from .registry import query
@@ -490,20 +491,36 @@ def stream_updated_since(t: Tables):
     return feed.read_feed(t.spark.read.parquet(out))
 
 
-@query("stream_upsert", feed_out("error"))
+@query(
+    "stream_upsert",
+    """WITH fed AS (SELECT id, id AS line FROM customer_e UNION ALL SELECT id, id + 1000000000 FROM customer_e WHERE segment = 'BUILDING'),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line % 3) AS nth FROM fed)
+    SELECT 'line' AS kind, CAST(line AS VARCHAR) AS what, CASE WHEN id % 10 = 3 THEN 'created' WHEN nth > 1 THEN 'unchanged'
+      WHEN id % 10 = 1 THEN 'updated' WHEN id % 10 = 2 THEN 'created' ELSE 'unchanged' END AS outcome FROM numbered
+    UNION ALL SELECT 'mapping', concat(CASE WHEN id % 10 = 2 THEN 'NEWK' ELSE 'K' END, CAST(id AS VARCHAR)), NULL FROM customer_e
+    UNION ALL SELECT 'mapping', concat('K', CAST(id AS VARCHAR)), NULL FROM customer_e WHERE id % 10 = 2
+    UNION ALL SELECT 'rows', CAST((SELECT count(*) FROM customer_e) + count(*) FILTER (WHERE id % 10 = 3)
+      + count(DISTINCT id) FILTER (WHERE id % 10 = 2) AS VARCHAR), NULL FROM fed""",
+)
 def stream_upsert(t: Tables):
-    path, out = scratch_path(t.spark, "feed-in"), scratch_path(t.spark, "feed-out")
-    feed = customer_feed(t)
-    feed.coalesce(1).write.parquet(path)
-    records = jobs.read_log_stream(t.spark, path, feed.schema)
-
-    def apply(batch, batch_id):
-        return mu.upsert_by_external_id(
-            batch, "key", "line", t.role("customer_e"), feed_mappings(t), ["name", "segment"]
-        ).select("line", "outcome")
-
-    jobs.stream_upsert(records, apply, out, scratch_path(t.spark, "state")).awaitTermination()
-    return t.spark.read.parquet(out).select("line", "outcome")
+    """Three batches; external ids return in later ones and are created once."""
+    root, path, out, state = (scratch_path(t.spark, name) for name in ("store", "feed-in", "feed-out", "state"))
+    catalog, feed_rows = open_catalog(t), customer_feed(t)
+    maps = feed_mappings(t).select(
+        F.concat(F.lit("m"), "value").alias("id"), "value", F.lit("crm").alias("source_system"), "entity", F.lit(True).alias("is_active")
+    )
+    store.commit(root, {"Customer": mu.WriteSet(entities=catalog.table("Customer"), external_ids=maps)})
+    for number in range(3):
+        feed_rows.where(F.col("line") % 3 == number).write.mode("append").parquet(path)
+        records = jobs.read_log_stream(t.spark, path, feed_rows.schema)
+        stamp = lambda batch: mu.Stamp(f"2025-01-0{batch + 1} 00:00:00", "stream")
+        jobs.stream_upsert(records, root, catalog.schema, "Customer", stamp, "key", "line", out, state).awaitTermination()
+    after = store.load_catalog(t.spark, root, catalog.schema)
+    none = F.lit(None).cast("string").alias("outcome")
+    lines = t.spark.read.parquet(out).select(F.lit("line").alias("kind"), F.col("line").cast("string").alias("what"), "outcome")
+    mapped = after.external_ids.select(F.lit("mapping").alias("kind"), F.col("value").alias("what"), none)
+    rows = after.table("Customer").agg(F.count("*").cast("string").alias("what")).select(F.lit("rows").alias("kind"), "what", none)
+    return lines.unionByName(mapped).unionByName(rows)
 
 
 @query("stream_temporal_summary", SUMMARY_SQL)

@@ -83,9 +83,19 @@ def load_catalog(spark: SparkSession, root: str, schema: Schema) -> Catalog:
     )
 
 
-def commit(root: str, sets: dict[str, WriteSet], write_log: DataFrame | None = None) -> int:
+def stream_mark(spark: SparkSession, root: str, stream: str) -> int:
+    """The last batch of a stream that was committed; -1 before the first."""
+    return _manifest(spark, root)[1].get("streams", {}).get(stream, -1)
+
+
+def commit(
+    root: str, sets: dict[str, WriteSet], write_log: DataFrame | None = None, mark: tuple[str, int] | None = None
+) -> int:
     """Write what a job returned as one commit and publish it; returns its number.
 
+    ``mark`` is a stream's name and the batch this commit holds; it is published with
+    the commit, so :func:`stream_mark` tells whether a replayed batch is there already.
+
     The keys of ``sets`` name entity classes; a set without ``entities`` may have any
     name. Additions go beside the current table, whole tables take its place. Validate
     before calling.
@@ -133,6 +143,8 @@ def commit(root: str, sets: dict[str, WriteSet], write_log: DataFrame | None = N
     if write_log is not None:
         write_log.write.mode("overwrite").parquet(f"{root}/write_log/v={number}")
         current["write_log"] = [*current.get("write_log", []), number]
+    if mark is not None:
+        current["streams"] = {**current.get("streams", {}), mark[0]: mark[1]}
     published = spark.createDataFrame([(json.dumps(current),)], "value string").coalesce(1)
     published.write.mode("overwrite").text(f"{root}/manifest/v={number}")
     return number

@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..model import Schema
+from ..operators.mutate import Stamp, run_loader
 from ..operators.temporal import temporal_summary
+from ..runtime import stable
+from ..sources import store
 from ..sources.sinks import write_batch_once
 
 
@@ -23,18 +27,38 @@ def read_log_stream(spark: SparkSession, path: str, schema: T.StructType, files_
 
 def stream_upsert(
     records: DataFrame,
-    apply_batch: Callable[[DataFrame, int], DataFrame],
+    root: str,
+    schema: Schema,
+    entity_type: str,
+    stamp: Callable[[int], Stamp],
+    key: str,
+    order: str,
     out_path: str,
     checkpoint: str,
+    stream: str = "upsert",
     once: bool = True,
 ) -> StreamingQuery:
-    """Incremental loader: every batch of new records goes through an upsert and
-    its outcome rows are written under the batch id."""
+    """Incremental loader: every batch of new records is upserted into the store at ``root``.
 
-    def emit(batch: DataFrame, batch_id: int) -> None:
-        write_batch_once(apply_batch(batch, batch_id), out_path, batch_id)
+    A batch sees what the batches before it committed, their external ids too, so an id
+    that returns in a later batch finds its entity. Rows, edges, mappings, log and the
+    batch's number are one commit: a replayed batch that was published is not written
+    again. The outcome of every record is written below ``out_path``, a folder per batch.
+    ``stamp`` gives the time and actor of a batch by its number.
+    """
 
-    writer = records.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint)
+    def load(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if store.stream_mark(spark, root, stream) >= batch_id:
+            return
+        catalog = store.load_catalog(spark, root, schema)
+        active = catalog.external_ids.where("is_active").select("value", "entity")
+        out = run_loader(lambda since: batch, catalog, entity_type, stamp(batch_id), key, order, active, source_system=stream)
+        report = stable(out.report)
+        write_batch_once(report, out_path, batch_id)
+        store.commit(root, {entity_type: out}, mark=(stream, batch_id))
+
+    writer = records.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

@@ -365,6 +365,28 @@ def log_rows(spark, days):
     ).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
+def test_stream_upsert_carries_ids_and_replays_nothing(spark, catalog, folder):
+    rows = "key string, line bigint, name string"
+    root, path, out = (f"{folder}/{x}" for x in ("store", "in", "out"))
+    store.commit(root, {"Sample": mu.WriteSet(entities=catalog.table("Sample"), edges=catalog.edges, external_ids=catalog.external_ids)})
+    stamp = lambda n: mu.Stamp(f"2024-08-0{n + 1} 00:00:00", "stream")
+
+    def drive(state):
+        records = jobs.read_log_stream(spark, path, frame(spark, [], rows).schema)
+        jobs.stream_upsert(records, root, SCHEMA, "Sample", stamp, "key", "line", out, f"{folder}/{state}").awaitTermination()
+
+    for batch in ([("N", 1, "new"), ("M", 2, None)], [("N", 3, "newer"), ("M", 4, "m")], [("N", 5, "newer"), ("M", 6, "m2")]):
+        frame(spark, batch, rows).coalesce(1).write.mode("append").parquet(path)
+        drive("state")
+    after = store.load_catalog(spark, root, SCHEMA)
+    assert {r.line: r.outcome for r in spark.read.parquet(out).collect()} == {1: "created", 2: "error", 3: "updated", 4: "created", 5: "unchanged", 6: "updated"}
+    assert sorted(r.name for r in after.table("Sample").collect()) == ["A", "B", "C", "m2", "newer"]
+    assert after.external_ids.where("value in ('N', 'M')").count() == 2 and store.stream_mark(spark, root, "upsert") == 2
+    count = len(store.versions(spark, f"{root}/manifest"))
+    drive("lost")  # a checkpoint that was lost gives the records again as batch 0
+    assert len(store.versions(spark, f"{root}/manifest")) == count and store.load_catalog(spark, root, SCHEMA).log.count() == after.log.count()
+
+
 def test_stream_summary_takes_late_events(spark, folder):
     path = f"{folder}/log"
     log_rows(spark, [(2, "a"), (3, "a")]).coalesce(1).write.parquet(path)
