@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Catalog, QueryError, union_all
@@ -150,6 +150,60 @@ def neighbors(catalog: Catalog, entity_id: Any, depth: int = 1) -> Neighborhood:
     return Neighborhood(nodes, _met(edges, expanded, nodes), ["LINK_TABLE", "COLUMN"])
 
 
+#: Ids of a layer that go into the scan's filter; a larger layer is joined.
+LISTED = 500
+
+
+def write_adjacency(catalog: Catalog, path: str) -> None:
+    """Store the neighbourhood graph for repeated use: every edge under either end, sorted by
+    that end, and the live ids with their class, sorted by id.
+
+    Ranges run over both ends of an edge, so a hub fills several files instead of one task.
+    """
+    edges = _distinct_edges(all_edges(catalog))
+    ahead = edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("other"), F.lit(True).alias("ahead"), "relationship_type", "edge_source")
+    back = edges.where("source_id <> target_id").select(
+        F.col("target_id").alias("node"), F.col("source_id").alias("other"), F.lit(False).alias("ahead"), "relationship_type", "edge_source"
+    )
+    both = ahead.unionByName(back)
+    both.repartitionByRange("node", "other").sortWithinPartitions("node", "other").write.mode("overwrite").parquet(f"{path}/edges")
+    live = union_all([catalog.live(n).select("id", F.lit(n).alias("entity_type")) for n in catalog.tables])
+    live.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/nodes")
+
+
+def _of(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose key is among ``ids(id)``: few ids prune the sorted files, many are joined."""
+    few = ids.limit(LISTED + 1).collect()
+    if len(few) <= LISTED:
+        return table.where(F.col(key).isin([r.id for r in few]))
+    return table.join(ids.select(F.col("id").alias(key)), key, "left_semi")
+
+
+def neighbors_stored(spark: SparkSession, path: str, entity_id: Any, depth: int = 1) -> Neighborhood:
+    """:func:`neighbors` on a stored adjacency: a layer reads the files of its nodes only."""
+    edges, live = spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/nodes")
+    if live.where(F.col("id") == F.lit(entity_id)).isEmpty():
+        raise QueryError(f"{entity_id!r} not found")
+    seen = frontier = spark.createDataFrame([(entity_id,)], f"id {live.schema['id'].dataType.simpleString()}")
+    met = []
+    for _ in range(_checked_depth(depth)):
+        met.append(stable(_of(edges, "node", frontier)))
+        around = met[-1].select(F.col("other").alias("id")).distinct()
+        frontier = stable(around.join(seen, "id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = stable(seen.unionByName(frontier))
+    nodes = stable(_of(live, "id", seen))
+    end = lambda first, second: F.when(F.col("ahead"), F.col(first)).otherwise(F.col(second))
+    rows = union_all(met).select(
+        end("node", "other").alias("source_id"), end("other", "node").alias("target_id"), "relationship_type", "edge_source"
+    ).distinct()
+    for side in ("source_id", "target_id"):
+        rows = rows.join(nodes.select(F.col("id").alias(side)), side, "left_semi")
+    columns = ["source_id", "target_id", "relationship_type", "edge_source"]
+    return Neighborhood(nodes, rows.select(*columns), ["LINK_TABLE", "COLUMN"])
+
+
 def node_rows(catalog: Catalog, found: Neighborhood, entity_type: str) -> DataFrame:
     """The neighbourhood's entities of a class, with their data and temporal fields."""
     ids = found.nodes.where(F.col("entity_type") == entity_type).select("id")

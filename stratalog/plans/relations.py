@@ -8,6 +8,7 @@ from ..operators import external as ext
 from ..operators import graph, links
 from ..operators import read as rd
 from ..operators import temporal as tm
+from ..runtime import scratch_path
 from .registry import query
 from .scans import _order_temporal, is_
 from .tables import Tables
@@ -218,7 +219,20 @@ START, REGION = "Order/1", "Region/1"
       AND s IN (SELECT id FROM nodes) AND t IN (SELECT id FROM nodes)""",
 )
 def neighbors(t: Tables):
-    return graph.neighbors(t.global_catalog, START, depth=2).edges
+    """On the adjacency that the first call of a session stores."""
+    return graph.neighbors_stored(t.spark, adjacency(t), START, depth=2).edges
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def adjacency(t: Tables) -> str:
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _STORED:
+        path = scratch_path(t.spark, "adjacency")
+        graph.write_adjacency(t.global_catalog, path)
+        _STORED[key] = path
+    return _STORED[key]
 
 
 @query(
@@ -231,7 +245,7 @@ def neighbors(t: Tables):
 )
 def neighbors_deep(t: Tables):
     """Thousands of nodes: nations, customers, suppliers and their orders."""
-    return graph.neighbors(t.global_catalog, REGION, depth=3).nodes
+    return graph.neighbors_stored(t.spark, adjacency(t), REGION, depth=3).nodes
 
 
 @query(

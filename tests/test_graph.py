@@ -146,7 +146,7 @@ def brute_neighbors(edges, live, start, depth):
 
 
 @pytest.mark.parametrize("seed, depth", [(1, 1), (2, 2), (3, 3), (4, 9)])
-def test_neighbors_match_search(spark, seed, depth):
+def test_neighbors_match_search(spark, folder, monkeypatch, seed, depth):
     rng = random.Random(seed)
     names = [f"n{i:02d}" for i in range(20)]
     parents = {n: rng.choice(names) if rng.random() < 0.5 else None for n in names}
@@ -162,8 +162,14 @@ def test_neighbors_match_search(spark, seed, depth):
     found = graph.neighbors(Catalog(schema, {"Node": table}, edges=edges), "n00", depth)
     all_edges = links_ | {(n, p, "parent") for n, p in parents.items() if p and n in live}
     nodes, kept = brute_neighbors(all_edges, live, "n00", depth)
-    assert {r.id for r in found.nodes.collect()} == nodes
-    assert {(r.source_id, r.target_id, r.relationship_type) for r in found.edges.collect()} == kept
+    graph.write_adjacency(Catalog(schema, {"Node": table}, edges=edges), folder)
+    monkeypatch.setattr(graph, "LISTED", 3)  # larger layers are joined
+    for answer in (found, graph.neighbors_stored(spark, folder, "n00", depth)):
+        assert {r.id for r in answer.nodes.collect()} == nodes
+        rows = [(r.source_id, r.target_id, r.relationship_type) for r in answer.edges.collect()]
+        assert set(rows) == kept and len(rows) == len(kept)
+    with pytest.raises(QueryError):
+        graph.neighbors_stored(spark, folder, "zzz")
     with pytest.raises(QueryError):
         graph.neighbors(Catalog(schema, {"Node": table}, edges=edges), "zzz", 1)
 
