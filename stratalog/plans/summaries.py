@@ -9,6 +9,9 @@ from ..operators import lifecycle as lc
 from ..operators import mutate as mu
 from ..operators import read as rd
 from ..operators import temporal as tm
+from ..operators import snapshots as sn
+from ..runtime import scratch_path
+from ..sources.sinks import append_provenance
 from .registry import query
 from .relations import NOW, STATE_AT
 from .scans import _order_temporal, is_
@@ -302,6 +305,19 @@ def state_at(t: Tables):
     )
 
 
+@query("state_at_stored", f"SELECT entity_id, k, n_state AS version FROM ({STATE_AT.format(at=NOW)}) s")
+def state_at_stored(t: Tables):
+    """By way of two snapshots of a log kept by days; the second takes the first forward."""
+    path = scratch_path(t.spark, "dated-log")
+    append_provenance(t.log, f"{path}/log")
+    log = t.spark.read.parquet(f"{path}/log")
+    for at in ("2024-01-08 00:00:00", "2024-01-16 12:00:00"):
+        sn.write_snapshot(log, at, f"{path}/snapshots")
+    return sn.state_at_stored(log, AT, f"{path}/snapshots").select(
+        "entity_id", F.get_json_object("state", "$.k").cast("bigint").alias("k"), "version"
+    )
+
+
 @query(
     "query_as_of",
     f"""SELECT entity_id AS id, k, concat('s', CAST(k % 5 AS VARCHAR)) AS status, n_state AS version

@@ -75,3 +75,25 @@ def test_newest_edge_event_of_null_keys_and_ties(spark, kind):
     got = {(r.source_id, r.target_id): (r.id, r.operation) for r in tm.latest_edge_event(log).collect()}
     assert got == {("a", "b"): ("r2", "relationship_remove"), ("a", None): ("r4", "relationship_remove"), ("c", "d"): ("r0", "relationship_add")}
     assert [r.id for r in tm.live_edges_at(log).collect()] == ["r0"]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_states_from_snapshots(spark, folder, kind):
+    from stratalog.operators import snapshots as sn
+    from stratalog.sources.sinks import append_provenance
+
+    draw = random.Random(8)
+    rows = [(r[0], *r[1:5], r[5] + dt.timedelta(days=draw.randrange(60), seconds=draw.randrange(9)), *r[6:]) for r in events(kind) if r[5].year == 2024]
+    append_provenance(spark.createDataFrame(rows, SHAPE.format(kind=kind)), f"{folder}/log")
+    log = spark.read.parquet(f"{folder}/log")
+    full = lambda at, c: sorted(map(tuple, tm.state_at(log, at, c).collect()), key=repr)
+    stored = lambda at, c: sorted(map(tuple, sn.state_at_stored(log, at, f"{folder}/snaps", c).collect()), key=repr)
+    assert stored("2024-02-01 00:00:00", False) == full("2024-02-01 00:00:00", False)  # no snapshot yet
+    for at in ("2024-01-20 00:00:00", "2024-02-15 12:30:00.5"):
+        sn.write_snapshot(log, at, f"{folder}/snaps")
+    assert len(sn.snapshot_times(spark, f"{folder}/snaps")) == 2
+    for at in ("2024-01-05 00:00:00", "2024-01-20 00:00:00", "2024-02-01 00:00:00", "2024-02-15 12:30:00.5", "2024-03-10 00:00:00", "2030-01-01 00:00:00"):
+        for create in (False, True):
+            assert stored(at, create) == full(at, create), at
+    plan = sn.state_at_stored(log, "2024-03-01 00:00:00", f"{folder}/snaps")._jdf.queryExecution().executedPlan().toString()
+    assert "event_date" in plan and ">= 2024-02-15" in plan  # only the days after the snapshot
