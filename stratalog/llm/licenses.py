@@ -80,10 +80,29 @@ NOTICES = (
         "this source code form is subject to the terms of the mozilla public license v 2 0",
         "mozilla public license v 2",
     ),
+    Template("agpl-3", "under the terms of the gnu affero general public license", "gnu affero general public license"),
+    Template("bsl-1", "distributed under the boost software license version 1 0", "boost software license version 1"),
+    Template("epl-2", "made available under the terms of the eclipse public license 2 0", "eclipse public license 2"),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "permission to use copy modify",
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable "
+        "for any damages arising from the use of this software",
+        "in no event will the authors be held liable",
+    ),
+    Template(
+        "cc0",
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        "waived all copyright and related or neighboring rights",
+    ),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "into the public domain"),
 )
 
-#: Words of a template looked up in a file, rarest first; share of a template's weight that must agree.
+#: Words of a template looked up in a file, rarest first, beside one of its mandatory phrase; share of a template's weight that must agree.
 PROBES, ENOUGH = 3, 0.8
 _LEFT = 1 << 32
 
@@ -124,13 +143,13 @@ def scan_licenses(
     """Licence places of every row: (doc_id, n_words, places, score).
 
     ``places`` is an array of (template number, start word, share, found). The
-    rarest words of every template, by their document frequency over all rows, form
-    an index word -> (template, offset). A file's occurrences of these words give
+    rarest words of every template, by their document frequency over all rows, and the
+    rarest of its mandatory phrase form an index word -> (template, offset). That phrase
+    must stand word for word, so no place is missed, whatever else was edited. A file's occurrences of these words give
     candidate starts (position less offset); the template's other words are then
     looked up at their relative positions and weighted by rarity. A place is found
     if the mandatory phrase stands in it word for word and the share reaches
-    ``enough`` (1 for exact templates: any probe leads to a full agreement, so no
-    place is missed). ``score`` is the best share among places with the mandatory
+    ``enough`` (1 for exact templates). ``score`` is the best share among places with the mandatory
     phrase, 0 without one.
 
     The scan is one narrow pass: nothing is shuffled, a row with very many places
@@ -143,8 +162,9 @@ def scan_licenses(
     weights = word_weights(words, templates)
     index: dict[str, list[tuple[int, int]]] = {}
     for number, t in enumerate(templates):
-        rare = sorted(range(len(t.words)), key=lambda i: (-weights[t.words[i]], i))[:probes]
-        for offset in rare:
+        rare = sorted(range(len(t.words)), key=lambda i: (-weights[t.words[i]], i))
+        vital = next(i for i in rare if t.key_span[0] <= i < t.key_span[1])
+        for offset in dict.fromkeys([*rare[:probes], vital]):
             index.setdefault(t.words[offset], []).append((number, offset))
     anchors = _array(sorted(index), "string")
     # template * 2^32 - offset: adding a position gives a candidate as one number
@@ -210,7 +230,8 @@ def license_report(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOT
     """One row per document: counts and ends of the base places, labels, score."""
     labels = _array([t.label for t in templates], "string")
     base = len([t for t in templates if t.exact])
-    assert all(t.exact for t in templates[:base]), "exact templates come first"
+    if not all(t.exact for t in templates[:base]):
+        raise ValueError("exact templates come first")
 
     def joined(places: Column) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: F.get(labels, p["template"])))), ",")

@@ -40,10 +40,11 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages written to an archive and read back."""
+    """Pages stored by digest, written to WARC files from there and read back."""
     path = scratch_path(spark, "archive")
     archive.write_archive(table(spark, folder, "pages"), path)
-    return archive.page_report(spark, path)
+    archive.write_warc(spark, path, f"{path}/warc")
+    return archive.page_report(spark, f"{path}/warc")
 
 
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:

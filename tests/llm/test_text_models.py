@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stratalog.llm import licenses, quality, toxicity
@@ -53,6 +54,45 @@ def test_licence_places_labels_and_scores(spark):
     assert licenses.license_report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_edited_notices_are_found_wherever_their_phrase_stands(spark):
+    draw = np.random.default_rng(5)
+    templates = licenses.BASE + licenses.NOTICES
+    rows = [(0, "the of a license " * 50)]
+    for n, t in enumerate(licenses.NOTICES):
+        low, high = t.key_span
+        for edits in (0, 1, 3, 5):
+            words = list(t.words)
+            free = [i for i in range(len(words)) if not low <= i < high]
+            # the rarest words are the long ones here: an edit takes them first
+            for i in sorted(free, key=lambda i: -len(words[i]))[:edits]:
+                words[i] = "edited"
+            around = list(draw.choice(["the", "of", "license", "software", "under", "permission"], 6))
+            rows.append((10 * n + edits, " ".join([*around[:3], *words, *around[3:]])))
+    docs = spark.createDataFrame([(i, t, "", 0.0) for i, t in rows], DOCS)
+    weights = licenses.word_weights(docs.select(licenses.license_words(F.col("text")).alias("words")), templates)
+    want = {}
+    for i, text in rows:
+        words, best, labels = words_of(text), 0.0, set()
+        for t in templates:
+            low, high = t.key_span
+            for start in range(-len(t.words), len(words)):
+                same = [0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(t.words)]
+                share = sum(weights[w] for w, s in zip(t.words, same) if s) / sum(weights[w] for w in t.words)
+                share = 1.0 if all(same) else share
+                if all(same[low:high]):
+                    best = max(best, share)
+                if all(same) or (not t.exact and all(same[low:high]) and share >= licenses.ENOUGH):
+                    labels.add(t.label)
+        want.setdefault(i, []).append((",".join(sorted(labels)), round(best, 9)))
+    got = {}
+    for r in licenses.license_report(docs).collect():
+        got.setdefault(r["doc_id"], []).append((r["labels"], round(r["score"], 9)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert sum(x[0] != "" for v in got.values() for x in v) > 2 * len(licenses.NOTICES)
+    with pytest.raises(ValueError):
+        licenses.license_report(docs, licenses.NOTICES[:1] + licenses.BASE)
+
+
 def test_licence_plan_is_narrow_and_native(spark):
     docs = spark.createDataFrame([(1, "mit", "", 0.0)], DOCS)
     plan = licenses.license_report(docs)._jdf.queryExecution().toString()

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import re
 from collections import Counter
 
@@ -133,7 +134,8 @@ def test_archive_round_trip(spark, folder):
         bearer = None if first[body] == 2**63 else first[body]
         revisit = i != bearer
         want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if revisit else "response", bearer if revisit else None, True))
-    got = [tuple(r) for r in archive.page_report(spark, path).collect()]
+    archive.write_warc(spark, path, f"{folder}/warc", file_bytes=1000)
+    got = [tuple(r) for r in archive.page_report(spark, f"{folder}/warc").collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
     stored = spark.read.parquet(f"{path}/payloads")
     assert stored.count() == len(first) and stored.select("sha256").distinct().count() == len(first)
@@ -148,7 +150,6 @@ def test_archive_round_trip(spark, folder):
     for i, _, html, *_ in rows:
         assert (html or "").encode() in records[i]
 
-    archive.write_warc(spark, path, f"{folder}/warc", files=2)
     back = archive.read_warc(spark, f"{folder}/warc").collect()
     again = archive.restore_records(spark, path).collect()
     assert sorted((r["header"], bytes(r["payload"])) for r in back) == sorted((r["header"], bytes(r["payload"])) for r in again)
@@ -156,11 +157,33 @@ def test_archive_round_trip(spark, folder):
 
 def test_archive_of_nothing_and_small_payloads(spark, folder):
     archive.write_archive(spark.createDataFrame([], PAGES), f"{folder}/none")
-    assert archive.page_report(spark, f"{folder}/none").count() == 0
+    archive.write_warc(spark, f"{folder}/none", f"{folder}/none-warc")
+    assert archive.page_report(spark, f"{folder}/none-warc").count() == 0
     pages = spark.createDataFrame([(1, "u", "ab", "", ""), (2, "u", "ab", "", ""), (3, "u", "abcdef", "", ""), (4, "u", "abcdef", "", "")], PAGES)
     archive.write_archive(pages, f"{folder}/least", least=5)
-    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in archive.page_report(spark, f"{folder}/least").collect()}
-    assert got == {1: ("response", None), 2: ("response", None), 3: ("response", None), 4: ("revisit", 3)}
+    archive.write_warc(spark, f"{folder}/least", f"{folder}/least-warc")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["verified"]) for r in archive.page_report(spark, f"{folder}/least-warc").collect()}
+    assert got == {1: ("response", None, True), 2: ("response", None, True), 3: ("response", None, True), 4: ("revisit", 3, True)}
+
+
+def test_warc_files_tell_what_is_in_them(spark, folder):
+    pages = spark.createDataFrame([(1, "u\r\nv", "abc", "", ""), (2, "u", "abc", "", ""), (3, None, "de", "", "")], PAGES)
+    archive.write_archive(pages, f"{folder}/told")
+    archive.write_warc(spark, f"{folder}/told", f"{folder}/told-warc")
+    rows = archive.read_warc(spark, f"{folder}/told-warc").collect()
+    assert any("WARC-Target-URI: u%0D%0Av\r\n" in r["header"] for r in rows)
+    # files of other hands, not compressed: a payload that is not what its header says, a lost response
+    text = "".join(r["header"] + bytes(r["payload"]).decode().replace("de", "dE") + "\r\n\r\n" for r in rows if "page:1>\r\nWARC-Date" not in r["header"])
+    os.mkdir(f"{folder}/other-warc")
+    with open(f"{folder}/other-warc/part-1.warc", "w", newline="") as out:
+        out.write(text)
+    got = {r["page_id"]: r for r in archive.page_report(spark, f"{folder}/other-warc").collect()}
+    assert set(got) == {2, 3} and not any(r["verified"] for r in got.values())
+    assert got[3]["payload_digest"] == archive.digest_of(b"dE")
+    with open(f"{folder}/other-warc/part-2.warc", "w", newline="") as out:
+        out.write(text[:-6])
+    with pytest.raises(Exception, match="cut off"):
+        archive.read_warc(spark, f"{folder}/other-warc").count()
 
 
 VECTORS = "vec_id long, embedding array<float>, part int, v string"
