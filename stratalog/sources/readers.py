@@ -10,6 +10,7 @@ import datetime as dt
 import re
 from typing import Any, Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,11 @@ from pyspark.sql import types as T
 from ..functions.scalars import iso_to_utc
 from ..model import QueryError, Schema
 from ..operators.read import dispatch_by_type
+from . import ranges
+from .ranges import array_elements, csv_texts
+
+# its Python passes then need no package on the executors
+cloudpickle.register_pickle_by_value(ranges)
 
 CORRUPT = "_corrupt_record"
 
@@ -32,20 +38,20 @@ def read_csv_records(
     Each file may start with a header of its own, which alone is dropped; quoted
     values may hold line breaks. Records with too many or too few fields go to
     ``errors`` with their text. Only the header comes to the driver, for the column
-    names. With ``multi_line`` a file is read by one task; without it files split,
-    and a line break ends a record.
+    names. Files split in either case: with ``multi_line`` records are cut in a second
+    pass (:mod:`.ranges`); without it one pass is enough, and a line break ends a record.
     """
-    source = spark.read.option("multiLine", multi_line).option("header", header)
+    source = spark.read.option("header", header)
     if columns is None:
         columns = source.csv(path).columns
     fields = ", ".join(f"`{c}` STRING" for c in [*columns, CORRUPT])
-    parsed = (
-        source.schema(fields)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("columnPruning", False)
-        .csv(path)
-    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    if multi_line:
+        told = csv_texts(spark, path, header).select("record", F.from_csv("record", fields, options).alias("r"))
+        good = told.where(F.col(f"r.{CORRUPT}").isNull()).select(*[F.col(f"r.`{c}`") for c in columns])
+        bad = told.where(F.col(f"r.{CORRUPT}").isNotNull())
+        return good, bad.select("record", F.lit("malformed row").alias("error"))
+    parsed = source.schema(fields).options(**options).option("columnPruning", False).csv(path)
     # Spark refuses a scan of the broken records alone, so each plan reads a value as well.
     read = F.length(F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))) >= 0 if columns else F.lit(True)
     good = parsed.where(F.col(CORRUPT).isNull() & read).select(*[F.col(f"`{c}`") for c in columns])
@@ -121,9 +127,13 @@ def read_json_array(
 ) -> tuple[DataFrame, DataFrame]:
     """Documents that each hold a JSON array of objects. Returns (records, errors).
 
-    A document is a file, or a line when ``whole_files`` is off. Elements that are not objects become errors; any other top level raises.
+    A document is a file, which is divided among tasks (:mod:`.ranges`), or a line when
+    ``whole_files`` is off. Elements that are not objects become errors; any other top
+    level raises. ``position`` counts within a document.
     """
-    docs = spark.read.option("wholetext", whole_files).text(path)
+    if whole_files:
+        return _objects(array_elements(spark, path).select("position", "line"), schema)
+    docs = spark.read.text(path)
     # An empty folder has nothing to refuse; a scalar or object top level does.
     other = docs.where(~F.startswith(F.ltrim("value"), F.lit("["))).head(1)
     if other:
