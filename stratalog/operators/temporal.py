@@ -87,7 +87,7 @@ def temporal_summary(log: DataFrame, as_of: Any = None) -> DataFrame:
         F.when(created, code).alias("first"), F.when(kept, code).alias("last"), "actor_id", "schema_version",
     )
     times = [F.min("first_at").alias("created_at"), F.max("last_at").alias("updated_at")]
-    if has_whole_ids(log):
+    if has_whole_ids(log) and not log.isStreaming:
         narrow = events.withColumns({"actor": digest_of("actor_id"), "version": digest_of("schema_version")})
         out = narrow.groupBy("entity_id").agg(
             *times, F.max_by("version", "last").alias("_version"),
@@ -96,7 +96,8 @@ def temporal_summary(log: DataFrame, as_of: Any = None) -> DataFrame:
         actors = dictionary(events, "actor_id")
         out = spell_out(out, dictionary(events, "schema_version"), "_version", "schema_version")
         out = spell_out(spell_out(out, actors, "_made", "created_by"), actors, "_changed", "updated_by")
-    else:  # text ids: a task sorts the narrow rows it combines, and one row per entity leaves it
+    else:  # text ids, and streams, whose updates no second stream can spell out: a task sorts
+        # the narrow rows it combines, and one row per entity leaves it
         first = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "id", "actor_id")))
         last = F.max(F.when(F.col("last").isNotNull(), F.struct("last", "id", "actor_id", "schema_version")))
         out = events.groupBy("entity_id").agg(*times, first.alias("_first"), last.alias("_last"))

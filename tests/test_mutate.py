@@ -402,3 +402,16 @@ def test_stream_summary_takes_late_events(spark, folder):
 def test_type_conflict(spark):
     registry = frame(spark, [("a", "T"), ("a", "U"), ("b", "T"), ("b", "T")], "id string, entity_type string")
     assert [r.id for r in va.check_type_conflict(registry).collect()] == ["a"]
+
+
+def test_stream_summary_of_whole_number_ids(spark, folder):
+    """One time, two events: the larger id is the newer one, whichever batch brings it."""
+    path = f"{folder}/log"
+    rows = log_rows(spark, [(2, "a"), (2, "a")]).withColumns({"actor_id": F.lit("amy"), "schema_version": F.lit("v1")})
+    newer, older = (rows.limit(1).withColumns({"id": F.lit(n).cast("long"), "actor_id": F.lit(who)}) for n, who in ((10, "bob"), (9, "amy")))
+    newer.coalesce(1).write.parquet(path)
+    older.coalesce(1).write.mode("append").parquet(path)
+    events = jobs.read_log_stream(spark, path, newer.schema, files_per_batch=1)
+    jobs.run_to_table(jobs.stream_temporal_summary(events), f"{folder}/out", f"{folder}/state")
+    row = jobs.latest_of(spark.read.parquet(f"{folder}/out"), ["entity_id"]).first()
+    assert (row.updated_by, row.schema_version) == ("bob", "v1")
