@@ -132,17 +132,19 @@ def _met(edges: DataFrame, expanded: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def neighbors(catalog: Catalog, entity_id: Any, depth: int = 1) -> Neighborhood:
+def neighbors(catalog: Catalog, entity_id: Any, depth: int = 1, must_live: bool = True) -> Neighborhood:
     """Undirected neighbourhood over link and foreign-key edges, whole.
 
     Ids must be unique across the catalog's classes. The edges of all stores are
     written once; each layer is a semi join with them and an anti join with what
-    was seen. Edges are those met while expanding, both ends live.
+    was seen. Edges are those met while expanding, both ends live. A start that is
+    not live raises; without ``must_live`` the walk leaves it by the edges it still
+    has, and gives the live nodes around it.
     """
     live_ids = union_all(
         [catalog.live(n).select("id", F.lit(n).alias("entity_type")) for n in catalog.tables]
     )
-    if live_ids.where(F.col("id") == F.lit(entity_id)).isEmpty():
+    if must_live and live_ids.where(F.col("id") == F.lit(entity_id)).isEmpty():
         raise QueryError(f"{entity_id!r} not found")
     edges = stable(_distinct_edges(all_edges(catalog)))
     expanded, seen = _layers(edges, entity_id, depth)
@@ -179,10 +181,12 @@ def _of(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return table.join(ids.select(F.col("id").alias(key)), key, "left_semi")
 
 
-def neighbors_stored(spark: SparkSession, path: str, entity_id: Any, depth: int = 1) -> Neighborhood:
+def neighbors_stored(
+    spark: SparkSession, path: str, entity_id: Any, depth: int = 1, must_live: bool = True
+) -> Neighborhood:
     """:func:`neighbors` on a stored adjacency: a layer reads the files of its nodes only."""
     edges, live = spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/nodes")
-    if live.where(F.col("id") == F.lit(entity_id)).isEmpty():
+    if must_live and live.where(F.col("id") == F.lit(entity_id)).isEmpty():
         raise QueryError(f"{entity_id!r} not found")
     seen = frontier = spark.createDataFrame([(entity_id,)], f"id {live.schema['id'].dataType.simpleString()}")
     met = []

@@ -174,6 +174,19 @@ def test_neighbors_match_search(spark, folder, monkeypatch, seed, depth):
         graph.neighbors(Catalog(schema, {"Node": table}, edges=edges), "zzz", 1)
 
 
+def test_neighbors_of_a_start_that_is_not_live(spark, folder):
+    schema = Schema((EntityType("Node", (Slot("parent", reference="Node"),)),))
+    rows = [("a", False, None, "b"), ("b", True, None, "c"), ("c", True, None, None), ("d", True, None, None)]
+    table = spark.createDataFrame(rows, "id string, is_available boolean, superseded_by string, parent string")
+    edges = spark.createDataFrame([("1", "a", "b", "x", None, None, None, True), ("2", "d", "a", "x", None, None, None, True)], EDGE)
+    catalog = Catalog(schema, {"Node": table}, edges=edges)
+    graph.write_adjacency(catalog, folder)
+    for start, nodes, kept in (("a", {"b", "c", "d"}, {("b", "c")}), ("zzz", set(), set())):
+        for found in (graph.neighbors(catalog, start, 2, must_live=False), graph.neighbors_stored(spark, folder, start, 2, must_live=False)):
+            assert {r.id for r in found.nodes.collect()} == nodes
+            assert {(r.source_id, r.target_id) for r in found.edges.collect()} == kept
+
+
 def test_chain_stops_at_cycles(spark):
     rows = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("e", None), ("f", "f")]
     df = spark.createDataFrame(rows, "id string, superseded_by string")
