@@ -180,13 +180,14 @@ def read_stanzas(t: Tables):
     """SELECT url AS path, sha256(html) AS actual, page_id % 7 <> 0 AS matches FROM pages""",
 )
 def verify_file_digest(t: Tables):
+    """Pages share urls, so a page is known by its number beside its path."""
     pages = t.raw("pages")
-    files = pages.select(F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    files = pages.select("page_id", F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content"))
     good = F.sha2(F.encode("html", "UTF-8"), 256)
     manifest = pages.select(
-        F.col("url").alias("path"), F.when(F.col("page_id") % 7 != 0, good).otherwise("stale").alias("sha256")
+        "page_id", F.col("url").alias("path"), F.when(F.col("page_id") % 7 != 0, good).otherwise("stale").alias("sha256")
     )
-    return src.verify_file_digest(files, manifest).select("path", "actual", "matches")
+    return src.verify_file_digest(files, manifest, ("page_id", "path")).select("path", "actual", "matches")
 
 
 @query("append_provenance", "SELECT operation, entity_id, count(*) AS n FROM log_e GROUP BY operation, entity_id")

@@ -267,15 +267,16 @@ def read_stanzas(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def verify_file_digest(files: DataFrame, manifest: DataFrame) -> DataFrame:
+def verify_file_digest(files: DataFrame, manifest: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Compare ``files(path, content)`` with ``manifest(path, sha256)``.
 
     ``files`` comes from ``spark.read.format("binaryFile")``. Files the manifest
-    misses and manifest entries without file fail as well.
+    misses and manifest entries without file fail as well. Content fetched more than
+    once from a path is told apart by further ``keys`` of both sides, ``path`` among them.
     """
-    found = files.select("path", F.sha2("content", 256).alias("actual"))
-    return found.join(manifest, "path", "full_outer").select(
-        "path", "actual", F.col("sha256").alias("expected"),
+    found = files.select(*keys, F.sha2("content", 256).alias("actual"))
+    return found.join(manifest, list(keys), "full_outer").select(
+        *keys, "actual", F.col("sha256").alias("expected"),
         F.coalesce(F.lower("sha256") == F.col("actual"), F.lit(False)).alias("matches"),
     )
 

@@ -112,6 +112,13 @@ def test_digests(spark, folder):
         src.require_digests(files, missing)
 
 
+def test_digests_of_one_path_fetched_twice(spark):
+    files = spark.createDataFrame([(1, "u", b"hello"), (2, "u", b"bye")], "page_id int, path string, content binary")
+    manifest = spark.createDataFrame([(1, "u", hashlib.sha256(b"hello").hexdigest()), (2, "u", "stale")], "page_id int, path string, sha256 string")
+    got = src.verify_file_digest(files, manifest, ("page_id", "path")).collect()
+    assert sorted((r.page_id, r.matches) for r in got) == [(1, True), (2, False)]
+
+
 SCHEMA = Schema(
     (
         EntityType("Publication", (Slot("title"), Slot("year", "integer"), Slot("kind")), designator="kind"),
