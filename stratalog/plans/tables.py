@@ -10,7 +10,7 @@ import re
 from collections.abc import Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Catalog, EntityType, Schema, Slot
@@ -365,3 +365,9 @@ class Tables:
 ORDER_LOG_SQL = """(SELECT o_orderkey * 100 AS id, o_orderkey AS entity_id,
   'create' AS operation, o_orderdate AS timestamp FROM orders
   UNION ALL SELECT l_orderkey * 100 + l_linenumber, l_orderkey, 'update', l_shipdate FROM lineitem)"""
+
+
+def told_id() -> Column:
+    """The number under which the SQL lists a new part: its model's key + 1000000, which may be
+    the key of another part once there are more than a million."""
+    return F.when(F.col("id") < 0, 999_999 - F.col("id")).otherwise(F.col("id"))

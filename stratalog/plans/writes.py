@@ -14,15 +14,16 @@ from ..sources import store
 from ..sources.readers import map_fields
 from ..streaming import feed, jobs
 from .registry import query
-from .tables import Tables
+from .tables import Tables, told_id
 
 STAMP = mu.Stamp("2025-01-01 00:00:00", "tester", schema_version="v9")
 
 
 def part_batch(t: Tables):
-    """The big parts changed, and as many new ones."""
+    """The big parts changed, and as many new ones. Keys are not negative, so ids of new parts
+    below zero are free however many parts there are; see :func:`.tables.told_id`."""
     changed = t.role("part_e").where("size > 25").select("id", F.upper("name").alias("name"), "brand", "type", "size", "price")
-    return changed.unionByName(changed.withColumn("id", F.col("id") + 1_000_000))
+    return changed.unionByName(changed.withColumn("id", -1 - F.col("id")))
 
 
 PUT_ROWS = """SELECT id, upper(name) AS name, is_available, 'update' AS operation FROM part_e WHERE size > 25
@@ -34,7 +35,7 @@ PUT_ROWS = """SELECT id, upper(name) AS name, is_available, 'update' AS operatio
 def put(t: Tables):
     out = mu.put(t.catalog, "Part", part_batch(t), STAMP)
     events = out.log.select(F.col("entity_id").alias("id"), "operation")
-    return out.entities.select("id", "name", "is_available").join(events, "id", "left")
+    return out.entities.select("id", "name", "is_available").join(events, "id", "left").withColumn("id", told_id())
 
 
 @query(
