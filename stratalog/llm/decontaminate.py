@@ -86,6 +86,34 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def _starts(at: Column, length: Column, need: Column, lowest: Column, highest: Column) -> Column:
+    """Starts from lowest to highest of windows of ``length`` that hold ``need`` of the sorted places ``at``.
+
+    A start belongs to the first place it does not lie behind, so the ranges do not overlap.
+    """
+
+    def around(i: Column) -> Column:
+        first = F.greatest(lowest, F.get(at, i + need - 1) - length + 1, F.get(at, i - 1) + 1)
+        last = F.least(highest, F.get(at, i))
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    ranges = F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - need), around))
+    return F.when(F.size(at) >= need, ranges).otherwise(F.array().cast("array<int>"))
+
+
+def window_starts(length: Column, similarity: float) -> Column:
+    """Starts of all windows that can be alike enough, from the places ``at`` of shared shingles.
+
+    Of two sets of m and k shingles with c common ones, c / (m + k - c) >= s needs
+    c >= s (m + k) / (1 + s); a window that the text's end cuts has k < m, but k >= c, so c >= s m.
+    """
+    least = lambda share: F.greatest(F.lit(1), F.ceil(length * F.lit(share) - F.lit(1e-9)).cast("int"))
+    whole = F.col("n_grams") - length
+    full = _starts(F.col("at"), length, least(2 * similarity / (1 + similarity)), F.lit(0), whole)
+    cut = _starts(F.col("at"), length, least(similarity), F.greatest(F.lit(0), whole + 1), F.col("n_grams") - 1)
+    return F.concat(full, cut)
+
+
 def benchmark_items(benchmark: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """(item_id, n_words, size, grams, fingerprint) of every item that has words.
 
@@ -108,14 +136,15 @@ def contaminated(
 
     One row per document and item with a window of the item's number of words that
     is at least ``similarity`` alike by weighted shingles; the best window counts,
-    the first of equals. A window of that likeness shares shingles with its item,
-    so windows are laid only where a text's shingle occurs in some item, at the
-    offset it has there. Their SimHash fingerprints meet those of all items of the
+    the first of equals. Every start of every text counts: a window of that likeness
+    holds a least number of shingles of its item, and the windows that hold as many
+    shingles of items of their length, at whatever offsets, are all laid
+    (:func:`window_starts`). Their SimHash fingerprints meet those of all items of the
     same length in radius + 1 blocks, which finds all within the radius; exact
     similarity decides.
 
-    Texts are read once and not shuffled: what leaves a task are windows at shared
-    shingles, told apart before the shuffle.
+    Places of shared shingles leave the tasks first, numbers only; texts with such a
+    window are then read again and alone are joined with their starts.
 
     * Null or empty text or item: no windows. Null ids: reported with a null id.
     * Repeated ids: texts are told apart by ``text_key``, a hash of the text;
@@ -125,22 +154,35 @@ def contaminated(
     spark = docs.sparkSession
     items = pinned(benchmark_items(benchmark, shingle).distinct(), "benchmark-items")
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # at most ``shingle`` numbers
-    gate = items.select("size", "n_words", F.posexplode("grams").alias("offset", "gram")).distinct()
-    gate = pinned(gate, "benchmark-shingles")
+    gate = pinned(items.select("size", "n_words", F.explode("grams").alias("gram")).distinct(), "benchmark-shingles")
     small = gate.count() <= BROADCAST_ROWS
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     windows = None
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_words(F.col("text")).alias("words"))
     for size in sorted(sizes):
-        known = gate.filter(F.col("size") == size).select("gram", "n_words", "offset")
-        grams = texts.select("doc_id", "text_key", shingle_hashes(F.col("words"), size).alias("grams"))
-        met = grams.select("doc_id", "text_key", "grams", F.posexplode_outer("grams").alias("at", "gram"))
+        known = gate.filter(F.col("size") == size).select("gram", "n_words")
+        # words are a column of their own: inside a shingle's expression they would be cut for each shingle
+        words = texts.select("doc_id", "text_key", text_words(F.col("text")).alias("words"))
+        grams = words.select("doc_id", "text_key", shingle_hashes(F.col("words"), size).alias("grams"))
+        met = grams.select("doc_id", "text_key", F.size("grams").alias("n_grams"), F.posexplode_outer("grams").alias("at", "gram"))
         # outer, as Spark repeats the words for a filter below an inner explode; the join drops the nulls
         met = met.join(F.broadcast(known) if small else known, "gram")
-        start = F.greatest(F.lit(0), F.col("at") - F.col("offset"))
-        laid = met.select("doc_id", "text_key", "n_words", start.alias("start"), "grams").select(
-            "doc_id", "text_key", "n_words", "start",
-            F.slice("grams", F.col("start") + 1, F.col("n_words") - size + 1).alias("grams"),
-        )
+        spots = met.groupBy("doc_id", "text_key", "n_words", "n_grams").agg(F.array_sort(F.collect_set("at")).alias("at"))
+        starts = spots.select("doc_id", "text_key", "n_words", window_starts(F.col("n_words") - size + 1, similarity).alias("starts"))
+        starts = pinned(starts.filter(F.size("starts") > 0), "window-starts")
+        keys = starts.select("text_key").distinct()
+        own = texts
+        if keys.count() <= BROADCAST_ROWS:  # texts without such a window stay where they are
+            own = texts.join(F.broadcast(keys), "text_key", "left_semi")
+        laid = own.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), "text").join(
+            starts, F.col("id_").eqNullSafe(F.col("doc_id")) & (F.col("key_") == F.col("text_key"))
+        )
+        length = F.col("n_words") - size + 1
+        cut = _bound(
+            shingle_hashes(F.col("words"), size),
+            lambda g: F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice(g, s + 1, length).alias("grams"))),
+        )
+        laid = laid.select("doc_id", "text_key", "n_words", "starts", text_words(F.col("text")).alias("words"))
+        laid = laid.select("doc_id", "text_key", "n_words", F.explode(cut).alias("window")).select("doc_id", "text_key", "n_words", "window.*")
         windows = laid if windows is None else windows.union(laid)
     if windows is None:
         return spark.createDataFrame([], _schema(docs, benchmark))

@@ -92,6 +92,23 @@ def test_leaks_with_repeated_shingles_beside_all_windows(spark):
     assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_leaks_of_moved_passages_beside_all_windows(spark):
+    """Windows whose shared shingles all lie at other offsets than in the item, or at the text's end."""
+    own, other = lambda n, c: ["%s%d" % (c, k) for k in range(n)], ["z%d" % k for k in range(90)]
+    items = [(1, own(90, "a")), (2, own(60, "b")), (3, own(40, "c"))]
+    a, b, c = (w for _, w in items)
+    docs = [
+        (1, other + a[45:] + a[:45] + other), (2, other + b[30:] + b[:30] + other), (3, other + c[:34]),
+        (4, other + a[:40] + ["new"] + a[40:] + other), (5, c[6:] + other), (6, b[30:] + b[:30]),
+    ]
+    docs, items = ([(i, " ".join(w)) for i, w in rows] for rows in (docs, items))
+    want = leaks(docs, items)
+    assert {(1, 1), (2, 2), (6, 2)} <= set(want)
+    frame = spark.createDataFrame([(i, t, "c", "c", "c") for i, t in docs], DOCS)
+    got = decontaminate.contaminated(frame, spark.createDataFrame([(i, t, 1) for i, t in items], BENCH)).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
 def test_repeats_count_as_features_of_their_own(spark):
     frame = spark.createDataFrame([([5, 7, 5, 5, 9],), ([9, 5, 7, 5, 5],), ([5, 7],), ([],)], "grams array<bigint>")
     got = [r[0] for r in frame.select(decontaminate.occurrences(F.col("grams"))).collect()]
