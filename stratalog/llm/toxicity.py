@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Temporary, WordHashes, fetched, fold, pinned, slices
+from .common import Temporary, WordHashes, few_rows, fetched, fold, pinned, slices
 
 #: Expected bound of labelled rows a model learns from; beyond it a hash of the id draws them.
 LABELLED_ROWS = 20_000
@@ -21,9 +22,11 @@ PAIR_DISCOUNT, WORD_DISCOUNT = 2, 3
 #: Log gain over an unknown word from which a word is evidence, and the most it adds.
 EVIDENCE, MOST_EVIDENCE = 1.15, 2.0
 #: Words (or different pairs of them) that a counting task holds before it passes them on.
-HELD = 1 << 22
+HELD = 1 << 21
 #: Bits of a pair's digest by which pairs are dealt to tasks.
 DEAL_BITS = 12
+#: Rows of packed pairs, of some kilobytes each, that pass to or from a counting task at a time.
+PACKED_ROWS = 512
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 THRESHOLD = 0.5
 
@@ -91,24 +94,48 @@ def _class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+def _packed(keys: np.ndarray, low: int) -> Iterator[tuple[int, bytes]]:
+    """(deal, bytes) of sorted different keys: the first bits, and the steps between the lower
+    ``low`` bits of the keys that share them, each in as many bytes as the widest step needs."""
+    deals = keys >> low
+    starts = np.flatnonzero(np.diff(deals, prepend=-1))
+    for keys_of, deal in zip(np.split(keys & ((1 << low) - 1), starts[1:]), deals[starts]):
+        steps = np.diff(keys_of, prepend=0)
+        width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+        yield int(deal), bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    """The lower bits that :func:`_packed` has packed."""
+    width = packed[0]
+    steps = np.zeros(((len(packed) - 1) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(steps.view("<u8").ravel().astype(np.int64))
+
+
 def _shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
     """Numbers of different words before each of ``words`` (sorted), and of different pairs in all texts.
 
     A task makes its pairs unique before they leave it, as one number each: the first bits
     of the pair's digest, the place of the word among ``words``, more bits of the digest.
-    They leave in order, dealt by the first bits, so that neighbours begin alike and the
-    shuffle shrinks them. Pairs are grouped over the whole corpus: what is gathered grows
-    with it and no counter can fill.
+    They leave in order, those that begin alike as the steps between them in one row, and
+    are shuffled and sorted by these first bits. A task makes one such share of all pairs
+    (a 4096th) unique after the other: what is gathered grows with the corpus and no
+    counter can fill.
     """
     width = int(len(words)).bit_length()
-    rest = 63 - DEAL_BITS - width
+    low = 63 - DEAL_BITS
+    rest = low - width
     known = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(), [], 0
 
         def out(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-            yield from pa.table([pa.array(keys)], ["key"]).to_batches(max_chunksize=8192)
+            rows = _packed(keys, low)
+            while some := list(islice(rows, PACKED_ROWS)):
+                deals, packed = zip(*some)
+                yield pa.record_batch([pa.array(deals, pa.int32()), pa.array(packed, pa.binary())], ["deal", "packed"])
 
         for batch in slices(batches):
             found, left, _ = _sequence(hashes, batch.column("text").to_pylist())
@@ -116,8 +143,8 @@ def _shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]
             same = known.value[np.minimum(place, len(known.value) - 1)] == found if len(known.value) else np.zeros(len(found), bool)
             place = np.where(same, place, len(known.value)).astype(np.int64)
             pair = _pair(left, found)
-            first, low = pair >> np.uint64(64 - DEAL_BITS), pair & np.uint64((1 << rest) - 1)
-            held.append((first.astype(np.int64) << (63 - DEAL_BITS)) | (place << rest) | low.astype(np.int64))
+            first, more = pair >> np.uint64(64 - DEAL_BITS), pair & np.uint64((1 << rest) - 1)
+            held.append((first.astype(np.int64) << low) | (place << rest) | more.astype(np.int64))
             size += len(found)
             if size >= HELD:
                 held = [np.unique(np.concatenate(held))]
@@ -128,10 +155,19 @@ def _shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]
         if size:
             yield from out(np.unique(np.concatenate(held)))
 
-    keys = docs.select("text").mapInArrow(run, "key bigint").withColumn("deal", F.shiftright("key", 63 - DEAL_BITS).cast("int"))
-    once = keys.repartition("deal").select("deal", "key").distinct()
-    place = F.shiftright("key", rest).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("place")
-    counts = fetched(pinned(once.groupBy(place).agg(F.count("*").alias("n")), "toxicity-shared"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(known.value) + 1, np.int64)
+        rows = ((d.as_py(), k.as_py()) for b in batches for d, k in zip(b.column("deal"), b.column("packed")))
+        for _, same in groupby(rows, lambda row: row[0]):
+            once = np.unique(np.concatenate([_unpacked(packed) for _, packed in same]))
+            counts += np.bincount(once >> rest, minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield from pa.table([pa.array(at, pa.int32()), pa.array(counts[at])], ["place", "n"]).to_batches(max_chunksize=8192)
+
+    with few_rows(docs.sparkSession, PACKED_ROWS):
+        keys = docs.select("text").mapInArrow(run, "deal int, packed binary")
+        dealt = keys.repartition("deal").sortWithinPartitions("deal").mapInArrow(count, "place int, n bigint")
+        counts = fetched(pinned(dealt.groupBy("place").agg(F.sum("n").alias("n")), "toxicity-shared"))
     before = np.zeros(len(words), np.int64)
     own = counts.place < len(words)
     before[counts.place[own]] = counts.n[own]

@@ -204,6 +204,16 @@ def test_shared_counts_are_exact_and_grow(spark, monkeypatch):
     assert total == len(pairs)
 
 
+def test_pairs_travel_as_steps_between_sorted_keys():
+    low = 63 - toxicity.DEAL_BITS
+    edges = np.array([0, 1, 1 << low, (1 << 63) - 1], np.int64)
+    for keys in (edges[:1], edges, np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1 << 21))):
+        rows = list(toxicity._packed(keys, low))
+        assert [d for d, _ in rows] == np.unique(keys >> low).tolist()
+        assert np.array_equal(np.concatenate([toxicity._unpacked(p) + (d << low) for d, p in rows]), keys)
+    assert sum(len(p) for _, p in rows) < 7 * len(keys)
+
+
 def test_chances_follow_kneser_ney_and_sum_to_one(spark):
     draw = np.random.default_rng(4)
     vocabulary = [f"w{i}" for i in range(25)]
