@@ -438,8 +438,11 @@ def check_edges(edges: DataFrame, live_ids: DataFrame, batch: bool = False) -> D
     parts = [local]
     known = live_ids.select(F.col("id").alias("_known"))
     for end in ("source_id", "target_id"):
-        near = known.join(edges.select(F.col(end).alias("_known")), "_known", "left_semi") if batch else known
-        bad = edges.join(near, F.col(end) == F.col("_known"), "left_anti")
+        # different ends only: a target of very many edges is one row before it meets the ids
+        ends = edges.select(F.col(end).alias("_end")).distinct()
+        near = known.join(ends, F.col("_known") == F.col("_end"), "left_semi") if batch else known
+        lost = ends.join(near, F.col("_end") == F.col("_known"), "left_anti")
+        bad = edges.join(lost, F.col(end).eqNullSafe(F.col("_end")), "left_semi")
         message = F.concat(F.lit(f"{end} not found: "), F.col(end).cast("string"))
         parts.append(violations_of(bad, "relationship", "edge", "missing_endpoint", end, message))
     return union_all(parts)

@@ -142,9 +142,9 @@ def supersede_external_ids(t: Tables):
 
 def good_links(t: Tables):
     live = t.catalog.live("Order").select(F.col("id").alias("source_id"), (F.col("id") % 100).alias("target_id"))
-    return live.where("source_id <> target_id").join(
-        t.catalog.live("Order").select(F.col("id").alias("target_id")), "target_id", "left_semi"
-    ).withColumn("relationship_type", F.lit("near"))
+    wanted = live.select("target_id").distinct()
+    there = t.catalog.live("Order").select(F.col("id").alias("target_id")).join(wanted, "target_id", "left_semi")
+    return live.where("source_id <> target_id").join(there, "target_id", "left_semi").withColumn("relationship_type", F.lit("near"))
 
 
 GOOD_LINKS = """SELECT id AS source_id, id % 100 AS target_id FROM order_e WHERE is_available AND id <> id % 100

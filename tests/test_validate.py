@@ -142,3 +142,16 @@ def test_rule_file(folder):
         f.write('{"validators": [{"name": "r", "entity_types": ["T"], "on": ["create"], "condition": "a > 0", "error": "e"}]}')
     (rule,) = load_rule_file(path)
     assert rule.entity_types == ("T",) and rule.on == ("create",)
+
+
+def test_ends_of_edges_are_made_unique_before_they_meet_the_ids(spark):
+    edges = spark.createDataFrame(
+        [(f"e{i}", i, 100, "near") for i in range(5)] + [("gone", 1, 99, "near"), ("none", 2, None, "near"), ("from", 98, 100, "near")],
+        "id string, source_id bigint, target_id bigint, relationship_type string",
+    )
+    ids = spark.createDataFrame([(i,) for i in [0, 1, 2, 3, 4, 100]], "id bigint")
+    for batch in (False, True):
+        found = va.check_edges(edges, ids, batch=batch)
+        assert sorted((r.entity_id, r.field) for r in found.collect()) == [("from", "source_id"), ("gone", "target_id"), ("none", "target_id")]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate [") == 2 * (1 + batch)
