@@ -356,9 +356,11 @@ def reconcile_multi_refs(
             ).where(F.col("target_id").isNotNull())
         )
     removed = event(old, stamp, F.col("source_id"), "relationship", "relationship_remove", edge_patch())
-    marked = edges.join(owner.withColumn("_owner", F.lit(True)), "source_id", "left").withColumn(
-        "is_available", F.col("is_available") & ~(mine & F.col("_owner").isNotNull())
-    ).select(*edges.columns)
+    # edges that cannot lose their place meet no join; of the others a reader of live edges sorts those that stay
+    other = edges.where(~F.coalesce(mine, F.lit(False)))
+    stays = edges.where(mine).join(owner, "source_id", "left_anti").select(*edges.columns)
+    gone = old.withColumn("is_available", F.lit(False)).select(*edges.columns)
+    marked = union_all([other, stays, gone])
     if not parts:
         return WriteSet(edges=marked, log=removed)
     fresh = new_edges(union_all(parts).distinct(), stamp)

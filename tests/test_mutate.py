@@ -118,6 +118,15 @@ def test_reconcile_lists(spark, catalog):
     assert untouched.edges.where("is_available").count() == 3
 
 
+def test_reconcile_leaves_edges_of_no_type_and_matches_each_edge_once(spark, catalog):
+    more = frame(spark, [("e4", "a", "b", None, None, None, None, True), ("e5", "b", "a", "parts", None, None, None, False), ("e6", "b", "c", "parts", None, None, None, True)], EDGE)
+    both = Catalog(SCHEMA, catalog.tables, catalog.edges.unionByName(more), catalog.log, catalog.external_ids)
+    out = mu.reconcile_multi_refs(both, "Sample", frame(spark, [("a", ["c"])], "id string, parts array<string>"), STAMP)
+    kept = {r.id: r.is_available for r in out.edges.where("created_by IS NULL").collect()}
+    assert kept == {"e1": False, "e2": False, "e3": True, "e4": True, "e5": False, "e6": True}
+    assert out.edges.count() == len(kept) + 1
+
+
 def test_soft_delete_reports(spark, catalog):
     out = mu.soft_delete(catalog, "Sample", frame(spark, [("a",), ("c",), ("zz",)], "id string"), STAMP)
     assert {r.id: r.deleted for r in out.report.collect()} == {"a": True, "c": False, "zz": False}
