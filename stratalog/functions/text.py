@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,13 +38,18 @@ def fold(col: Column) -> Column:
     """Case-folded text without diacritics; plain ASCII text skips the table."""
     low = F.lower(col)
     bare = F.regexp_replace(F.translate(low, ACCENTED, PLAIN), r"\p{M}+", "")
-    return F.when(F.length(low) == F.octet_length(low), low).otherwise(bare)
+    return F.when(F.length(col) == F.octet_length(col), low).otherwise(bare)
 
 
 def folded_tokens_text(col: Column) -> Column:
     """``' tok tok tok '``; a text without tokens gives ``' '``."""
-    inner = F.trim(F.regexp_replace(fold(col), TOKEN_GAP, " "))
-    return F.when(inner == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
+    return F.regexp_replace(F.concat(F.lit(" "), fold(col), F.lit(" ")), TOKEN_GAP, " ")
+
+
+def folded_test(col: Column, test: Callable[[Column], Column]) -> Column:
+    """``test`` of the folded text. A filter would fold again for every use of the folded
+    column; as the one item of an array it is folded once."""
+    return F.exists(F.array(folded_tokens_text(col)), test)
 
 
 def tokens(col: Column) -> Column:

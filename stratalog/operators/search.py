@@ -7,6 +7,8 @@ of them unless the caller gives a limit. ``build_fts_index`` and
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
 from typing import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -238,14 +240,17 @@ def search_stemmed_and(entities: DataFrame, field: str, query: str, limit: int |
     stems = list(dict.fromkeys(tx.light_stem_of(w) for w in tx.query_tokens(query)))
     if not stems:
         return entities.select(F.col("id").alias("entity_id"), F.lit(0.0).alias("score")).limit(0)
-    rows = content_rows(entities, field).select(
-        "entity_id", F.transform(tx.tokens(F.col("content")), tx.light_stem).alias("stems")
-    )
-    for stem in stems:
-        rows = rows.where(F.array_contains("stems", stem))
+    # a stem begins its token, so only rows with such tokens are cut into them, and only these are stemmed
+    content = F.col("content")
+    begun = lambda folded: reduce(and_, [F.contains(folded, F.lit(f" {s}")) for s in stems])
+    like = lambda token: reduce(or_, [F.startswith(token, F.lit(s)) for s in stems])
+    rows = content_rows(entities, field).where(tx.may_hold(content, stems)).where(tx.folded_test(content, begun))
+    cut = F.transform(F.filter(tx.tokens(content), like), tx.light_stem)
+    rows = rows.where(F.exists(F.array(cut), lambda found: reduce(and_, [F.array_contains(found, s) for s in stems])))
+    rows = rows.select("entity_id", cut.alias("stems"))
     wanted = F.array(*[F.lit(s) for s in stems])
     mean = F.size(F.filter("stems", lambda t: F.array_contains(wanted, t))) / len(stems)
-    return normalised_top(rows.select("entity_id", (1 - 1 / (1 + mean)).alias("raw")), limit)
+    return normalised_top(stable(rows.select("entity_id", (1 - 1 / (1 + mean)).alias("raw"))), limit)
 
 
 def search_plain_and(entities: DataFrame, field: str, query: str, limit: int | None = 100) -> DataFrame:
@@ -298,5 +303,9 @@ def boolean_match(folded: Column, terms: list[str], operator: str = "AND", prefi
 def search_boolean(
     entities: DataFrame, field: str, terms: list[str], operator: str = "AND", prefix: bool = False
 ) -> DataFrame:
-    folded = tx.folded_tokens_text(F.col("content"))
-    return content_rows(entities, field).where(boolean_match(folded, terms, operator, prefix)).select("entity_id")
+    """Ids of live rows that :func:`boolean_match` finds; each text is folded once."""
+    rows = content_rows(entities, field)
+    if operator != "OR":  # a cheap look for what every hit holds
+        needed = terms if operator == "AND" else terms[:1]
+        rows = rows.where(tx.may_hold(F.col("content"), [w for t in needed for w in tx.query_tokens(t)]))
+    return rows.where(tx.folded_test(F.col("content"), lambda f: boolean_match(f, terms, operator, prefix))).select("entity_id")

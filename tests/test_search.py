@@ -160,3 +160,21 @@ def test_content_and_scores(spark):
     assert got == ["a", None, "a b"]
     one = spark.range(1).select(tx.logistic_score(F.lit(0.0)).alias("s")).first().s
     assert one == 0.5
+
+
+def test_boolean_and_stemmed_search_fold_a_text_once(spark):
+    texts = ["The cat", "thé  dogs, and", "and so", "...", "", None, "\u212aelvin the", "bathe", "walking the dog", "WALKED, Th\u00e9 d\u00f3gs walks"]
+    rows = spark.createDataFrame([(i, True, t) for i, t in enumerate(texts)], "id bigint, is_available boolean, text string")
+
+    def found(*args, **more):
+        hits = se.search_boolean(rows, "text", *args, **more)
+        assert hits._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+        return sorted(r[0] for r in hits.collect())
+
+    assert found(["the", "and"], "AND") == [1]
+    assert found(["the", "and"], "NOT") == [0, 6, 8, 9]
+    assert found(["kelvin", "so"], "OR") == [2, 6]
+    assert found(["wal"], prefix=True) == [8, 9]
+    stemmed = se.search_stemmed_and(rows, "text", "walks dog", None)
+    assert "translate(" not in stemmed._jdf.queryExecution().optimizedPlan().toString()  # ranked from narrow rows
+    assert [(r.entity_id, round(r.score, 6)) for r in stemmed.collect()] == [(9, 1.0), (8, round(0.5 / 0.6, 6))]
