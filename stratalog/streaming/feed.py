@@ -2,81 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..model import QueryError
 from ..operators.temporal import is_deletion
 from ..sources.sinks import write_batch_once
 
-#: The state store of the feed; the default store cannot hold timers.
+#: The state store of the feed; the default store keeps state in the executors' heap.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class Changes(StatefulProcessor):
-    """Times of an entity's changes wait in its state until the watermark has passed them.
-
-    Then no earlier change can come any more, so the order of what is told is final. Of
-    several changes that the same step passes, the newest is told.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "micros bigint, n bigint")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        found = pd.concat([part.groupby("micros").size() for part in rows]).groupby(level=0).sum()
-        self.waiting.appendList([(int(at), int(n)) for at, n in found.items()])
-        self.handle.registerTimer(int(found.index.min()) // 1000 + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        every = sorted((int(at), int(n)) for at, n in self.waiting.get())
-        passed = [x for x in every if x[0] < mark]
-        if not passed:
-            return
-        rest = every[len(passed) :]
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
-        else:
-            self.waiting.clear()
-        yield pd.DataFrame({"entity_id": [key[0]], "micros": [passed[-1][0]], "n_events": [sum(n for _, n in passed)]})
-
-    def close(self) -> None:
-        pass
-
-
 def change_feed(events: DataFrame, delay: str, since: Any = None) -> DataFrame:
-    """Streaming rows (entity_id, updated_at, n_events) of entities that changed after ``since``.
+    """Streaming rows (entity_id, updated_at, n_events) of changes after ``since``, by millisecond.
 
     ``events`` is a stream of the log. A change is told when the watermark, the newest
     time seen less ``delay``, has passed it: a late event within ``delay`` still takes its
     place in the order, one beyond it is dropped by the watermark and counted in the
     query's progress. Deletions are no changes. Events without entity or time are left out.
+    An entity's changes that one micro-batch tells are put together by :func:`told_changes`.
+
+    Two aggregates keep the state. The first drops what comes at or before the watermark,
+    and gives up what it has reached; the second holds what stands at the watermark itself
+    until it has passed, as a window has ended only then.
     """
-    kind = events.schema["entity_id"].dataType.simpleString()
-    when = F.col("timestamp").cast("timestamp")
     changes = events.where(~is_deletion() & F.col("entity_id").isNotNull() & F.col("timestamp").isNotNull())
     if since is not None:
         changes = changes.where(F.col("timestamp") > F.lit(since).cast(T.TimestampNTZType()))
-    told = (
-        changes.select("entity_id", when.alias("at"), F.unix_micros(when).alias("micros"))
+    reached = (
+        changes.select("entity_id", F.col("timestamp").cast("timestamp").alias("at"))
         .withWatermark("at", delay)
-        .groupBy("entity_id")
-        .transformWithStateInPandas(
-            Changes(), outputStructType=f"entity_id {kind}, micros bigint, n_events bigint", outputMode="append", timeMode="EventTime"
-        )
+        .groupBy("entity_id", "at")
+        .agg(F.count("*").alias("n"))
     )
-    at = F.timestamp_micros("micros").cast(T.TimestampNTZType())
-    return told.select("entity_id", at.alias("updated_at"), "n_events")
+    passed = reached.groupBy("entity_id", F.window("at", "1 millisecond")).agg(F.max("at").alias("newest"), F.sum("n").alias("n_events"))
+    return passed.select("entity_id", F.col("newest").cast(T.TimestampNTZType()).alias("updated_at"), "n_events")
+
+
+def told_changes(batch: DataFrame) -> DataFrame:
+    """One row per entity of a micro-batch: its newest change, and how many there are."""
+    return batch.groupBy("entity_id").agg(F.max("updated_at").alias("updated_at"), F.sum("n_events").alias("n_events"))
 
 
 def stream_updated_since(
@@ -94,7 +63,7 @@ def stream_updated_since(
         raise QueryError(f"set spark.sql.streaming.stateStore.providerClass to {STATE_STORE}")
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        write_batch_once(batch.orderBy("updated_at", "entity_id"), out_path, batch_id)
+        write_batch_once(told_changes(batch).orderBy("updated_at", "entity_id"), out_path, batch_id)
 
     writer = change_feed(events, delay, since).writeStream.outputMode("append").foreachBatch(emit).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -76,3 +76,22 @@ def test_feed_since_and_state_store(spark, folder):
     stream = spark.readStream.schema(LOG).parquet(f"{folder}/log")
     with pytest.raises(QueryError, match="stateStore"):
         feed.stream_updated_since(stream, f"{folder}/f", f"{folder}/s")
+
+
+def test_feed_at_the_watermark_itself(spark, folder):
+    """A change at the watermark waits for the next step; one that comes late at it is dropped."""
+    mark = START + dt.timedelta(hours=1)
+    first = [(1, "update", mark, None), (2, "update", mark - dt.timedelta(microseconds=1), None), (3, "update", mark + dt.timedelta(hours=3), None)]
+    second = [(1, "update", mark, None), (4, "update", mark + dt.timedelta(hours=5), None)]
+    got = run(spark, folder, [first, second], "3 hours")
+    assert got[0] == [(2, mark - dt.timedelta(microseconds=1), 1)]
+    assert got[1][1:] == [(1, mark, 1)]
+
+
+def test_feed_keeps_its_state_in_the_engine(spark, folder):
+    """No entity calls into Python: the time of the feed grew with entities times steps."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", feed.STATE_STORE)
+    spark.createDataFrame([(1, 1, "update", START, None)], LOG).write.parquet(f"{folder}/log")
+    stream = feed.change_feed(spark.readStream.schema(LOG).parquet(f"{folder}/log"), "1 hour")
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and plan.count("Aggregate") == 2
