@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
+from array import array
+from collections.abc import Callable, Iterator
 from math import ceil
 from zlib import crc32
 
@@ -21,10 +24,10 @@ TASK_BYTES = 16 << 20
 LEAST_PAIRS = 4
 #: A round takes the pairs that stand at least at this share of the places of the most frequent one.
 ROUND_SHARE = 1 / 16
-#: Buckets (less one) of the count that comes before the exact one.
-BUCKET = (1 << 20) - 1
+#: Buckets (less one) of the count that comes before the exact one; their counts fit a core's cache.
+BUCKET = (1 << 18) - 1
 #: Pieces of text whose ids a task remembers, and the longest of them.
-PIECES, LONGEST_PIECE = 60_000, 64
+PIECES, LONGEST_PIECE = 200_000, 64
 
 _FORMAT = (
     "part int, number int, tokens bigint, first {kind}, last {kind}, docs array<{kind}>, ends array<bigint>, base int, "
@@ -32,68 +35,91 @@ _FORMAT = (
 )
 
 
+#: The steps of a tokenizer under which plain pieces are cut here: NFC, blanks, lower case, then letters, digits and the rest apart.
+PLAIN_STEPS = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {
+            "type": "Split", "behavior": "Removed", "invert": True,
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+)
+#: Letters beyond ASCII in plain pieces: NFC leaves them alone, and in lower case they are one letter of these again.
+LETTERS = "".join(c for c in map(chr, range(0xC0, 0x180)) if c not in "\xd7\xf7\u0130")
+RUNS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^\sa-z0-9{LETTERS}]+")
+
+
+class _Remembered(dict):
+    """Bytes by text, made when first asked for; those of the generation before are taken over."""
+
+    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes]):
+        self._make, self._older = make, older
+
+    def __missing__(self, text: str) -> bytes:
+        found = self._older.get(text)
+        if found is None:
+            found = self._make(text)
+        if len(text) <= LONGEST_PIECE:
+            self[text] = found
+        return found
+
+    def next(self) -> _Remembered:
+        """This one, or a fresh one after it if it is full."""
+        return self if len(self) <= PIECES else _Remembered(self._make, dict(self))
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, remembered per piece.
 
     For tokenizers that never join anything across a space, tab or line feed, the ids of
     a text are those of its pieces between them, one after another; ``whole`` turns
-    this off for tokenizers that do. Pieces not seen before are encoded together, with a
-    mark between them whose own id then tells them apart; pieces that hold the mark, and
-    all pieces if the mark is not one id, go one by one.
+    this off for tokenizers that do. Under the steps of :data:`PLAIN_STEPS` texts and pieces
+    of ASCII and common Latin letters are cut into runs, of which fewer are different, and
+    the library's model is asked for a run; other pieces go through all steps.
     """
 
-    MARK = "\x00"
-
     def __init__(self, model: str, whole: bool = False):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer, self._whole = Tokenizer.from_str(model), whole
-        self._known: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}  # what was known before the last overflow
-        mark = self._ids([self.MARK, f"a {self.MARK} a", "a"])
-        self._mark = mark[0][0] if len(mark[0]) == 1 and mark[1] == mark[2] + mark[0] + mark[2] else None
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece as bytes."""
-        if self._mark is None or any(self.MARK in p for p in pieces):
-            return [np.array(x, np.int32).tobytes() for x in self._ids(pieces)]
-        ids = np.array(self._ids([f" {self.MARK} ".join(pieces)])[0], np.int32)
-        ends = np.append(np.flatnonzero(ids == self._mark), len(ids)).tolist()
-        every, out, start = ids.tobytes(), [], 0
-        for end in ends:
-            out.append(every[4 * start : 4 * end])
-            start = end + 1
-        return out
-
-    def _learn(self, pieces: set[str]) -> None:
-        known, older, fresh, odd = self._known, self._older, [], []
-        for p in pieces:
-            if p in older:
-                known[p] = older[p]
-            else:
-                (odd if self.MARK in p or not p else fresh).append(p)
-        for part in [fresh[i : i + 2048] for i in range(0, len(fresh), 2048)] + [[p] for p in odd]:
-            known.update(zip(part, self._encoded(part)))
+        told = json.loads(model)
+        steps = tuple((told.get(n) or {}).get(k) for n, k in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        self._plain = None
+        if steps == PLAIN_STEPS:
+            level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self._bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in LETTERS}
+            # what may hold an added token is not plain
+            begin = "".join({c for t in told["added_tokens"] for c in t["content"][:1].lower() + t["content"][:1].upper()})
+            plain = "".join(c for c in map(chr, range(0x21, 0x7F)) if c not in begin) + LETTERS
+            self._plain = re.compile(rf"[ \n\t{re.escape(plain)}]*").fullmatch
+        self._model = self._tokenizer.model
+        self._runs = _Remembered(self._of_run, {})
+        self._known = _Remembered(self._of_piece, {})
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def _of_run(self, run: str) -> bytes:
+        return array("i", [t.id for t in self._model.tokenize(run if run.isascii() else run.translate(self._bytes))]).tobytes()
+
+    def _of_plain(self, text: str) -> bytes:
+        return b"".join(map(self._runs.__getitem__, RUNS.findall(text.lower())))
+
+    def _of_piece(self, piece: str) -> bytes:
+        return self._of_plain(piece) if self._plain and self._plain(piece) else self._ids(piece).tobytes()
+
+    def _of_text(self, text: str) -> bytes:
+        self._known, self._runs = self._known.next(), self._runs.next()
+        if self._plain and self._plain(text):
+            return self._of_plain(text)
+        return b"".join(map(self._known.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if self._whole:
-            return [np.array(x, np.int32) for x in self._ids([t or "" for t in texts])]
-        out = []
-        for text in texts:
-            row = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-            if len(self._known) > PIECES:
-                self._known, self._older = {}, self._known
-            fresh = set(row).difference(self._known)
-            long = {p for p in fresh if len(p) > LONGEST_PIECE}
-            self._learn(fresh - long)
-            known = self._known
-            if long:  # met once, forgotten after the text
-                known = known | {p: self._encoded([p])[0] for p in long}
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, row)), np.int32))
-        return out
+            return [self._ids(t or "") for t in texts]
+        return [np.frombuffer(self._of_text(t or ""), np.int32) for t in texts]
 
 
 def compress(ids: np.ndarray, base: int) -> dict:
@@ -109,10 +135,12 @@ def compress(ids: np.ndarray, base: int) -> dict:
     rules = 0
     while len(symbols) > 1:
         # a bucket holds at least what each of its pairs holds, so rare buckets have no frequent pair
-        bucket = (symbols[:-1] * 0x9E3779B1 + symbols[1:] * 0x85EBCA77) & BUCKET
+        bucket = symbols[:-1] * 0x9E3779B1
+        bucket += symbols[1:] * 0x85EBCA77
+        bucket &= BUCKET
         held = np.bincount(bucket, minlength=BUCKET + 1)
         least = max(LEAST_PAIRS, int(held.max() * ROUND_SHARE))
-        place = np.flatnonzero(held[bucket] >= least)
+        place = np.flatnonzero((held >= least)[bucket])
         keys = (symbols[place] << 32) | symbols[place + 1]
         pairs, counts = np.unique(keys, return_counts=True)
         counts = np.where(pairs >> 32 == pairs & 0xFFFFFFFF, (counts + 1) // 2, counts)

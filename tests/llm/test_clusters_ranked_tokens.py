@@ -194,3 +194,19 @@ def test_query_equals_plain_encoding(spark):
     rows = spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()
     want = [r[:4] for r in plain_tokens([tuple(r) for r in rows])]
     assert [tuple(r) for r in op13_tokens(spark, FOLDER).orderBy("start").collect()] == want
+
+
+def test_plain_texts_are_cut_into_runs_that_the_model_sees_once():
+    """Runs beside the whole library, on texts, on pieces and on what must not be cut here."""
+    with open(TOKENIZER, encoding="utf-8") as f:
+        encode = token_files.Encoder(f.read())
+    rng = np.random.default_rng(4)
+    signs = list("abcXYZ019'''.,-!|%$ \n\t") + ["'LL ", "'s", "don't", "É", "ß", "Ÿ", "ſ", "ŉ", "×", "÷", "İ", "²", "Ω", "é", "<", "\r", "\x1c", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs[: int(rng.integers(20, len(signs) + 1))], int(rng.integers(0, 60)))) for _ in range(3000)] + [t or "" for t in ODD]
+    want = Tokenizer.from_file(TOKENIZER)
+    assert [x.tolist() for x in encode(texts)] == [want.encode(t, add_special_tokens=False).ids for t in texts]
+    asked = []
+    tokenize, encode._ids = encode._model.tokenize, None  # no plain text goes through all steps
+    encode._model = type("Model", (), {"tokenize": staticmethod(lambda run: asked.append(run) or tokenize(run))})
+    encode(["Unseenwordone. unseenwordone, UNSEENWORDONE!", "|unseenwordone|"])
+    assert asked.count("unseenwordone") == 1
