@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import Catalog, QueryError, union_all
@@ -156,19 +156,34 @@ def neighbors(catalog: Catalog, entity_id: Any, depth: int = 1, must_live: bool
 LISTED = 500
 
 
-def write_adjacency(catalog: Catalog, path: str) -> None:
-    """Store the neighbourhood graph for repeated use: every edge under either end, sorted by
-    that end, and the live ids with their class, sorted by id.
+def adjacency_rows(catalog: Catalog) -> DataFrame:
+    """(node, other, ahead, relationship_type, edge_source): every edge of all stores under either
+    end, distinct and sorted by that end; an edge in both stores counts as a link-table edge.
 
     Ranges run over both ends of an edge, so a hub fills several files instead of one task.
+    Equal edges meet in a range and its sort, so the edges move once and none are held to be made distinct.
     """
-    edges = _distinct_edges(all_edges(catalog))
-    ahead = edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("other"), F.lit(True).alias("ahead"), "relationship_type", "edge_source")
-    back = edges.where("source_id <> target_id").select(
-        F.col("target_id").alias("node"), F.col("source_id").alias("other"), F.lit(False).alias("ahead"), "relationship_type", "edge_source"
+    ways = F.array(
+        *[
+            F.struct(F.col(near).alias("node"), F.col(far).alias("other"), F.lit(ahead).alias("ahead"))
+            for near, far, ahead in (("source_id", "target_id", True), ("target_id", "source_id", False))
+        ]
+    )
+    both = all_edges(catalog).select("relationship_type", "edge_source", F.inline(ways)).where("ahead OR node <> other")
+    equal = Window.partitionBy("node", "other", "ahead", "relationship_type").orderBy(F.col("edge_source").desc())
+    return (
+        both.repartitionByRange("node", "other")
+        .withColumn("_n", F.row_number().over(equal))
+        .where("_n = 1")
+        .select("node", "other", "ahead", "relationship_type", "edge_source")
+        .sortWithinPartitions("node", "other")
     )
-    both = ahead.unionByName(back)
-    both.repartitionByRange("node", "other").sortWithinPartitions("node", "other").write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def write_adjacency(catalog: Catalog, path: str) -> None:
+    """Store the neighbourhood graph for repeated use: :func:`adjacency_rows`, and the live ids
+    with their class, sorted by id."""
+    adjacency_rows(catalog).write.mode("overwrite").parquet(f"{path}/edges")
     live = union_all([catalog.live(n).select("id", F.lit(n).alias("entity_type")) for n in catalog.tables])
     live.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/nodes")
 

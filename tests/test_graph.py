@@ -174,6 +174,21 @@ def test_neighbors_match_search(spark, folder, monkeypatch, seed, depth):
         graph.neighbors(Catalog(schema, {"Node": table}, edges=edges), "zzz", 1)
 
 
+def test_adjacency_moves_its_edges_once(spark):
+    schema = Schema((EntityType("Node", (Slot("parent", reference="Node"),)),))
+    rows = [("a", True, None, "b"), ("b", True, None, "b"), ("c", True, None, None)]
+    table = spark.createDataFrame(rows, "id string, is_available boolean, superseded_by string, parent string")
+    links_ = [("a", "b", "parent"), ("a", "b", "x"), ("a", "b", "x"), ("c", "c", "x"), ("b", "a", "x")]
+    edges = spark.createDataFrame([(f"{i}", *e, None, None, None, True) for i, e in enumerate(links_)], EDGE)
+    found = graph.adjacency_rows(Catalog(schema, {"Node": table}, edges=edges))
+    plan = found._jdf.queryExecution().executedPlan().toString()  # not yet run
+    assert plan.count("Exchange") == 1 and "HashAggregate" not in plan
+    link, column = "LINK_TABLE", "COLUMN"
+    want = [("a", "b", True, "parent", link), ("a", "b", True, "x", link), ("a", "b", False, "x", link), ("b", "a", True, "x", link),
+            ("b", "a", False, "parent", link), ("b", "a", False, "x", link), ("b", "b", True, "parent", column), ("c", "c", True, "x", link)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
 def test_neighbors_of_a_start_that_is_not_live(spark, folder):
     schema = Schema((EntityType("Node", (Slot("parent", reference="Node"),)),))
     rows = [("a", False, None, "b"), ("b", True, None, "c"), ("c", True, None, None), ("d", True, None, None)]
