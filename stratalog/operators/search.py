@@ -54,6 +54,24 @@ def postings_of(content: DataFrame) -> DataFrame:
     )
 
 
+def postings_in_rows(content: DataFrame) -> DataFrame:
+    """(entity_id, doc_len, postings) of each text, with postings (term, tf, positions) as
+    :func:`postings_of` gives them where ids do not repeat: (term, position) pairs are sorted within
+    the row and cut where the term changes, so a text is folded once and no token is shuffled."""
+    pairs = F.array_sort(F.transform(tx.tokens(F.col("content")), lambda term, at: F.struct(term.alias("term"), at.alias("at"))))
+    term = lambda i: F.get(F.col("pairs"), i)["term"]
+    starts = F.filter(F.transform("pairs", lambda _, i: i), lambda i: (i == 0) | (term(i) != term(i - 1)))
+    once = lambda *columns: F.inline(F.array(F.struct(*columns)))  # computed here, not again at every use
+    sorted_ = content.select("entity_id", once(pairs.alias("pairs")))
+    begun = sorted_.select("entity_id", "pairs", once(starts.alias("starts"), F.col("pairs.at").alias("places")))
+    end = lambda n: F.coalesce(F.get("starts", n + 1), F.size("pairs"))
+    cut = F.transform(
+        "starts",
+        lambda i, n: F.struct(term(i).alias("term"), (end(n) - i).cast("long").alias("tf"), F.slice("places", i + 1, end(n) - i).alias("positions")),
+    )
+    return begun.select("entity_id", F.size("pairs").alias("doc_len"), cut.alias("postings"))
+
+
 def write_fts_index(postings: DataFrame, path: str) -> None:
     """Store postings sorted by term, so a term lookup skips most row groups.
 

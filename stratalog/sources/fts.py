@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..model import QueryError, union_all
 from ..operators import search as se
+from ..runtime import stable
 from .store import _file_system
 
 #: Parts after which adding another one writes the index anew.
@@ -60,10 +61,15 @@ def _sizes(lengths: DataFrame) -> tuple[int, int]:
 
 
 def _store(spark: SparkSession, root: str, number: int, content: DataFrame) -> tuple[int, int]:
-    """Write the postings and lengths of (entity_id, content) as a part; returns its rows and tokens."""
+    """Write the postings and lengths of (entity_id, content) as a part; returns its rows and tokens.
+
+    The texts are read once; the range sort looks at its rows twice, so they are written before it.
+    """
     path = f"{root}/part={number}"
-    se.write_fts_index(se.postings_of(content), f"{path}/postings")
-    content.select("entity_id", tx.count_tokens(F.col("content")).alias("doc_len")).write.mode("overwrite").parquet(f"{path}/lengths")
+    texts = stable(se.postings_in_rows(content))
+    columns = ["term", "entity_id", "tf", "doc_len", "positions"]
+    se.write_fts_index(texts.select("entity_id", "doc_len", F.inline("postings")).select(*columns), f"{path}/postings")
+    texts.select("entity_id", "doc_len").write.mode("overwrite").parquet(f"{path}/lengths")
     return _sizes(spark.read.parquet(f"{path}/lengths"))
 
 

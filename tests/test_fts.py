@@ -64,3 +64,14 @@ def test_lookup_reads_only_the_terms(spark, folder):
 def test_counts_tokens_as_folding_does(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(tx.count_tokens(F.col("t")).alias("n"), F.size(tx.tokens(F.col("t"))).alias("m")).first()
     assert row.n == row.m
+
+
+def test_postings_within_rows_equal_grouped_ones_without_an_exchange(spark):
+    texts = ["de la de la", "", "...", "One", "a b a c a b", "Été ete ÉTÉ x1 y_2", " ".join(f"w{i % 700}" for i in range(5000))]
+    content = spark.createDataFrame(list(enumerate(texts)), "entity_id bigint, content string")
+    found = se.postings_in_rows(content)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert {r.entity_id: r.doc_len for r in rows} == {0: 4, 1: 0, 2: 0, 3: 1, 4: 6, 5: 6, 6: 5000}
+    got = sorted((p.term, r.entity_id, p.tf, r.doc_len, tuple(p.positions)) for r in rows for p in r.postings)
+    assert got == sorted((*tuple(r)[:4], tuple(r.positions)) for r in se.postings_of(content).collect())
