@@ -181,9 +181,19 @@ def put(
             raise QueryError(f"{entity_type} {missing[0][0]!r} does not exist")
     written = joined.withColumn("is_available", F.coalesce("_was", F.lit(True))).withColumn("superseded_by", F.col("_by"))
     operation = F.when(F.col("_exists"), "update").otherwise("create")
+    return _written(catalog, entity_type, batch, written, operation, stamp)
+
+
+def _written(
+    catalog: Catalog, entity_type: str, batch: DataFrame, written: DataFrame, operation: Column, stamp: Stamp
+) -> WriteSet:
+    """What :func:`put` returns, from the rows as they shall stand and the event of each."""
+    table = catalog.table(entity_type)
+    slots = [s.name for s in catalog.schema.edge_slots(entity_type)]
+    lists = [s for s in slots if s in batch.columns]
     log = event(written, stamp, F.col("id"), entity_type, operation, image([*_data_columns(table), *lists]))
     changed = written.select(*table.columns)
-    snapshot = table.join(rows.select("id"), "id", "left_anti").unionByName(changed)
+    snapshot = table.join(written.select("id"), "id", "left_anti").unionByName(changed)
     report = written.select("id", operation.alias("operation"))
     out = WriteSet(entities=snapshot, changed=changed, log=log, report=report)
     if slots and catalog.edges is not None:
@@ -472,17 +482,17 @@ def first_in_batch(batch: DataFrame, key: str, order: str) -> DataFrame:
     The winning position per id is a combined ``min``. It joins back on (id,
     position), so the copies of one id spread over all tasks.
     """
-    winners = (
-        batch.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.min(order).alias(order))
-        .withColumn("_won", F.lit(True))
-    )
+    winners = first_positions(batch, key, order).withColumn("_won", F.lit(True))
     return batch.join(winners, [key, order], "left").withColumn(
         "is_first", F.coalesce("_won", F.lit(False))
     ).drop("_won")
 
 
+def first_positions(batch: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order): the smallest position of every external id."""
+    return batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(order))
+
+
 def classify_changes(incoming: DataFrame, stored: DataFrame, key: str, columns: Iterable[str]) -> DataFrame:
     """created / updated / unchanged by null-safe equality of all values."""
     columns = list(columns)
@@ -512,44 +522,38 @@ def upsert_by_external_id(
     stored: DataFrame,
     mappings: DataFrame,
     columns: Iterable[str],
+    carried: Iterable[str] = (),
 ) -> DataFrame:
     """Outcome per input row of an upsert by external id.
 
     ``stored(id, ...)`` are live entities, ``mappings(value, entity)`` the active
     mapping per value (see ``external.get_by_external_id``). Rows without an id
-    or repeating one earlier in the batch are errors.
+    or repeating one earlier in the batch are errors. ``carried`` columns of the entity
+    found come along.
     """
     columns = list(columns)
-    marked = first_in_batch(batch, key, order)
     value = F.col(key).cast("string")
     old = stored.select(
-        F.col("id").alias("_id"), F.struct(*columns).alias("_old"), F.lit(True).alias("_has")
-    )
-    named = marked.where("is_first").select(value.alias("_value"))
-    found = (
-        mappings.select(F.col("value").alias("_value"), F.col("entity").alias("_entity"))
-        .join(named, "_value", "left_semi")
-        .join(old, F.col("_entity") == F.col("_id"))
-    )
-    # Only first rows can match; the others get a key of their own, so that
-    # copies of one id (or rows without id) do not meet in one task.
-    lookup = F.when(F.col("is_first"), F.concat(F.lit("="), value)).otherwise(
-        F.concat(F.lit("row "), F.col(order).cast("string"))
+        F.col("id").alias("_id"), F.struct(*columns).alias("_old"), F.lit(True).alias("_has"), *carried
     )
-    joined = marked.join(found, lookup == F.concat(F.lit("="), F.col("_value")), "left")
+    # Only first rows can match: each id looks its entity up once, and what was found goes
+    # to its row by (id, position), so that copies of one id do not meet in one task.
+    winners = first_positions(batch, key, order)
+    mapped = mappings.select(F.col("value").alias("_value"), F.col("entity").alias("_entity"))
+    found = winners.join(mapped, value == F.col("_value")).join(old, F.col("_entity") == F.col("_id")).drop("_value", "_id")
+    joined = batch.join(winners.withColumn("_won", F.lit(True)), [key, order], "left").join(found, [key, order], "left")
     same = F.struct(*columns).eqNullSafe(F.col("_old"))
     outcome = (
-        F.when(F.col(key).isNull() | ~F.col("is_first"), "error")
+        F.when(F.col(key).isNull() | F.col("_won").isNull(), "error")
         .when(F.col("_has").isNull(), "created")
         .when(same, "unchanged")
         .otherwise("updated")
     )
     error = F.when(F.col(key).isNull(), F.lit(f"no value in {key}")).when(
-        ~F.col("is_first"), F.concat(F.lit(f"{key} "), value, F.lit(" came earlier in the batch"))
+        F.col("_won").isNull(), F.concat(F.lit(f"{key} "), value, F.lit(" came earlier in the batch"))
     )
-    return joined.withColumns({"outcome": outcome, "error": error}).withColumn(
-        "entity", F.col("_entity")
-    ).drop("_id", "_old", "_has", "_value", "_entity", "is_first")
+    made = {"outcome": outcome, "error": error, "entity": F.col("_entity"), **{n: F.col(n) for n in carried}}
+    return joined.select(*batch.columns, *[c.alias(n) for n, c in made.items()])
 
 
 def stored_lists(catalog: Catalog, ids: DataFrame, slots: list[str]) -> DataFrame:
@@ -597,20 +601,27 @@ def run_loader(
     the findings as ``error``. Rows without external id are created. A list replaces the
     edges of its slot and counts when rows are compared; a slot that the feed lacks is empty.
 
-    The fetched rows are written out once, so entities, edges, mappings and log come from
-    the same rows whatever the source does meanwhile.
+    The fetched rows are written out once, with what the schema finds in each, so entities,
+    edges, mappings and log come from the same rows whatever the source does meanwhile. They
+    are dealt by ``order``, as a batch may come in a few small files. Their outcomes are
+    written out once too, and all that is returned is cut from those.
     """
-    from .validate import check_schema
+    from .validate import messages_of
 
     rows = fetch(since)
-    rows = stable(transform(rows) if transform is not None else rows)
+    rows = transform(rows) if transform is not None else rows
+    rows = stable(rows.withColumn("_found", messages_of(catalog.schema, entity_type, rows)).repartition(order))
     table = catalog.table(entity_type)
     columns = [c for c in _data_columns(table) if c in rows.columns]
     slots = [s.name for s in catalog.schema.edge_slots(entity_type)] if catalog.edges is not None else []
-    named = rows.withColumn("id", F.col(order).cast("string"))
-    found = union_all([check_schema(named, catalog.schema, entity_type), *[check(named) for check in checks]])
-    bad = found.groupBy(F.col("entity_id").alias("_row")).agg(F.array_join(F.array_sort(F.collect_set("message")), "; ").alias("_wrong"))
-    judged = stable(rows.join(bad, F.col(order).cast("string") == F.col("_row"), "left").drop("_row"))
+    if checks:
+        named = rows.drop("_found").withColumn("id", F.col(order).cast("string"))
+        found = union_all([check(named) for check in checks])
+        bad = found.groupBy(F.col("entity_id").alias("_row")).agg(F.collect_set("message").alias("_told"))
+        rows = stable(rows.join(bad, F.col(order).cast("string") == F.col("_row"), "left").drop("_row"))
+        rows = rows.withColumn("_found", F.when(F.col("_told").isNull(), F.col("_found")).otherwise(
+            F.array_union(F.coalesce("_found", F.array().cast("array<string>")), "_told"))).drop("_told")
+    judged = rows.withColumn("_wrong", F.array_join(F.array_sort("_found"), "; ")).drop("_found")
     good = judged.where("_wrong IS NULL").drop("_wrong")
     live = catalog.live(entity_type)
     if slots:
@@ -619,24 +630,30 @@ def run_loader(
         asked = good.select(F.col(key).cast("string").alias("value"))
         ids = mappings.join(asked, "value", "left_semi").select(F.col("entity").alias("id"))
         live = as_lists(live.drop(*slots).join(stored_lists(catalog, ids, slots), "id", "left"), slots, kind)
-    outcomes = upsert_by_external_id(good, key, order, live, mappings, [*columns, *slots])
+    outcomes = upsert_by_external_id(good, key, order, live.withColumn("_by", F.col("superseded_by")), mappings, [*columns, *slots], ["_by"])
     outcomes = outcomes.withColumn("outcome", F.when(F.col(key).isNull(), "created").otherwise(F.col("outcome")))
     outcomes = outcomes.withColumn("error", F.when(F.col("outcome") == "error", F.col("error")))
     wrong = judged.where("_wrong IS NOT NULL").withColumns({"outcome": F.lit("error"), "error": F.col("_wrong")}).drop("_wrong")
     report = outcomes.unionByName(wrong, allowMissingColumns=True)
     if dry_run:
-        return report
-    writes = outcomes.where(F.col("outcome").isin("created", "updated"))
+        return report.drop("_by")
     name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.concat(F.lit("row "), F.col(order).cast("string"), F.lit(f" {stamp.timestamp}")))
     made_id = F.sha2(F.concat_ws("|", F.lit(entity_type), name), 256)
     if dict(table.dtypes)["id"] != "string":
         made_id = F.xxhash64(F.lit(entity_type), name)
-    batch = stable(writes.withColumn("id", F.coalesce(F.col("entity").cast(table.schema["id"].dataType), made_id)))
+    told = stable(report.withColumn("_id", F.coalesce(F.col("entity").cast(table.schema["id"].dataType), made_id)))
+    report = told.drop("_id", "_by")
+    batch = told.where(F.col("outcome").isin("created", "updated")).withColumn("id", F.col("_id")).drop("_id")
     created = batch.where("outcome = 'created'").select("id")
     taken = among(table, created).select("id").head(1)
     if taken:
         raise QueryError(f"the id {taken[0][0]!r} made for a new {entity_type} is taken")
-    out = put(catalog, entity_type, batch.select("id", *columns, *slots), stamp)
+    rows = batch.select("id", *columns, *slots)
+    refuse_bad_ids(catalog, entity_type, rows)
+    # the outcome tells what is stored: an updated row has a live entity, a created one none
+    written = _shape(batch, table.drop("is_available", "superseded_by"), [*slots, "outcome", "_by"])
+    written = written.withColumns({"is_available": F.lit(True), "superseded_by": F.col("_by")})
+    out = _written(catalog, entity_type, rows, written, F.when(F.col("outcome") == "created", "create").otherwise("update"), stamp)
     fresh = batch.where((F.col("outcome") == "created") & F.col(key).isNotNull()).select(
         F.col("id").alias("entity"), F.col(key).cast("string").alias("value"), F.lit(source_system).alias("source_system")
     )

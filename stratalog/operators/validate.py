@@ -98,6 +98,15 @@ def check_schema(df: DataFrame, schema: Schema, entity_type: str) -> DataFrame:
     return explode_findings(df, entity_type, schema_findings(schema, entity_type, dict(df.dtypes)))
 
 
+def messages_of(schema: Schema, entity_type: str, df: DataFrame) -> Column:
+    """What :func:`check_schema` finds in a row, as an array of different messages; NULL if nothing."""
+    findings = schema_findings(schema, entity_type, dict(df.dtypes))
+    if not findings:
+        return F.lit(None).cast("array<string>")
+    hits = F.array_compact(F.array(*findings))
+    return F.when(F.size(hits) > 0, F.array_distinct(F.array_compact(F.transform(hits, lambda hit: hit["message"]))))
+
+
 def check_references(
     catalog: Catalog, entity_type: str, rows: DataFrame | None = None, whole: bool = False
 ) -> DataFrame:

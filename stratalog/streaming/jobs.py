@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..model import Schema
 from ..operators.mutate import Stamp, run_loader
 from ..operators.temporal import temporal_summary
-from ..runtime import stable
 from ..sources import store
 from ..sources.sinks import write_batch_once
 
@@ -54,8 +53,7 @@ def stream_upsert(
         catalog = store.load_catalog(spark, root, schema)
         active = catalog.external_ids.where("is_active").select("value", "entity")
         out = run_loader(lambda since: batch, catalog, entity_type, stamp(batch_id), key, order, active, source_system=stream)
-        report = stable(out.report)
-        write_batch_once(report, out_path, batch_id)
+        write_batch_once(out.report, out_path, batch_id)  # the loader has written its outcomes out
         store.commit(root, {entity_type: out}, mark=(stream, batch_id))
 
     writer = records.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)

@@ -247,6 +247,16 @@ def test_a_bad_row_stops_itself_only(spark, catalog):
     assert ids(out) == ids(again)  # a rerun makes the same ids
 
 
+def test_loader_cuts_all_it_writes_from_outcomes_written_once(spark, catalog):
+    feed = frame(spark, [("N", 1, "new"), ("N", 2, "again"), (None, 3, "bare")], "key string, line bigint, name string").coalesce(1)
+    maps = catalog.external_ids.where("is_active").select("value", "entity")
+    plain = Catalog(SCHEMA, catalog.tables, external_ids=catalog.external_ids)
+    out = mu.run_loader(lambda since: feed, plain, "Sample", STAMP, "key", "line", maps)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert (joins(out.report), joins(out.log), joins(out.new_mappings), joins(out.entities)) == (0, 0, 0, 1)
+    assert {r.line: r.outcome for r in out.report.collect()} == {1: "created", 2: "error", 3: "created"}
+
+
 def test_lists_through_the_loader(spark, catalog, folder):
     rows = [("X", 1, "A", ["b", "c"]), ("N", 2, "N", ["a", None, "a"]), ("M", 3, "M", None)]
     feed = frame(spark, rows, "key string, line bigint, name string, parts array<string>")
