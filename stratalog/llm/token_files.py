@@ -6,6 +6,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import ceil
 from zlib import crc32
 
@@ -26,8 +27,10 @@ LEAST_PAIRS = 4
 ROUND_SHARE = 1 / 16
 #: Buckets (less one) of the count that comes before the exact one; their counts fit a core's cache.
 BUCKET = (1 << 18) - 1
-#: Pieces of text whose ids a task remembers, and the longest of them.
+#: Pieces of text whose ids a worker remembers, and the longest of them.
 PIECES, LONGEST_PIECE = 200_000, 64
+#: Runs of plain texts that it remembers; they are shorter.
+MOST_RUNS = 400_000
 
 _FORMAT = (
     "part int, number int, tokens bigint, first {kind}, last {kind}, docs array<{kind}>, ends array<bigint>, base int, "
@@ -54,8 +57,8 @@ RUNS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^\sa-z0-9{LE
 class _Remembered(dict):
     """Bytes by text, made when first asked for; those of the generation before are taken over."""
 
-    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes]):
-        self._make, self._older = make, older
+    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes], most: int):
+        self._make, self._older, self._most = make, older, most
 
     def __missing__(self, text: str) -> bytes:
         found = self._older.get(text)
@@ -67,7 +70,7 @@ class _Remembered(dict):
 
     def next(self) -> _Remembered:
         """This one, or a fresh one after it if it is full."""
-        return self if len(self) <= PIECES else _Remembered(self._make, dict(self))
+        return self if len(self) <= self._most else _Remembered(self._make, dict(self), self._most)
 
 
 class Encoder:
@@ -95,8 +98,8 @@ class Encoder:
             plain = "".join(c for c in map(chr, range(0x21, 0x7F)) if c not in begin) + LETTERS
             self._plain = re.compile(rf"[ \n\t{re.escape(plain)}]*").fullmatch
         self._model = self._tokenizer.model
-        self._runs = _Remembered(self._of_run, {})
-        self._known = _Remembered(self._of_piece, {})
+        self._runs = _Remembered(self._of_run, {}, MOST_RUNS)
+        self._known = _Remembered(self._of_piece, {}, PIECES)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
@@ -122,6 +125,12 @@ class Encoder:
         return [np.frombuffer(self._of_text(t or ""), np.int32) for t in texts]
 
 
+@lru_cache(maxsize=1)
+def encoder(model: str, whole: bool = False) -> Encoder:
+    """The encoder of a Python worker: tasks that run in it one after another share what it remembers."""
+    return Encoder(model, whole)
+
+
 def compress(ids: np.ndarray, base: int) -> dict:
     """A grammar for ``ids``: rules (lefts, rights) of symbols from ``base`` on, the length that each
     expands to, the number of rules after each round, and the symbols left.
@@ -130,18 +139,16 @@ def compress(ids: np.ndarray, base: int) -> dict:
     frequent first. Pairs of one round do not share a symbol on opposite sides, so their
     places never overlap; in runs of one id every second place counts.
     """
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.int32)
     lefts, rights, rounds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     rules = 0
     while len(symbols) > 1:
         # a bucket holds at least what each of its pairs holds, so rare buckets have no frequent pair
-        bucket = symbols[:-1] * 0x9E3779B1
-        bucket += symbols[1:] * 0x85EBCA77
-        bucket &= BUCKET
+        bucket = _buckets(symbols[:-1], symbols[1:])
         held = np.bincount(bucket, minlength=BUCKET + 1)
         least = max(LEAST_PAIRS, int(held.max() * ROUND_SHARE))
         place = np.flatnonzero((held >= least)[bucket])
-        keys = (symbols[place] << 32) | symbols[place + 1]
+        keys = (symbols[place].astype(np.int64) << 32) | symbols[place + 1]
         pairs, counts = np.unique(keys, return_counts=True)
         counts = np.where(pairs >> 32 == pairs & 0xFFFFFFFF, (counts + 1) // 2, counts)
         if not (counts >= least).any():
@@ -150,15 +157,14 @@ def compress(ids: np.ndarray, base: int) -> dict:
             least = max(LEAST_PAIRS, int(counts.max(initial=0) * ROUND_SHARE))
         at = np.flatnonzero(counts >= least)
         at = at[np.argsort(-counts[at], kind="stable")]
-        sides: dict[int, int] = {}
+        sides = bytearray(base + rules)  # 1: a left side, 2: a right side, 3: both
         chosen = []
-        for key in pairs[at].tolist():
-            a, b = key >> 32, key & 0xFFFFFFFF
+        for a, b, key in zip((pairs[at] >> 32).tolist(), (pairs[at] & 0xFFFFFFFF).tolist(), pairs[at].tolist()):
             if a == b:
-                if a in sides:
+                if sides[a]:
                     continue
                 sides[a] = 3
-            elif sides.get(a, 1) != 1 or sides.get(b, 2) != 2:
+            elif sides[a] & 2 or sides[b] & 1:
                 continue
             else:
                 sides[a], sides[b] = 1, 2
@@ -166,16 +172,16 @@ def compress(ids: np.ndarray, base: int) -> dict:
         if not chosen:
             break
         chosen = np.array(chosen, np.int64)
-        order = np.argsort(chosen)
-        found = np.minimum(np.searchsorted(chosen[order], keys), len(chosen) - 1)
-        hit = chosen[order][found] == keys
-        same = np.flatnonzero(hit & (keys >> 32 == keys & 0xFFFFFFFF))
-        if len(same):  # runs of one id
+        number = _numbers(keys, bucket[place], chosen)
+        hit = number >= 0
+        runs = chosen[chosen >> 32 == chosen & 0xFFFFFFFF]
+        if len(runs):  # runs of one id
+            same = np.flatnonzero(hit & (keys >> 32 == keys & 0xFFFFFFFF))
             fresh = np.diff(place[same], prepend=-2) != 1
             begin = place[same][fresh][np.cumsum(fresh) - 1]
             hit[same[(place[same] - begin) % 2 == 1]] = False
         where = place[hit]
-        symbols[where] = base + rules + order[found[hit]]
+        symbols[where] = base + rules + number[hit]
         stays = np.ones(len(symbols), bool)
         stays[where + 1] = False
         symbols = symbols[stays]
@@ -190,6 +196,33 @@ def compress(ids: np.ndarray, base: int) -> dict:
     return {"base": base, "lefts": left, "rights": right, "lengths": lengths, "rounds": rounds, "symbols": symbols}
 
 
+def _buckets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bucket of each pair."""
+    mixed = left.astype(np.uint32) * np.uint32(0x9E3779B1)
+    mixed += right.astype(np.uint32) * np.uint32(0x85EBCA77)
+    mixed &= np.uint32(BUCKET)
+    return mixed.astype(np.intp)
+
+
+def _numbers(keys: np.ndarray, bucket: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Number of each key among the chosen ones, -1 for others: looked up by bucket, and by
+    a search for those chosen whose bucket another one has."""
+    own = _buckets(chosen >> 32, chosen & 0xFFFFFFFF)
+    slot = np.full(BUCKET + 1, -1, np.int32)
+    slot[own] = np.arange(len(chosen), dtype=np.int32)
+    number = slot[bucket]
+    found = np.flatnonzero(number >= 0)
+    wrong = found[chosen[number[found]] != keys[found]]
+    number[wrong] = -1
+    apart = np.flatnonzero(slot[own] != np.arange(len(chosen)))
+    if len(apart) and len(wrong):
+        apart = apart[np.argsort(chosen[apart])]
+        near = np.minimum(np.searchsorted(chosen[apart], keys[wrong]), len(apart) - 1)
+        right = chosen[apart][near] == keys[wrong]
+        number[wrong[right]] = apart[near[right]]
+    return number
+
+
 def _lengths(symbols: np.ndarray, base: int, lengths: np.ndarray) -> np.ndarray:
     """Number of ids behind each symbol."""
     out = np.ones(len(symbols), np.int64)
@@ -198,20 +231,34 @@ def _lengths(symbols: np.ndarray, base: int, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def _joined(begin: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The pieces of ``flat`` that begin and are as long as told, one after another."""
+    ends = np.cumsum(size)
+    at = np.repeat(begin - (ends - size), size)
+    at += np.arange(len(at))
+    return flat[at]
+
+
+def _spelled(shard: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the ids of each symbol begin, how many there are, and all of them: single ids, then
+    those of the rules, round by round."""
+    base, rules = shard["base"], np.asarray(shard["lengths"], np.int64)
+    size = np.append(np.ones(base, np.int64), rules)
+    begin = np.cumsum(size) - size
+    flat = np.arange(base + int(rules.sum()), dtype=np.int32)
+    for start, end in zip([0, *shard["rounds"]], shard["rounds"]):
+        both = np.stack([shard["lefts"][start:end], shard["rights"][start:end]], 1).ravel()
+        made = _joined(begin[both], size[both], flat)
+        flat[begin[base + start] : begin[base + start] + len(made)] = made
+    return begin, size, flat
+
+
 def expand(symbols: np.ndarray, shard: dict) -> np.ndarray:
-    """The ids behind symbols: rounds are undone from the last to the first."""
-    out, base = symbols.astype(np.int64), shard["base"]
-    rounds = [0, *shard["rounds"]]
-    for start, end in zip(reversed(rounds[:-1]), reversed(rounds[1:])):
-        rule = (out >= base + start) & (out < base + end)
-        if rule.any():
-            at = np.cumsum(1 + rule) - 1 - rule  # place of each symbol in the longer row
-            wide = np.empty(len(out) + int(rule.sum()), np.int64)
-            wide[at] = out
-            number = out[rule] - base
-            wide[at[rule]], wide[at[rule] + 1] = shard["lefts"][number], shard["rights"][number]
-            out = wide
-    return out.astype(np.int32)
+    """The ids behind symbols; what each rule stands for is spelled out once for a shard."""
+    if "spelled" not in shard:
+        shard["spelled"] = _spelled(shard)
+    begin, size, flat = shard["spelled"]
+    return _joined(begin[symbols], size[symbols], flat)
 
 
 def read_slice(shard: dict, start: int, end: int) -> np.ndarray:
@@ -290,7 +337,7 @@ def write_tokens(
     dealt = rows.repartitionByRange(max(1, ceil(size / TASK_BYTES)), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number, held, ids, total, part = Encoder(shared.value, whole), 0, [], [], 0, 0
+        encode, number, held, ids, total, part = encoder(shared.value, whole), 0, [], [], 0, 0
         for batch in slices(batches, 128):
             part = batch.column("part")[0].as_py() if batch.num_rows else part
             found = encode(batch.column("text_").to_pylist())

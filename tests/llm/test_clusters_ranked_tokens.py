@@ -210,3 +210,30 @@ def test_plain_texts_are_cut_into_runs_that_the_model_sees_once():
     encode._model = type("Model", (), {"tokenize": staticmethod(lambda run: asked.append(run) or tokenize(run))})
     encode(["Unseenwordone. unseenwordone, UNSEENWORDONE!", "|unseenwordone|"])
     assert asked.count("unseenwordone") == 1
+
+
+def test_tasks_of_a_worker_share_what_its_encoder_remembers():
+    with open(TOKENIZER, encoding="utf-8") as f:
+        model = f.read()
+    first, text = token_files.encoder(model), "Sharedwordone sharedwordtwo"
+    want = [x.tolist() for x in first([text])]
+    encode = token_files.encoder("".join([model[:10], model[10:]]))  # the next task's copy of the broadcast
+    runs, asked = encode._runs, []
+    make, runs._make = runs._make, lambda run: asked.append(run) or make(run)
+    try:
+        assert [x.tolist() for x in encode([text])] == want and asked == []
+    finally:
+        runs._make = make
+
+
+def test_pairs_of_one_bucket_are_told_apart(monkeypatch):
+    monkeypatch.setattr(token_files, "BUCKET", 3)
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 40, 300) << 32 | rng.integers(0, 40, 300))
+    chosen = rng.permutation(keys)[:60]
+    bucket = token_files._buckets(keys >> 32, keys & 0xFFFFFFFF)
+    want = {key: i for i, key in enumerate(chosen.tolist())}
+    assert token_files._numbers(keys, bucket, chosen).tolist() == [want.get(key, -1) for key in keys.tolist()]
+    ids = np.tile(rng.integers(0, 30, 200), 20).astype(np.int32)
+    shard = token_files.compress(ids, 30)
+    assert np.array_equal(token_files.expand(shard["symbols"], shard), ids) and len(shard["symbols"]) < 1000
